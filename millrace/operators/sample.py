@@ -126,30 +126,34 @@ def smote(
 
 
 def cluster_centroids(
-    df: DataFrame, features: Sequence[str], label: str, k: int | None = None, seed: int = 0, max_iter: int = 20
+    df: DataFrame,
+    features: Sequence[str],
+    label: str,
+    row_id: str,
+    k: int | None = None,
+    seed: int = 0,
+    max_iter: int = 20,
 ) -> DataFrame:
     """Every class but the smallest replaced by the centres of its k clusters.
 
     k defaults to the size of the smallest class.  The centres live on the
-    driver, so k is checked rather than silently reduced.
+    driver, so k is checked rather than silently reduced.  Centres carry
+    negative keys.
     """
     features = list(features)
     counts = counts_by_class(df, label)
-    smallest = min(counts, key=lambda c: (counts[c], str(c)))
-    k = k or counts[smallest]
+    k = k or min(counts.values())
     if k * len(features) > 20_000_000:
         raise ValueError(f"{k} centres do not fit the driver; pass a smaller k")
-    fields = [T.StructField(label, df.schema[label].dataType)] + [T.StructField(f, T.DoubleType()) for f in features]
+    shrunk = [c for c in sorted(counts, key=str) if counts[c] > k]
     rows = []
-    for c in sorted(counts, key=str):
-        if counts[c] <= k:
-            continue
+    for c in shrunk:
         part = df.where(F.col(label) == F.lit(c)).select(array_to_vector(as_array(features)).alias("features"))
-        centres = KMeans(k=k, seed=seed, maxIter=max_iter).fit(part).clusterCenters()
-        rows += [(c, *[float(v) for v in centre]) for centre in centres]
-    whole = [c for c in counts if counts[c] <= k]
-    kept = df.where(F.col(label).isin(whole)).select(label, *[F.col(f).cast("double").alias(f) for f in features])
-    return kept.unionByName(df.sparkSession.createDataFrame(rows, T.StructType(fields))) if rows else kept
+        for centre in KMeans(k=k, seed=seed, maxIter=max_iter).fit(part).clusterCenters():
+            rows.append((-len(rows) - 1, c, *[float(v) for v in centre]))
+    doubles = [F.col(f).cast("double").alias(f) for f in features]
+    kept = df.where(F.col(label).isin([c for c in counts if c not in shrunk])).select(row_id, label, *doubles)
+    return kept.unionByName(df.sparkSession.createDataFrame(rows, kept.schema)) if rows else kept
 
 
 def combined(
