@@ -64,7 +64,7 @@ def association_rules(
     The threshold is ``min_conf`` for confidence and ``min_lift`` for every other metric.
     """
     threshold = min_conf if metric == "confidence" else min_lift
-    masks = F.sequence(F.lit(1).cast("bigint"), F.shiftleft(F.lit(1).cast("bigint"), F.size("itemset")) - 2)
+    masks = F.expr("sequence(1L, shiftleft(1L, size(itemset)) - 2L)")
     split = (
         itemsets.where(F.size("itemset") > 1)
         .select("itemset", "support", F.explode(masks).alias("mask"))

@@ -19,6 +19,9 @@ TABLES = (
 ).split()
 
 
+TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+
+
 def cell(v):
     if v is None:
         return None
@@ -47,6 +50,10 @@ def compare(spark, con, name, query, sql, sf):
     columns, got = rows_of(df.columns, [tuple(r) for r in df.collect()])
     if sql is None:
         return None if sum(got.values()) else "no rows"
+    kinds = {r[0]: r[1] for r in con.execute(f"DESCRIBE {sql}").fetchall()}
+    wrong = {c: (t, kinds.get(c)) for c, t in df.dtypes if TYPES.get(t) != kinds.get(c)}
+    if wrong:
+        return f"types differ: {wrong}"
     result = con.execute(sql)
     want_columns, want = rows_of([d[0] for d in result.description], result.fetchall())
     if columns != want_columns:
