@@ -35,12 +35,22 @@ def kmeans(spark, sf):
     return clusters.withColumn("inertia", F.round(F.lit(inertia), 6))
 
 
-@query(f"WITH {fx.EMB_SQL}, m AS (SELECT {', '.join(f'var_pop(vec[{i + 1}])' for i in range(fx.EMBEDDING_DIMS))} FROM emb) "
-       f"SELECT CAST(0 AS BIGINT) AS cluster, {st.r('(SELECT count(*) FROM emb) * (' + ' + '.join(f'var_pop(vec[{i + 1}])' for i in range(fx.EMBEDDING_DIMS)) + ')', 'inertia')} FROM emb")
-def kmeans_single_cluster_inertia(spark, sf):
-    """With one cluster the inertia is the total sum of squares."""
-    clusters, inertia = cluster.kmeans(fx.embeddings(spark, sf).persist(), 1)
-    return clusters.select("cluster").distinct().withColumn("inertia", F.round(F.lit(inertia), 6))
+VARIANCES = " + ".join(f"var_pop(vec[{i + 1}])" for i in range(fx.EMBEDDING_DIMS))
+
+
+@query(f"WITH {fx.EMB_SQL} SELECT count(*) AS n, {st.r(f'count(*) * ({VARIANCES})', 'total')} FROM emb")
+def kmeans_inertia_and_spread(spark, sf):
+    """The inertia and the spread between the centres add up to the total sum of squares."""
+    emb = fx.embeddings(spark, sf).persist()
+    clusters, inertia = cluster.kmeans(emb, 10)
+    dims = range(fx.EMBEDDING_DIMS)
+    centres = emb.join(clusters, "row_id").groupBy("cluster").agg(
+        F.count(F.lit(1)).alias("n"), *[F.avg(F.col("vec")[i]).alias(f"m{i}") for i in dims]
+    )
+    whole = emb.agg(*[F.avg(F.col("vec")[i]).alias(f"w{i}") for i in dims])
+    # one row per cluster beside one row
+    gap = sum(((F.col(f"m{i}") - F.col(f"w{i}")) ** 2 for i in dims), F.lit(0.0))
+    return centres.join(whole).agg(F.sum("n").alias("n"), r6(F.sum(F.col("n") * gap) + F.lit(inertia), "total"))
 
 
 @query()

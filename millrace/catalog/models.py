@@ -245,9 +245,12 @@ def model_saved_and_loaded(spark, sf):
 @query(
     f"""WITH {fx.DOCS_SQL}, {st.folds_cte('docs_f', 'quality', 3, ', '.join('t.' + c for c in DOC_COLS))},
 {st.bayes_folds_cte(DOC_COLS, 'quality', 3)}, {st.metrics_cte()},
-long AS (UNPIVOT metrics ON {', '.join(st.METRIC_NAMES)} INTO NAME metric VALUE value)
-SELECT 'bayes' AS run, metric, {st.r('avg(value)', 'mean')}, string_agg(CAST(round(value, 4) AS VARCHAR), ';' ORDER BY grp) AS fold_values
-FROM long GROUP BY metric"""
+long AS ({' UNION ALL '.join(f"SELECT grp, '{m}' AS metric, {m} AS value FROM metrics" for m in st.METRIC_NAMES)}),
+fill AS (SELECT *, coalesce(last_value(value IGNORE NULLS) OVER (PARTITION BY metric ORDER BY grp ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+  first_value(value IGNORE NULLS) OVER (PARTITION BY metric ORDER BY grp ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS filled FROM long)
+SELECT 'bayes' AS run, metric, CASE WHEN count(value) = count(*) THEN {st.r('avg(value)', 'x').replace(' AS x', '')} END AS mean,
+       string_agg(CAST(round(filled, 4) AS VARCHAR), ';' ORDER BY grp) AS fold_values
+FROM fill GROUP BY metric"""
 )
 def classification_job_folds(spark, sf):
     """Three folds, min-max scaled, naive Bayes: mean and values of every score."""

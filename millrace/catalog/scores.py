@@ -79,8 +79,8 @@ def area_under_curve(spark, sf):
     return soft.join(score.auc(predicted, "label", "prediction").select(r6("auc", "auc_predictions")))
 
 
-FOLD_VALUES_SQL = """v AS (SELECT event_type AS metric, CAST(hour(ts) AS INTEGER) AS fold,
-  CASE WHEN sum(value) > avg(sum(value)) OVER (PARTITION BY event_type) THEN sum(value) END AS value FROM events GROUP BY ALL)"""
+FOLD_VALUES_SQL = """s_ AS (SELECT event_type AS metric, CAST(hour(ts) AS INTEGER) AS fold, sum(value) AS s FROM events GROUP BY ALL),
+v AS (SELECT metric, fold, CASE WHEN s > avg(s) OVER (PARTITION BY metric) THEN s END AS value FROM s_)"""
 
 
 @query(

@@ -8,13 +8,16 @@ replicate; scoring is plain arithmetic inside generated code.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SMOOTHING = 1e-9
+GENERATED_TERMS = 200
 
 
 @dataclass(frozen=True)
@@ -101,10 +104,36 @@ class GaussianModel:
         scores = f"array({', '.join(self.log_likelihoods())})"
         return f"CAST(array_position({scores}, array_max({scores})) - 1 AS INT)"
 
+    @property
+    def wide(self) -> bool:
+        # beyond this many terms the generated code no longer compiles
+        return len(self.classes) * len(self.features) > GENERATED_TERMS
+
+    def _vectorised(self, reduce: Callable[[np.ndarray], list], kind: str) -> Column:
+        """Scores whole Arrow batches of rows."""
+        prior, mean, var = np.array(self.log_prior), np.array(self.mean), np.array(self.var)
+        const = prior - 0.5 * np.log(2.0 * np.pi * var).sum(axis=1)
+
+        @F.pandas_udf(kind)
+        def scored(*columns: pd.Series) -> pd.Series:
+            x = np.column_stack([c.to_numpy(dtype=np.float64) for c in columns])
+            logs = np.column_stack([k - 0.5 * ((x - m) ** 2 / v).sum(axis=1) for k, m, v in zip(const, mean, var)])
+            return pd.Series(reduce(logs))
+
+        return scored(*[F.col(f).cast("double") for f in self.features])
+
     def prediction(self) -> Column:
-        return F.get(F.array(*[F.lit(c) for c in self.classes]), F.expr(self.class_index()))
+        index = self._vectorised(lambda logs: logs.argmax(axis=1), "int") if self.wide else F.expr(self.class_index())
+        return F.get(F.array(*[F.lit(c) for c in self.classes]), index)
 
     def probabilities(self) -> Column:
+        if self.wide:
+
+            def shares(logs):
+                e = np.exp(logs - logs.max(axis=1, keepdims=True))
+                return list(e / e.sum(axis=1, keepdims=True))
+
+            return self._vectorised(shares, "array<double>")
         logs = F.expr(f"array({', '.join(self.log_likelihoods())})")
         shifted = F.transform(logs, lambda x: F.exp(x - F.array_max(logs)))
         total = F.aggregate(shifted, F.lit(0.0), lambda a, x: a + x)
