@@ -47,10 +47,9 @@ def kmeans_inertia_and_spread(spark, sf):
     centres = emb.join(clusters, "row_id").groupBy("cluster").agg(
         F.count(F.lit(1)).alias("n"), *[F.avg(F.col("vec")[i]).alias(f"m{i}") for i in dims]
     )
-    whole = emb.agg(*[F.avg(F.col("vec")[i]).alias(f"w{i}") for i in dims])
-    # one row per cluster beside one row
-    gap = sum(((F.col(f"m{i}") - F.col(f"w{i}")) ** 2 for i in dims), F.lit(0.0))
-    return centres.join(whole).agg(F.sum("n").alias("n"), r6(F.sum(F.col("n") * gap) + F.lit(inertia), "total"))
+    whole = emb.agg(*[F.avg(F.col("vec")[i]) for i in dims]).first()
+    gap = sum(((F.col(f"m{i}") - F.lit(whole[i])) ** 2 for i in dims), F.lit(0.0))
+    return centres.agg(F.sum("n").alias("n"), r6(F.sum(F.col("n") * gap) + F.lit(inertia), "total"))
 
 
 @query()

@@ -75,8 +75,8 @@ SELECT (SELECT round(sum(area), 6) FROM roc) AS auc_scores, round((1 + tpr - fpr
 )
 def area_under_curve(spark, sf):
     predicted = rule_predictions(spark, sf).persist()
-    soft = score.auc(predicted, "label", "score").select(r6("auc", "auc_scores"))
-    return soft.join(score.auc(predicted, "label", "prediction").select(r6("auc", "auc_predictions")))
+    soft, hard = (score.auc(predicted, "label", s).first()[0] for s in ("score", "prediction"))
+    return rounded(spark.createDataFrame([(soft, hard)], "auc_scores double, auc_predictions double"), "auc_scores", "auc_predictions")
 
 
 FOLD_VALUES_SQL = """s_ AS (SELECT event_type AS metric, CAST(hour(ts) AS INTEGER) AS fold, sum(value) AS s FROM events GROUP BY ALL),

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from millrace.functions.hashing import hash_key, uniform
 from millrace.operators.density import assign_nearest
 from millrace.operators.neighbors import knn, matrix, row_chunks
+from millrace.session import keep
 
 MICRO_CLUSTERS = 1_024
 
@@ -157,7 +158,7 @@ def hierarchical(df: DataFrame, n_clusters: int, micro: int = MICRO_CLUSTERS, se
     ones are first condensed to ``micro`` k-means centres, whose weighted Ward
     merges continue the hierarchy; rows follow their nearest centre.
     """
-    points = _rows(df).groupBy("vec").agg(F.count(F.lit(1)).alias("n"), F.min("row_id").alias("row_id")).persist()
+    points = keep(_rows(df).groupBy("vec").agg(F.count(F.lit(1)).alias("n"), F.min("row_id").alias("row_id")))
     centres, weights, _ = _summaries(points, micro, seed)
     return _label_by_centre(df, centres, ward(centres, weights, n_clusters))
 
@@ -182,14 +183,12 @@ def birch(
     dims = len(rows.select("vec").first()["vec"])
     side = 2.0 * threshold / math.sqrt(dims)
     leaf = F.transform("vec", lambda x: F.floor(x / F.lit(side)))
-    leaves = (
-        rows.groupBy(leaf.alias("leaf"))
-        .agg(
+    leaves = keep(
+        rows.groupBy(leaf.alias("leaf")).agg(
             F.count(F.lit(1)).alias("n"),
             F.min("row_id").alias("row_id"),
             F.array(*[F.avg(F.col("vec")[i]) for i in range(dims)]).alias("vec"),
         )
-        .persist()
     )
     centres, weights, _ = _summaries(leaves, micro, seed)
     return _label_by_centre(df, centres, ward(centres, weights, min(n_clusters, len(centres))))
@@ -203,7 +202,7 @@ def spectral(df: DataFrame, n_clusters: int, n_neighbors: int = 10, max_iter: in
     eigenvectors.
     """
     rows = _rows(df)
-    near = knn(rows, rows, n_neighbors, exclude_self=True).persist()
+    near = keep(knn(rows, rows, n_neighbors, exclude_self=True))
     scale = near.agg(F.avg(F.col("distance") * F.col("distance"))).first()[0] or 1.0
     edges = (
         near.select(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.ordering import join_unique, running_counts
 from millrace.operators.components import components
-from millrace.operators.neighbors import block_join, matrix, row_chunks, within_mask
+from millrace.operators.neighbors import block_join, knn, matrix, row_chunks, within_mask
 from millrace.session import cut_lineage
 
 
@@ -147,8 +147,43 @@ def _shift(seeds: DataFrame, points: DataFrame, bandwidth: float, dims: int) ->
     )
 
 
-def mean_shift(df: DataFrame, bandwidth: float, max_iter: int = 300, bin_seeding: bool = False) -> tuple[DataFrame, list]:
-    """(row_id, cluster) and the modes, densest first, for a table with ``row_id`` and ``vec``.
+def _separate(modes: DataFrame, bandwidth: float) -> DataFrame:
+    """The modes left when each one removes the weaker ones within the bandwidth.
+
+    A mode without a stronger open neighbour stays and removes its neighbours;
+    repeated until no mode is open.  ``row_id`` orders the modes, strongest first.
+    """
+
+    def strongest(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(p):
+            return pd.DataFrame()
+        p = p.sort_values("row_id")
+        a, b, ids = matrix(q["vec"]), matrix(p["vec"]), p["row_id"].to_numpy()
+        parts = []
+        for part in row_chunks(len(a), len(b)):
+            mask = within_mask(a[part], b, bandwidth)
+            hit = mask.any(axis=1)
+            parts.append(pd.DataFrame({"row_id": q["row_id"].to_numpy()[part][hit], "top": ids[mask.argmax(axis=1)[hit]]}))
+        return pd.concat(parts)
+
+    def lowest(queries: DataFrame, points: DataFrame) -> DataFrame:
+        found, _ = block_join(queries, points, lambda *_: bandwidth, strongest, "row_id bigint, top bigint")
+        return found.groupBy("row_id").agg(F.min("top").alias("top"))
+
+    kept, open_ = None, modes
+    while True:
+        stays = cut_lineage(lowest(open_, open_).where("row_id = top").select("row_id").join(open_, "row_id"))
+        kept = stays if kept is None else kept.unionByName(stays)
+        rest = open_.join(stays, "row_id", "left_anti")
+        open_ = cut_lineage(rest.join(lowest(rest, stays), "row_id", "left_anti"))
+        if open_.isEmpty():
+            return kept
+
+
+def mean_shift(
+    df: DataFrame, bandwidth: float, max_iter: int = 300, bin_seeding: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """(row_id, cluster), and the modes (cluster, vec), densest first, for a table with ``row_id`` and ``vec``.
 
     Seeds are all distinct rows, or with ``bin_seeding`` one per occupied grid
     cell of the bandwidth.  Settled seeds leave the loop.
@@ -164,33 +199,39 @@ def mean_shift(df: DataFrame, bandwidth: float, max_iter: int = 300, bin_seeding
         seeds = points.groupBy(cell.alias("vec")).agg(F.min("row_id").alias("row_id"))
     else:
         seeds = points.select("row_id", "vec")
-    settled: list[DataFrame] = []
+    modes = None
     for step in range(max_iter):
         moved = _shift(seeds, points, bandwidth, dims)
         gap = F.sqrt(
             F.aggregate(F.zip_with("vec", "to", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
         )
+        last = step == max_iter - 1
         after = cut_lineage(
-            seeds.join(moved, "row_id").withColumn("done", gap < F.lit(1e-3 * bandwidth))
+            seeds.join(moved, "row_id").withColumn("done", F.lit(last) | (gap < F.lit(1e-3 * bandwidth)))
         )
-        settled.append(after.where("done").select("near", F.col("to").alias("vec")))
+        settled = after.where("done").select("near", F.col("to").alias("vec"))
+        modes = settled if modes is None else modes.unionByName(settled)
         seeds = after.where("NOT done").select("row_id", F.col("to").alias("vec"))
-        if seeds.isEmpty() or step == max_iter - 1:
-            settled.append(after.where("NOT done").select("near", F.col("to").alias("vec")))
+        if seeds.isEmpty():
             break
-    modes = settled[0]
-    for s in settled[1:]:
-        modes = modes.unionByName(s)
-    # seeds that ended at the same place
+    # seeds that ended at the same place, then numbered from the densest
     snap = F.transform("vec", lambda x: F.round(x / F.lit(1e-3 * bandwidth)))
-    distinct = modes.groupBy(snap.alias("at")).agg(F.max(F.struct("near", "vec")).alias("m")).select("m.*")
-    ranked = distinct.orderBy(F.col("near").desc(), F.col("vec").desc())
-    kept: list[list[float]] = []
-    for r in ranked.toLocalIterator():
-        centre = np.array(r["vec"])
-        if not kept or np.sqrt(((np.array(kept) - centre) ** 2).sum(axis=1)).min() >= bandwidth:
-            kept.append(r["vec"])
-    return assign_nearest(df, np.array(kept)), kept
+    distinct = modes.groupBy(snap.alias("at")).agg(F.max(F.struct("near", "vec")).alias("m"))
+    ordered = running_counts(
+        distinct.select(F.lit(0).alias("g"), "m", F.lit(1).alias("one")), "g", "m", ["one"], descending=True
+    )
+    ordered = cut_lineage(ordered.select(F.col("one_before").cast("bigint").alias("row_id"), F.col("m.vec").alias("vec")))
+    kept = _separate(ordered, bandwidth)
+    numbered = cut_lineage(
+        running_counts(kept.select(F.lit(0).alias("g"), "row_id", "vec", F.lit(1).alias("one")), "g", "row_id", ["one"]).select(
+            F.col("one_before").cast("bigint").alias("row_id"), "vec"
+        )
+    )
+    nearest = knn(df.select("row_id", "vec"), numbered, 1)
+    return (
+        nearest.select("row_id", F.col("neighbor_id").alias("cluster")),
+        numbered.select(F.col("row_id").alias("cluster"), "vec"),
+    )
 
 
 def assign_nearest(df: DataFrame, centres: np.ndarray) -> DataFrame:

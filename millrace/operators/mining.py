@@ -8,6 +8,8 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.session import keep
+
 
 def frequent_itemsets(transactions: DataFrame, items: str, min_support: float, n: int | None = None) -> DataFrame:
     """(itemset sorted, freq, support) of all itemsets in at least ``min_support`` of the rows."""
@@ -39,11 +41,11 @@ def frequent_itemsets_decreasing(
     schedule = support_schedule(start)
     if not schedule:
         return frequent_itemsets(transactions, items, 1.0).limit(0), None
-    baskets = transactions.select(items).persist()
+    baskets = keep(transactions.select(items))
     n = baskets.count()
     previous, position = -1, 0
     while True:
-        mined = frequent_itemsets(baskets, items, schedule[position], n).persist()
+        mined = keep(frequent_itemsets(baskets, items, schedule[position], n))
         steps = range(previous + 1, position + 1)
         row = mined.agg(
             *[F.count_if(F.col("freq") >= math.ceil(schedule[j] * n)).alias(f"s{j}") for j in steps]
@@ -52,7 +54,6 @@ def frequent_itemsets_decreasing(
         if enough or position == len(schedule) - 1:
             hit = enough[0] if enough else position
             return mined.where(F.col("freq") >= math.ceil(schedule[hit] * n)), schedule[hit]
-        mined.unpersist()
         previous, position = position, min(2 * position + 1, len(schedule) - 1)
 
 

@@ -22,12 +22,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions.hashing import hash_key
+from millrace.session import keep
 
 CELL_ROWS = 50_000
-MAX_PIVOTS = 512
+MAX_PIVOTS = 2_048
 QUERY_BLOCK = 4_096
 POINT_BLOCK = 16_384
 CHUNK_CELLS = 4_000_000
+SLICE_ROWS = 2_000
+OUTPUT_ROWS = 20_000
 
 
 def matrix(column: pd.Series) -> np.ndarray:
@@ -68,19 +71,32 @@ def row_chunks(n_rows: int, n_cols: int) -> Iterator[slice]:
 
 @dataclass(frozen=True)
 class Layout:
-    """Pivots and, per group and query cell, the reach and the block counts."""
+    """Pivots and, per group, the reach and block counts of each query cell.
+
+    The tasks of a cell are numbered from ``first`` on, one per query block and
+    reference block.
+    """
 
     pivots: np.ndarray
     reach: dict[str, np.ndarray]
     query_blocks: dict[str, np.ndarray]
     point_blocks: dict[str, np.ndarray]
+    first: dict[str, np.ndarray]
+
+    def parts(self, pdf: pd.DataFrame) -> Iterator[tuple[str, np.ndarray]]:
+        """(group, positions) of the rows whose group has queries."""
+        grp = pdf["grp"].to_numpy()
+        for g in pd.unique(grp):
+            if g in self.reach:
+                yield g, np.nonzero(grp == g)[0]
 
 
 def _gaps(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Distances to the pivots, never above the true ones."""
     out = np.empty((len(vectors), len(pivots)))
-    for part in row_chunks(len(vectors), pivots.size):
-        diff = vectors[part, None, :] - pivots[None, :, :]
-        out[part] = np.sqrt((diff * diff).sum(axis=2))
+    for part in row_chunks(len(vectors), len(pivots)):
+        d2, slack = approx_sq(vectors[part], pivots)
+        out[part] = np.sqrt(np.maximum(d2 - slack, 0.0))
     return out
 
 
@@ -93,7 +109,7 @@ def _choose_pivots(points: DataFrame, n_points: int) -> np.ndarray:
 
 
 def _place(df: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """Adds the nearest pivot and the distance to it."""
+    """Adds a near pivot and the distance to it."""
     if pivots.shape[1] == 0:
         return df.withColumns({"cell": F.lit(0), "gap": F.lit(0.0)})
     schema = T.StructType(df.schema.fields + [T.StructField("cell", T.IntegerType()), T.StructField("gap", T.DoubleType())])
@@ -101,9 +117,9 @@ def _place(df: DataFrame, pivots: np.ndarray) -> DataFrame:
     def place(batches):
         for pdf in batches:
             if len(pdf):
-                gaps = _gaps(matrix(pdf["vec"]), pivots)
-                cell = gaps.argmin(axis=1)
-                yield pdf.assign(cell=cell.astype(np.int32), gap=gaps[np.arange(len(pdf)), cell])
+                vectors = matrix(pdf["vec"])
+                cell = _gaps(vectors, pivots).argmin(axis=1)
+                yield pdf.assign(cell=cell.astype(np.int32), gap=np.sqrt(exact_sq(vectors, pivots[cell])))
 
     return df.mapInPandas(place, schema)
 
@@ -117,9 +133,12 @@ def _cell_stats(placed: DataFrame) -> dict[str, dict[int, tuple[int, float]]]:
 
 def _layout(pivots: np.ndarray, q_stats, p_stats, bound: Callable, query_block: int, point_block: int) -> Layout:
     count = len(pivots)
-    between = _gaps(pivots, pivots) if pivots.shape[1] else np.zeros((1, 1))
-    reach, q_blocks, p_blocks = {}, {}, {}
-    for grp, cells in q_stats.items():
+    if pivots.shape[1]:
+        between = np.vstack([np.sqrt(exact_sq(np.broadcast_to(p, pivots.shape), pivots)) for p in pivots])
+    else:
+        between = np.zeros((1, 1))
+    reach, q_blocks, p_blocks, first, task = {}, {}, {}, {}, 0
+    for grp, cells in sorted(q_stats.items()):
         points = p_stats.get(grp, {})
         n = np.array([points.get(j, (0, 0.0))[0] for j in range(count)], dtype=np.int64)
         radius = np.array([points.get(j, (0, 0.0))[1] for j in range(count)])
@@ -133,65 +152,59 @@ def _layout(pivots: np.ndarray, q_stats, p_stats, bound: Callable, query_block:
             near = n[between[i] - radius <= grp_reach[i]].sum()
             grp_p[i] = max(1, math.ceil(near / point_block))
         reach[grp], q_blocks[grp], p_blocks[grp] = grp_reach, grp_q, grp_p
-    return Layout(pivots, reach, q_blocks, p_blocks)
+        ends = task + np.cumsum(grp_q * grp_p)
+        first[grp] = ends - grp_q * grp_p
+        task = int(ends[-1])
+    return Layout(pivots, reach, q_blocks, p_blocks, first)
+
+
+def _copies(pdf: pd.DataFrame, at: np.ndarray, tasks: np.ndarray) -> Iterator[pd.DataFrame]:
+    # short outputs keep the replicated vectors of one Arrow batch small
+    for start in range(0, len(at), OUTPUT_ROWS):
+        part = slice(start, start + OUTPUT_ROWS)
+        yield pdf.iloc[at[part]].assign(task=tasks[part])
 
 
 def _spread_queries(placed: DataFrame, layout: Layout) -> DataFrame:
     """One copy of a query row per reference block of its cell."""
     fields = [f for f in placed.schema.fields if f.name not in ("cell", "gap")]
     names = [f.name for f in fields]
-    schema = T.StructType(fields + [T.StructField("task", T.StringType())])
 
     def spread(batches):
         for pdf in batches:
-            if not len(pdf):
-                continue
-            grp, cell = pdf["grp"].to_numpy(), pdf["cell"].to_numpy()
-            blocks = np.array([layout.query_blocks[g][c] for g, c in zip(grp, cell)])
-            a = pdf["salt"].to_numpy() % blocks
-            copies = np.array([layout.point_blocks[g][c] for g, c in zip(grp, cell)])
-            at = np.repeat(np.arange(len(pdf)), copies)
-            b = np.concatenate([np.arange(c) for c in copies])
-            out = pdf[names].iloc[at].reset_index(drop=True)
-            out["task"] = [f"{grp[i]}|{cell[i]}|{a[i]}|{s}" for i, s in zip(at, b)]
-            yield out
+            for g, rows in layout.parts(pdf):
+                cell = pdf["cell"].to_numpy()[rows]
+                blocks = layout.point_blocks[g][cell]
+                a = pdf["salt"].to_numpy()[rows] % layout.query_blocks[g][cell]
+                at = np.repeat(np.arange(len(rows)), blocks)
+                b = np.arange(len(at)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+                tasks = layout.first[g][cell[at]] + a[at] * blocks[at] + b
+                yield from _copies(pdf[names], rows[at], tasks)
 
-    return placed.mapInPandas(spread, schema)
+    return placed.mapInPandas(spread, T.StructType(fields + [T.StructField("task", T.LongType())]))
 
 
 def _spread_points(points: DataFrame, layout: Layout) -> DataFrame:
     """One copy of a reference row per query block it may matter to."""
-    fields = points.schema.fields
-    schema = T.StructType(fields + [T.StructField("task", T.StringType())])
 
     def spread(batches):
         for whole in batches:
-            # short slices keep the replicated rows of one output batch small
-            for start in range(0, len(whole), 1_000):
-                pdf = whole.iloc[start : start + 1_000].reset_index(drop=True)
-                known = pdf["grp"].isin(list(layout.reach)).to_numpy()
-                pdf = pdf[known].reset_index(drop=True)
-                if not len(pdf):
-                    continue
-                if layout.pivots.shape[1]:
-                    gaps = _gaps(matrix(pdf["vec"]), layout.pivots)
-                else:
-                    gaps = np.zeros((len(pdf), 1))
-                at, tasks = [], []
-                salt = pdf["salt"].to_numpy()
-                for i, g in enumerate(pdf["grp"]):
-                    for cell in np.nonzero(gaps[i] <= layout.reach[g])[0]:
-                        s = salt[i] % layout.point_blocks[g][cell]
-                        for a in range(layout.query_blocks[g][cell]):
-                            at.append(i)
-                            tasks.append(f"{g}|{cell}|{a}|{s}")
-                        if len(at) > 20_000:
-                            yield pdf.iloc[at].assign(task=tasks)
-                            at, tasks = [], []
-                if at:
-                    yield pdf.iloc[at].assign(task=tasks)
-
-    return points.mapInPandas(spread, schema)
+            for start in range(0, len(whole), SLICE_ROWS):
+                pdf = whole.iloc[start : start + SLICE_ROWS]
+                for g, rows in layout.parts(pdf):
+                    if layout.pivots.shape[1]:
+                        gaps = _gaps(matrix(pdf["vec"].iloc[rows]), layout.pivots)
+                    else:
+                        gaps = np.zeros((len(rows), 1))
+                    hit, cell = np.nonzero(gaps <= layout.reach[g])
+                    blocks, parts = layout.query_blocks[g][cell], layout.point_blocks[g][cell]
+                    b = pdf["salt"].to_numpy()[rows[hit]] % parts
+                    at = np.repeat(np.arange(len(hit)), blocks)
+                    a = np.arange(len(at)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+                    tasks = layout.first[g][cell[at]] + a * parts[at] + b[at]
+                    yield from _copies(pdf, rows[hit[at]], tasks)
+
+    return points.mapInPandas(spread, T.StructType(points.schema.fields + [T.StructField("task", T.LongType())]))
 
 
 def _standard(df: DataFrame, group: str | None, extra: list[str]) -> DataFrame:
@@ -200,7 +213,7 @@ def _standard(df: DataFrame, group: str | None, extra: list[str]) -> DataFrame:
         F.col("row_id").cast("bigint").alias("row_id"),
         F.col("vec").cast("array<double>").alias("vec"),
         grp.alias("grp"),
-        hash_key("block", "row_id").alias("salt"),
+        F.xxhash64("row_id").alias("salt"),
         *extra,
     )
 
@@ -225,12 +238,12 @@ def block_join(
     more than one task, in which case the caller merges.
     """
     # read several times (count, statistics, spreading); recomputed if lost
-    points = _standard(points, group, point_extra or []).persist()
-    pivots = _choose_pivots(points, points.count())
-    placed = _place(_standard(queries, group, query_extra or []), pivots).persist()
-    layout = _layout(
-        pivots, _cell_stats(placed), _cell_stats(_place(points, pivots)), bound, query_block, point_block
-    )
+    points = keep(_standard(points, group, point_extra or []))
+    whole = _cell_stats(_place(points, np.zeros((1, 0))))
+    pivots = _choose_pivots(points, sum(n for cells in whole.values() for n, _ in cells.values()))
+    placed = keep(_place(_standard(queries, group, query_extra or []), pivots))
+    p_stats = _cell_stats(_place(points, pivots)) if pivots.shape[1] else whole
+    layout = _layout(pivots, _cell_stats(placed), p_stats, bound, query_block, point_block)
     split = any((b > 1).any() for b in layout.point_blocks.values())
     left = _spread_queries(placed, layout)
     right = _spread_points(points, layout)
@@ -262,7 +275,7 @@ def knn(
     # limit is applied before the shuffle, so a hot vector stays small.
     copies = Window.partitionBy(*([group] if group else []), "vec").orderBy("row_id")
     distinct = (
-        points.select("row_id", F.col("vec").cast("array<double>").alias("vec"), *([group] if group else []), *[c for c in extra if c != group])
+        points.select("row_id", F.col("vec").cast("array<double>").alias("vec"), *([group] if group else []), *[c for c in extra if c not in (group, "vec")])
         .withColumn("copy_", F.row_number().over(copies))
         .where(F.col("copy_") <= wanted)
         .drop("copy_")

@@ -94,10 +94,12 @@ def smote(
         lucky.select(F.col(row_id).alias("lucky_")), F.col(row_id) == F.col("lucky_"), "left"
     ).withColumn("copies_", F.col("share_") + F.col("lucky_").isNotNull().cast("int"))
     vectors = members.select(F.col(row_id).alias("row_id"), as_array(features).alias("vec"), F.col(label).alias("class_"))
-    near = knn(vectors, vectors, k, group="class_", exclude_self=True)
+    # the neighbour brings its vector along: joining it in later by its key would
+    # send all copies made towards a popular neighbour to one task
+    near = knn(vectors, vectors, k, group="class_", exclude_self=True, carry="vec")
     # at most k neighbours per row
     lists = near.groupBy(F.col("row_id").alias("near_id")).agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("rank", "neighbor_id"))), lambda s: s["neighbor_id"]).alias("near_")
+        F.transform(F.sort_array(F.collect_list(F.struct("rank", "vec"))), lambda s: s["vec"]).alias("near_")
     )
     grown = copies.where(F.col("copies_") > 0).join(lists, F.col(row_id) == F.col("near_id"), "left")
     grown = grown.withColumn("from_", F.explode(F.sequence(F.lit(0), F.col("copies_") - 1, F.lit(chunk))))
@@ -108,12 +110,10 @@ def smote(
         "copy_", F.explode(F.sequence(F.col("from_"), F.least(F.col("from_") + chunk, F.col("copies_")) - 1))
     )
     pick = F.floor(uniform(f"{seed}:near", row_id, "copy_") * F.size("near_")).cast("int")
-    grown = grown.withColumn("mate_", F.when(F.size("near_") > 0, F.get("near_", pick))).withColumn(
-        "step_", uniform(f"{seed}:step", row_id, "copy_")
+    grown = grown.withColumns(
+        {"to_": F.when(F.size("near_") > 0, F.get("near_", pick)), "step_": uniform(f"{seed}:step", row_id, "copy_")}
     )
-    mates = members.select(F.col(row_id).alias("mate_"), as_array(features).alias("to_"))
-    joined = grown.join(mates, "mate_", "left")
-    made = joined.select(
+    made = grown.select(
         (-(F.col(row_id) * F.lit(most) + F.col("copy_")) - 1).cast(df.schema[row_id].dataType).alias(row_id),
         label,
         *[

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -156,53 +157,47 @@ def contingency(df: DataFrame, label: str, cluster: str) -> DataFrame:
     )
 
 
-def adjusted_rand(df: DataFrame, label: str, cluster: str) -> DataFrame:
-    cells = contingency(df, label, cluster).persist()
-    one = (
-        cells.agg(F.sum(_pairs(F.col("n"))).alias("both"), F.sum("n").alias("n"))
-        .join(cells.groupBy("label").agg(F.sum("n").alias("n")).agg(F.sum(_pairs(F.col("n"))).alias("rows_")))
-        .join(cells.groupBy("cluster").agg(F.sum("n").alias("n")).agg(F.sum(_pairs(F.col("n"))).alias("cols_")))
-    )
-    expected = F.col("rows_") * F.col("cols_") / _pairs(F.col("n"))
-    top = (F.col("rows_") + F.col("cols_")) / 2.0
-    return one.select(
-        F.when(top == expected, F.lit(1.0))
-        .otherwise((F.col("both") - expected) / F.nullif(top - expected, F.lit(0.0)))
-        .alias("ad_rand_score")
+def _margins(cells: DataFrame, value: Callable[[F.Column], F.Column]) -> dict[str, float]:
+    """Sums of ``value(n)`` over the cells, the label totals and the cluster totals, and n itself."""
+    sums = (
+        cells.groupingSets([["label", "cluster"], ["label"], ["cluster"], []], "label", "cluster")
+        .agg(F.grouping_id().alias("kind"), F.sum("n").alias("n"))
+        .groupBy("kind")
+        .agg(F.sum(value(F.col("n"))).alias("s"), F.max("n").alias("n"))
+        .collect()
     )
+    found = {r["kind"]: r for r in sums}
+    return {"cells": found[0]["s"], "labels": found[1]["s"], "clusters": found[2]["s"], "n": found[3]["n"]}
+
+
+def adjusted_rand(df: DataFrame, label: str, cluster: str) -> DataFrame:
+    m = _margins(contingency(df, label, cluster), _pairs)
+    expected = m["labels"] * m["clusters"] / (m["n"] * (m["n"] - 1) / 2.0) if m["n"] > 1 else 0.0
+    top = (m["labels"] + m["clusters"]) / 2.0
+    value = 1.0 if top == expected else (m["cells"] - expected) / (top - expected)
+    return df.sparkSession.createDataFrame([(value,)], "ad_rand_score double")
 
 
 def information_scores(df: DataFrame, label: str, cluster: str) -> DataFrame:
-    """Mutual information, its normalised form, homogeneity, completeness and V-measure."""
-    cells = contingency(df, label, cluster).persist()
-    rows = cells.groupBy("label").agg(F.sum("n").alias("a"))
-    cols = cells.groupBy("cluster").agg(F.sum("n").alias("b"))
-    total = cells.agg(F.sum("n")).first()[0]
-    n = F.lit(total).cast("double")
-    mi = (
-        cells.join(rows, "label")
-        .join(cols, "cluster")
-        .agg(F.sum(F.col("n") / n * F.ln(F.col("n") * n / (F.col("a") * F.col("b")))).alias("mi"))
+    """Mutual information, its normalised form, homogeneity, completeness and V-measure.
+
+    All follow from the entropies of the cells, the labels and the clusters.
+    """
+    m = _margins(contingency(df, label, cluster), lambda n: n * F.ln(n))
+    joint, h_label, h_cluster = (
+        max(0.0, math.log(m["n"]) - m[k] / m["n"]) for k in ("cells", "labels", "clusters")
     )
-    h_label = rows.agg((-F.sum(F.col("a") / n * F.ln(F.col("a") / n))).alias("h_label"))
-    h_cluster = cols.agg((-F.sum(F.col("b") / n * F.ln(F.col("b") / n))).alias("h_cluster"))
-    # three one-row tables
-    one = mi.join(h_label).join(h_cluster)
-    mi_, hl, hc = F.greatest(F.col("mi"), F.lit(0.0)), F.col("h_label"), F.col("h_cluster")
-
-    def share(part, whole):
-        return F.when(whole <= 0, F.lit(1.0)).otherwise(part / F.when(whole > 0, whole))
-
-    return one.select(
-        mi_.alias("mutual_info"),
-        share(mi_, (hl + hc) / 2.0).alias("normalized_mutual_info"),
-        share(mi_, hl).alias("homogeneity"),
-        share(mi_, hc).alias("completeness"),
-    ).withColumn(
-        "v_measure",
-        F.when(F.col("homogeneity") + F.col("completeness") > 0,
-            2.0 * F.col("homogeneity") * F.col("completeness") / (F.col("homogeneity") + F.col("completeness")),
-        ).otherwise(F.lit(0.0)),
+    mi = max(0.0, h_label + h_cluster - joint)
+
+    def share(whole: float) -> float:
+        return mi / whole if whole > 0 else 1.0
+
+    homogeneity, completeness = share(h_label), share(h_cluster)
+    both = homogeneity + completeness
+    row = (mi, share((h_label + h_cluster) / 2), homogeneity, completeness, 2 * homogeneity * completeness / both if both else 0.0)
+    return df.sparkSession.createDataFrame(
+        [row],
+        "mutual_info double, normalized_mutual_info double, homogeneity double, completeness double, v_measure double",
     )
 
 

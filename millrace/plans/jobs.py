@@ -41,6 +41,7 @@ from millrace.operators.score import (
     silhouette,
 )
 from millrace.operators.select import SCORERS, best, best_fraction, drop_correlated
+from millrace.session import keep, scope
 from millrace.spec import TableSpec
 
 MINING_DEFAULTS = {
@@ -172,7 +173,7 @@ def _evaluate(train: DataFrame, test: DataFrame, spec: TableSpec, config: Mappin
     if not config.get("balance_before_split"):
         train = balance(train, spec, config)
     prepared = reduce_features([train, test], spec, config)
-    train, test = (t.persist() for t in prepared.tables)
+    train, test = (keep(t) for t in prepared.tables)
     model = _fit(train, prepared.spec, config)
     # training and test rows are predicted together, one job for both scores
     both = test.withColumn("part", F.lit("test")).unionByName(train.withColumn("part", F.lit("train")), True)
@@ -180,8 +181,6 @@ def _evaluate(train: DataFrame, test: DataFrame, spec: TableSpec, config: Mappin
     metrics = classification_metrics(scored, spec.label, "prediction", ["part"])
     out = dict(metrics.get(("test",), {}))
     out["accuracyTrain"] = metrics.get(("train",), {}).get("accuracy")
-    train.unpersist()
-    test.unpersist()
     if prepared.dropped:
         out["dropedCols"] = prepared.dropped
     if config.get("saveModel") and hasattr(model, "model") and hasattr(model.model, "write"):
@@ -191,27 +190,25 @@ def _evaluate(train: DataFrame, test: DataFrame, spec: TableSpec, config: Mappin
 
 def classification_folds(df: DataFrame, spec: TableSpec, config: Mapping) -> list[dict]:
     """The metrics of the holdout split (one entry) or of every fold."""
-    df = fill(df.where(F.col(spec.label).isNotNull()), spec, config)
-    if config.get("debug"):
-        df = head_fraction(df, spec.row_id)
-    if config.get("balance_before_split"):
-        df = balance(df, spec, config)
-    df = df.select(spec.row_id, spec.label, *spec.features).persist()
-    if config.get("dataSplitMethod", "split") == "split":
-        marked = train_test_split(df, spec.row_id, limit=config.get("numTrainingPoints"))
-        results = [_evaluate(marked.where("NOT is_test").drop("is_test"), marked.where("is_test").drop("is_test"), spec, config)]
-    else:
-        folds = config["kFold"]
-        marked = stratified_folds(df, spec.label, spec.row_id, folds).persist()
-        results = [
-            _evaluate(
-                marked.where(F.col("fold") != i).drop("fold"), marked.where(F.col("fold") == i).drop("fold"), spec, config
-            )
-            for i in range(folds)
-        ]
-        marked.unpersist()
-    df.unpersist()
-    return results
+    with scope():
+        df = fill(df.where(F.col(spec.label).isNotNull()), spec, config)
+        if config.get("debug"):
+            df = head_fraction(df, spec.row_id)
+        if config.get("balance_before_split"):
+            df = balance(df, spec, config)
+        df = keep(df.select(spec.row_id, spec.label, *spec.features))
+        if config.get("dataSplitMethod", "split") == "split":
+            marked = train_test_split(df, spec.row_id, limit=config.get("numTrainingPoints"))
+            parts = [(~F.col("is_test"), F.col("is_test"))]
+        else:
+            marked = keep(stratified_folds(df, spec.label, spec.row_id, config["kFold"]))
+            parts = [(F.col("fold") != i, F.col("fold") == i) for i in range(config["kFold"])]
+        results = []
+        for train, test in parts:
+            with scope():
+                rows = [marked.where(p).select(spec.row_id, spec.label, *spec.features) for p in (train, test)]
+                results.append(_evaluate(*rows, spec, config))
+        return results
 
 
 def fold_frame(spark, results: Sequence[Mapping], run: str = "run") -> DataFrame:
@@ -240,13 +237,17 @@ def clustering_job(df: DataFrame, spec: TableSpec, config: Mapping) -> tuple[Dat
     """(row_id, cluster) and {ad_rand_score, silhouette, inertia?}; with ``epsP`` the distance curve."""
     df = balance(fill(df, spec, config), spec, config)
     prepared = reduce_features([df], spec, config)
-    points = prepared.tables[0].select(
-        F.col(spec.row_id).alias("row_id"), as_array(prepared.spec.features).alias("vec"), F.col(spec.label).alias("label")
-    ).persist()
+    points = keep(
+        prepared.tables[0].select(
+            F.col(spec.row_id).alias("row_id"),
+            as_array(prepared.spec.features).alias("vec"),
+            F.col(spec.label).alias("label"),
+        )
+    )
     if config.get("epsP"):
         return nearest_distance_curve(points), {}
     found, extra = CLUSTERERS[config["clusterFunction"]](points, dict(config.get("clusterParams") or {}))
-    scored = points.join(found.select("row_id", "cluster"), "row_id").persist()
+    scored = keep(points.join(found.select("row_id", "cluster"), "row_id"))
     metrics = {
         "ad_rand_score": adjusted_rand(scored, "label", "cluster").first()[0],
         "silhouette": silhouette(scored, "cluster").first()[0],
@@ -271,8 +272,8 @@ def mining_items(df: DataFrame, spec: TableSpec, config: Mapping) -> DataFrame:
 def mining_job(df: DataFrame, spec: TableSpec, config: Mapping) -> DataFrame:
     """The association rules of the table."""
     params = {**MINING_DEFAULTS, **(config.get("miningParams") or {})}
-    df = balance(fill(df, spec, config), spec, config).persist()
-    items = mining_items(df, spec, config).persist()
+    df = keep(balance(fill(df, spec, config), spec, config))
+    items = keep(mining_items(df, spec, config))
     if params["iteratively_decreasing_support"]:
         itemsets, _ = frequent_itemsets_decreasing(items, "items", params["min_sup"], params["min_patterns"])
     else:

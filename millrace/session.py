@@ -5,6 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,3 +58,30 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: later stages survive the loss of any executor."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_kept: ContextVar[list[DataFrame] | None] = ContextVar("kept", default=None)
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """Persists a table that several jobs read; released at the end of the running scope.
+
+    Cached blocks lost with an executor are recomputed from the lineage.
+    """
+    held = _kept.get()
+    if held is not None:
+        held.append(df)
+    return df.persist()
+
+
+@contextmanager
+def scope() -> Iterator[None]:
+    """Releases what :func:`keep` persisted inside, for callers that finish their actions here."""
+    held: list[DataFrame] = []
+    token = _kept.set(held)
+    try:
+        yield
+    finally:
+        _kept.reset(token)
+        for df in held:
+            df.unpersist()
