@@ -228,8 +228,8 @@ def smallest_per_group(
         )
         ties = marked.where(F.col("tied_") & (F.col(key) == F.col("cut_"))).join(F.broadcast(need_df), group)
         ties = ties.withColumn("rn_", F.row_number().over(Window.partitionBy(group).orderBy(row_id)))
-        kept = kept.unionByName(ties.where(F.col("rn_") <= F.col("need_")).drop("need_", "rn_"))
-    return kept.drop("cut_", "tied_", "all_")
+        kept = kept.select(*df.columns).unionByName(ties.where(F.col("rn_") <= F.col("need_")).select(*df.columns))
+    return kept.select(*df.columns)
 
 
 def running_counts(counts: DataFrame, group: str, value: str, n: Sequence[str], descending: bool = False) -> DataFrame:

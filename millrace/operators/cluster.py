@@ -6,10 +6,12 @@ All take a table with ``row_id`` and ``vec`` and give (row_id, cluster).
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import GaussianMixture, KMeans, PowerIterationClustering
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 from millrace.functions.hashing import hash_key, uniform
 from millrace.operators.density import assign_nearest
 from millrace.operators.neighbors import knn, matrix, row_chunks
-from millrace.session import keep
+from millrace.session import cut_lineage, keep
 
 MICRO_CLUSTERS = 1_024
 
@@ -97,12 +99,107 @@ def mini_batch_kmeans(
     return out, float(inertia.agg(F.sum("cost")).first()[0])
 
 
-def gaussian_mixture(df: DataFrame, n_components: int, max_iter: int = 100, seed: int = 0) -> tuple[DataFrame, float]:
-    """Most likely component (full covariances) and the log-likelihood."""
-    vectors = _vectors(df)
-    model = GaussianMixture(k=n_components, maxIter=max_iter, tol=1e-3, seed=seed).fit(vectors)
-    out = model.transform(vectors).select("row_id", F.col("prediction").cast("bigint").alias("cluster"))
-    return out, float(model.summary.logLikelihood)
+@dataclass(frozen=True)
+class Mixture:
+    """Gaussians with full covariances."""
+
+    weights: np.ndarray
+    means: np.ndarray
+    covariances: np.ndarray
+
+    def log_densities(self, x: np.ndarray) -> np.ndarray:
+        out = np.empty((len(x), len(self.weights)))
+        for j, (w, m, c) in enumerate(zip(self.weights, self.means, self.covariances)):
+            root = np.linalg.cholesky(c)
+            z = np.linalg.solve(root, (x - m).T)
+            half_log_det = np.log(np.diag(root)).sum()
+            out[:, j] = np.log(w) - half_log_det - 0.5 * (z * z).sum(axis=0) - 0.5 * x.shape[1] * np.log(2 * np.pi)
+        return out
+
+
+def _mixture_sums(rows: DataFrame, k: int, d: int, share: Callable[[np.ndarray], tuple[np.ndarray, float]], about: np.ndarray):
+    """Weight, sum and cross products about a point per component, and the log-likelihood.
+
+    A task adds up its rows and sends one row per component.
+    """
+    width = 1 + d + d * d
+
+    def sums(batches):
+        total, likelihood = np.zeros((k, width)), 0.0
+        for pdf in batches:
+            x = matrix(pdf["vec"])
+            for part in row_chunks(len(x), d * d):
+                r, ll = share(x[part])
+                y = x[part] - about
+                total[:, 0] += r.sum(axis=0)
+                total[:, 1 : d + 1] += r.T @ y
+                total[:, d + 1 :] += np.einsum("nk,ni,nj->kij", r, y, y, optimize=True).reshape(k, d * d)
+                likelihood += ll
+        yield pd.DataFrame({"c": np.arange(k, dtype=np.int32), "ll": likelihood / k, "total": list(total)})
+
+    merged = rows.select("vec").mapInPandas(sums, "c int, ll double, total array<double>").select("c", "ll", F.posexplode("total"))
+    cells = merged.groupBy("c", "pos").agg(F.sum("col").alias("s"), F.sum("ll").alias("ll")).collect()
+    out, likelihood = np.zeros((k, width)), 0.0
+    for r in cells:
+        out[r["c"], r["pos"]] = r["s"]
+        if r["pos"] == 0:
+            likelihood += r["ll"]
+    return out, likelihood
+
+
+def gaussian_mixture(
+    df: DataFrame, n_components: int, max_iter: int = 100, tol: float = 1e-3, reg_covar: float = 1e-6, seed: int = 0
+) -> tuple[DataFrame, float]:
+    """Most likely component (full covariances) and the mean log-likelihood.
+
+    Expectation maximisation started from k-means; it stops when the mean
+    log-likelihood gains less than ``tol``.
+    """
+    rows = keep(_rows(df))
+    d = len(rows.select("vec").first()["vec"])
+    model = KMeans(k=n_components, maxIter=100, seed=seed).fit(_vectors(rows))
+    centres = np.array(model.clusterCenters())
+    k, about = len(centres), centres.mean(axis=0)
+
+    def to_nearest(x):
+        near = ((x[:, None, :] - centres[None, :, :]) ** 2).sum(axis=2).argmin(axis=1)
+        return np.eye(k)[near], 0.0
+
+    def maximise(total):
+        n = total[:, 0] + 10 * np.finfo(float).eps
+        means = total[:, 1 : d + 1] / n[:, None]
+        cross = total[:, d + 1 :].reshape(k, d, d) / n[:, None, None]
+        covariances = cross - np.einsum("ki,kj->kij", means, means) + reg_covar * np.eye(d)
+        return Mixture(n / n.sum(), means + about, covariances)
+
+    def shares_under(mixture):
+        def shares(x):
+            logs = mixture.log_densities(x)
+            top = logs.max(axis=1, keepdims=True)
+            e = np.exp(logs - top)
+            total = e.sum(axis=1, keepdims=True)
+            return e / total, float((top + np.log(total)).sum())
+
+        return shares
+
+    mixture = maximise(_mixture_sums(rows, k, d, to_nearest, about)[0])
+    bound = -math.inf
+    for _ in range(max_iter):
+        total, likelihood = _mixture_sums(rows, k, d, shares_under(mixture), about)
+        now = likelihood / total[:, 0].sum()
+        mixture = maximise(total)
+        if abs(now - bound) < tol:
+            bound = now
+            break
+        bound = now
+
+    def label(batches):
+        for pdf in batches:
+            if len(pdf):
+                best = mixture.log_densities(matrix(pdf["vec"])).argmax(axis=1)
+                yield pd.DataFrame({"row_id": pdf["row_id"], "cluster": best.astype(np.int64)})
+
+    return rows.mapInPandas(label, "row_id bigint, cluster bigint"), bound
 
 
 def ward(centres: np.ndarray, weights: np.ndarray, n_clusters: int) -> np.ndarray:
@@ -194,24 +291,87 @@ def birch(
     return _label_by_centre(df, centres, ward(centres, weights, min(n_clusters, len(centres))))
 
 
-def spectral(df: DataFrame, n_clusters: int, n_neighbors: int = 10, max_iter: int = 20) -> DataFrame:
-    """Power-iteration clustering of the nearest-neighbour graph.
+def _inner_products(both: DataFrame, q: int) -> tuple[np.ndarray, np.ndarray]:
+    """Inner products of the old vectors among themselves and with the new ones; one row per task."""
 
-    The affinity of two neighbours falls with their squared distance relative to
-    the mean one.  The embedding is the power-iteration vector instead of several
-    eigenvectors.
+    def sums(batches):
+        total = np.zeros((2, q, q))
+        for pdf in batches:
+            x, y = matrix(pdf["x"]), matrix(pdf["y"])
+            if len(x):
+                total += np.stack([x.T @ x, x.T @ y])
+        yield pd.DataFrame({"total": [total.ravel()]})
+
+    parts = both.select("x", "y").mapInPandas(sums, "total array<double>").select(F.posexplode("total"))
+    values = np.zeros(2 * q * q)
+    for r in parts.groupBy("pos").agg(F.sum("col").alias("s")).collect():
+        values[r["pos"]] = r["s"]
+    gram, image = values.reshape(2, q, q)
+    return gram, image
+
+
+def _turned(both: DataFrame, basis: np.ndarray) -> DataFrame:
+    def turn(batches):
+        for pdf in batches:
+            if len(pdf):
+                yield pd.DataFrame({"id": pdf["id"], "x": list(matrix(pdf["y"]) @ basis)})
+
+    return both.select("id", "y").mapInPandas(turn, "id bigint, x array<double>")
+
+
+def _leading_vectors(edges: DataFrame, nodes: DataFrame, k: int, max_iter: int, tol: float, seed: int) -> DataFrame:
+    """(id, x): the k leading eigenvectors of the symmetric (src, dst, s) matrix.
+
+    Subspace iteration: a round is one join of the edges with the current
+    vectors and one aggregation; only inner products reach the driver.
     """
-    rows = _rows(df)
-    near = keep(knn(rows, rows, n_neighbors, exclude_self=True))
-    scale = near.agg(F.avg(F.col("distance") * F.col("distance"))).first()[0] or 1.0
-    edges = (
-        near.select(
-            F.least("row_id", "neighbor_id").alias("src"),
-            F.greatest("row_id", "neighbor_id").alias("dst"),
-            F.exp(-F.col("distance") * F.col("distance") / F.lit(scale)).alias("weight"),
+    q = k + 6
+    current = nodes.select("id", F.array(*[uniform(f"{seed}:{j}", "id") - F.lit(0.5) for j in range(q)]).alias("x"))
+    values = np.zeros(k)
+    for _ in range(max_iter):
+        moved = (
+            edges.join(current.select(F.col("id").alias("dst"), "x"), "dst")
+            .groupBy(F.col("src").alias("id"))
+            .agg(F.array(*[F.sum(F.col("s") * F.col("x")[j]) for j in range(q)]).alias("y"))
         )
-        .groupBy("src", "dst")
-        .agg(F.max("weight").alias("weight"))
+        both = cut_lineage(current.join(moved, "id"))
+        gram, image = _inner_products(both, q)
+        root = np.linalg.inv(np.linalg.cholesky(gram + 1e-14 * np.trace(gram) * np.eye(q)))
+        found, turn = np.linalg.eigh(root @ (image + image.T) @ root.T / 2.0)
+        order = np.argsort(-found)
+        current = _turned(both, root.T @ turn[:, order])
+        now = found[order][:k]
+        if np.abs(now - values).max() < tol:
+            break
+        values = now
+    return current.select("id", F.slice("x", 1, k).alias("x"))
+
+
+def spectral(
+    df: DataFrame, n_clusters: int, n_neighbors: int = 10, max_iter: int = 30, tol: float = 1e-3, seed: int = 0
+) -> DataFrame:
+    """Spectral clustering of the symmetrised nearest-neighbour graph.
+
+    k-means on the leading eigenvectors of the degree-normalised affinity, each
+    row divided by the root of its degree.  A row is its own first neighbour.
+    """
+    rows = keep(_rows(df))
+    near = knn(rows, rows, n_neighbors - 1, exclude_self=True)
+    half = F.lit(0.5)
+    weights = (
+        near.select(F.col("row_id").alias("src"), F.col("neighbor_id").alias("dst"), half.alias("w"))
+        .unionByName(near.select(F.col("neighbor_id").alias("src"), F.col("row_id").alias("dst"), half.alias("w")))
+        .unionByName(rows.select(F.col("row_id").alias("src"), F.col("row_id").alias("dst"), F.lit(1.0).alias("w")))
+    )
+    weights = cut_lineage(weights.groupBy("src", "dst").agg(F.sum("w").alias("w")))
+    degrees = cut_lineage(weights.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("d")))
+    edges = cut_lineage(
+        weights.join(degrees.select(F.col("id").alias("src"), F.col("d").alias("d_src")), "src")
+        .join(degrees.select(F.col("id").alias("dst"), F.col("d").alias("d_dst")), "dst")
+        .select("src", "dst", (F.col("w") / F.sqrt(F.col("d_src") * F.col("d_dst"))).alias("s"))
+    )
+    vectors = _leading_vectors(edges, degrees, n_clusters, max_iter, tol, seed)
+    embedded = vectors.join(degrees, "id").select(
+        F.col("id").alias("row_id"), F.transform("x", lambda v: v / F.sqrt("d")).alias("vec")
     )
-    found = PowerIterationClustering(k=n_clusters, maxIter=max_iter, initMode="degree", weightCol="weight").assignClusters(edges)
-    return _by_first_row(found.select(F.col("id").alias("row_id"), F.col("cluster").cast("bigint").alias("cluster")))
+    return _by_first_row(kmeans(keep(embedded), n_clusters, seed=seed)[0])

@@ -227,5 +227,5 @@ def stratified_folds(df: DataFrame, label: str, row_id: str, k: int = 5) -> Data
     return (
         df.join(F.broadcast(df.sparkSession.createDataFrame(cuts, schema)), label)
         .withColumn("fold", fold)
-        .drop(*[f"cut{i}_" for i in range(1, k)])
+        .select(*df.columns, "fold")
     )
