@@ -6,6 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+HASH_KEYS = 1 << 60
+
+
 def digest(seed: str | int, *keys: str | Column) -> Column:
     parts = [k if isinstance(k, Column) else F.col(k) for k in keys]
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[p.cast("string") for p in parts]))

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.functions.hashing import HASH_KEYS
 from millrace.functions.vectors import present
 from millrace.session import cut_lineage
 
@@ -52,6 +53,12 @@ def group_bounds(df: DataFrame, group: str, value: str) -> dict[object, Bounds]:
     return {r[group]: Bounds(r["n"], r["lo"], r["hi"]) for r in rows}
 
 
+def hash_bounds(df: DataFrame, group: str) -> dict[object, Bounds]:
+    """Bounds of a row hash per group: only the rows are counted."""
+    rows = df.where(F.col(group).isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias("n")).collect()
+    return {r[group]: Bounds(r["n"], 0, HASH_KEYS - 1) for r in rows}
+
+
 def _offset(value: Column, lo: Column, integral: bool) -> Column:
     # Decimal differences of BIGINT keys neither overflow nor lose low bits.
     if integral:
@@ -72,6 +79,7 @@ def order_statistics(
     group_type = df.schema[group].dataType
     value_type = df.schema[value].dataType
     integral = isinstance(value_type, T.IntegralType)
+    # a bracket spans [lo, hi] and holds n rows after ``below`` smaller ones
     pending = {
         (g, r): (bounds[g].lo, bounds[g].hi, 0, bounds[g].n) for g, rs in ranks.items() for r in set(rs)
     }
@@ -105,7 +113,7 @@ def order_statistics(
                 wide.setdefault((g, lo, hi), len(wide))
         if not wide:
             break
-        buckets = max(4, min(1024, HISTOGRAM_ROWS // len(wide)))
+        buckets = max(4, min(16_384, HISTOGRAM_ROWS // len(wide)))
         width = _offset(F.col("hi_"), F.col("lo_"), integral) / F.lit(float(buckets))
         bucket = F.least(
             F.lit(buckets - 1), F.floor(_offset(F.col("v_"), F.col("lo_"), integral) / width).cast("int")
@@ -181,13 +189,20 @@ def exact_quantiles(
 
 
 def smallest_per_group(
-    df: DataFrame, group: str, key: str, row_id: str, quota: Mapping[object, int], leaf_rows: int = LEAF_ROWS
+    df: DataFrame,
+    group: str,
+    key: str,
+    row_id: str,
+    quota: Mapping[object, int],
+    leaf_rows: int = LEAF_ROWS,
+    hashed: bool = False,
 ) -> DataFrame:
     """The ``quota[g]`` rows of each group with the smallest (key, row_id).
 
-    Groups missing from ``quota`` are kept whole.
+    Groups missing from ``quota`` are kept whole.  ``hashed`` tells that the key
+    is a row hash, whose range is known without reading it.
     """
-    bounds = group_bounds(df, group, key)
+    bounds = hash_bounds(df, group) if hashed else group_bounds(df, group, key)
     ranks = {g: [q - 1] for g, q in quota.items() if g in bounds and 0 < q < bounds[g].n}
     found = order_statistics(df, group, key, bounds, ranks, leaf_rows)
     schema = T.StructType(

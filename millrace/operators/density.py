@@ -13,37 +13,33 @@ from millrace.operators.neighbors import block_join, knn, matrix, row_chunks, wi
 from millrace.session import cut_lineage
 
 
-def _block_forest(a: np.ndarray, b: np.ndarray, a_id: np.ndarray, b_id: np.ndarray, eps: float):
+def _block_forest(near: np.ndarray, a_id: np.ndarray, b_id: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links each row of two blocks to the smallest id it is connected with in them.
 
     A breadth-first walk over the two blocks: every row is expanded once, and
     only as many links as rows leave the task.
     """
-    a_open, b_open = np.ones(len(a), bool), np.ones(len(b), bool)
-    links = []
-    for start in range(len(a)):
+    a_open, b_open = near.any(axis=1), near.any(axis=0)
+    across = near.T.copy()
+    ids_out, roots = [], []
+    for start in np.nonzero(a_open)[0]:
         if not a_open[start]:
             continue
-        a_part, b_part = [np.array([start])], []
         a_open[start] = False
-        frontier, from_a = np.array([start]), True
+        frontier, on_a, seen = np.array([start]), True, [a_id[[start]]]
         while len(frontier):
-            source, target, free = (a[frontier], b, b_open) if from_a else (b[frontier], a, a_open)
-            candidates = np.nonzero(free)[0]
-            reached = np.zeros(len(candidates), bool)
-            for part in row_chunks(len(source), max(1, len(candidates))):
-                if len(candidates):
-                    reached |= within_mask(source[part], target[candidates], eps).any(axis=0)
-            frontier = candidates[reached]
+            reached = (near if on_a else across)[frontier].any(axis=0)
+            on_a = not on_a
+            free, ids = (a_open, a_id) if on_a else (b_open, b_id)
+            frontier = np.nonzero(reached & free)[0]
             free[frontier] = False
-            from_a = not from_a
-            (a_part if from_a else b_part).append(frontier)
-        ids = np.concatenate([a_id[np.concatenate(a_part)], *[b_id[p] for p in b_part]])
-        if len(ids) > 1:
-            links.append((ids, np.full(len(ids), ids.min())))
-    if not links:
+            seen.append(ids[frontier])
+        ids = np.concatenate(seen)
+        ids_out.append(ids)
+        roots.append(np.full(len(ids), ids.min()))
+    if not ids_out:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate([l[0] for l in links]), np.concatenate([l[1] for l in links])
+    return np.concatenate(ids_out), np.concatenate(roots)
 
 
 def dbscan(df: DataFrame, eps: float, min_samples: int = 5) -> DataFrame:
@@ -77,9 +73,9 @@ def dbscan(df: DataFrame, eps: float, min_samples: int = 5) -> DataFrame:
     def link(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(p):
             return pd.DataFrame()
-        u, v = _block_forest(
-            matrix(q["vec"]), matrix(p["vec"]), q["row_id"].to_numpy(), p["row_id"].to_numpy(), eps
-        )
+        a, b = matrix(q["vec"]), matrix(p["vec"])
+        near = np.vstack([within_mask(a[part], b, eps) for part in row_chunks(len(a), len(b))])
+        u, v = _block_forest(near, q["row_id"].to_numpy(), p["row_id"].to_numpy())
         return pd.DataFrame({"u": u, "v": v})
 
     edges, _ = block_join(core, core, reach, link, "u bigint, v bigint")

@@ -24,12 +24,12 @@ from pyspark.sql import types as T
 from millrace.functions.hashing import hash_key
 from millrace.session import keep
 
-CELL_ROWS = 50_000
-MAX_PIVOTS = 2_048
+CELL_ROWS = 2_000
+MAX_PIVOTS = 16_384
 QUERY_BLOCK = 4_096
 POINT_BLOCK = 16_384
 CHUNK_CELLS = 4_000_000
-SLICE_ROWS = 2_000
+SLICE_CELLS = 4
 OUTPUT_ROWS = 20_000
 
 
@@ -93,11 +93,8 @@ class Layout:
 
 def _gaps(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     """Distances to the pivots, never above the true ones."""
-    out = np.empty((len(vectors), len(pivots)))
-    for part in row_chunks(len(vectors), len(pivots)):
-        d2, slack = approx_sq(vectors[part], pivots)
-        out[part] = np.sqrt(np.maximum(d2 - slack, 0.0))
-    return out
+    d2, slack = approx_sq(vectors, pivots)
+    return np.sqrt(np.maximum(d2 - slack, 0.0))
 
 
 def _choose_pivots(points: DataFrame, n_points: int) -> np.ndarray:
@@ -118,7 +115,8 @@ def _place(df: DataFrame, pivots: np.ndarray) -> DataFrame:
         for pdf in batches:
             if len(pdf):
                 vectors = matrix(pdf["vec"])
-                cell = _gaps(vectors, pivots).argmin(axis=1)
+                near = [_gaps(vectors[part], pivots).argmin(axis=1) for part in row_chunks(len(vectors), len(pivots))]
+                cell = np.concatenate(near)
                 yield pdf.assign(cell=cell.astype(np.int32), gap=np.sqrt(exact_sq(vectors, pivots[cell])))
 
     return df.mapInPandas(place, schema)
@@ -131,13 +129,10 @@ def _cell_stats(placed: DataFrame) -> dict[str, dict[int, tuple[int, float]]]:
     return out
 
 
-def _layout(pivots: np.ndarray, q_stats, p_stats, bound: Callable, query_block: int, point_block: int) -> Layout:
+def _layout(pivots: np.ndarray, q_stats, p_stats, bound: Callable, query_block: int, point_block: int) -> tuple[Layout, int]:
+    """The layout and an upper bound of the reference rows it sends around."""
     count = len(pivots)
-    if pivots.shape[1]:
-        between = np.vstack([np.sqrt(exact_sq(np.broadcast_to(p, pivots.shape), pivots)) for p in pivots])
-    else:
-        between = np.zeros((1, 1))
-    reach, q_blocks, p_blocks, first, task = {}, {}, {}, {}, 0
+    reach, q_blocks, p_blocks, first, task, sent = {}, {}, {}, {}, 0, 0
     for grp, cells in sorted(q_stats.items()):
         points = p_stats.get(grp, {})
         n = np.array([points.get(j, (0, 0.0))[0] for j in range(count)], dtype=np.int64)
@@ -145,17 +140,22 @@ def _layout(pivots: np.ndarray, q_stats, p_stats, bound: Callable, query_block:
         grp_reach = np.full(count, -1.0)
         grp_q, grp_p = np.zeros(count, dtype=np.int64), np.ones(count, dtype=np.int64)
         for i, (n_q, q_radius) in cells.items():
-            t = bound(q_radius, between[i], n, radius)
+            if pivots.shape[1]:
+                between = np.sqrt(exact_sq(np.broadcast_to(pivots[i], pivots.shape), pivots))
+            else:
+                between = np.zeros(1)
+            t = bound(q_radius, between, n, radius)
             # rounding of the distances must not lose a row on the rim
             grp_reach[i] = (q_radius + t) * (1.0 + 1e-9) + 1e-12
             grp_q[i] = math.ceil(n_q / query_block)
-            near = n[between[i] - radius <= grp_reach[i]].sum()
+            near = int(n[between - radius <= grp_reach[i]].sum())
             grp_p[i] = max(1, math.ceil(near / point_block))
+            sent += near * int(grp_q[i])
         reach[grp], q_blocks[grp], p_blocks[grp] = grp_reach, grp_q, grp_p
         ends = task + np.cumsum(grp_q * grp_p)
         first[grp] = ends - grp_q * grp_p
         task = int(ends[-1])
-    return Layout(pivots, reach, q_blocks, p_blocks, first)
+    return Layout(pivots, reach, q_blocks, p_blocks, first), sent
 
 
 def _copies(pdf: pd.DataFrame, at: np.ndarray, tasks: np.ndarray) -> Iterator[pd.DataFrame]:
@@ -189,8 +189,8 @@ def _spread_points(points: DataFrame, layout: Layout) -> DataFrame:
 
     def spread(batches):
         for whole in batches:
-            for start in range(0, len(whole), SLICE_ROWS):
-                pdf = whole.iloc[start : start + SLICE_ROWS]
+            for rows_ in row_chunks(len(whole), SLICE_CELLS * len(layout.pivots)):
+                pdf = whole.iloc[rows_]
                 for g, rows in layout.parts(pdf):
                     if layout.pivots.shape[1]:
                         gaps = _gaps(matrix(pdf["vec"].iloc[rows]), layout.pivots)
@@ -239,11 +239,19 @@ def block_join(
     """
     # read several times (count, statistics, spreading); recomputed if lost
     points = keep(_standard(points, group, point_extra or []))
-    whole = _cell_stats(_place(points, np.zeros((1, 0))))
-    pivots = _choose_pivots(points, sum(n for cells in whole.values() for n, _ in cells.values()))
-    placed = keep(_place(_standard(queries, group, query_extra or []), pivots))
-    p_stats = _cell_stats(_place(points, pivots)) if pivots.shape[1] else whole
-    layout = _layout(pivots, _cell_stats(placed), p_stats, bound, query_block, point_block)
+    queries = keep(_standard(queries, group, query_extra or []))
+    none = np.zeros((1, 0))
+    p_whole, q_whole = _cell_stats(_place(points, none)), _cell_stats(_place(queries, none))
+    placed = _place(queries, none)
+    layout, sent = _layout(none, q_whole, p_whole, bound, query_block, point_block)
+    pivots = _choose_pivots(points, sum(n for cells in p_whole.values() for n, _ in cells.values()))
+    if pivots.shape[1]:
+        in_cells = keep(_place(queries, pivots))
+        stats = _cell_stats(in_cells), _cell_stats(_place(points, pivots))
+        pruned, sent_pruned = _layout(pivots, *stats, bound, query_block, point_block)
+        # in many dimensions the cells overlap too much to be of use
+        if sent_pruned < sent:
+            layout, placed = pruned, in_cells
     split = any((b > 1).any() for b in layout.point_blocks.values())
     left = _spread_queries(placed, layout)
     right = _spread_points(points, layout)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions.hashing import hash_key, uniform
-from millrace.functions.ordering import group_bounds, order_statistics, smallest_per_group
+from millrace.functions.ordering import group_bounds, hash_bounds, order_statistics, smallest_per_group
 from millrace.functions.vectors import as_array
 from millrace.operators.neighbors import knn
 
@@ -51,7 +51,7 @@ def random_undersample(
     else:
         quota = dict(caps)
     keyed = df.withColumn("key_", hash_key(seed, row_id))
-    return smallest_per_group(keyed, label, "key_", row_id, quota).drop("key_")
+    return smallest_per_group(keyed, label, "key_", row_id, quota, hashed=True).drop("key_")
 
 
 def smote(
@@ -88,7 +88,9 @@ def smote(
     )
     # one row per growing class
     members = base.join(F.broadcast(shares), label).withColumn("key_", hash_key(f"{seed}:extra", row_id))
-    lucky = smallest_per_group(members, label, "key_", row_id, {c: m % counts[c] for c, m in need.items()})
+    lucky = smallest_per_group(
+        members, label, "key_", row_id, {c: m % counts[c] for c, m in need.items()}, hashed=True
+    )
     most = max(m // counts[c] + 1 for c, m in need.items())
     copies = members.join(
         lucky.select(F.col(row_id).alias("lucky_")), F.col(row_id) == F.col("lucky_"), "left"
@@ -170,7 +172,7 @@ def train_test_split(df: DataFrame, row_id: str, test_size: float = 0.3, seed: i
     ``limit`` keeps only that many training rows.
     """
     keyed = df.withColumns({"g_": F.lit(0), "key_": hash_key(seed, row_id)})
-    bounds = group_bounds(keyed, "g_", "key_")
+    bounds = hash_bounds(keyed, "g_")
     if not bounds:
         return df.withColumn("is_test", F.lit(False))
     n = bounds[0].n

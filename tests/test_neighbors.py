@@ -41,7 +41,7 @@ def same(got, want):
 def cells(monkeypatch):
     """Many small cells and blocks, as on a large table."""
     monkeypatch.setattr(neighbors, "CELL_ROWS", 25)
-    monkeypatch.setattr(neighbors, "SLICE_ROWS", 17)
+    monkeypatch.setattr(neighbors, "CHUNK_CELLS", 500)
     monkeypatch.setattr(neighbors, "OUTPUT_ROWS", 13)
     return {"query_block": 8, "point_block": 11}
 
