@@ -55,9 +55,6 @@ def dbscan(df: DataFrame, eps: float, min_samples: int = 5) -> DataFrame:
         )
     )
 
-    def reach(*_):
-        return eps
-
     def neighbours(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(p):
             return pd.DataFrame()
@@ -65,7 +62,7 @@ def dbscan(df: DataFrame, eps: float, min_samples: int = 5) -> DataFrame:
         near = [within_mask(a[part], b, eps) @ weight for part in row_chunks(len(a), len(b))]
         return pd.DataFrame({"row_id": q["row_id"].to_numpy(), "near": np.concatenate(near).astype(np.int64)})
 
-    counted, _ = block_join(points, points, reach, neighbours, "row_id bigint, near bigint", point_extra=["n_"])
+    counted, _ = block_join(points, points, neighbours, "row_id bigint, near bigint", eps, point_extra=["n_"])
     cores = counted.groupBy("row_id").agg((F.sum("near") >= min_samples).alias("is_core"))
     points = cut_lineage(points.join(cores, "row_id"))
     core, rest = points.where("is_core"), points.where("NOT is_core")
@@ -78,7 +75,7 @@ def dbscan(df: DataFrame, eps: float, min_samples: int = 5) -> DataFrame:
         u, v = _block_forest(near, q["row_id"].to_numpy(), p["row_id"].to_numpy())
         return pd.DataFrame({"u": u, "v": v})
 
-    edges, _ = block_join(core, core, reach, link, "u bigint, v bigint")
+    edges, _ = block_join(core, core, link, "u bigint, v bigint", eps)
     joined = components(edges).withColumnRenamed("node", "row_id")
     grouped = cut_lineage(
         core.join(joined, "row_id", "left").withColumn("component", F.coalesce("component", "row_id"))
@@ -98,7 +95,7 @@ def dbscan(df: DataFrame, eps: float, min_samples: int = 5) -> DataFrame:
             first.append(ranked[mask.argmax(axis=1)[hit]])
         return pd.DataFrame({"row_id": np.concatenate(ids), "component": np.concatenate(first)})
 
-    touched, _ = block_join(rest, grouped, reach, touch, "row_id bigint, component bigint", point_extra=["component"])
+    touched, _ = block_join(rest, grouped, touch, "row_id bigint, component bigint", eps, point_extra=["component"])
     border = touched.groupBy("row_id").agg(F.min("component").alias("component"))
     # first row of each component, counted through in order: the cluster numbers
     firsts = grouped.select(F.lit(0).alias("g"), "component").distinct().withColumn("one", F.lit(1))
@@ -132,7 +129,7 @@ def _shift(seeds: DataFrame, points: DataFrame, bandwidth: float, dims: int) ->
         return pd.DataFrame(rows, columns=["row_id", "near", "total"])
 
     found, split = block_join(
-        seeds, points, lambda *_: bandwidth, sums, "row_id bigint, near double, total array<double>", point_extra=["n_"]
+        seeds, points, sums, "row_id bigint, near double, total array<double>", bandwidth, point_extra=["n_"]
     )
     if split:
         found = found.groupBy("row_id").agg(
@@ -163,7 +160,7 @@ def _separate(modes: DataFrame, bandwidth: float) -> DataFrame:
         return pd.concat(parts)
 
     def lowest(queries: DataFrame, points: DataFrame) -> DataFrame:
-        found, _ = block_join(queries, points, lambda *_: bandwidth, strongest, "row_id bigint, top bigint")
+        found, _ = block_join(queries, points, strongest, "row_id bigint, top bigint", bandwidth)
         return found.groupBy("row_id").agg(F.min("top").alias("top"))
 
     kept, open_ = None, modes

@@ -1,12 +1,13 @@
 """Exact neighbour joins by pivot cells.
 
-Rows are placed into the cell of their nearest pivot.  A reference row travels
-only to the query cells it can matter to, by the triangle inequality: with
-``U`` the radius of a query cell and ``t`` a bound on the wanted distance, a
-reference row farther than ``U + t`` from the pivot cannot be closer than ``t``
-to any query row of the cell.  Cells are cut into blocks of bounded size, one
-task works on one query block and one reference block, and it hands back only
-its reduced result (top k, counts, sums), never the pairs.
+Reference rows are placed into the cell of a near pivot and stay there.  A query
+row with a search radius ``theta`` visits only the cells that can hold a row
+within it: by the triangle inequality those whose pivot is at most ``theta`` plus
+the cell radius away.  For nearest neighbours ``theta`` is first bounded by the
+k-th distance inside one block of the query's own cell.  Cells are cut into
+blocks of bounded size, one task works on one query block and one reference
+block, and it hands back only its reduced result (top k, counts, sums), never
+the pairs.
 """
 
 from __future__ import annotations
@@ -69,32 +70,80 @@ def row_chunks(n_rows: int, n_cols: int) -> Iterator[slice]:
         yield slice(start, min(n_rows, start + step))
 
 
+@dataclass(frozen=True)
+class Cells:
+    """Pivots, and per group the rows and the radius of each reference cell."""
+
+    pivots: np.ndarray
+    counts: dict[str, np.ndarray]
+    radius: dict[str, np.ndarray]
+
+    @property
+    def whole(self) -> bool:
+        return self.pivots.shape[1] == 0
+
+    def gaps(self, vectors: np.ndarray) -> tuple[np.ndarray, float]:
+        """Squared distances to the pivots and their error."""
+        return approx_sq(vectors, self.pivots)
+
+    def visits(self, grp: str, vectors: np.ndarray, theta: np.ndarray, k: int) -> np.ndarray:
+        """Which cells can hold a row within ``theta`` (for an unknown one: one of the k nearest)."""
+        counts, radius = self.counts[grp], self.radius[grp]
+        if self.whole:
+            return np.ones((len(vectors), 1), dtype=bool)
+        d2, slack = self.gaps(vectors)
+        unknown = np.nonzero(np.isinf(theta))[0]
+        if len(unknown) and k:
+            theta = theta.copy()
+            far = np.where(counts > 0, np.sqrt(d2[unknown] + slack) + radius, np.inf)
+            order = np.argsort(far, axis=1)
+            enough = np.cumsum(counts[order], axis=1) >= k
+            first = np.take_along_axis(order, enough.argmax(axis=1)[:, None], axis=1)
+            theta[unknown] = np.where(enough.any(axis=1), np.take_along_axis(far, first, axis=1)[:, 0], np.inf)
+        # rounding of the distances must not lose a row on the rim
+        limit = (theta[:, None] + radius) * (1.0 + 1e-9) + 1e-12
+        return (np.sqrt(np.maximum(d2 - slack, 0.0)) <= limit) & (counts > 0)
+
+    def home(self, grp: str, vectors: np.ndarray) -> np.ndarray:
+        """The nearest cell that is not empty."""
+        return np.where(self.counts[grp] > 0, self.gaps(vectors)[0], np.inf).argmin(axis=1)
+
+
 @dataclass(frozen=True)
 class Layout:
-    """Pivots and, per group, the reach and block counts of each query cell.
+    """How the cells of each group are cut into blocks.
 
     The tasks of a cell are numbered from ``first`` on, one per query block and
     reference block.
     """
 
-    pivots: np.ndarray
-    reach: dict[str, np.ndarray]
     query_blocks: dict[str, np.ndarray]
     point_blocks: dict[str, np.ndarray]
     first: dict[str, np.ndarray]
 
-    def parts(self, pdf: pd.DataFrame) -> Iterator[tuple[str, np.ndarray]]:
-        """(group, positions) of the rows whose group has queries."""
-        grp = pdf["grp"].to_numpy()
-        for g in pd.unique(grp):
-            if g in self.reach:
-                yield g, np.nonzero(grp == g)[0]
 
+def _layout(visitors: dict[str, np.ndarray], cells: Cells, query_block: int, point_block: int) -> Layout:
+    q_blocks, p_blocks, first, task = {}, {}, {}, 0
+    for grp, visiting in sorted(visitors.items()):
+        q_blocks[grp] = -(-visiting // query_block)
+        p_blocks[grp] = np.maximum(1, -(-cells.counts[grp] // point_block))
+        ends = task + np.cumsum(q_blocks[grp] * p_blocks[grp])
+        first[grp] = ends - q_blocks[grp] * p_blocks[grp]
+        task = int(ends[-1])
+    return Layout(q_blocks, p_blocks, first)
+
+
+def _by_group(pdf: pd.DataFrame, known: dict) -> Iterator[tuple[str, np.ndarray]]:
+    """(group, positions) of the rows whose group is known."""
+    grp = pdf["grp"].to_numpy()
+    for g in pd.unique(grp):
+        if g in known:
+            yield g, np.nonzero(grp == g)[0]
 
-def _gaps(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    """Distances to the pivots, never above the true ones."""
-    d2, slack = approx_sq(vectors, pivots)
-    return np.sqrt(np.maximum(d2 - slack, 0.0))
+
+def _slices(pdf: pd.DataFrame, cells: Cells) -> Iterator[pd.DataFrame]:
+    for part in row_chunks(len(pdf), SLICE_CELLS * len(cells.pivots)):
+        yield pdf.iloc[part]
 
 
 def _choose_pivots(points: DataFrame, n_points: int) -> np.ndarray:
@@ -115,47 +164,42 @@ def _place(df: DataFrame, pivots: np.ndarray) -> DataFrame:
         for pdf in batches:
             if len(pdf):
                 vectors = matrix(pdf["vec"])
-                near = [_gaps(vectors[part], pivots).argmin(axis=1) for part in row_chunks(len(vectors), len(pivots))]
+                near = [approx_sq(vectors[part], pivots)[0].argmin(axis=1) for part in row_chunks(len(vectors), len(pivots))]
                 cell = np.concatenate(near)
                 yield pdf.assign(cell=cell.astype(np.int32), gap=np.sqrt(exact_sq(vectors, pivots[cell])))
 
     return df.mapInPandas(place, schema)
 
 
-def _cell_stats(placed: DataFrame) -> dict[str, dict[int, tuple[int, float]]]:
-    out: dict[str, dict[int, tuple[int, float]]] = {}
+def _cells(placed: DataFrame, pivots: np.ndarray) -> Cells:
+    counts: dict[str, np.ndarray] = {}
+    radius: dict[str, np.ndarray] = {}
     for r in placed.groupBy("grp", "cell").agg(F.count(F.lit(1)).alias("n"), F.max("gap").alias("radius")).collect():
-        out.setdefault(r["grp"], {})[r["cell"]] = (r["n"], r["radius"])
-    return out
+        g = r["grp"]
+        counts.setdefault(g, np.zeros(len(pivots), dtype=np.int64))[r["cell"]] = r["n"]
+        radius.setdefault(g, np.zeros(len(pivots)))[r["cell"]] = r["radius"]
+    return Cells(pivots, counts, radius)
 
 
-def _layout(pivots: np.ndarray, q_stats, p_stats, bound: Callable, query_block: int, point_block: int) -> tuple[Layout, int]:
-    """The layout and an upper bound of the reference rows it sends around."""
-    count = len(pivots)
-    reach, q_blocks, p_blocks, first, task, sent = {}, {}, {}, {}, 0, 0
-    for grp, cells in sorted(q_stats.items()):
-        points = p_stats.get(grp, {})
-        n = np.array([points.get(j, (0, 0.0))[0] for j in range(count)], dtype=np.int64)
-        radius = np.array([points.get(j, (0, 0.0))[1] for j in range(count)])
-        grp_reach = np.full(count, -1.0)
-        grp_q, grp_p = np.zeros(count, dtype=np.int64), np.ones(count, dtype=np.int64)
-        for i, (n_q, q_radius) in cells.items():
-            if pivots.shape[1]:
-                between = np.sqrt(exact_sq(np.broadcast_to(pivots[i], pivots.shape), pivots))
-            else:
-                between = np.zeros(1)
-            t = bound(q_radius, between, n, radius)
-            # rounding of the distances must not lose a row on the rim
-            grp_reach[i] = (q_radius + t) * (1.0 + 1e-9) + 1e-12
-            grp_q[i] = math.ceil(n_q / query_block)
-            near = int(n[between - radius <= grp_reach[i]].sum())
-            grp_p[i] = max(1, math.ceil(near / point_block))
-            sent += near * int(grp_q[i])
-        reach[grp], q_blocks[grp], p_blocks[grp] = grp_reach, grp_q, grp_p
-        ends = task + np.cumsum(grp_q * grp_p)
-        first[grp] = ends - grp_q * grp_p
-        task = int(ends[-1])
-    return Layout(pivots, reach, q_blocks, p_blocks, first), sent
+def _count_visitors(queries: DataFrame, cells: Cells, k: int) -> dict[str, np.ndarray]:
+    """Queries per cell; a task sends one row per cell it meets."""
+
+    def count(batches):
+        total: dict[str, np.ndarray] = {}
+        for whole in batches:
+            for pdf in _slices(whole, cells):
+                for g, rows in _by_group(pdf, cells.counts):
+                    seen = cells.visits(g, matrix(pdf["vec"].iloc[rows]), pdf["theta"].to_numpy()[rows], k).sum(axis=0)
+                    total[g] = total.get(g, 0) + seen
+        for g, seen in total.items():
+            hit = np.nonzero(seen)[0]
+            yield pd.DataFrame({"grp": g, "cell": hit.astype(np.int32), "n": seen[hit].astype(np.int64)})
+
+    found = queries.select("grp", "vec", "theta").mapInPandas(count, "grp string, cell int, n bigint")
+    out: dict[str, np.ndarray] = {}
+    for r in found.groupBy("grp", "cell").agg(F.sum("n").alias("n")).collect():
+        out.setdefault(r["grp"], np.zeros(len(cells.pivots), dtype=np.int64))[r["cell"]] = r["n"]
+    return out
 
 
 def _copies(pdf: pd.DataFrame, at: np.ndarray, tasks: np.ndarray) -> Iterator[pd.DataFrame]:
@@ -165,46 +209,60 @@ def _copies(pdf: pd.DataFrame, at: np.ndarray, tasks: np.ndarray) -> Iterator[pd
         yield pdf.iloc[at[part]].assign(task=tasks[part])
 
 
-def _spread_queries(placed: DataFrame, layout: Layout) -> DataFrame:
-    """One copy of a query row per reference block of its cell."""
-    fields = [f for f in placed.schema.fields if f.name not in ("cell", "gap")]
-    names = [f.name for f in fields]
+def _with_task(df: DataFrame) -> T.StructType:
+    return T.StructType([f for f in df.schema.fields if f.name not in ("cell", "gap")] + [T.StructField("task", T.LongType())])
 
-    def spread(batches):
-        for pdf in batches:
-            for g, rows in layout.parts(pdf):
-                cell = pdf["cell"].to_numpy()[rows]
-                blocks = layout.point_blocks[g][cell]
-                a = pdf["salt"].to_numpy()[rows] % layout.query_blocks[g][cell]
-                at = np.repeat(np.arange(len(rows)), blocks)
-                b = np.arange(len(at)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-                tasks = layout.first[g][cell[at]] + a[at] * blocks[at] + b
-                yield from _copies(pdf[names], rows[at], tasks)
 
-    return placed.mapInPandas(spread, T.StructType(fields + [T.StructField("task", T.LongType())]))
+def _each(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions repeated by their counts, and the running number within each."""
+    at = np.repeat(np.arange(len(counts)), counts)
+    return at, np.arange(len(at)) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
-def _spread_points(points: DataFrame, layout: Layout) -> DataFrame:
-    """One copy of a reference row per query block it may matter to."""
+def _spread_queries(queries: DataFrame, cells: Cells, layout: Layout, k: int, home_only: bool = False) -> DataFrame:
+    """A copy of a query row per reference block of every cell it visits.
+
+    ``home_only`` sends it to a single block of its own cell.
+    """
 
     def spread(batches):
         for whole in batches:
-            for rows_ in row_chunks(len(whole), SLICE_CELLS * len(layout.pivots)):
-                pdf = whole.iloc[rows_]
-                for g, rows in layout.parts(pdf):
-                    if layout.pivots.shape[1]:
-                        gaps = _gaps(matrix(pdf["vec"].iloc[rows]), layout.pivots)
+            for pdf in _slices(whole, cells):
+                salt = pdf["salt"].to_numpy()
+                for g, rows in _by_group(pdf, layout.first):
+                    vectors = matrix(pdf["vec"].iloc[rows])
+                    if home_only:
+                        hit, cell = np.arange(len(rows)), cells.home(g, vectors)
+                    else:
+                        hit, cell = np.nonzero(cells.visits(g, vectors, pdf["theta"].to_numpy()[rows], k))
+                    # a cell without blocks was out of reach when the visitors were counted
+                    open_ = layout.query_blocks[g][cell] > 0
+                    hit, cell = hit[open_], cell[open_]
+                    parts = layout.point_blocks[g][cell]
+                    a = salt[rows[hit]] % layout.query_blocks[g][cell]
+                    if home_only:
+                        at, b = np.arange(len(hit)), (salt[rows[hit]] >> 20) % parts
                     else:
-                        gaps = np.zeros((len(rows), 1))
-                    hit, cell = np.nonzero(gaps <= layout.reach[g])
-                    blocks, parts = layout.query_blocks[g][cell], layout.point_blocks[g][cell]
-                    b = pdf["salt"].to_numpy()[rows[hit]] % parts
-                    at = np.repeat(np.arange(len(hit)), blocks)
-                    a = np.arange(len(at)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-                    tasks = layout.first[g][cell[at]] + a * parts[at] + b[at]
-                    yield from _copies(pdf, rows[hit[at]], tasks)
+                        at, b = _each(parts)
+                    yield from _copies(pdf, rows[hit[at]], layout.first[g][cell[at]] + a[at] * parts[at] + b)
+
+    return queries.mapInPandas(spread, _with_task(queries))
+
+
+def _spread_points(placed: DataFrame, layout: Layout) -> DataFrame:
+    """A copy of a reference row per query block of its cell."""
+    names = [f.name for f in placed.schema.fields if f.name not in ("cell", "gap")]
+
+    def spread(batches):
+        for pdf in batches:
+            for g, rows in _by_group(pdf, layout.first):
+                cell = pdf["cell"].to_numpy()[rows]
+                parts = layout.point_blocks[g][cell]
+                b = pdf["salt"].to_numpy()[rows] % parts
+                at, a = _each(layout.query_blocks[g][cell])
+                yield from _copies(pdf[names], rows[at], layout.first[g][cell[at]] + a * parts[at] + b[at])
 
-    return points.mapInPandas(spread, T.StructType(points.schema.fields + [T.StructField("task", T.LongType())]))
+    return placed.mapInPandas(spread, _with_task(placed))
 
 
 def _standard(df: DataFrame, group: str | None, extra: list[str]) -> DataFrame:
@@ -218,12 +276,17 @@ def _standard(df: DataFrame, group: str | None, extra: list[str]) -> DataFrame:
     )
 
 
+def _work(visitors: dict[str, np.ndarray], cells: Cells) -> int:
+    return sum(int((v * cells.counts[g]).sum()) for g, v in visitors.items())
+
+
 def block_join(
     queries: DataFrame,
     points: DataFrame,
-    bound: Callable,
     kernel: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame],
     schema: str,
+    reach: float = math.inf,
+    k: int = 0,
     group: str | None = None,
     query_extra: list[str] | None = None,
     point_extra: list[str] | None = None,
@@ -232,29 +295,34 @@ def block_join(
 ) -> tuple[DataFrame, bool]:
     """Runs the kernel on every pair of blocks that can matter.
 
-    ``queries`` and ``points`` carry ``row_id`` and ``vec``.  ``bound(radius,
-    pivot_gaps, counts, radii)`` gives the distance beyond which reference rows
-    are of no use to a query cell.  Also tells whether a query row can occur in
-    more than one task, in which case the caller merges.
+    ``queries`` and ``points`` carry ``row_id`` and ``vec``.  Reference rows
+    farther than ``reach``, or beyond the ``k`` nearest ones, are of no use to a
+    query.  Also tells whether a query row can occur in more than one task, in
+    which case the caller merges.
     """
-    # read several times (count, statistics, spreading); recomputed if lost
+    # read several times (counts, bounds, spreading); recomputed if lost
     points = keep(_standard(points, group, point_extra or []))
-    queries = keep(_standard(queries, group, query_extra or []))
+    queries = keep(_standard(queries, group, query_extra or [])).withColumn("theta", F.lit(float(reach)))
     none = np.zeros((1, 0))
-    p_whole, q_whole = _cell_stats(_place(points, none)), _cell_stats(_place(queries, none))
-    placed = _place(queries, none)
-    layout, sent = _layout(none, q_whole, p_whole, bound, query_block, point_block)
-    pivots = _choose_pivots(points, sum(n for cells in p_whole.values() for n, _ in cells.values()))
+    placed = _place(points, none)
+    cells = _cells(placed, none)
+    asked = {r["grp"]: np.array([r["n"]]) for r in queries.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).collect()}
+    visitors = {g: n for g, n in asked.items() if g in cells.counts}
+    pivots = none if math.isinf(reach) and not k else _choose_pivots(points, sum(int(n.sum()) for n in cells.counts.values()))
     if pivots.shape[1]:
-        in_cells = keep(_place(queries, pivots))
-        stats = _cell_stats(in_cells), _cell_stats(_place(points, pivots))
-        pruned, sent_pruned = _layout(pivots, *stats, bound, query_block, point_block)
+        in_cells = keep(_place(points, pivots))
+        fine = _cells(in_cells, pivots)
+        bounded = queries
+        if k:
+            bounded = keep(_bounded(queries, in_cells, fine, visitors, k, query_block, point_block))
+        fine_visitors = _count_visitors(bounded, fine, k)
         # in many dimensions the cells overlap too much to be of use
-        if sent_pruned < sent:
-            layout, placed = pruned, in_cells
-    split = any((b > 1).any() for b in layout.point_blocks.values())
-    left = _spread_queries(placed, layout)
-    right = _spread_points(points, layout)
+        if 2 * _work(fine_visitors, fine) < _work(visitors, cells):
+            queries, placed, cells, visitors = bounded, in_cells, fine, fine_visitors
+    layout = _layout(visitors, cells, query_block, point_block)
+    split = not cells.whole or any((b > 1).any() for b in layout.point_blocks.values())
+    left = _spread_queries(queries, cells, layout, k)
+    right = _spread_points(placed, layout)
 
     def run(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
         return kernel(q, p)
@@ -262,6 +330,36 @@ def block_join(
     return left.groupBy("task").cogroup(right.groupBy("task")).applyInPandas(run, schema), split
 
 
+def _bounded(
+    queries: DataFrame, placed: DataFrame, cells: Cells, asked: dict[str, np.ndarray], k: int, query_block: int, point_block: int
+) -> DataFrame:
+    """The queries with ``theta`` set to the k-th distance in one block of their own cell.
+
+    Any block gives a valid bound, so each query goes to just one.  Query blocks
+    are sized for the case that all queries of a group share a cell in
+    proportion to its reference rows.
+    """
+    share = {g: np.ceil(n.sum() * cells.counts[g] / cells.counts[g].sum()).astype(np.int64) for g, n in asked.items()}
+    layout = _layout(share, cells, query_block, point_block)
+    schema = T.StructType(queries.schema.fields)
+    names = schema.fieldNames()
+
+    def bound(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+        if not len(q):
+            return pd.DataFrame(columns=names)
+        theta = np.full(len(q), math.inf)
+        if len(p) >= k:
+            a, b = matrix(q["vec"]), matrix(p["vec"])
+            for part in row_chunks(len(a), len(b)):
+                d2, slack = approx_sq(a[part], b)
+                theta[part] = np.sqrt(np.partition(d2, k - 1, axis=1)[:, k - 1] + slack)
+        return q[names].assign(theta=theta)
+
+    left = _spread_queries(queries, cells, layout, k, home_only=True)
+    right = _spread_points(placed, layout)
+    return left.groupBy("task").cogroup(right.groupBy("task")).applyInPandas(bound, schema)
+
+
 def knn(
     queries: DataFrame,
     points: DataFrame,
@@ -291,12 +389,6 @@ def knn(
     if carry:
         distinct = distinct.withColumn("carry_", F.col(carry))
 
-    def bound(radius, gaps, counts, radii):
-        far = gaps + radii
-        order = np.argsort(far)
-        enough = np.cumsum(counts[order]) >= wanted
-        return radius + far[order][np.argmax(enough)] if enough.any() else math.inf
-
     has_carry = carry is not None
 
     def nearest(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
@@ -334,10 +426,10 @@ def knn(
     found, split = block_join(
         queries,
         distinct,
-        bound,
         nearest,
         fields + ", rank int",
-        group,
+        k=wanted,
+        group=group,
         point_extra=["carry_"] if carry else None,
         query_block=query_block,
         point_block=point_block,

@@ -232,7 +232,6 @@ def silhouette_rows(df: DataFrame, cluster: str, query_block: int = 4_096, point
     found, _ = block_join(
         points,
         points,
-        lambda *_: float("inf"),
         sums,
         "row_id bigint, other bigint, total double",
         point_extra=["c_", "n_"],

@@ -94,22 +94,21 @@ def test_knn_carries_vectors(spark):
 def test_knn_prunes_far_cells(spark, cells):
     """Reference rows of far clumps do not travel."""
     x = clumps(6, n=300, d=2)
-    sent = []
-    original = neighbors._spread_points
+    met = []
+    original = neighbors._layout
 
-    def spy(points, layout):
-        out = original(points, layout)
-        sent.append(out.count())
-        return out
+    def spy(visitors, cells, *blocks):
+        met.append(neighbors._work(visitors, cells))
+        return original(visitors, cells, *blocks)
 
-    neighbors._spread_points = spy
+    neighbors._layout = spy
     try:
         df = frame(spark, x)
         got = found(neighbors.knn(df, df, 2, exclude_self=True, query_block=1_000, point_block=1_000))
     finally:
-        neighbors._spread_points = original
+        neighbors._layout = original
     same(got, brute(x, x, 2))
-    assert sent[0] < 0.6 * 12 * 300
+    assert met[-1] < 0.5 * 300 * 300
 
 
 @given(
