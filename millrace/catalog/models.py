@@ -184,12 +184,31 @@ def classify_bagged_bayes(spark, sf):
     return doc_predictions(spark, sf, "ensembleBagging", base_estimator="naiveBays", n_estimators=10)
 
 
-@query()
+DOC_VEC = "[" + ", ".join(DOC_COLS) + "]"
+
+
+def _bagged_nearest_sql(replicates: int = 3, k: int = 5) -> str:
+    parts, votes = [], []
+    for t in range(replicates):
+        w = st.boot_weight_sql(0, "row_id", str(t))
+        parts.append(
+            f"""drawn{t} AS (SELECT row_id * 16 + unnest(range(w)) AS row_id, vec, quality
+              FROM (SELECT *, {DOC_VEC} AS vec, {w} AS w FROM marked WHERE NOT is_test) WHERE w > 0),
+{st.knn_cte('test', f'drawn{t}', k, carry='quality', not_self=False, out=f'near{t}')},
+{st.vote_cte('quality', 'uniform', f'near{t}', f'vote{t}')}"""
+        )
+        votes.append(f"SELECT row_id, prediction FROM vote{t}")
+    return f"""WITH {fx.DOCS_SQL}, {st.split_cte('docs_f')}, test AS (SELECT *, {DOC_VEC} AS vec FROM marked WHERE is_test), {', '.join(parts)},
+won AS (SELECT row_id, prediction, row_number() OVER (PARTITION BY row_id ORDER BY count(*) DESC, prediction) AS rn
+        FROM ({' UNION ALL '.join(votes)}) GROUP BY row_id, prediction)
+SELECT w.row_id, t.quality AS label, w.prediction FROM won w JOIN test t ON t.row_id = w.row_id WHERE rn = 1"""
+
+
+@query(_bagged_nearest_sql())
 def classify_bagged_nearest(spark, sf):
     return doc_predictions(spark, sf, "ensembleBagging", base_estimator="KNN", n_estimators=3, n_neighbors=5)
 
 
-DOC_VEC = "[" + ", ".join(DOC_COLS) + "]"
 VOTE_MEMBERS = [{"name": "KNN one", "n_neighbors": 1}, {"name": "KNN nine", "n_neighbors": 9, "weights": "distance"}, {"name": "naiveBays"}]
 
 

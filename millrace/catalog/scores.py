@@ -284,7 +284,31 @@ def sweep_classifiers(spark, sf):
     return rounded(out, "accuracy", "kappa", "accuracy_train")
 
 
-@query()
+def _learning_curve_sql(sizes=(0.1, 0.325, 0.55, 0.775, 1.0), folds: int = 5) -> str:
+    stats = ", ".join(f"avg({c}) AS m_{c}, var_pop({c}) AS v_{c}" for c in DOC_COLS)
+    ll = " + ".join(
+        f"-0.5 * ln(2 * pi() * (v_{c} + eps)) - (t.{c} - m_{c}) * (t.{c} - m_{c}) / (2 * (v_{c} + eps))" for c in DOC_COLS
+    )
+    values = ", ".join(f"({i}, CAST({s} AS DOUBLE))" for i, s in enumerate(sizes))
+    return f"""WITH {fx.DOCS_SQL}, {st.folds_cte('docs_f', 'quality', folds, ', '.join('t.' + c for c in DOC_COLS))},
+u AS (SELECT *, {uniform_sql('0:curve', 'row_id')} AS u FROM folds),
+model AS (SELECT i, size, CAST(f AS INTEGER) AS f FROM (VALUES {values}) s(i, size), range({folds}) r(f)),
+tr AS (SELECT m.i, m.f, u.* FROM u JOIN model m ON u.fold <> m.f AND (u.u < m.size OR m.size = 1.0)),
+st AS (SELECT i, f, quality AS c, count(*) AS n, {stats} FROM tr GROUP BY i, f, quality),
+tot AS (SELECT i, f, count(*) AS n_all, 1e-9 * greatest({', '.join(f'var_pop({c})' for c in DOC_COLS)}) AS eps FROM tr GROUP BY i, f),
+ask AS (SELECT i, f, 'train' AS part, row_id, quality, {', '.join(DOC_COLS)} FROM tr
+        UNION ALL SELECT m.i, m.f, 'test', row_id, quality, {', '.join(DOC_COLS)} FROM u JOIN model m ON u.fold = m.f),
+ll AS (SELECT t.i, t.f, part, row_id, quality, c, ln(n * 1.0 / n_all) + {ll} AS score
+       FROM ask t JOIN st ON st.i = t.i AND st.f = t.f JOIN tot ON tot.i = t.i AND tot.f = t.f),
+hit AS (SELECT i, f, part, avg((c = quality)::INTEGER) AS accuracy FROM (
+          SELECT *, row_number() OVER (PARTITION BY i, f, part, row_id ORDER BY score DESC, c) AS rn FROM ll) WHERE rn = 1 GROUP BY i, f, part),
+both_ AS (SELECT i, part, avg(accuracy) AS m, stddev_pop(accuracy) AS s FROM hit GROUP BY i, part)
+SELECT (SELECT any_value(size) FROM model WHERE model.i = a.i) AS size, {st.r('a.m', 'train_mean')}, {st.r('a.s', 'train_std')},
+       {st.r('b.m', 'test_mean')}, {st.r('b.s', 'test_std')}
+FROM both_ a JOIN both_ b ON a.i = b.i AND a.part = 'train' AND b.part = 'test'"""
+
+
+@query(_learning_curve_sql())
 def learning_curve(spark, sf):
     out = experiments.bayes_learning_curve(fx.doc_features(spark, sf), DOC_COLS, "quality", "row_id")
     return rounded(out, "train_mean", "train_std", "test_mean", "test_std")

@@ -80,15 +80,17 @@ metrics AS (SELECT all_.grp, accuracy, accuracy AS precision, accuracy AS recall
           FROM all_ JOIN macro_ ON macro_.grp = all_.grp JOIN cell_ ON cell_.grp = all_.grp)"""
 
 
-def knn_cte(queries: str, points: str, k: int, same: str | None = None, carry: str | None = None, not_self: bool = True) -> str:
+def knn_cte(
+    queries: str, points: str, k: int, same: str | None = None, carry: str | None = None, not_self: bool = True, out: str = "near"
+) -> str:
     """near(row_id, neighbor_id, distance, rank[, carry]) by comparing all rows."""
     conditions = [f"q.{same} = p.{same}"] if same else []
     conditions += ["q.row_id <> p.row_id"] if not_self else []
     where = f"WHERE {' AND '.join(conditions)}" if conditions else ""
     more = f", p.{carry} AS {carry}" if carry else ""
-    return f"""dist_ AS (SELECT q.row_id, p.row_id AS neighbor_id, list_distance(q.vec, p.vec) AS distance{more}
+    return f"""{out}_d AS (SELECT q.row_id, p.row_id AS neighbor_id, list_distance(q.vec, p.vec) AS distance{more}
          FROM {queries} q, {points} p {where}),
-near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY distance, neighbor_id) AS rank FROM dist_)
+{out} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY distance, neighbor_id) AS rank FROM {out}_d)
          WHERE rank <= {k})"""
 
 
