@@ -183,6 +183,23 @@ def information_scores(spark, sf):
     return rounded(score.information_scores(given(spark, sf), "label", "cluster"), *INFO)
 
 
+@query(
+    f"""WITH {fx.DOCS_SQL}, g AS (SELECT quality AS label, CAST(floor(ln(n_chars)) AS BIGINT) AS cluster FROM docs_f),
+t AS (SELECT label, cluster, count(*) * 1.0::DOUBLE AS n FROM g GROUP BY ALL), z AS (SELECT sum(n) AS z FROM t),
+a AS (SELECT label, sum(n) AS a FROM t GROUP BY label), b AS (SELECT cluster, sum(n) AS b FROM t GROUP BY cluster),
+e AS (SELECT sum(n / z * ln(z * n / (a * b)) * exp(lgamma(a + 1) + lgamma(b + 1) + lgamma(z - a + 1) + lgamma(z - b + 1) - lgamma(z + 1)
+        - lgamma(n + 1) - lgamma(a - n + 1) - lgamma(b - n + 1) - lgamma(z - a - b + n + 1))) AS emi
+      FROM (SELECT a, b, z, unnest(range(CAST(greatest(1, a + b - z) AS BIGINT), CAST(least(a, b) AS BIGINT) + 1))::DOUBLE AS n FROM a, b, z)),
+m AS (SELECT (SELECT sum(n / z * ln(n * z / (a * b))) FROM t JOIN a ON a.label = t.label JOIN b ON b.cluster = t.cluster, z) AS mi,
+             (SELECT -sum(a / z * ln(a / z)) FROM a, z) AS ha, (SELECT -sum(b / z * ln(b / z)) FROM b, z) AS hb)
+SELECT {st.r('(mi - emi) / ((ha + hb) / 2 - emi)', 'adjusted_mutual_info')} FROM m, e"""
+)
+def adjusted_mutual_info(spark, sf):
+    """Quality classes against length classes of the documents."""
+    docs = fx.doc_features(spark, sf).withColumn("cluster", F.floor(F.ln("n_chars")))
+    return rounded(score.adjusted_mutual_info(docs, "quality", "cluster"), "adjusted_mutual_info")
+
+
 def silhouette_sql(distance: str) -> str:
     return f"""mean_ AS (SELECT a.row_id, a.label AS own, b.label AS other, sum({distance}) AS total, count(*) AS size
           FROM emb a, emb b GROUP BY ALL),

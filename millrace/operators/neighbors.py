@@ -32,6 +32,8 @@ POINT_BLOCK = 16_384
 CHUNK_CELLS = 4_000_000
 SLICE_CELLS = 4
 OUTPUT_ROWS = 20_000
+TASKS_PER_PARTITION = 16
+MAX_PARTITIONS = 100_000
 
 
 def matrix(column: pd.Series) -> np.ndarray:
@@ -321,13 +323,19 @@ def block_join(
             queries, placed, cells, visitors = bounded, in_cells, fine, fine_visitors
     layout = _layout(visitors, cells, query_block, point_block)
     split = not cells.whole or any((b > 1).any() for b in layout.point_blocks.values())
-    left = _spread_queries(queries, cells, layout, k)
-    right = _spread_points(placed, layout)
-
     def run(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
         return kernel(q, p)
 
-    return left.groupBy("task").cogroup(right.groupBy("task")).applyInPandas(run, schema), split
+    return _meet(_spread_queries(queries, cells, layout, k), _spread_points(placed, layout), layout, run, schema), split
+
+
+def _meet(left: DataFrame, right: DataFrame, layout: Layout, run: Callable, schema) -> DataFrame:
+    """Brings the two sides of every task together, a few tasks per partition."""
+    tasks = sum(int((q * layout.point_blocks[g]).sum()) for g, q in layout.query_blocks.items())
+    partitions = min(MAX_PARTITIONS, tasks // TASKS_PER_PARTITION)
+    if partitions > int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        left, right = left.repartition(partitions, "task"), right.repartition(partitions, "task")
+    return left.groupBy("task").cogroup(right.groupBy("task")).applyInPandas(run, schema)
 
 
 def _bounded(
@@ -356,8 +364,7 @@ def _bounded(
         return q[names].assign(theta=theta)
 
     left = _spread_queries(queries, cells, layout, k, home_only=True)
-    right = _spread_points(placed, layout)
-    return left.groupBy("task").cogroup(right.groupBy("task")).applyInPandas(bound, schema)
+    return _meet(left, _spread_points(placed, layout), layout, bound, schema)
 
 
 def knn(

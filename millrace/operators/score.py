@@ -201,6 +201,62 @@ def information_scores(df: DataFrame, label: str, cluster: str) -> DataFrame:
     )
 
 
+def _log_factorial(n: np.ndarray) -> np.ndarray:
+    """ln n! by Stirling's series, shifted to where it is exact to rounding."""
+    x = np.asarray(n, dtype=np.float64) + 1.0
+    shift = np.zeros_like(x)
+    for _ in range(10):
+        small = x < 10.0
+        shift = np.where(small, shift + np.log(x), shift)
+        x = np.where(small, x + 1.0, x)
+    series = 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5) - 1 / (1680 * x**7)
+    return (x - 0.5) * np.log(x) - x + 0.5 * math.log(2 * math.pi) + series - shift
+
+
+def adjusted_mutual_info(df: DataFrame, label: str, cluster: str, chunk: int = 200_000) -> DataFrame:
+    """Mutual information corrected for chance.
+
+    The expectation sums over every possible cell count of every pair of class
+    and cluster sizes; those counts are spread over the tasks in chunks.
+    """
+    spark = df.sparkSession
+    sizes = (
+        contingency(df, label, cluster)
+        .groupingSets([["label"], ["cluster"]], "label", "cluster")
+        .agg(F.grouping_id().alias("kind"), F.sum("n").cast("bigint").alias("n"))
+        .groupBy("kind", "n")
+        .agg(F.count(F.lit(1)).alias("times"))
+        .collect()
+    )
+    rows, cols = ([(r["n"], r["times"]) for r in sizes if r["kind"] == k] for k in (1, 2))
+    total = sum(n * t for n, t in rows)
+    pairs = spark.createDataFrame(
+        [(a, b, float(s * t)) for a, s in rows for b, t in cols], "a bigint, b bigint, times double"
+    )
+    first = F.greatest(F.lit(1), F.col("a") + F.col("b") - total).cast("bigint")
+    last = F.least("a", "b")
+    chunks = pairs.select("*", F.explode(F.sequence(first, F.greatest(first, last), F.lit(chunk).cast("bigint"))).alias("lo"))
+    chunks = chunks.withColumn("hi", F.least(last, F.col("lo") + chunk - 1)).repartition("a", "b", "lo")
+
+    def expected(batches):
+        for pdf in batches:
+            out = 0.0
+            for a, b, times, lo, hi in pdf.itertuples(index=False):
+                n = np.arange(lo, hi + 1, dtype=np.float64)
+                fixed = _log_factorial(np.array([a, b, total - a, total - b])).sum() - float(_log_factorial(np.array([total]))[0])
+                free = sum(_log_factorial(m) for m in (n, a - n, b - n, total - a - b + n))
+                out += times * float((n / total * (np.log(total * n) - math.log(a) - math.log(b)) * np.exp(fixed - free)).sum())
+            yield pd.DataFrame({"e": [out]})
+
+    emi = chunks.mapInPandas(expected, "e double").agg(F.sum("e")).first()[0] or 0.0
+    scores = information_scores(df, label, cluster).first()
+    mi = scores["mutual_info"]
+    h = [-sum(t * n / total * math.log(n / total) for n, t in side) for side in (rows, cols)]
+    top = sum(h) / 2 - emi
+    value = 1.0 if len(rows) == len(cols) == 1 and rows[0][1] == cols[0][1] == 1 else (mi - emi) / top if top else 0.0
+    return spark.createDataFrame([(value,)], "adjusted_mutual_info double")
+
+
 def silhouette_rows(df: DataFrame, cluster: str, query_block: int = 4_096, point_block: int = 16_384) -> DataFrame:
     """(row_id, cluster, n, silhouette): Euclidean silhouette of each distinct (vector, cluster).
 

@@ -39,6 +39,7 @@ from millrace.operators.score import (
     classification_metrics,
     fold_summary,
     silhouette,
+    silhouette_squared,
 )
 from millrace.operators.select import SCORERS, best, best_fraction, drop_correlated
 from millrace.session import keep, scope
@@ -234,7 +235,11 @@ def classification_job(df: DataFrame, spec: TableSpec, config: Mapping, run: str
 
 
 def clustering_job(df: DataFrame, spec: TableSpec, config: Mapping) -> tuple[DataFrame, dict]:
-    """(row_id, cluster) and {ad_rand_score, silhouette, inertia?}; with ``epsP`` the distance curve."""
+    """(row_id, cluster) and {ad_rand_score, silhouette, inertia?}; with ``epsP`` the distance curve.
+
+    The silhouette compares all rows with each other; ``{"silhouette": "squared"}``
+    asks for the linear one on squared distances, for tables too large for that.
+    """
     df = balance(fill(df, spec, config), spec, config)
     prepared = reduce_features([df], spec, config)
     points = keep(
@@ -248,11 +253,11 @@ def clustering_job(df: DataFrame, spec: TableSpec, config: Mapping) -> tuple[Dat
         return nearest_distance_curve(points), {}
     found, extra = CLUSTERERS[config["clusterFunction"]](points, dict(config.get("clusterParams") or {}))
     scored = keep(points.join(found.select("row_id", "cluster"), "row_id"))
-    metrics = {
-        "ad_rand_score": adjusted_rand(scored, "label", "cluster").first()[0],
-        "silhouette": silhouette(scored, "cluster").first()[0],
-        **extra,
-    }
+    metrics = {"ad_rand_score": adjusted_rand(scored, "label", "cluster").first()[0], **extra}
+    if config.get("silhouette") == "squared":
+        metrics["silhouette_squared"] = silhouette_squared(scored, "cluster")
+    else:
+        metrics["silhouette"] = silhouette(scored, "cluster").first()[0]
     return found, metrics
 
 

@@ -191,3 +191,32 @@ def test_pca(golden):
     v = np.linalg.svd(x, full_matrices=False)[2][:2]
     v *= np.sign(v[np.arange(2), np.abs(v).argmax(axis=1)])[:, None]
     assert got == pytest.approx(x @ v.T)
+
+
+def test_adjusted_mutual_info(spark):
+    from millrace.operators.score import _log_factorial
+
+    import math
+
+    assert list(_log_factorial([0, 1, 5, 20, 1000])) == pytest.approx([math.lgamma(n + 1) for n in (0, 1, 5, 20, 1000)])
+    # all labelings of the same shape average to zero
+    import itertools
+
+    labels = [0, 0, 0, 1, 1]
+    values = []
+    for chosen in itertools.combinations(range(5), 2):
+        clusters = [int(i in chosen) for i in range(5)]
+        cells = {}
+        for pair in zip(labels, clusters):
+            cells[pair] = cells.get(pair, 0) + 1
+        rows, cols = {0: 3, 1: 2}, {0: 3, 1: 2}
+        values.append(sum(n / 5 * math.log(5 * n / rows[a] / cols[b]) for (a, b), n in cells.items()))
+    emi = sum(values) / len(values)
+    h = -(0.6 * math.log(0.6) + 0.4 * math.log(0.4))
+    df = spark.createDataFrame(list(zip(labels, [1, 0, 0, 1, 0])), "label int, cluster int")
+    mi = score.information_scores(df, "label", "cluster").first().mutual_info
+    for chunk in (1, 100):
+        got = score.adjusted_mutual_info(df, "label", "cluster", chunk).first()[0]
+        assert got == pytest.approx((mi - emi) / (h - emi))
+    same = df.withColumn("cluster", F.col("label") + 7)
+    assert score.adjusted_mutual_info(same, "label", "cluster").first()[0] == pytest.approx(1.0)
