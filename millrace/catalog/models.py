@@ -252,8 +252,8 @@ def model_saved_and_loaded(spark, sf):
     train, test = doc_split(spark, sf)
     fitted = classify.fit_forest(train, DOC_COLS, "quality", n_estimators=5, max_depth=5)
     path = new_path(spark, "model")
-    stored.save_model([fitted.model], path)
-    again = classify.SparkModel(stored.load_model(path), fitted.features, fitted.classes)
+    stored.save_model(spark, fitted, path)
+    again = stored.load_model(spark, path)
     old = fitted.predict(test).select("row_id", F.col("prediction").alias("before"))
     return again.predict(test).select("row_id", F.col("prediction").alias("after")).join(old, "row_id").where("before = after")
 

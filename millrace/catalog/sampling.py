@@ -66,12 +66,12 @@ def smote(spark, sf):
 
 @query(
     f"WITH {fx.EMB_SQL}, {fx.EMB_WIDE_SQL}, {st.smote_cte('emb_wide', fx.EMB_FEATURES, 'label', LARGEST)} "
-    f"SELECT row_id, label, {', '.join(st.r(c, c) for c in fx.EMB_FEATURES[:8])}, synthetic FROM grown"
+    f"SELECT row_id, label, {', '.join(st.r(c, c) for c in fx.EMB_FEATURES)}, synthetic FROM grown"
 )
 def smote_many_classes(spark, sf):
     wide = fx.embeddings_wide(spark, sf).persist()
     out = sample.smote(wide, fx.EMB_FEATURES, "label", "row_id")
-    return rounded(out.select("row_id", "label", *fx.EMB_FEATURES[:8], "synthetic"), *fx.EMB_FEATURES[:8])
+    return rounded(out, *fx.EMB_FEATURES)
 
 
 TARGET = "greatest(n, 200)"

@@ -148,9 +148,15 @@ def _slices(pdf: pd.DataFrame, cells: Cells) -> Iterator[pd.DataFrame]:
         yield pdf.iloc[part]
 
 
-def _choose_pivots(points: DataFrame, n_points: int) -> np.ndarray:
-    count = max(1, min(MAX_PIVOTS, math.ceil(n_points / CELL_ROWS)))
-    if count == 1:
+def place_near_pivots(points: DataFrame, cells: int) -> DataFrame:
+    """(row_id, vec, cell): rows that are near each other share one of at most ``cells`` cells."""
+    points = keep(points)
+    return keep(_place(points, _choose_pivots(points, min(cells, MAX_PIVOTS))).drop("gap"))
+
+
+def _choose_pivots(points: DataFrame, count: int) -> np.ndarray:
+    """Rows with the smallest hashes; none when one cell is enough."""
+    if count <= 1:
         return np.zeros((1, 0))
     rows = points.orderBy(hash_key("pivot", "row_id"), "row_id").limit(count).select("vec").collect()
     return np.unique(np.array([r["vec"] for r in rows], dtype=np.float64), axis=0)
@@ -310,7 +316,9 @@ def block_join(
     cells = _cells(placed, none)
     asked = {r["grp"]: np.array([r["n"]]) for r in queries.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).collect()}
     visitors = {g: n for g, n in asked.items() if g in cells.counts}
-    pivots = none if math.isinf(reach) and not k else _choose_pivots(points, sum(int(n.sum()) for n in cells.counts.values()))
+    n_points = sum(int(n.sum()) for n in cells.counts.values())
+    useful = k > 0 or not math.isinf(reach)
+    pivots = _choose_pivots(points, min(MAX_PIVOTS, math.ceil(n_points / CELL_ROWS))) if useful else none
     if pivots.shape[1]:
         in_cells = keep(_place(points, pivots))
         fine = _cells(in_cells, pivots)

@@ -10,6 +10,8 @@ import itertools
 import math
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
@@ -19,7 +21,7 @@ from pyspark.sql import types as T
 from millrace.functions.hashing import hash_key, uniform
 from millrace.functions.ordering import group_bounds, hash_bounds, order_statistics, smallest_per_group
 from millrace.functions.vectors import as_array
-from millrace.operators.neighbors import knn
+from millrace.operators.neighbors import approx_sq, knn, matrix, place_near_pivots, row_chunks
 
 
 def class_counts(df: DataFrame, label: str) -> DataFrame:
@@ -127,6 +129,68 @@ def smote(
     return real.withColumns({f: F.col(f).cast("double") for f in features}).unionByName(made)
 
 
+def _lloyd(x: np.ndarray, k: int, max_iter: int) -> np.ndarray:
+    """k centres of a small block, started from evenly spaced rows."""
+    centres = x[np.linspace(0, len(x) - 1, k).astype(int)].copy()
+    for _ in range(max_iter):
+        near = np.concatenate([approx_sq(x[part], centres)[0].argmin(axis=1) for part in row_chunks(len(x), k)])
+        n = np.bincount(near, minlength=k)
+        total = np.zeros_like(centres)
+        np.add.at(total, near, x)
+        moved = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], centres)
+        if np.allclose(moved, centres):
+            break
+        centres = moved
+    return centres
+
+
+def _quotas(sizes: Sequence[int], k: int) -> list[int]:
+    """k shared out in proportion to the sizes, largest remainders first."""
+    exact = [k * n / sum(sizes) for n in sizes]
+    out = [math.floor(e) for e in exact]
+    for i in sorted(range(len(sizes)), key=lambda i: (out[i] - exact[i], i))[: k - sum(out)]:
+        out[i] += 1
+    return out
+
+
+def _centres_in_blocks(
+    rows: DataFrame, features: Sequence[str], k: int, first_id: int, max_iter: int, block_rows: int
+) -> DataFrame:
+    """k centres of a table too large for centres on the driver.
+
+    Near rows are placed into blocks of bounded size, each block gets its share
+    of the centres and finds them on its own.
+    """
+    points = rows.select(F.col("id_").alias("row_id"), as_array(features).alias("vec"))
+    n = points.count()
+    placed = place_near_pivots(points, math.ceil(n / block_rows))
+    cells = {r["cell"]: r["n"] for r in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+    parts = {c: math.ceil(m / block_rows) for c, m in cells.items()}
+    # a crowded cell is cut by the hash of the key
+    cut = F.create_map(*[F.lit(v) for c, m in parts.items() for v in (c, m)])
+    blocks = placed.withColumn("part", F.pmod(F.xxhash64("row_id"), cut[F.col("cell")].cast("bigint")).cast("int"))
+    sizes = sorted((r["cell"], r["part"], r["n"]) for r in blocks.groupBy("cell", "part").agg(F.count(F.lit(1)).alias("n")).collect())
+    quota = _quotas([s[2] for s in sizes], k)
+    starts = [first_id + sum(quota[:i]) for i in range(len(quota))]
+    shares = rows.sparkSession.createDataFrame(
+        [(c, p, q, s) for (c, p, _), q, s in zip(sizes, quota, starts)], "cell int, part int, quota int, start bigint"
+    )
+
+    def centres(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("row_id")
+        found = _lloyd(matrix(pdf["vec"]), int(pdf["quota"].iloc[0]), max_iter)
+        ids = -(pdf["start"].iloc[0] + np.arange(len(found))) - 1
+        return pd.DataFrame({"id_": ids, **{f: found[:, i] for i, f in enumerate(features)}})
+
+    schema = ", ".join(["id_ bigint", *[f"`{f}` double" for f in features]])
+    # one row per block
+    return (
+        blocks.join(F.broadcast(shares.where("quota > 0")), ["cell", "part"])
+        .groupBy("cell", "part")
+        .applyInPandas(centres, schema)
+    )
+
+
 def cluster_centroids(
     df: DataFrame,
     features: Sequence[str],
@@ -135,27 +199,33 @@ def cluster_centroids(
     k: int | None = None,
     seed: int = 0,
     max_iter: int = 20,
+    max_centres: int = 2_000,
+    block_rows: int = 20_000,
 ) -> DataFrame:
     """Every class but the smallest replaced by the centres of its k clusters.
 
-    k defaults to the size of the smallest class.  The centres live on the
-    driver, so k is checked rather than silently reduced.  Centres carry
-    negative keys.
+    k defaults to the size of the smallest class.  Beyond ``max_centres`` the
+    clusters are found in blocks of near rows.  Centres carry negative keys.
     """
     features = list(features)
     counts = counts_by_class(df, label)
     k = k or min(counts.values())
-    if k * len(features) > 20_000_000:
-        raise ValueError(f"{k} centres do not fit the driver; pass a smaller k")
     shrunk = [c for c in sorted(counts, key=str) if counts[c] > k]
-    rows = []
-    for c in shrunk:
-        part = df.where(F.col(label) == F.lit(c)).select(array_to_vector(as_array(features)).alias("features"))
-        for centre in KMeans(k=k, seed=seed, maxIter=max_iter).fit(part).clusterCenters():
-            rows.append((-len(rows) - 1, c, *[float(v) for v in centre]))
     doubles = [F.col(f).cast("double").alias(f) for f in features]
-    kept = df.where(F.col(label).isin([c for c in counts if c not in shrunk])).select(row_id, label, *doubles)
-    return kept.unionByName(df.sparkSession.createDataFrame(rows, kept.schema)) if rows else kept
+    out = df.where(F.col(label).isin([c for c in counts if c not in shrunk])).select(row_id, label, *doubles)
+    schema = out.schema
+    for i, c in enumerate(shrunk):
+        part = df.where(F.col(label) == F.lit(c)).select(F.col(row_id).alias("id_"), *doubles)
+        if k > max_centres:
+            found = _centres_in_blocks(part, features, k, i * k, max_iter, block_rows)
+            found = found.select(F.col("id_").cast(schema[row_id].dataType).alias(row_id), F.lit(c).cast(schema[label].dataType).alias(label), *features)
+        else:
+            vectors = part.select(array_to_vector(as_array(features)).alias("features"))
+            centres = KMeans(k=k, seed=seed, maxIter=max_iter).fit(vectors).clusterCenters()
+            rows = [(-(i * k + j) - 1, c, *[float(v) for v in centre]) for j, centre in enumerate(centres)]
+            found = df.sparkSession.createDataFrame(rows, schema)
+        out = out.unionByName(found)
+    return out
 
 
 def combined(

@@ -43,6 +43,7 @@ from millrace.operators.score import (
 )
 from millrace.operators.select import SCORERS, best, best_fraction, drop_correlated
 from millrace.session import keep, scope
+from millrace.sources.models import save_model
 from millrace.spec import TableSpec
 
 MINING_DEFAULTS = {
@@ -184,8 +185,8 @@ def _evaluate(train: DataFrame, test: DataFrame, spec: TableSpec, config: Mappin
     out["accuracyTrain"] = metrics.get(("train",), {}).get("accuracy")
     if prepared.dropped:
         out["dropedCols"] = prepared.dropped
-    if config.get("saveModel") and hasattr(model, "model") and hasattr(model.model, "write"):
-        model.model.write().overwrite().save(config["saveModel"])
+    if config.get("saveModel"):
+        save_model(train.sparkSession, model, config["saveModel"])
     return out
 
 
@@ -229,6 +230,11 @@ def cost(results: Sequence[Mapping]) -> float | None:
     return None if not values or any(v is None for v in values) else sum(values) / len(values)
 
 
+def last_fold_cost(results: Sequence[Mapping]) -> float | None:
+    """The cost of the last fold alone."""
+    return results[-1].get("cost") if results else None
+
+
 def classification_job(df: DataFrame, spec: TableSpec, config: Mapping, run: str = "run") -> DataFrame:
     """(run, metric, mean, fold_values)."""
     return fold_summary(fold_frame(df.sparkSession, classification_folds(df, spec, config), run), ["run"])

@@ -115,6 +115,21 @@ def test_cluster_centroids(unbalanced):
     assert set(rows_of(kept.where("label = 'small'"))) == set(rows_of(df.where("label = 'small'")))
 
 
+def test_cluster_centroids_in_blocks(unbalanced):
+    df = unbalanced.where("label in ('big', 'small')")
+    out = sample.cluster_centroids(df, ["x", "y"], "label", "row_id", max_centres=10, block_rows=60).collect()
+    assert Counter(r.label for r in out) == {"big": 40, "small": 40}
+    assert len({r.row_id for r in out}) == 80
+    # the centres keep the spread of the class, not just its middle
+    big = np.array([(r.x, r.y) for r in out if r.label == "big"])
+    assert np.all(big.std(axis=0) > 0.5) and np.all(np.abs(big.mean(axis=0)) < 0.5)
+
+
+def test_shares_of_centres():
+    assert sample._quotas([10, 10, 1], 7) == [4, 3, 0]
+    assert sum(sample._quotas([3, 5, 900, 17], 101)) == 101
+
+
 def test_imputation(spark):
     rows = [(1, 4.0, 2.0), (2, None, 1.0), (3, 4.0, float("nan")), (4, 9.0, 1.0), (5, 9.0, 2.0)]
     df = spark.createDataFrame(rows, "id int, a double, b double")

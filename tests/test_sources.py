@@ -62,14 +62,25 @@ def test_unify_runs(spark):
     assert json.loads(text.accuracy_kfoldVals) == [0.4, 0.6]
 
 
-def test_model_survives_saving(spark):
+@pytest.mark.parametrize(
+    "name,params",
+    [
+        ("decisionTree", {"max_depth": 3}),
+        ("naiveBays", {}),
+        ("KNN", {"n_neighbors": 3, "weights": "distance"}),
+        ("ensembleBagging", {"base_estimator": "naiveBays", "n_estimators": 3}),
+        ("ensembleVoting", {"members": [{"name": "KNN"}, {"name": "naiveBays"}, {"name": "decisionTree", "max_depth": 2}]}),
+    ],
+)
+def test_model_survives_saving(spark, name, params):
     rows = [(i, float(i), float(i % 5), int(i > 20)) for i in range(40)]
     df = spark.createDataFrame(rows, "row_id bigint, x double, y double, label int")
-    fitted = classify.fit_tree(df, ("x", "y"), "label", max_depth=3)
-    path = new_path(spark, "tree")
-    models.save_model([fitted.model], path)
-    again = classify.SparkModel(models.load_model(path), fitted.features, fitted.classes)
-    assert again.predict(df).collect() == fitted.predict(df).collect()
+    fitted = classify.CLASSIFIERS[name](df, ("x", "y"), "label", "row_id", **params)
+    path = new_path(spark, name)
+    models.save_model(spark, fitted, path)
+    again = models.load_model(spark, path)
+    key = lambda m: sorted((r.row_id, r.prediction) for r in m.predict(df).collect())
+    assert type(again) is type(fitted) and key(again) == key(fitted)
 
 
 def test_typed_headerless(spark, tmp_path):
