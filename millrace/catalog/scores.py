@@ -9,7 +9,7 @@ from millrace.catalog import statements as st
 from millrace.catalog.models import METRIC_OUT, embedding_split, metric_rows
 from millrace.catalog.registry import query, r6, rounded
 from millrace.functions.hashing import uniform_sql
-from millrace.operators import classify, neighbors, results, score
+from millrace.operators import neighbors, results, score
 from millrace.plans import experiments
 from millrace.session import new_path
 from millrace.sources import csv, runs

@@ -191,15 +191,11 @@ class Votes:
         weights = self.weights or (1.0,) * len(self.members)
         if self.voting == "soft":
             return self._soft(df, weights)
-        said = None
+        out = df
         for i, m in enumerate(self.members):
-            # models that only append a column keep the row in place; the others meet on the key
-            one = m.predict(df).select(self.row_id, F.col("prediction").alias(f"p{i}_"))
-            said = one if said is None else said.join(one, self.row_id)
+            out = m.predict(out).withColumnRenamed("prediction", f"p{i}_")
         columns = [F.col(f"p{i}_") for i in range(len(self.members))]
-        return df.join(said, self.row_id).withColumn("prediction", majority(columns, weights, self.classes)).drop(
-            *[f"p{i}_" for i in range(len(self.members))]
-        )
+        return out.withColumn("prediction", majority(columns, weights, self.classes)).select(*df.columns, "prediction")
 
     def _soft(self, df: DataFrame, weights: Sequence[float]) -> DataFrame:
         out = df
@@ -211,7 +207,7 @@ class Votes:
         ]
         scores = F.array(*mean)
         best = F.array_position(scores, F.array_max(scores)) - 1
-        return out.withColumn("prediction", class_at(best, self.classes)).drop(*[f"p{i}_" for i in range(len(weights))])
+        return out.withColumn("prediction", class_at(best, self.classes)).select(*df.columns, "prediction")
 
 
 def majority(columns: Sequence[Column], weights: Sequence[float], classes: Sequence) -> Column:

@@ -394,7 +394,7 @@ def knn(
     extra = [carry] if carry else []
     # Of any number of exact copies only the first few ids can be an answer; the
     # limit is applied before the shuffle, so a hot vector stays small.
-    copies = Window.partitionBy(*([group] if group else []), "vec").orderBy("row_id")
+    copies = Window.partitionBy(*([group] if group else []), F.xxhash64("vec"), "vec").orderBy("row_id")
     distinct = (
         points.select("row_id", F.col("vec").cast("array<double>").alias("vec"), *([group] if group else []), *[c for c in extra if c not in (group, "vec")])
         .withColumn("copy_", F.row_number().over(copies))

@@ -198,7 +198,8 @@ def average_ranks(df: DataFrame, row_id: str, cols: Sequence[str]) -> DataFrame:
 def spearman_pairs(df: DataFrame, row_id: str, cols: Sequence[str]) -> DataFrame:
     """Spearman r of every column pair: Pearson r of the average ranks."""
     cols = list(cols)
-    wide = average_ranks(df, row_id, cols).groupBy(row_id).pivot("attribute", cols).agg(F.first("rank"))
+    ranks = average_ranks(df, row_id, cols)
+    wide = ranks.groupBy(row_id).agg(*[F.max(F.when(F.col("attribute") == c, F.col("rank"))).alias(c) for c in cols])
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]]
     one = wide.agg(*[F.corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
     cells = [

@@ -40,18 +40,26 @@ def read_headerless_csv(spark: SparkSession, path: str, columns: int, schema: T.
     return spark.read.schema(schema or _text_schema(names)).csv(path, header=False, sep=",").toDF(*names)
 
 
-def read_results(spark: SparkSession, path: str) -> DataFrame:
+def _results(spark: SparkSession, path: str, schema: T.StructType | str | None) -> DataFrame:
+    reader = spark.read.option("header", True)
+    return (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
+
+
+def read_results(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
     """A result table with header; the first column is the row index."""
-    table = spark.read.option("header", True).option("inferSchema", True).csv(path)
+    table = _results(spark, path, schema)
     return table.withColumnRenamed(table.columns[0], "index")
 
 
-def read_results_per_run(spark: SparkSession, directory: str, log_file: str) -> DataFrame:
+def read_results_per_run(
+    spark: SparkSession, directory: str, log_file: str, schema: T.StructType | str | None = None
+) -> DataFrame:
     """The result table of every sub-directory, with the directory name as ``run``."""
-    table = spark.read.option("header", True).option("inferSchema", True).csv(f"{directory}/*/{log_file}")
+    table = _results(spark, f"{directory}/*/{log_file}", schema)
     # a table written by Spark is a directory of part files, one level deeper
     parts = F.split(F.col("_metadata.file_path"), "/")
-    run = F.url_decode(F.when(F.element_at(parts, -2) == F.lit(log_file), F.element_at(parts, -3)).otherwise(F.element_at(parts, -2)))
+    above = F.element_at(parts, -2)
+    run = F.url_decode(F.when(above == F.lit(log_file), F.element_at(parts, -3)).otherwise(above))
     return table.select(run.alias("run"), *table.columns).withColumnRenamed(table.columns[0], "index")
 
 
