@@ -480,7 +480,21 @@ def select_fraction(spark, sf):
     )
 
 
-@query()
+def _mixed_sql() -> str:
+    """Both tails have finite sums because the 24 degrees of freedom between 25 brands are even."""
+    f_rows = anova_cells(["size", "price"], "parts_f", "brand")
+    chi2_rows = chi2_cells(["standard"], "parts_f", "brand")
+    return f"""WITH {fx.PARTS_SQL}, d AS (SELECT count(DISTINCT brand) - 1 AS d1, count(*) - count(DISTINCT brand) AS d2 FROM parts_f),
+f AS (SELECT feature, score, d1, d2 / 2.0 AS a, d2 / (d2 + d1 * score) AS x FROM ({f_rows}), d),
+c AS (SELECT feature, score, d1 FROM ({chi2_rows}), d)
+SELECT feature, {r('any_value(score)', 'score')},
+       {r('sum(exp(a * ln(x) + j * ln(1 - x) + lgamma(a + j) - lgamma(a) - lgamma(j + 1)))', 'p_value')}
+FROM (SELECT feature, score, a, x, unnest(range(CAST(d1 // 2 AS BIGINT))) AS j FROM f) GROUP BY feature
+UNION ALL SELECT feature, {r('any_value(score)', 'score')}, {r('sum(exp(-score / 2 + j * ln(score / 2) - lgamma(j + 1)))', 'p_value')}
+FROM (SELECT feature, score, unnest(range(CAST(d1 // 2 AS BIGINT))) AS j FROM c) GROUP BY feature"""
+
+
+@query(_mixed_sql())
 def select_mixed(spark, sf):
     """0/1 features by chi-square and numeric ones by ANOVA F, ranked by p-value."""
     parts = fx.part_features(spark, sf)

@@ -188,6 +188,50 @@ def exact_quantiles(
     return out
 
 
+def grouped_quantiles(
+    df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], hot_rows: int = 1_000_000
+) -> DataFrame:
+    """(keys..., n, q): interpolated quantiles of each key's values, as an array.
+
+    A key with at most ``hot_rows`` rows is one small buffer; the few larger ones
+    are counted out by rank.
+    """
+    keys = list(keys)
+    rows = df.where(F.col(value).isNotNull())
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    hot = counts.where(F.col("n") > hot_rows).collect()
+
+    def of_small(part: DataFrame) -> DataFrame:
+        q = F.percentile(value, F.array(*[F.lit(float(p)) for p in probs]))
+        return part.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), q.alias("q"))
+
+    if not hot:
+        return of_small(rows)
+    key_fields = [df.schema[k] for k in keys]
+    # at most (all rows / hot_rows) keys
+    numbered = F.broadcast(
+        df.sparkSession.createDataFrame(
+            [(*[r[k] for k in keys], i) for i, r in enumerate(hot)],
+            T.StructType(key_fields + [T.StructField("key_", T.IntegerType())]),
+        )
+    )
+    large = rows.join(numbered, keys).select("key_", F.col(value).cast("double").alias("x"))
+    bounds = group_bounds(large, "key_", "x")
+    ranks = {g: {f(p * (b.n - 1)) for p in probs for f in (math.floor, math.ceil)} for g, b in bounds.items()}
+    found = order_statistics(large, "key_", "x", bounds, {g: sorted(r) for g, r in ranks.items()})
+    out = []
+    for i, r in enumerate(hot):
+        q = []
+        for p in probs:
+            h = p * (bounds[i].n - 1)
+            low, high = found[(i, math.floor(h))].value, found[(i, math.ceil(h))].value
+            q.append(low + (high - low) * (h - math.floor(h)))
+        out.append((*[r[k] for k in keys], bounds[i].n, q))
+    schema = T.StructType(key_fields + [T.StructField("n", T.LongType()), T.StructField("q", T.ArrayType(T.DoubleType()))])
+    small = of_small(rows.join(numbered.select(*keys), keys, "left_anti"))
+    return small.unionByName(df.sparkSession.createDataFrame(out, schema))
+
+
 def smallest_per_group(
     df: DataFrame,
     group: str,

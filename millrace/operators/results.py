@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.functions.ordering import grouped_quantiles, join_unique
 from millrace.operators.clean import numeric_columns
 
 
@@ -25,31 +26,21 @@ def box_values(results: DataFrame, x: str, y: str, run: str = "run") -> DataFram
     return results.select(run, x, F.explode(parse_list(y)).alias("value")).where(F.col("value").isNotNull())
 
 
-def box_summary(values: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
-    """Quartiles and whiskers (the extremes within 1.5 interquartile ranges) per key.
-
-    A key's values are the entries of result lists, a handful each, so the exact
-    percentile of one group is a small buffer.
-    """
-    q = values.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    fence = 1.5 * (F.col("q")[2] - F.col("q")[0])
-    inside = F.col(value).between(F.col("q")[0] - fence, F.col("q")[2] + fence)
+def box_summary(values: DataFrame, keys: Sequence[str], value: str = "value", hot_rows: int = 1_000_000) -> DataFrame:
+    """Quartiles and whiskers (the extremes within 1.5 interquartile ranges) per key."""
+    keys = list(keys)
+    q = grouped_quantiles(values, keys, value, [0.25, 0.5, 0.75], hot_rows)
+    q = q.select(*keys, "n", *[F.col("q")[i].alias(c) for i, c in enumerate(("q1", "median", "q3"))])
+    fence = 1.5 * (F.col("q3") - F.col("q1"))
+    inside = F.col(value).between(F.col("q1") - fence, F.col("q3") + fence)
     return (
-        values.join(q, list(keys))
+        join_unique(values, q, keys, "n", hot_rows)
         .groupBy(*keys)
         .agg(
-            F.first("q").alias("q"),
             F.min(F.when(inside, F.col(value))).alias("low"),
+            *[F.max(c).alias(c) for c in ("q1", "median", "q3")],
             F.max(F.when(inside, F.col(value))).alias("high"),
         )
-        .select(
-            *keys,
-            "low",
-            F.col("q")[0].alias("q1"),
-            F.col("q")[1].alias("median"),
-            F.col("q")[2].alias("q3"),
-            "high",
-        )
     )
 
 

@@ -315,9 +315,10 @@ def test_best_points_flags_equal_distances(spark):
     assert flags == {("r", 9.0, "best"): 2, ("r", 8.0, "best"): 2, ("r", 7.0, "second"): 1, ("r", 6.0, ""): 1, ("s", 1.0, "best"): 1}
 
 
-def test_box_summary(spark):
+@pytest.mark.parametrize("hot_rows", [4, 10_000])
+def test_box_summary(spark, hot_rows):
     lists = spark.createDataFrame([("r", 1, "[1.0, 2.0, 3.0, 4.0, 100.0]"), ("r", 2, "[5.0, null]")], "run string, x int, v string")
-    got = {r.x: tuple(r)[2:] for r in results.box_summary(results.box_values(lists, "x", "v"), ["run", "x"]).collect()}
+    got = {r.x: tuple(r)[2:] for r in results.box_summary(results.box_values(lists, "x", "v"), ["run", "x"], hot_rows=hot_rows).collect()}
     assert got == {1: (1.0, 2.0, 3.0, 4.0, 4.0), 2: (5.0, 5.0, 5.0, 5.0, 5.0)}
 
 

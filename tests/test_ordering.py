@@ -89,3 +89,15 @@ def test_join_unique_spreads_hot_keys(spark):
     key = lambda df: sorted((r.row_id, r.k, r.n, r.first) for r in df.collect())
     assert key(plain) == key(split) and len(key(split)) == 300
     assert "BroadcastHashJoin" in split._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("hot_rows", [20, 10_000])
+def test_grouped_quantiles(spark, hot_rows):
+    rows = [(i % 2, "hot" if i % 3 else f"k{i % 30}", v) for i, (_, _, v) in enumerate(skewed(900))]
+    df = spark.createDataFrame(rows, "a int, b string, v double")
+    got = {(r.a, r.b): (r.n, r.q) for r in ordering.grouped_quantiles(df, ["a", "b"], "v", [0.25, 0.5, 0.9], hot_rows).collect()}
+    keys = {(a, b) for a, b, _ in rows}
+    assert set(got) == keys
+    for key in keys:
+        values = [v for a, b, v in rows if (a, b) == key]
+        assert got[key][0] == len(values) and got[key][1] == pytest.approx(list(np.quantile(values, [0.25, 0.5, 0.9])))
