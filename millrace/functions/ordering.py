@@ -317,15 +317,22 @@ def running_counts(counts: DataFrame, group: str, value: str, n: Sequence[str],
 
 
 def join_unique(
-    rows: DataFrame, lookup: DataFrame, keys: Sequence[str], copies: str, hot_rows: int = 1_000_000
+    rows: DataFrame,
+    lookup: DataFrame,
+    keys: Sequence[str],
+    copies: str,
+    hot_rows: int = 1_000_000,
+    at_most: int | None = None,
 ) -> DataFrame:
     """Joins rows to a lookup that holds each key once together with its row count.
 
     Keys with more rows than the limit number at most 10,000 (all rows / limit);
     that part of the lookup goes to every task instead of pulling the hot rows
-    into one.
+    into one.  ``at_most`` is a known bound of the number of rows.
     """
     keys = list(keys)
+    if at_most is not None and at_most <= hot_rows:
+        return rows.join(lookup, keys)
     top, total = lookup.agg(F.max(copies), F.sum(copies)).first()
     limit = max(hot_rows, (total or 0) // 10_000)
     if (top or 0) <= limit:

@@ -38,7 +38,7 @@ def components(edges: DataFrame) -> DataFrame:
     for _ in range(MAX_ROUNDS):
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = (
-            join_unique(both, _lowest(both), ["u"], "n")
+            join_unique(both, _lowest(both), ["u"], "n", at_most=2 * mark[0])
             .where(F.col("v") > F.col("u"))
             .select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
             .distinct()
@@ -46,7 +46,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = cut_lineage(large)
         low = _lowest(large)
         small = (
-            join_unique(large, low, ["u"], "n")
+            join_unique(large, low, ["u"], "n", at_most=2 * mark[0])
             .where(F.col("v") != F.col("m"))
             .select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(low.select("u", F.col("m").alias("v")))
