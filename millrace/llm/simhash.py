@@ -20,6 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.llm.common import as_bytes, row_key, stored
 from millrace.operators.components import components
@@ -49,7 +50,7 @@ def fingerprint_of(text: bytes, words: int = 3) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
-@F.arrow_udf("bigint")
+@F.arrow_udf(T.LongType())
 def fingerprint(texts: pa.Array) -> pa.Array:
     """The fingerprint's 64 bits as a signed number."""
     return pa.array(np.array([fingerprint_of(t.as_py()) for t in texts], "<u8").view("<i8"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SPACE = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
@@ -15,7 +16,7 @@ MARKS = b".,;:!?"
 STATS = (
     "n_words n_distinct word_chars n_symbols n_upper n_digits n_marks n_exclaims n_lines n_dup_lines n_repeat_words n_long"
 ).split()
-SCHEMA = "struct<" + ",".join(f"{s}:bigint" for s in STATS) + ">"
+SCHEMA = T.StructType([T.StructField(s, T.LongType()) for s in STATS])
 
 
 def windows_twice(ids: np.ndarray, vocabulary: int, width: int) -> int:
