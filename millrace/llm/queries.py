@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import host_rules, simhash, substrings
+from millrace.llm import brown, host_rules, licenses, quality, simhash, substrings
 from millrace.llm.common import table
 from millrace.llm.registry import query
 
 
+@query()
+def op2_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op3_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.judged(table(spark, sf_dir, "documents"))
@@ -19,6 +24,16 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup_digest(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op5_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query()
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op9_class_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.perplexities(table(spark, sf_dir, "documents"))
