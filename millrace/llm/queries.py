@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import brown, host_rules, licenses, quality, simhash, substrings
+from millrace.llm import brown, host_rules, licenses, quality, simhash, substrings, urllists
 from millrace.llm.common import table
 from millrace.llm.registry import query
 
@@ -34,6 +34,13 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query(urllists.SQL)
+def op8_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    found = urllists.judged(urllists.with_fetch_day(pages), urllists.derived_events(pages))
+    return found.withColumn("fetched", found["fetched"].cast("string"))
+
+
 @query()
 def op9_class_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown.perplexities(table(spark, sf_dir, "documents"))
