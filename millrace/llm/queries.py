@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import brown, host_rules, licenses, quality, simhash, substrings, urllists
+from millrace.llm import brown, contamination, host_rules, licenses, quality, simhash, substrings, urllists
 from millrace.llm.common import table
 from millrace.llm.registry import query
 
@@ -34,6 +34,12 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op7_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "similarity", "n_windows", "n_slots")
+
+
 @query(urllists.SQL)
 def op8_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
