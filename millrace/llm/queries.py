@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import brown, contamination, host_rules, licenses, quality, simhash, substrings, urllists
+from millrace.llm import brown, contamination, host_rules, licenses, mixing, privacy, quality, simhash, substrings, urllists
 from millrace.llm.common import table
 from millrace.llm.registry import query
 
 
+@query()
+def op1_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return privacy.report(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op2_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scanned(table(spark, sf_dir, "documents"))
@@ -50,3 +55,8 @@ def op8_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op9_class_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown.perplexities(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op10_target_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
