@@ -30,7 +30,6 @@ def rules(s: str = "s_") -> dict[str, Column]:
         "repetition": 100 * c("n_repeat_words") > 20 * n,
         "symbols": 10 * c("n_symbols") > n,
         "repeated_lines": 10 * c("n_dup_lines") > 3 * c("n_lines"),
-        "word_length": (c("word_chars") < 3 * n) | (c("word_chars") > 12 * n),
     }
 
 
