@@ -128,17 +128,18 @@ def _near(text: Column, span: Column, reach: int) -> Column:
 
 
 def _mentions(found: DataFrame, reach: int) -> DataFrame:
-    """One row for each (mention, near term): k1, k2, h, entity, term, start, end."""
-    some = found.where(F.size("spans_") > 0)
-    # by row: the spans in one list, to leave out words that overlap any of them
-    rows = some.select("k1", "k2", "h", "text_", "spans_", F.explode("spans_").alias("x"))
-    near = rows.select("k1", "k2", "h", "x.start", "x.end", F.concat_ws(":", "x.kind", F.lower("x.value")).alias("entity"), "spans_", _near(F.col("text_"), F.col("x"), reach).alias("near"), "x")
+    """One row for each (mention, near term): k1, k2, h, row, entity, term, start, end.  To be stored: ``row`` numbers the documents."""
+    some = found.where(F.size("spans_") > 0).withColumn("row", F.monotonically_increasing_id())
+    rows = some.select("k1", "k2", "h", "row", "text_", "spans_", F.explode("spans_").alias("x"))
+    entity = F.concat_ws(":", "x.kind", F.lower("x.value")).alias("entity")
+    near = rows.select("k1", "k2", "h", "row", "x", entity, "spans_", _near(F.col("text_"), F.col("x"), reach).alias("near"))
+    # words that overlap a span are part of it
     close = F.filter("spans_", lambda s: (s["end"] > F.col("x.start") - reach) & (s["start"] < F.col("x.end") + reach))
     free = F.filter("near", lambda w: ~F.exists(F.col("close"), lambda s: (w["start"] < s["end"]) & (w["end"] > s["start"])))
     return (
         near.withColumn("close", close)
-        .select("k1", "k2", "h", "entity", F.explode(free).alias("w"))
-        .select("k1", "k2", "h", "entity", "w.term", "w.start", "w.end")
+        .select("k1", "k2", "h", "row", "entity", F.explode(free).alias("w"))
+        .select("k1", "k2", "h", "row", "entity", "w.term", "w.start", "w.end")
     )
 
 
@@ -152,10 +153,10 @@ def disclosures(
     mentions: DataFrame, counts: DataFrame, n_docs: int, support: int = SUPPORT, threshold: float = GENERALISE
 ) -> DataFrame:
     """(entity, term, share): how much of the entity's information the term gives away, where above the threshold."""
-    met = mentions.select("entity", "term", "k1", "k2", "h").distinct()
+    met = mentions.select("entity", "term", "row", "h").distinct()
     pairs = met.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("together"), F.countDistinct("h").alias("texts"))
     pairs = pairs.where(F.col("texts") >= support)
-    entities = met.groupBy("entity").agg(F.countDistinct("k1", "k2").alias("of_entity"))
+    entities = met.groupBy("entity").agg(F.countDistinct("row").alias("of_entity"))
     information = F.log2(F.lit(float(n_docs)) / F.col("of_entity"))
     gained = F.log2(F.col("together") * F.lit(float(n_docs)) / (F.col("of_entity") * F.col("df")))
     return (
@@ -176,7 +177,7 @@ def risky_terms(docs: DataFrame, found: DataFrame, text: str, reach: int, suppor
     mentions = stored(_mentions(found, reach), "mentions")
     n_docs = docs.count()
     risky = disclosures(mentions, document_counts(docs, text), n_docs, support, threshold)
-    hidden = mentions.distinct().join(risky, ["entity", "term"])
+    hidden = mentions.select("k1", "k2", "entity", "term", "start", "end").distinct().join(risky, ["entity", "term"])
     # a term may be near two entities: the larger share counts
     each = hidden.groupBy("k1", "k2", "start", "end").agg(F.max("share").alias("share"))
     return each.groupBy("k1", "k2").agg(F.array_sort(F.collect_list(F.struct("start", "end", "share"))).alias("terms"))
