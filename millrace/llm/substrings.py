@@ -1,10 +1,10 @@
 """Removal of repeated passages: Rabin-Karp hashes of every fixed-length token window.
 
-Pass 1 hashes the windows of each text.  Windows that repeat within one Arrow
-batch are known at once; one copy of each other window goes, packed with its
-place, to the part that its hash names (a hot window reaches that part at most
-once per batch).  Pass 2 finds the hashes that came from two places and sends the
-places back to their documents, where the windows merge into removal intervals.
+Pass 1 hashes the windows of each text.  Windows that repeat within one pack
+of windows are known at once; one copy of each other window goes, packed
+with its place, to the part that its hash names (a hot window reaches that part
+at most once per pack).  Pass 2 finds the hashes that came from two places and sends the
+places, packed again, to their documents, where they merge into maximal intervals.
 
 A window is told by 56 bits of one polynomial hash and by its part, chosen with a
 second one: two different windows are taken for equal about once in 2^56 pairs
@@ -28,8 +28,10 @@ WINDOW = 35
 #: Bytes of text whose windows meet in one part.
 PART_BYTES = 16_000_000
 #: Words whose hashes a task remembers.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 100_000
 HASH_BYTES = 7
+#: Windows that a task packs at once.
+PACKED_WINDOWS = 500_000
 
 BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD95))
 
@@ -96,8 +98,10 @@ def ungapped(steps: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 PACKED = pa.schema([("part", pa.int32()), ("known", pa.bool_()), ("keys", pa.binary()), ("counts", pa.binary()), ("places", pa.binary()), ("hashes", pa.binary()), ("seen", pa.binary())])
 PACKED_DDL = "part int, known boolean, keys binary, counts binary, places binary, hashes binary, seen binary"
-FOUND = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("places", pa.binary())])
-FOUND_DDL = "k1 bigint, k2 bigint, places binary"
+REPLIES = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("places", pa.binary())])
+REPLIES_DDL = "bucket int, keys binary, counts binary, places binary"
+FOUND = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("spans", pa.binary())])
+FOUND_DDL = "k1 bigint, k2 bigint, spans binary"
 
 
 def by_document(doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, bytes]:
@@ -106,139 +110,185 @@ def by_document(doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndar
     return docs, counts, pack(gaps(place, counts), 4)
 
 
+def packed_rows(keys: np.ndarray, hashes: np.ndarray, part: np.ndarray, doc: np.ndarray, place: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Rows for the windows of some documents: those that repeat among them, and by part one copy of each."""
+    order = np.lexsort((part, hashes)) if parts > 1 else np.argsort(hashes, kind="stable")
+    h, p = hashes[order], part[order]
+    same = (h[1:] == h[:-1]) & (p[1:] == p[:-1])
+    first = np.concatenate(([True], ~same))
+    again = np.zeros(len(h), bool)
+    again[1:] |= same
+    again[:-1] |= same
+    twice = np.sort(order[again])
+    seen = order[first & again]
+    single = np.sort(order[~again])
+    rows = {c: [] for c in PACKED.names}
+
+    def add(part_, known_, docs_, counts_, places_, hashes_, seen_):
+        values = (part_, known_, keys[docs_].tobytes(), pack(counts_, 4), places_, pack(hashes_, HASH_BYTES), pack(seen_, HASH_BYTES))
+        for c, v in zip(rows, values):
+            rows[c].append(v)
+
+    none = np.zeros(0, np.uint64)
+    if len(twice):
+        docs, counts, places = by_document(doc[twice], place[twice])
+        add(int(keys[0, 0] % parts), True, docs, counts, places, none, none)
+    single = single[np.argsort(part[single], kind="stable")]
+    seen = seen[np.argsort(part[seen], kind="stable")]
+    marks = np.arange(parts + 1)
+    at, at_seen = np.searchsorted(part[single], marks), np.searchsorted(part[seen], marks)
+    for k in np.flatnonzero((at[1:] > at[:-1]) | (at_seen[1:] > at_seen[:-1])):
+        own = single[at[k] : at[k + 1]]
+        docs, counts, places = by_document(doc[own], place[own])
+        add(int(k), False, docs, counts, places, hashes[own], hashes[seen[at_seen[k] : at_seen[k + 1]]])
+    return pa.RecordBatch.from_pydict(rows, schema=PACKED)
+
+
 def windows_of(width: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHash()
         for batch in batches:
             keys = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)], 1).astype("<i8")
-            hashes, part, doc, place = [], [], [], []
+            held: list[tuple[np.ndarray, ...]] = []
+            size = 0
             for d, text in enumerate(batch.column(2)):
                 words = text.as_py().split()
                 n = len(words)
                 if n < width:
                     continue
                 x = np.fromiter(map(known.__getitem__, words), np.uint64, n)
-                hashes.append(mixed(rolling(x, width, BASES[0])))
-                part.append((mixed(rolling(mixed(x), width, BASES[1])) % np.uint64(parts)).astype(np.int32))
-                doc.append(np.full(n - width + 1, d, np.int32))
-                place.append(np.arange(n - width + 1, dtype=np.int64))
-            if not hashes:
-                continue
-            hashes, part, doc, place = map(np.concatenate, (hashes, part, doc, place))
-            hashes &= np.uint64((1 << 8 * HASH_BYTES) - 1)
-            # equal windows of this batch: one stands for all
-            order = np.lexsort((part, hashes)) if parts > 1 else np.argsort(hashes, kind="stable")
-            h, p = hashes[order], part[order]
-            same = (h[1:] == h[:-1]) & (p[1:] == p[:-1])
-            first = np.concatenate(([True], ~same))
-            again = np.zeros(len(h), bool)
-            again[1:] |= same
-            again[:-1] |= same
-            twice = np.sort(order[again])
-            seen = order[first & again]
-            single = np.sort(order[~again])
-            rows = {c: [] for c in PACKED.names}
-
-            def add(part_, known_, docs_, counts_, places_, hashes_, seen_):
-                values = (part_, known_, keys[docs_].tobytes(), pack(counts_, 4), places_, pack(hashes_, HASH_BYTES), pack(seen_, HASH_BYTES))
-                for c, v in zip(rows, values):
-                    rows[c].append(v)
-
-            none = np.zeros(0, np.uint64)
-            if len(twice):
-                docs, counts, places = by_document(doc[twice], place[twice])
-                add(int(keys[0, 0] % parts), True, docs, counts, places, none, none)
-            single = single[np.argsort(part[single], kind="stable")]
-            seen = seen[np.argsort(part[seen], kind="stable")]
-            marks = np.arange(parts + 1)
-            at, at_seen = np.searchsorted(part[single], marks), np.searchsorted(part[seen], marks)
-            for k in np.flatnonzero((at[1:] > at[:-1]) | (at_seen[1:] > at_seen[:-1])):
-                own = single[at[k] : at[k + 1]]
-                docs, counts, places = by_document(doc[own], place[own])
-                add(int(k), False, docs, counts, places, hashes[own], hashes[seen[at_seen[k] : at_seen[k + 1]]])
-            yield pa.RecordBatch.from_pydict(rows, schema=PACKED)
+                h = mixed(rolling(x, width, BASES[0])) & np.uint64((1 << 8 * HASH_BYTES) - 1)
+                part = (mixed(rolling(mixed(x), width, BASES[1])) % np.uint64(parts)).astype(np.int32)
+                held.append((h, part, np.full(len(h), d, np.int32), np.arange(len(h), dtype=np.int32)))
+                size += len(h)
+                if size >= PACKED_WINDOWS:
+                    yield packed_rows(keys, *map(np.concatenate, zip(*held)), parts)
+                    held, size = [], 0
+            if held:
+                yield packed_rows(keys, *map(np.concatenate, zip(*held)), parts)
+
+    return run
+
+
+def read_places(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, rows of each, and the places of a packed row."""
+    keys = np.frombuffer(row["keys"], "<i8").reshape(-1, 2)
+    counts = unpack(row["counts"], 4).astype(np.int64)
+    places = ungapped(unpack(row["places"], 4).astype(np.int64), counts) if len(counts) else np.zeros(0, np.int64)
+    return keys, counts, places
+
+
+def repeated(parts: int):
+    """Places of windows that came from two places or were known to repeat, packed by the bucket of their document."""
+
+    def replies(keys: np.ndarray, counts: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
+        doc = np.repeat(np.arange(len(keys)), counts)
+        bucket = keys[:, 0] % parts
+        order = np.argsort(bucket[doc], kind="stable")
+        doc, places = doc[order], places[order]
+        at = np.searchsorted(bucket[doc], np.arange(parts + 1))
+        rows = {c: [] for c in REPLIES.names}
+        for k in np.flatnonzero(at[1:] > at[:-1]):
+            own = slice(at[k], at[k + 1])
+            docs, n, packed = by_document(doc[own], places[own])
+            for c, v in zip(rows, (int(k), keys[docs].tobytes(), pack(n, 4), packed)):
+                rows[c].append(v)
+        return pa.RecordBatch.from_pydict(rows, schema=REPLIES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        all_keys, docs, places, hashes, seen, n_docs = [], [], [], [], [], 0
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = {c: batch.column(c)[k].as_py() for c in PACKED.names}
+                keys, counts, own = read_places(row)
+                if row["known"]:
+                    yield replies(keys, counts, own)
+                    continue
+                all_keys.append(keys)
+                docs.append(np.repeat(np.arange(n_docs, n_docs + len(keys), dtype=np.int32), counts))
+                places.append(own.astype(np.uint32))
+                hashes.append(unpack(row["hashes"], HASH_BYTES))
+                seen.append(unpack(row["seen"], HASH_BYTES))
+                n_docs += len(keys)
+        if not hashes:
+            return
+        n = sum(map(len, hashes))
+        merged = np.concatenate(hashes + seen)
+        del hashes, seen
+        order = np.argsort(merged, kind="stable")
+        merged = merged[order]
+        same = merged[1:] == merged[:-1]
+        again = np.zeros(len(merged), bool)
+        again[1:] |= same
+        again[:-1] |= same
+        hit = np.sort(order[again])
+        hit = hit[hit < n]
+        if len(hit):
+            own, counts = np.unique(np.concatenate(docs)[hit], return_counts=True)
+            yield replies(np.concatenate(all_keys)[own], counts, np.concatenate(places)[hit].astype(np.int64))
 
     return run
 
 
-def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row key, places) of windows that came from two places or were known to repeat."""
+def gathered(width: int):
+    """One row per document: its removal intervals, from the replies of all parts."""
 
-    def found(keys: np.ndarray, counts: np.ndarray, places: np.ndarray) -> Iterator[pa.RecordBatch]:
-        ends = np.cumsum(counts)
-        small = places.astype("<u4")
-        cut = [small[e - c : e].tobytes() for c, e in zip(counts.tolist(), ends.tolist())]
-        for at in range(0, len(cut), 4096):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        all_keys, docs, places, n_docs = [], [], [], 0
+        for batch in batches:
+            for k in range(batch.num_rows):
+                keys, counts, own = read_places({c: batch.column(c)[k].as_py() for c in REPLIES.names})
+                all_keys.append(keys)
+                docs.append(np.repeat(np.arange(n_docs, n_docs + len(keys), dtype=np.int32), counts))
+                places.append(own.astype(np.uint32))
+                n_docs += len(keys)
+        if not places:
+            return
+        names, number = np.unique(np.concatenate(all_keys), axis=0, return_inverse=True)
+        doc = number.reshape(-1)[np.concatenate(docs)].astype(np.int64)
+        place = np.concatenate(places)
+        del docs, places
+        order = np.lexsort((place, doc))
+        doc, place = doc[order], place[order].astype(np.int64)
+        # an interval ends where the next window starts behind it or belongs to another document
+        cut = np.flatnonzero((doc[1:] != doc[:-1]) | (np.diff(place) > width))
+        first, last = np.concatenate(([0], cut + 1)), np.concatenate((cut, [len(doc) - 1]))
+        spans = np.stack((place[first], place[last] + width), axis=1).astype("<u4")
+        ends = np.searchsorted(doc[first], np.arange(len(names)), side="right")
+        begins = np.concatenate(([0], ends[:-1]))
+        packed = [spans[a:b].tobytes() for a, b in zip(begins.tolist(), ends.tolist())]
+        for at in range(0, len(packed), 4096):
             some = slice(at, at + 4096)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys[some, 0]), pa.array(keys[some, 1]), pa.array(cut[some], pa.binary())], schema=FOUND
+                [pa.array(names[some, 0]), pa.array(names[some, 1]), pa.array(packed[some], pa.binary())], schema=FOUND
             )
 
-    all_keys, docs, places, hashes, seen, n_docs = [], [], [], [], [], 0
-    for batch in batches:
-        for row in batch.to_pylist():
-            keys = np.frombuffer(row["keys"], "<i8").reshape(-1, 2)
-            counts = unpack(row["counts"], 4).astype(np.int64)
-            own = ungapped(unpack(row["places"], 4).astype(np.int64), counts) if len(counts) else np.zeros(0, np.int64)
-            if row["known"]:
-                yield from found(keys, counts, own)
-                continue
-            all_keys.append(keys)
-            docs.append(np.repeat(np.arange(n_docs, n_docs + len(keys), dtype=np.int32), counts))
-            places.append(own.astype(np.uint32))
-            hashes.append(unpack(row["hashes"], HASH_BYTES))
-            seen.append(unpack(row["seen"], HASH_BYTES))
-            n_docs += len(keys)
-    if not hashes:
-        return
-    n = sum(map(len, hashes))
-    hashes = np.concatenate(hashes + seen)
-    order = np.argsort(hashes, kind="stable")
-    hashes = hashes[order]
-    same = hashes[1:] == hashes[:-1]
-    again = np.zeros(len(hashes), bool)
-    again[1:] |= same
-    again[:-1] |= same
-    hit = np.sort(order[again])
-    hit = hit[hit < n]
-    if not len(hit):
-        return
-    docs, places, keys = np.concatenate(docs)[hit], np.concatenate(places)[hit], np.concatenate(all_keys)
-    own, counts = np.unique(docs, return_counts=True)
-    yield from found(keys[own], counts, places)
+    return run
 
 
-def repeated_windows(docs: DataFrame, doc_id: str, text: str, width: int = WINDOW) -> DataFrame:
-    """(k1, k2, places): by row key, packed starts of the windows that start elsewhere too; a key has many rows."""
+def removal_intervals(docs: DataFrame, doc_id: str, text: str, width: int = WINDOW) -> DataFrame:
+    """(k1, k2, spans): by row key, packed word intervals covered by windows that start elsewhere too."""
     parts = parts_for(docs, text_bytes(docs, text), PART_BYTES)
     k1, k2 = row_key(doc_id, text)
     packed = docs.select(k1.alias("k1"), k2.alias("k2"), as_bytes(text).alias("text")).mapInArrow(
         windows_of(width, parts), PACKED_DDL
     )
-    return packed.repartition(parts, "part").mapInArrow(repeated, FOUND_DDL)
-
-
-def intervals(places: list[bytes] | None, width: int) -> list[tuple[int, int]]:
-    """Maximal word intervals [start, end) covered by the windows."""
-    if not places:
-        return []
-    starts = np.unique(np.concatenate([np.frombuffer(p, "<u4") for p in places])).astype(np.int64)
-    cut = np.flatnonzero(np.diff(starts) > width)
-    return list(zip(starts[np.concatenate(([0], cut + 1))].tolist(), (starts[np.concatenate((cut, [len(starts) - 1]))] + width).tolist()))
+    answered = packed.repartition(parts, "part").mapInArrow(repeated(parts), REPLIES_DDL)
+    return answered.repartition(parts, "bucket").mapInArrow(gathered(width), FOUND_DDL)
 
 
 RESULT = "struct<n_words:bigint,n_removed:bigint,n_intervals:bigint,kept:binary>"
 DIGEST = "struct<n_words:bigint,n_removed:bigint,n_intervals:bigint,kept_sha256:string>"
 
 
-def remover(width: int, digest: bool):
+def remover(digest: bool):
     @F.arrow_udf(DIGEST if digest else RESULT)
-    def cut(texts: pa.Array, places: pa.Array) -> pa.Array:
+    def cut(texts: pa.Array, intervals: pa.Array) -> pa.Array:
         rows = []
-        for text, own in zip(texts, places):
+        for text, own in zip(texts, intervals):
             words = text.as_py().split()
             n = len(words)
-            spans = intervals(own.as_py(), width)
+            spans = np.frombuffer(own.as_py() or b"", "<u4").reshape(-1, 2).tolist()
             for a, b in reversed(spans):
                 del words[a:b]
             left = b" ".join(words)
@@ -255,9 +305,9 @@ def remover(width: int, digest: bool):
 
 def _cut(docs: DataFrame, doc_id: str, text: str, width: int, digest: bool, carried) -> DataFrame:
     k1, k2 = row_key(doc_id, text)
-    found = repeated_windows(docs, doc_id, text, width).groupBy("k1", "k2").agg(F.collect_list("places").alias("places_"))
+    found = removal_intervals(docs, doc_id, text, width).withColumnRenamed("spans", "spans_")
     rows = docs.select(k1.alias("k1"), k2.alias("k2"), as_bytes(text).alias("text_"), carried)
-    return rows.join(found, ["k1", "k2"], "left").withColumn("cut_", remover(width, digest)("text_", "places_"))
+    return rows.join(found, ["k1", "k2"], "left").withColumn("cut_", remover(digest)("text_", "spans_"))
 
 
 def dedup_digest(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WINDOW) -> DataFrame:
