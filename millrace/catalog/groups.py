@@ -60,7 +60,7 @@ def mini_batch_kmeans(spark, sf):
 
 @query()
 def gaussian_mixture(spark, sf):
-    return cluster.gaussian_mixture(scaled_docs(spark, sf), 3, max_iter=30)[0]
+    return cluster.gaussian_mixture(scaled_docs(spark, sf), 3)[0]
 
 
 @query()

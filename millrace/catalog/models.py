@@ -55,6 +55,19 @@ def nearest_neighbor_join_within_class(spark, sf):
     return rounded(neighbors.knn(emb, emb, 3, group="label", exclude_self=True), "distance")
 
 
+@query(
+    f"""WITH {fx.DOCS_SQL}, kept AS (SELECT row_id, [n_chars, n_lines] AS vec FROM docs_f WHERE row_id % 7 <> 0),
+{st.knn_cte('kept', 'kept', 4)}
+SELECT row_id, neighbor_id, {st.r('distance', 'distance')}, CAST(rank AS INTEGER) AS rank FROM near"""
+)
+def nearest_join_with_missing(spark, sf):
+    """Rows with a missing value neither ask nor answer."""
+    docs = fx.doc_features(spark, sf).persist()
+    gaps = docs.withColumn("n_lines", F.when(F.col("row_id") % 7 != 0, F.col("n_lines")))
+    vectors = gaps.select("row_id", F.array("n_chars", "n_lines").alias("vec"))
+    return rounded(neighbors.knn(vectors, vectors, 4, exclude_self=True, missing="drop"), "distance")
+
+
 @query(f"WITH {fx.EMB_SQL}, {st.knn_cte('emb', 'emb', 1)} SELECT row_id, {st.r('distance', 'distance')} FROM near")
 def nearest_distance_curve(spark, sf):
     """Distance to the closest other row, ascending: the elbow gives eps."""
@@ -174,9 +187,10 @@ ea AS (SELECT d.rep, 1e-9 * greatest({', '.join(f'sum(w * (d.{c} - m_{c}) * (d.{
        FROM drawn d JOIN ma ON ma.rep = d.rep GROUP BY d.rep),
 ll AS (SELECT m.rep, t.row_id, t.quality AS label, m.c, ln(n * 1.0 / n_all) + {ll} AS score
        FROM marked t, m JOIN v ON v.rep = m.rep AND v.c = m.c JOIN ma ON ma.rep = m.rep JOIN ea ON ea.rep = m.rep WHERE is_test),
-one AS (SELECT rep, row_id, label, c FROM (SELECT *, row_number() OVER (PARTITION BY rep, row_id ORDER BY score DESC, c) AS rn FROM ll) WHERE rn = 1)
+top AS (SELECT *, max(score) OVER (PARTITION BY rep, row_id) AS most FROM ll),
+p AS (SELECT row_id, label, c, exp(score - most) / sum(exp(score - most)) OVER (PARTITION BY rep, row_id) AS p FROM top)
 SELECT row_id, label, c AS prediction FROM (
-  SELECT row_id, label, c, row_number() OVER (PARTITION BY row_id ORDER BY count(*) DESC, c) AS rn FROM one GROUP BY row_id, label, c) WHERE rn = 1"""
+  SELECT row_id, label, c, row_number() OVER (PARTITION BY row_id ORDER BY round(sum(p) / {t}, 9) DESC, c) AS rn FROM p GROUP BY row_id, label, c) WHERE rn = 1"""
 
 
 @query(_bagged_bayes_sql())
@@ -194,13 +208,12 @@ def _bagged_nearest_sql(replicates: int = 3, k: int = 5) -> str:
         parts.append(
             f"""drawn{t} AS (SELECT row_id * 16 + unnest(range(w)) AS row_id, vec, quality
               FROM (SELECT *, {DOC_VEC} AS vec, {w} AS w FROM marked WHERE NOT is_test) WHERE w > 0),
-{st.knn_cte('test', f'drawn{t}', k, carry='quality', not_self=False, out=f'near{t}')},
-{st.vote_cte('quality', 'uniform', f'near{t}', f'vote{t}')}"""
+{st.knn_cte('test', f'drawn{t}', k, carry='quality', not_self=False, out=f'near{t}')}"""
         )
-        votes.append(f"SELECT row_id, prediction FROM vote{t}")
+        votes.append(f"SELECT row_id, quality AS c, count(*) / {k}.0 AS p FROM near{t} GROUP BY row_id, quality")
     return f"""WITH {fx.DOCS_SQL}, {st.split_cte('docs_f')}, test AS (SELECT *, {DOC_VEC} AS vec FROM marked WHERE is_test), {', '.join(parts)},
-won AS (SELECT row_id, prediction, row_number() OVER (PARTITION BY row_id ORDER BY count(*) DESC, prediction) AS rn
-        FROM ({' UNION ALL '.join(votes)}) GROUP BY row_id, prediction)
+won AS (SELECT row_id, c AS prediction, row_number() OVER (PARTITION BY row_id ORDER BY round(sum(p), 9) DESC, c) AS rn
+        FROM ({' UNION ALL '.join(votes)}) GROUP BY row_id, c)
 SELECT w.row_id, t.quality AS label, w.prediction FROM won w JOIN test t ON t.row_id = w.row_id WHERE rn = 1"""
 
 

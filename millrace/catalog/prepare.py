@@ -281,6 +281,20 @@ def variable_analysis_job(spark, sf):
 # --- imputation ------------------------------------------------------------------
 
 
+@query(
+    f"""WITH {fx.ORDERS_SQL}, odd AS (SELECT row_id, CASE WHEN priority = 1 THEN 'Infinity'::DOUBLE
+  WHEN priority = 2 AND month = 1 THEN '-Infinity'::DOUBLE ELSE price END AS price FROM orders_f),
+done AS (SELECT row_id, coalesce(price, (SELECT median(price) FROM odd)) AS price FROM odd)
+SELECT row_id, CASE WHEN NOT isinf(price) THEN round(price, 6) END AS price FROM done"""
+)
+def impute_median_with_infinity(spark, sf):
+    """The median over values some of which are infinite; those are shown as NULL."""
+    infinite = F.when(F.col("priority") == 1, float("inf")).when((F.col("priority") == 2) & (F.col("month") == 1), float("-inf"))
+    odd = fx.orders_features(spark, sf).withColumn("price", F.coalesce(infinite, F.col("price")))
+    out = impute.impute(odd, ["price"], "median").select("row_id", "price")
+    return rounded(out.withColumn("price", F.when(F.abs("price") != float("inf"), F.col("price"))), "price")
+
+
 @query(f"WITH {fx.FILLED_SQL} SELECT row_id, {r('price', 'price')}, {r('month', 'month')} FROM filled")
 def impute_median(spark, sf):
     out = impute.impute(fx.orders_features(spark, sf), ["price", "month"], "median")

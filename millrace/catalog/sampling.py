@@ -92,13 +92,13 @@ def balance_combined(spark, sf):
 def cluster_centroid_counts(spark, sf):
     """Class sizes after the larger class gave way to its cluster centres."""
     docs = fx.doc_features(spark, sf).persist()
-    return sample.class_counts(sample.cluster_centroids(docs, DOC_COLS, "quality", "row_id", max_iter=5), "quality")
+    return sample.class_counts(sample.cluster_centroids(docs, DOC_COLS, "quality", "row_id"), "quality")
 
 
 @query()
 def cluster_centroids(spark, sf):
     docs = fx.doc_features(spark, sf).persist()
-    return rounded(sample.cluster_centroids(docs, DOC_COLS, "quality", "row_id", max_iter=5), *DOC_COLS)
+    return rounded(sample.cluster_centroids(docs, DOC_COLS, "quality", "row_id"), *DOC_COLS)
 
 
 @query(f"WITH {fx.ORDERS_SQL}, {st.split_cte('orders_f')} SELECT row_id, label, is_test FROM marked")
@@ -111,6 +111,19 @@ def stratified_folds(spark, sf):
     return sample.stratified_folds(fx.orders_features(spark, sf).select("row_id", "label"), "label", "row_id", 5)
 
 
+GAPS_SQL = "gaps AS (SELECT row_id, month, CASE WHEN priority <> 4 THEN label END AS label FROM orders_f)"
+
+
+@query(
+    f"""WITH {fx.ORDERS_SQL}, {GAPS_SQL}, named AS (SELECT * FROM gaps WHERE label IS NOT NULL), {st.folds_cte('named', 'label', 5, 't.month')}
+SELECT row_id, label, fold FROM folds UNION ALL SELECT row_id, label, NULL FROM gaps WHERE label IS NULL"""
+)
+def folds_with_missing_labels(spark, sf):
+    """Rows without a label stay, in no fold."""
+    orders = fx.orders_features(spark, sf).withColumn("label", F.when(F.col("priority") != 4, F.col("label")))
+    return sample.stratified_folds(orders.select("row_id", "label"), "label", "row_id", 5)
+
+
 @query(
     f"""WITH {fx.DOCS_SQL}, {st.folds_cte('docs_f', 'quality', 7, 't.toxic')}
 SELECT fold, quality, count(*) AS n FROM folds GROUP BY fold, quality"""

@@ -14,6 +14,7 @@ a third of a very large table, so the helpers here work from counts instead:
 from __future__ import annotations
 
 import math
+import sys
 from collections import defaultdict
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
@@ -28,6 +29,7 @@ from millrace.session import cut_lineage
 
 LEAF_ROWS = 200_000
 HISTOGRAM_ROWS = 200_000
+MOST_DOUBLE, LEAST_DOUBLE = sys.float_info.max, 5e-324
 
 
 @dataclass(frozen=True)
@@ -60,10 +62,22 @@ def hash_bounds(df: DataFrame, group: str) -> dict[object, Bounds]:
 
 
 def _offset(value: Column, lo: Column, integral: bool) -> Column:
-    # Decimal differences of BIGINT keys neither overflow nor lose low bits.
+    # Decimal differences of BIGINT keys neither overflow nor lose low bits; halves of doubles do not overflow.
     if integral:
         return (value.cast("decimal(20,0)") - lo.cast("decimal(20,0)")).cast("double")
-    return value - lo
+    return value.cast("double") / 2 - lo.cast("double") / 2
+
+
+def _bucket(buckets: int, integral: bool) -> Column:
+    """Equal-width bucket of ``v_`` in [lo_, hi_]; infinite values are buckets of their own below and above."""
+    lo, hi, value = F.col("lo_"), F.col("hi_"), F.col("v_")
+    if not integral:
+        lo, hi = F.greatest(lo, F.lit(-MOST_DOUBLE)), F.least(hi, F.lit(MOST_DOUBLE))
+    width = F.greatest(_offset(hi, lo, integral) / F.lit(float(buckets)), F.lit(LEAST_DOUBLE))
+    inner = F.least(F.lit(float(buckets - 1)), F.floor(_offset(value, lo, integral) / width)).cast("int")
+    if integral:
+        return inner
+    return F.when(value > MOST_DOUBLE, buckets).when(value < -MOST_DOUBLE, -1).otherwise(inner)
 
 
 def order_statistics(
@@ -114,14 +128,10 @@ def order_statistics(
         if not wide:
             break
         buckets = max(4, min(16_384, HISTOGRAM_ROWS // len(wide)))
-        width = _offset(F.col("hi_"), F.col("lo_"), integral) / F.lit(float(buckets))
-        bucket = F.least(
-            F.lit(buckets - 1), F.floor(_offset(F.col("v_"), F.col("lo_"), integral) / width).cast("int")
-        )
         histogram = defaultdict(list)
         for r in (
             rows_in(wide)
-            .groupBy("span_", bucket.alias("bucket"))
+            .groupBy("span_", _bucket(buckets, integral).alias("bucket"))
             .agg(F.count(F.lit(1)).alias("n"), F.min("v_").alias("lo"), F.max("v_").alias("hi"))
             .collect()
         ):
@@ -131,6 +141,8 @@ def order_statistics(
                 continue
             for _, count, b_lo, b_hi in sorted(histogram[wide[(key[0], lo, hi)]]):
                 if below + count > key[1]:
+                    if (b_lo, b_hi) == (lo, hi):
+                        raise RuntimeError(f"the range [{lo}, {hi}] does not get narrower")
                     pending[key] = (b_lo, b_hi, below, count)
                     break
                 below += count
@@ -164,6 +176,11 @@ def long_form(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = ()) -> D
     return prepared.unpivot(list(keep), list(cols), "attribute", "x").where(F.col("x").isNotNull())
 
 
+def _between(low: float, high: float, share: float) -> float:
+    # equal infinities have no difference
+    return low if share == 0 or low == high else low + (high - low) * share
+
+
 def exact_quantiles(
     df: DataFrame, cols: Sequence[str], probs: Sequence[float], leaf_rows: int = LEAF_ROWS
 ) -> dict[str, list[float | None]]:
@@ -183,7 +200,7 @@ def exact_quantiles(
         for p in probs:
             h = p * (bounds[c].n - 1)
             low, high = found[(c, math.floor(h))].value, found[(c, math.ceil(h))].value
-            values.append(low + (high - low) * (h - math.floor(h)))
+            values.append(_between(low, high, h - math.floor(h)))
         out[c] = values
     return out
 
@@ -225,7 +242,7 @@ def grouped_quantiles(
         for p in probs:
             h = p * (bounds[i].n - 1)
             low, high = found[(i, math.floor(h))].value, found[(i, math.ceil(h))].value
-            q.append(low + (high - low) * (h - math.floor(h)))
+            q.append(_between(low, high, h - math.floor(h)))
         out.append((*[r[k] for k in keys], bounds[i].n, q))
     schema = T.StructType(key_fields + [T.StructField("n", T.LongType()), T.StructField("q", T.ArrayType(T.DoubleType()))])
     small = of_small(rows.join(numbered.select(*keys), keys, "left_anti"))
@@ -243,7 +260,7 @@ def smallest_per_group(
 ) -> DataFrame:
     """The ``quota[g]`` rows of each group with the smallest (key, row_id).
 
-    Groups missing from ``quota`` are kept whole.  ``hashed`` tells that the key
+    Groups missing from ``quota`` and rows without a group are kept whole.  ``hashed`` tells that the key
     is a row hash, whose range is known without reading it.
     """
     bounds = hash_bounds(df, group) if hashed else group_bounds(df, group, key)
@@ -266,10 +283,11 @@ def smallest_per_group(
             table.append((g, hit.value, tied, False))
             if tied:
                 spare[g] = quota[g]
-        elif quota.get(g, b.n) > 0:
-            table.append((g, None, False, True))
-    # one row per group value
-    marked = df.join(F.broadcast(df.sparkSession.createDataFrame(table, schema)), group)
+        else:
+            table.append((g, None, False, quota.get(g, b.n) > 0))
+    # one row per group value; rows without a group match none and are kept
+    marked = df.join(F.broadcast(df.sparkSession.createDataFrame(table, schema)), group, "left")
+    marked = marked.withColumns({"all_": F.coalesce("all_", F.lit(True)), "tied_": F.coalesce("tied_", F.lit(False))})
     kept = marked.where(
         F.col("all_") | (F.col(key) < F.col("cut_")) | (~F.col("tied_") & (F.col(key) == F.col("cut_")))
     )

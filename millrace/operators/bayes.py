@@ -99,9 +99,14 @@ class GaussianModel:
             out.append(_sum(terms))
         return out
 
+    def _scores(self) -> str:
+        """SQL for the likelihoods of all classes, NULL where a feature is missing."""
+        total = _sum([f"CAST(`{f}` AS DOUBLE)" for f in self.features])
+        return f"IF(isnan({total}), NULL, array({', '.join(self.log_likelihoods())}))"
+
     def class_index(self) -> str:
         """SQL for the 0-based most likely class, the first one when equal."""
-        scores = f"array({', '.join(self.log_likelihoods())})"
+        scores = self._scores()
         return f"CAST(array_position({scores}, array_max({scores})) - 1 AS INT)"
 
     @property
@@ -117,8 +122,12 @@ class GaussianModel:
         @F.pandas_udf(kind)
         def scored(*columns: pd.Series) -> pd.Series:
             x = np.column_stack([c.to_numpy(dtype=np.float64) for c in columns])
-            logs = np.column_stack([k - 0.5 * ((x - m) ** 2 / v).sum(axis=1) for k, m, v in zip(const, mean, var)])
-            return pd.Series(reduce(logs))
+            known = ~np.isnan(x).any(axis=1)
+            logs = np.column_stack([k - 0.5 * ((x[known] - m) ** 2 / v).sum(axis=1) for k, m, v in zip(const, mean, var)])
+            out = np.full(len(x), None, dtype=object)
+            for at, value in zip(np.flatnonzero(known), reduce(logs) if known.any() else []):
+                out[at] = value
+            return pd.Series(out)
 
         return scored(*[F.col(f).cast("double") for f in self.features])
 
@@ -134,10 +143,11 @@ class GaussianModel:
                 return list(e / e.sum(axis=1, keepdims=True))
 
             return self._vectorised(shares, "array<double>")
-        logs = F.expr(f"array({', '.join(self.log_likelihoods())})")
+        logs = F.expr(self._scores())
+        known = F.forall(logs, lambda x: x.isNotNull())
         shifted = F.transform(logs, lambda x: F.exp(x - F.array_max(logs)))
         total = F.aggregate(shifted, F.lit(0.0), lambda a, x: a + x)
-        return F.transform(shifted, lambda x: x / total)
+        return F.when(known, F.transform(shifted, lambda x: x / total))
 
 
 def model_from(moments: Iterable[Moments], features: Sequence[str], rescaled: bool = False) -> GaussianModel:

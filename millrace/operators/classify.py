@@ -189,25 +189,22 @@ class Votes:
 
     def predict(self, df: DataFrame) -> DataFrame:
         weights = self.weights or (1.0,) * len(self.members)
-        if self.voting == "soft":
-            return self._soft(df, weights)
-        out = df
-        for i, m in enumerate(self.members):
-            out = m.predict(out).withColumnRenamed("prediction", f"p{i}_")
-        columns = [F.col(f"p{i}_") for i in range(len(self.members))]
-        return out.withColumn("prediction", majority(columns, weights, self.classes)).select(*df.columns, "prediction")
-
-    def _soft(self, df: DataFrame, weights: Sequence[float]) -> DataFrame:
-        out = df
-        for i, m in enumerate(self.members):
-            out = m.predict_probability(out).withColumnRenamed("probability", f"p{i}_")
-        mean = [
-            sum((F.col(f"p{i}_")[j] * F.lit(w) for i, w in enumerate(weights)), F.lit(0.0))
-            for j in range(len(self.classes))
-        ]
-        scores = F.array(*mean)
+        soft = self.voting == "soft"
+        k = len(self.classes)
+        # members look at the original rows one by one; their votes meet in one aggregation
+        ballots = None
+        for m, w in zip(self.members, weights):
+            if soft:
+                got = m.predict_probability(df).select(self.row_id, *[(F.col("probability")[j] * F.lit(float(w))).alias(f"v{j}_") for j in range(k)])
+            else:
+                got = m.predict(df).select(
+                    self.row_id, *[F.when(F.col("prediction") == F.lit(c), F.lit(float(w))).otherwise(0.0).alias(f"v{j}_") for j, c in enumerate(self.classes)]
+                )
+            ballots = got if ballots is None else ballots.unionByName(got)
+        totals = ballots.groupBy(self.row_id).agg(*[F.sum(f"v{j}_").alias(f"v{j}_") for j in range(k)])
+        scores = F.array(*[F.round(F.col(f"v{j}_"), 9) for j in range(k)])
         best = F.array_position(scores, F.array_max(scores)) - 1
-        return out.withColumn("prediction", class_at(best, self.classes)).select(*df.columns, "prediction")
+        return df.join(totals.select(self.row_id, class_at(best, self.classes).alias("prediction")), self.row_id)
 
 
 def majority(columns: Sequence[Column], weights: Sequence[float], classes: Sequence) -> Column:
@@ -233,17 +230,29 @@ def fit_voting(df, features, label, row_id, members: Sequence[Mapping], voting:
 
 @dataclass(frozen=True)
 class BaggedBayes:
+    """Mean of the members' probabilities; a class that a replicate lacks has none there."""
+
     models: tuple[GaussianModel, ...]
     classes: tuple
 
+    def predict_probability(self, df: DataFrame) -> DataFrame:
+        out = df.withColumns({f"b{i}_": m.probabilities() for i, m in enumerate(self.models)})
+        shares = [
+            sum((F.col(f"b{i}_")[m.classes.index(c)] for i, m in enumerate(self.models) if c in m.classes), F.lit(0.0))
+            / F.lit(float(len(self.models)))
+            for c in self.classes
+        ]
+        known = F.col("b0_").isNotNull()
+        return out.withColumn("probability", F.when(known, F.array(*shares))).select(*df.columns, "probability")
+
     def predict(self, df: DataFrame) -> DataFrame:
-        return df.withColumn(
-            "prediction", majority([m.prediction() for m in self.models], [1.0] * len(self.models), self.classes)
-        )
+        scores = F.transform("probability", lambda p: F.round(p, 9))
+        best = F.array_position(scores, F.array_max(scores)) - 1
+        return self.predict_probability(df).withColumn("prediction", class_at(best, self.classes)).select(*df.columns, "prediction")
 
 
 def fit_bagging(df, features, label, row_id, base_estimator: str = "decisionTree", n_estimators: int = 10, seed: int = 0, **params):
-    """Members fitted on bootstrap replicates, majority vote."""
+    """Members fitted on bootstrap replicates; their class probabilities are averaged."""
     if base_estimator == "decisionTree":
         return fit_forest(df, features, label, row_id, n_estimators=n_estimators, subset="all", seed=seed, **params)
     if base_estimator == "naiveBays":
@@ -266,7 +275,7 @@ def fit_bagging(df, features, label, row_id, base_estimator: str = "decisionTree
             copies = drawn.withColumn("copy_", F.explode(F.sequence(F.lit(0), F.col("weight_") - 1)))
             train = copies.withColumn(row_id, F.col(row_id) * 16 + F.col("copy_")).drop("copy_", "weight_")
             members.append(fit_knn(train, features, label, row_id, **params))
-        return Votes(tuple(members), row_id, classes=tuple(classes_of(df, label)))
+        return Votes(tuple(members), row_id, "soft", classes=tuple(classes_of(df, label)))
     raise ValueError(f"unknown base estimator {base_estimator}")
 
 

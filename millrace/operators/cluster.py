@@ -21,6 +21,7 @@ from millrace.operators.density import assign_nearest
 from millrace.operators.neighbors import knn, matrix, row_chunks
 from millrace.session import cut_lineage, keep
 
+#: Weighted centres that Ward's criterion merges on the driver, at most.
 MICRO_CLUSTERS = 1_024
 
 
@@ -41,21 +42,26 @@ def kmeans(df: DataFrame, n_clusters: int, max_iter: int = 100, seed: int = 0) -
 
 
 def _batch_sums(rows: DataFrame, centres: np.ndarray) -> dict[int, tuple[float, np.ndarray]]:
-    """Rows and vector sum per nearest centre; a task sends one row per centre."""
+    """Weight and vector sum per nearest centre; a task sends one row per centre.
+
+    A row weighs ``n`` where the table has that column, else one.
+    """
     k, d = centres.shape
+    weighted = "n" in rows.columns
 
     def sums(batches):
         n, total = np.zeros(k), np.zeros((k, d))
         for pdf in batches:
             vectors = matrix(pdf["vec"])
+            weight = pdf["n"].to_numpy(dtype=np.float64) if weighted else np.ones(len(vectors))
             for part in row_chunks(len(vectors), centres.size):
                 near = ((vectors[part, None, :] - centres[None, :, :]) ** 2).sum(axis=2).argmin(axis=1)
-                np.add.at(n, near, 1.0)
-                np.add.at(total, near, vectors[part])
+                np.add.at(n, near, weight[part])
+                np.add.at(total, near, vectors[part] * weight[part, None])
         hit = np.nonzero(n)[0]
         yield pd.DataFrame({"c": hit.astype(np.int32), "n": n[hit], "total": [total[i].tolist() for i in hit]})
 
-    parts = rows.select("vec").mapInPandas(sums, "c int, n double, total array<double>")
+    parts = rows.select("vec", *(["n"] if weighted else [])).mapInPandas(sums, "c int, n double, total array<double>")
     merged = parts.groupBy("c").agg(
         F.sum("n").alias("n"), F.array(*[F.sum(F.col("total")[i]) for i in range(d)]).alias("total")
     )
@@ -63,25 +69,30 @@ def _batch_sums(rows: DataFrame, centres: np.ndarray) -> dict[int, tuple[float,
 
 
 def mini_batch_kmeans(
-    df: DataFrame, n_clusters: int, batch_rows: int = 1_024, max_iter: int = 20, seed: int = 0, tol: float = 1e-4
-) -> tuple[DataFrame, float]:
-    """Centres as running means over hash-chosen batches; each row is in one batch."""
-    rows = _rows(df)
+    df: DataFrame, n_clusters: int, batch_rows: int = 1_024, max_iter: int = 20, seed: int = 0, tol: float = 1e-4,
+    max_batches: int = 16,
+) -> tuple[DataFrame, float]:
+    """Centres as running means over hash-chosen batches, up to ``max_iter`` passes over all rows.
+
+    Every row is in one batch of a pass.  A pass has at most ``max_batches``
+    batches, larger than ``batch_rows`` if need be, since each is a job.  It ends
+    when a whole pass moves the centres by less than ``tol``.
+    """
+    rows = keep(_rows(df))
     n = rows.count()
-    batches = max(1, math.ceil(n / batch_rows))
-    batch = F.floor(uniform(seed, "row_id") * batches)
-    used = rows.withColumn("batch", batch).where(F.col("batch") < max_iter).persist()
+    batches = min(max(1, math.ceil(n / batch_rows)), max_batches)
+    dealt = rows.withColumn("batch", F.floor(uniform(seed, "row_id") * batches))
     first = rows.orderBy(hash_key(f"{seed}:start", "row_id"), "row_id").limit(n_clusters).collect()
     centres = np.array([r["vec"] for r in first], dtype=np.float64)
     weight = np.zeros(len(centres))
-    for step in range(max_iter):
+    for _ in range(max_iter):
         before = centres.copy()
-        for c, (count, total) in _batch_sums(used.where(F.col("batch") == step % batches), centres).items():
-            weight[c] += count
-            centres[c] += (total - count * centres[c]) / weight[c]
-        if step + 1 >= batches and ((centres - before) ** 2).sum() < tol * tol:
+        for batch in range(batches):
+            for c, (count, total) in _batch_sums(dealt.where(F.col("batch") == batch), centres).items():
+                weight[c] += count
+                centres[c] += (total - count * centres[c]) / weight[c]
+        if ((centres - before) ** 2).sum() < tol * tol:
             break
-    used.unpersist()
     out = assign_nearest(df, centres)
     inertia = out.join(rows, "row_id").groupBy("cluster").agg(
         F.sum(
@@ -148,7 +159,7 @@ def _mixture_sums(rows: DataFrame, k: int, d: int, share: Callable[[np.ndarray],
 
 
 def gaussian_mixture(
-    df: DataFrame, n_components: int, max_iter: int = 100, tol: float = 1e-3, reg_covar: float = 1e-6, seed: int = 0
+    df: DataFrame, n_components: int, max_iter: int = 300, tol: float = 1e-3, reg_covar: float = 1e-6, seed: int = 0
 ) -> tuple[DataFrame, float]:
     """Most likely component (full covariances) and the mean log-likelihood.
 
@@ -192,6 +203,8 @@ def gaussian_mixture(
             bound = now
             break
         bound = now
+    else:
+        raise RuntimeError(f"the mixture did not settle in {max_iter} rounds")
 
     def label(batches):
         for pdf in batches:
@@ -227,18 +240,26 @@ def ward(centres: np.ndarray, weights: np.ndarray, n_clusters: int) -> np.ndarra
     return np.unique(owner, return_inverse=True)[1]
 
 
-def _summaries(points: DataFrame, micro: int, seed: int) -> tuple[np.ndarray, np.ndarray, bool]:
-    """At most ``micro`` weighted centres of (vec, n); exact when there are no more points."""
-    if points.limit(micro + 1).count() <= micro:
-        rows = points.orderBy("row_id").select("vec", "n").collect()
-        return np.array([r["vec"] for r in rows]), np.array([r["n"] for r in rows], float), True
-    vectors = points.select(array_to_vector("vec").alias("features"), F.col("n").cast("double").alias("n"))
-    model = KMeans(k=micro, maxIter=20, seed=seed, weightCol="n").fit(vectors)
-    sizes = model.transform(vectors).groupBy("prediction").agg(F.sum("n").alias("n")).collect()
-    found = {r["prediction"]: r["n"] for r in sizes}
-    centres = model.clusterCenters()
-    kept = sorted(found)
-    return np.array([centres[i] for i in kept]), np.array([found[i] for i in kept]), False
+def _summaries(points: DataFrame, micro: int, seed: int, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
+    """At most ``micro`` weighted centres that stand for the points (row_id, vec, n), n >= 1.
+
+    The same at every size: the ``micro`` points with the smallest hashes start as
+    centres, every point goes to its nearest one, centres move to the means of
+    their points until they stand still.  Up to ``micro`` distinct points are
+    therefore their own centres.
+    """
+    order = [hash_key(f"{seed}:centre", "row_id"), "row_id"]
+    centres = np.array([r["vec"] for r in points.orderBy(*order).limit(micro).select("vec").collect()], dtype=np.float64)
+    centres = np.unique(centres, axis=0)
+    for _ in range(rounds):
+        found = _batch_sums(points, centres)
+        hit = sorted(found)
+        moved = np.array([found[c][1] / found[c][0] for c in hit])
+        still = len(hit) == len(centres) and np.allclose(moved, centres[hit], rtol=1e-9, atol=1e-12)
+        centres, weights = (centres if still else moved), np.array([found[c][0] for c in hit])
+        if still:
+            break
+    return centres, weights
 
 
 def _by_first_row(out: DataFrame) -> DataFrame:
@@ -249,14 +270,15 @@ def _by_first_row(out: DataFrame) -> DataFrame:
 
 
 def hierarchical(df: DataFrame, n_clusters: int, micro: int = MICRO_CLUSTERS, seed: int = 0) -> DataFrame:
-    """Ward clustering.
+    """Ward clustering in two steps.
 
-    Tables with at most ``micro`` distinct rows are merged row by row.  Larger
-    ones are first condensed to ``micro`` k-means centres, whose weighted Ward
-    merges continue the hierarchy; rows follow their nearest centre.
+    Distinct rows are condensed to at most ``micro`` weighted centres on the
+    executors, then the centres are merged by Ward's criterion; rows follow their
+    nearest centre.  With no more distinct rows than ``micro`` the centres are the
+    rows, and the result is that of merging them one by one.
     """
     points = keep(_rows(df).groupBy("vec").agg(F.count(F.lit(1)).alias("n"), F.min("row_id").alias("row_id")))
-    centres, weights, _ = _summaries(points, micro, seed)
+    centres, weights = _summaries(points, micro, seed)
     return _label_by_centre(df, centres, ward(centres, weights, n_clusters))
 
 
@@ -274,7 +296,7 @@ def birch(
     """Condenses rows to additive summaries (count, sum) of small cells, then merges those.
 
     A cell is a grid box whose half diagonal is the threshold, so a summary never
-    has a larger radius.  The summaries are merged by Ward as in ``hierarchical``.
+    has a larger radius.  The summaries are condensed and merged as in ``hierarchical``.
     """
     rows = _rows(df)
     dims = len(rows.select("vec").first()["vec"])
@@ -287,7 +309,7 @@ def birch(
             F.array(*[F.avg(F.col("vec")[i]) for i in range(dims)]).alias("vec"),
         )
     )
-    centres, weights, _ = _summaries(leaves, micro, seed)
+    centres, weights = _summaries(leaves, micro, seed)
     return _label_by_centre(df, centres, ward(centres, weights, min(n_clusters, len(centres))))
 
 
@@ -344,11 +366,13 @@ def _leading_vectors(edges: DataFrame, nodes: DataFrame, k: int, max_iter: int,
         if np.abs(now - values).max() < tol:
             break
         values = now
+    else:
+        raise RuntimeError(f"the eigenvalues did not settle in {max_iter} rounds")
     return current.select("id", F.slice("x", 1, k).alias("x"))
 
 
 def spectral(
-    df: DataFrame, n_clusters: int, n_neighbors: int = 10, max_iter: int = 30, tol: float = 1e-3, seed: int = 0
+    df: DataFrame, n_clusters: int, n_neighbors: int = 10, max_iter: int = 100, tol: float = 1e-3, seed: int = 0
 ) -> DataFrame:
     """Spectral clustering of the symmetrised nearest-neighbour graph.
 

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -273,8 +273,28 @@ def _spread_points(placed: DataFrame, layout: Layout) -> DataFrame:
     return placed.mapInPandas(spread, _with_task(placed))
 
 
+def whole_vector(vec: str = "vec") -> Column:
+    """Whether every value of the vector is there and finite; only such vectors have distances."""
+    finite = F.forall(F.col(vec).cast("array<double>"), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != math.inf))
+    return F.coalesce(finite, F.lit(False))
+
+
+def _checked(df: DataFrame, missing: str, side: str) -> DataFrame:
+    """Rows that have distances; others are left out on demand, else they are an error."""
+    if missing == "drop":
+        return df.where(whole_vector())
+    if missing != "raise":
+        raise ValueError(f"missing must be 'raise' or 'drop', not {missing!r}")
+    bad, width = df.agg(F.count_if(~whole_vector()), F.max(F.size("vec"))).first()
+    if bad:
+        columns = df.agg(*[F.count_if(~F.coalesce(F.abs(F.get("vec", F.lit(i)).cast("double")) < math.inf, F.lit(False))) for i in range(max(width or 0, 0))]).first()
+        raise ValueError(f"{bad} {side} rows have missing or infinite values (by position: {list(columns)}); impute them or pass missing='drop'")
+    return df
+
+
 def _standard(df: DataFrame, group: str | None, extra: list[str]) -> DataFrame:
-    grp = F.coalesce(F.col(group).cast("string"), F.lit("")) if group else F.lit("")
+    # a missing group is a group of its own, apart from the empty text
+    grp = F.coalesce(F.concat(F.lit("="), F.col(group).cast("string")), F.lit("")) if group else F.lit("")
     return df.select(
         F.col("row_id").cast("bigint").alias("row_id"),
         F.col("vec").cast("array<double>").alias("vec"),
@@ -300,17 +320,20 @@ def block_join(
     point_extra: list[str] | None = None,
     query_block: int = QUERY_BLOCK,
     point_block: int = POINT_BLOCK,
+    missing: str = "raise",
 ) -> tuple[DataFrame, bool]:
     """Runs the kernel on every pair of blocks that can matter.
 
     ``queries`` and ``points`` carry ``row_id`` and ``vec``.  Reference rows
     farther than ``reach``, or beyond the ``k`` nearest ones, are of no use to a
     query.  Also tells whether a query row can occur in more than one task, in
-    which case the caller merges.
+    which case the caller merges.  Rows with a missing or infinite value have no
+    distances: they raise, or with ``missing="drop"`` they neither ask nor answer.
     """
     # read several times (counts, bounds, spreading); recomputed if lost
-    points = keep(_standard(points, group, point_extra or []))
-    queries = keep(_standard(queries, group, query_extra or [])).withColumn("theta", F.lit(float(reach)))
+    points = _checked(keep(_standard(points, group, point_extra or [])), missing, "reference")
+    queries = _checked(keep(_standard(queries, group, query_extra or [])), missing, "query")
+    queries = queries.withColumn("theta", F.lit(float(reach)))
     none = np.zeros((1, 0))
     placed = _place(points, none)
     cells = _cells(placed, none)
@@ -384,6 +407,7 @@ def knn(
     carry: str | None = None,
     query_block: int = QUERY_BLOCK,
     point_block: int = POINT_BLOCK,
+    missing: str = "raise",
 ) -> DataFrame:
     """(row_id, neighbor_id, distance, rank[, carry]): the k nearest reference rows.
 
@@ -448,6 +472,7 @@ def knn(
         point_extra=["carry_"] if carry else None,
         query_block=query_block,
         point_block=point_block,
+        missing=missing,
     )
     if split:
         # at most k rows per reference block meet here

@@ -12,8 +12,6 @@ from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,7 +44,7 @@ def not_balanced(df: DataFrame, **_) -> DataFrame:
 def random_undersample(
     df: DataFrame, label: str, row_id: str, caps: Mapping[object, int] | None = None, seed: int = 0
 ) -> DataFrame:
-    """Each class cut to ``min(cap, count)`` rows, or all to the smallest class."""
+    """Each class cut to ``min(cap, count)`` rows, or all to the smallest class; rows without a label stay."""
     if caps is None:
         counts = counts_by_class(df, label)
         quota = {c: min(counts.values()) for c in counts}
@@ -130,7 +128,7 @@ def smote(
 
 
 def _lloyd(x: np.ndarray, k: int, max_iter: int) -> np.ndarray:
-    """k centres of a small block, started from evenly spaced rows."""
+    """k centres of a bounded block, started from evenly spaced rows and moved until they stand still."""
     centres = x[np.linspace(0, len(x) - 1, k).astype(int)].copy()
     for _ in range(max_iter):
         near = np.concatenate([approx_sq(x[part], centres)[0].argmin(axis=1) for part in row_chunks(len(x), k)])
@@ -138,10 +136,10 @@ def _lloyd(x: np.ndarray, k: int, max_iter: int) -> np.ndarray:
         total = np.zeros_like(centres)
         np.add.at(total, near, x)
         moved = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], centres)
-        if np.allclose(moved, centres):
-            break
+        if np.allclose(moved, centres, rtol=1e-9, atol=1e-12):
+            return moved
         centres = moved
-    return centres
+    raise RuntimeError(f"centres did not settle in {max_iter} rounds")
 
 
 def _quotas(sizes: Sequence[int], k: int) -> list[int]:
@@ -156,10 +154,10 @@ def _quotas(sizes: Sequence[int], k: int) -> list[int]:
 def _centres_in_blocks(
     rows: DataFrame, features: Sequence[str], k: int, first_id: int, max_iter: int, block_rows: int
 ) -> DataFrame:
-    """k centres of a table too large for centres on the driver.
+    """k centres of a table of any size.
 
-    Near rows are placed into blocks of bounded size, each block gets its share
-    of the centres and finds them on its own.
+    Near rows are placed into blocks of at most about ``block_rows`` rows, each
+    block gets its share of the centres and finds them on its own.
     """
     points = rows.select(F.col("id_").alias("row_id"), as_array(features).alias("vec"))
     n = points.count()
@@ -198,14 +196,14 @@ def cluster_centroids(
     row_id: str,
     k: int | None = None,
     seed: int = 0,
-    max_iter: int = 20,
-    max_centres: int = 2_000,
+    max_iter: int = 1_000,
     block_rows: int = 20_000,
 ) -> DataFrame:
     """Every class but the smallest replaced by the centres of its k clusters.
 
-    k defaults to the size of the smallest class.  Beyond ``max_centres`` the
-    clusters are found in blocks of near rows.  Centres carry negative keys.
+    k defaults to the size of the smallest class.  The clusters are found in
+    blocks of near rows (one block up to ``block_rows`` rows), each until its
+    centres stand still.  Centres carry negative keys.
     """
     features = list(features)
     counts = counts_by_class(df, label)
@@ -216,14 +214,8 @@ def cluster_centroids(
     schema = out.schema
     for i, c in enumerate(shrunk):
         part = df.where(F.col(label) == F.lit(c)).select(F.col(row_id).alias("id_"), *doubles)
-        if k > max_centres:
-            found = _centres_in_blocks(part, features, k, i * k, max_iter, block_rows)
-            found = found.select(F.col("id_").cast(schema[row_id].dataType).alias(row_id), F.lit(c).cast(schema[label].dataType).alias(label), *features)
-        else:
-            vectors = part.select(array_to_vector(as_array(features)).alias("features"))
-            centres = KMeans(k=k, seed=seed, maxIter=max_iter).fit(vectors).clusterCenters()
-            rows = [(-(i * k + j) - 1, c, *[float(v) for v in centre]) for j, centre in enumerate(centres)]
-            found = df.sparkSession.createDataFrame(rows, schema)
+        found = _centres_in_blocks(part, features, k, i * k, max_iter, block_rows)
+        found = found.select(F.col("id_").cast(schema[row_id].dataType).alias(row_id), F.lit(c).cast(schema[label].dataType).alias(label), *features)
         out = out.unionByName(found)
     return out
 
@@ -274,7 +266,7 @@ def fold_sizes(counts: Sequence[int], k: int) -> list[list[int]]:
 
 
 def stratified_folds(df: DataFrame, label: str, row_id: str, k: int = 5) -> DataFrame:
-    """Adds ``fold``: contiguous key ranges per class.
+    """Adds ``fold``: contiguous key ranges per class; a row without a label is in no fold (NULL).
 
     The range ends are found by counting, so no task sorts a class.
     """
@@ -297,7 +289,7 @@ def stratified_folds(df: DataFrame, label: str, row_id: str, k: int = 5) -> Data
         fold = fold + F.coalesce((F.col(row_id) >= F.col(f"cut{i}_")).cast("int"), F.lit(0))
     # one row per class
     return (
-        df.join(F.broadcast(df.sparkSession.createDataFrame(cuts, schema)), label)
-        .withColumn("fold", fold)
+        df.join(F.broadcast(df.sparkSession.createDataFrame(cuts, schema)), label, "left")
+        .withColumn("fold", F.when(F.col(label).isNotNull(), fold))
         .select(*df.columns, "fold")
     )

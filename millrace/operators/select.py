@@ -11,15 +11,14 @@ from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.stat import Correlation
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.ordering import join_unique, long_form, running_counts
 from millrace.functions.tails import chi2_tail, f_tail
 from millrace.functions.vectors import present
-from millrace.operators.scale import fit_standard
 
 
 @dataclass(frozen=True)
@@ -134,37 +133,61 @@ def scores_frame(spark, scores: Sequence[Score]) -> DataFrame:
     )
 
 
-def _pair_rows(df: DataFrame, pairs, exprs) -> DataFrame:
-    one = df.agg(*[e.alias(f"r{i}") for i, e in enumerate(exprs)])
-    cells = [
-        F.struct(F.lit(a).alias("col_i"), F.lit(b).alias("col_j"), F.abs(F.col(f"r{i}")).alias("abs_corr"))
-        for i, (a, b) in enumerate(pairs)
-    ]
-    return one.select(F.explode(F.array(*cells)).alias("s")).select("s.*")
+def _gram(df: DataFrame, cols: Sequence[str], about: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Per column pair over rows that have both: count, sum, sum of squares and products about ``about``.
+
+    A task adds up its rows and sends one row for each column.
+    """
+    d = len(cols)
+
+    def sums(batches):
+        total = np.zeros((d, 4 * d))
+        for pdf in batches:
+            x = pdf.to_numpy(dtype=np.float64) - about
+            here = ~np.isnan(x)
+            p, x = here.astype(np.float64), np.where(here, x, 0.0)
+            total += np.hstack([p.T @ p, x.T @ p, (x * x).T @ p, x.T @ x])
+        yield pd.DataFrame({"i": np.arange(d, dtype=np.int32), "total": list(total)})
+
+    values = df.select(*[present(c).alias(f"c{i}") for i, c in enumerate(cols)])
+    parts = values.mapInPandas(sums, "i int, total array<double>").select("i", F.posexplode("total"))
+    out = np.zeros((d, 4 * d))
+    for r in parts.groupBy("i", "pos").agg(F.sum("col").alias("s")).collect():
+        out[r["i"], r["pos"]] = r["s"]
+    return tuple(out[:, k * d : (k + 1) * d] for k in range(4))
+
+
+def _pearson(x: Column, y: Column) -> Column:
+    """r over rows that have both, NULL if one of them is constant there."""
+    a, b = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
 
 
 def correlation_pairs(df: DataFrame, cols: Sequence[str], narrow: int = 40) -> DataFrame:
-    """|Pearson r| of every column pair i < j; undefined ones left out.
+    """|Pearson r| of every column pair i < j over the rows that have both; undefined ones left out.
 
-    Narrow tables take one aggregation with an expression per pair.  Wide tables
-    (without missing values) take one Gram-matrix pass over standardised vectors,
-    because hundreds of thousands of expressions would not compile.
+    Up to ``narrow`` columns it is an expression per pair, beyond that (where so
+    many expressions would not compile) one pass that adds up Gram matrices.  The
+    answers are the same.
     """
     cols = list(cols)
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]]
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
     if len(cols) <= narrow:
-        out = _pair_rows(df, pairs, [F.corr(present(a), present(b)) for a, b in pairs])
-    else:
-        scaling = fit_standard(df, cols)
-        usable = [c for c in cols if scaling.spread[c]]
-        vectors = scaling.transform(df).select(array_to_vector(F.array(*usable)).alias("v"))
-        matrix = Correlation.corr(vectors, "v").first()[0].toArray()
-        rows = [
-            (a, b, float(abs(matrix[i, j])))
-            for i, a in enumerate(usable)
-            for j, b in enumerate(usable)
-            if i < j
+        one = df.agg(*[_pearson(present(cols[i]), present(cols[j])).alias(f"r{i}_{j}") for i, j in pairs])
+        cells = [
+            F.struct(F.lit(cols[i]).alias("col_i"), F.lit(cols[j]).alias("col_j"), F.abs(F.col(f"r{i}_{j}")).alias("abs_corr"))
+            for i, j in pairs
         ]
+        out = one.select(F.explode(F.array(*cells)).alias("s")).select("s.*")
+    else:
+        about = np.array([float(v or 0.0) for v in df.agg(*[F.avg(present(c)) for c in cols]).first()])
+        n, total, squares, products = _gram(df, cols, about)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            spread = squares - total * total / n
+            # what is left of a constant column is rounding
+            spread[spread <= 1e-14 * squares] = np.nan
+            r = np.abs(products - total * total.T / n) / np.sqrt(spread * spread.T)
+        rows = [(cols[i], cols[j], float(r[i, j])) for i, j in pairs if np.isfinite(r[i, j])]
         out = df.sparkSession.createDataFrame(rows, "col_i string, col_j string, abs_corr double")
     return out.where(F.col("abs_corr").isNotNull() & ~F.isnan("abs_corr"))
 

@@ -47,10 +47,13 @@ def flatten(df: DataFrame) -> DataFrame:
 
 
 def unify(configs: DataFrame, metrics: DataFrame) -> DataFrame:
-    """One row per run: flattened configuration and metrics, metrics winning on equal names."""
+    """One row per run: flattened configuration and metrics, metrics winning on equal names.
+
+    A run that has only one of the two keeps its row, the other's columns NULL.
+    """
     metrics = metrics.drop(NOT_TABULATED)
     own = [c for c in flatten(configs).columns if c == "run" or (c not in metrics.columns and c != NOT_TABULATED)]
-    return flatten(configs).select(*own).join(metrics, "run")
+    return flatten(configs).select(*own).join(metrics, "run", "full")
 
 
 def as_text_cells(df: DataFrame) -> DataFrame:

@@ -117,7 +117,7 @@ def test_cluster_centroids(unbalanced):
 
 def test_cluster_centroids_in_blocks(unbalanced):
     df = unbalanced.where("label in ('big', 'small')")
-    out = sample.cluster_centroids(df, ["x", "y"], "label", "row_id", max_centres=10, block_rows=60).collect()
+    out = sample.cluster_centroids(df, ["x", "y"], "label", "row_id", block_rows=60).collect()
     assert Counter(r.label for r in out) == {"big": 40, "small": 40}
     assert len({r.row_id for r in out}) == 80
     # the centres keep the spread of the class, not just its middle
