@@ -195,6 +195,8 @@ def _profile_sql() -> str:
     for c in ("c_custkey", "c_nationkey", "c_acctbal"):
         for name, fn in (("count", "count"), ("mean", "avg"), ("std", "stddev_samp"), ("min", "min"), ("max", "max")):
             cells.append(f"SELECT '{c}', '{name}', CAST({fn}({c}) AS DOUBLE) FROM customer")
+        for share in (25, 50, 75):
+            cells.append(f"SELECT '{c}', '{share}%', CAST(quantile_cont(CAST({c} AS DOUBLE), {share / 100}) AS DOUBLE) FROM customer")
     return "SELECT item, measure, CAST(round(value, 4) AS DOUBLE) AS value FROM (" + " UNION ALL ".join(cells) + ")"
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.functions.ordering import group_bounds, order_statistics
+from millrace.functions.ordering import exact_quantiles, group_bounds, order_statistics
 
 
 def sentinel_to_null(df: DataFrame, marker: str = "na") -> DataFrame:
@@ -105,7 +105,7 @@ def type_counts(df: DataFrame) -> dict[str, int]:
 
 
 def frame_profile(df: DataFrame, label: str | None = None) -> DataFrame:
-    """(item, measure, value): shape, columns per type, class counts, describe."""
+    """(item, measure, value): shape, columns per type, class counts, describe with quartiles."""
     numbers = numeric_columns(df)
     stats = {
         "count": F.count,
@@ -118,6 +118,9 @@ def frame_profile(df: DataFrame, label: str | None = None) -> DataFrame:
     cells.append(("table", "size", F.count(F.lit(1)) * len(df.columns)))
     cells += [("type", kind, F.lit(n)) for kind, n in type_counts(df).items()]
     cells += [(c, name, fn(c)) for c in numbers for name, fn in stats.items()]
+    shares = [0.25, 0.5, 0.75]
+    quartiles = exact_quantiles(df, numbers, shares) if numbers else {}
+    cells += [(c, f"{share:.0%}", F.lit(q)) for c in numbers for share, q in zip(shares, quartiles[c])]
     one = df.agg(*[cell.cast("double").alias(f"c{i}") for i, (_, _, cell) in enumerate(cells)])
     out = one.select(
         F.explode(

@@ -118,6 +118,13 @@ def rule_summary(rules: DataFrame) -> DataFrame:
     )
 
 
+def rule_values(rules: DataFrame, run: str) -> DataFrame:
+    """(run, rule, measure, value): the value lists of a run's rules as a long table that run records can hold."""
+    named = rules.withColumn("rule", F.concat_ws(" -> ", F.concat_ws(",", "antecedent"), F.concat_ws(",", "consequent")))
+    measures = ["support", "lift", "confidence"]
+    return named.select(F.lit(run).alias("run"), "rule", *measures).unpivot(["run", "rule"], measures, "measure", "value")
+
+
 def top_rules(rules: DataFrame, n: int = 10) -> DataFrame:
     """The n rules of highest lift."""
     return rules.orderBy(

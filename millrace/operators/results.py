@@ -11,8 +11,16 @@ from millrace.functions.ordering import grouped_quantiles, join_unique
 from millrace.operators.clean import numeric_columns
 
 
-def series(results: DataFrame, x: str, ys: Sequence[str], run: str = "run") -> DataFrame:
-    """Each run's rows by ascending x with the chosen measures."""
+def series(results: DataFrame, x: str | None, ys: Sequence[str], run: str = "run") -> DataFrame:
+    """Each run's rows by ascending x with the chosen measures.
+
+    Without x the rows of a run are numbered from 0 in the order they stand in,
+    as column ``index``; a run holds few rows.
+    """
+    if x is None:
+        numbered = results.withColumn("at_", F.monotonically_increasing_id())
+        index = F.row_number().over(Window.partitionBy(run).orderBy("at_")) - 1
+        results, x = numbered.withColumn("index", index.cast("bigint")), "index"
     return results.select(run, x, *ys).orderBy(run, x)
 
 

@@ -15,6 +15,10 @@ from millrace.operators.bayes import class_moments, model_from
 from millrace.operators.classify import vote
 from millrace.operators.sample import stratified_folds
 from millrace.operators.score import confusion_counts, metrics_of
+from millrace.plans import jobs
+from millrace.session import keep
+from millrace.sources import runs
+from millrace.spec import TableSpec
 
 
 def grid(base: Mapping, variations: Sequence[Mapping]) -> list[dict]:
@@ -91,6 +95,89 @@ def search(spark, ranges: Mapping, objective: Callable[[Mapping], float | None],
     return spark.createDataFrame(rows, fields)
 
 
+def ranges_of(config: Mapping) -> dict[str, Mapping]:
+    """Entries marked ``{"optimize": {kind: range}}``, by dotted path."""
+    out: dict[str, Mapping] = {}
+    for k, v in config.items():
+        if isinstance(v, Mapping):
+            if set(v) == {"optimize"}:
+                out[k] = v["optimize"]
+            else:
+                out |= {f"{k}.{sub}": r for sub, r in ranges_of(v).items()}
+    return out
+
+
+def with_values(config: Mapping, values: Mapping) -> dict:
+    """The configuration with the values put in at their dotted paths."""
+    out = copy.deepcopy(dict(config))
+    for path, value in values.items():
+        *parents, last = path.split(".")
+        inner = out
+        for p in parents:
+            inner = inner[p]
+        inner[last] = value
+    return out
+
+
+def search_job(
+    df: DataFrame,
+    spec: TableSpec,
+    config: Mapping,
+    trials: int = 30,
+    seed: int = 0,
+    parallel: int = 4,
+    objective: Callable[[Sequence[Mapping]], float | None] = jobs.cost,
+) -> DataFrame:
+    """Random search over the entries of a classification job that are marked to be optimised, by its cost."""
+    df = keep(df)
+
+    def value(values: Mapping) -> float | None:
+        return objective(jobs.classification_folds(df, spec, with_values(config, values)))
+
+    return search(df.sparkSession, ranges_of(config), value, trials, seed, parallel)
+
+
+def mean_metrics(results: Sequence[Mapping]) -> dict[str, float]:
+    """Numeric metrics averaged over the folds that have them."""
+    names = {k for r in results for k, v in r.items() if isinstance(v, (int, float))}
+    known = {k: [float(r[k]) for r in results if r.get(k) is not None] for k in names}
+    return {k: sum(v) / len(v) for k, v in sorted(known.items())}
+
+
+def sweep(
+    df: DataFrame,
+    spec: TableSpec,
+    base: Mapping,
+    variations: Sequence[Mapping],
+    priority: Sequence[str],
+    out: str,
+    levels: Sequence[int] = (),
+    parallel: int = 4,
+) -> DataFrame:
+    """Runs a classification job for every combination and unifies the records below ``out``.
+
+    Writes ``config`` and ``metrics`` (JSON, a record per run), ``output`` (one CSV
+    table of all runs) and, for each flagged level i, ``level<i>``: the same table
+    in a folder for each combination of the first i variations.
+    """
+    spark, df = df.sparkSession, keep(df)
+    lines = ordered(variations, priority)
+    configs = grid(base, lines)
+    width = len(str(len(configs)))
+    names = [f"run{i:0{width}d}" for i in range(len(configs))]
+    found = run_all(configs, lambda c: mean_metrics(jobs.classification_folds(df, spec, c)), parallel)
+    runs.write_records(spark, dict(zip(names, configs)), f"{out}/config")
+    columns = sorted({k for r in found for k in r})
+    rows = [(n, *[r.get(c) for c in columns]) for n, r in zip(names, found)]
+    fields = ", ".join(["run string", *[f"`{c}` double" for c in columns]])
+    runs.write_metrics(spark.createDataFrame(rows, fields), f"{out}/metrics")
+    table = runs.unify_to_csv(spark, f"{out}/config", f"{out}/metrics", f"{out}/output")
+    for level in levels:
+        folders = [v.get("subName", v["name"]) for v in lines[:level]]
+        runs.as_text_cells(table).write.mode("overwrite").option("header", True).partitionBy(*folders).csv(f"{out}/level{level}")
+    return table
+
+
 def neighbor_sweep(near: DataFrame, label: str, truth: DataFrame, ks: Sequence[int], weights: Sequence[str]) -> DataFrame:
     """Predictions of every (k, weights) from one neighbour table of the largest k.
 
