@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import brown, contamination, host_rules, licenses, mixing, privacy, quality, simhash, substrings, urllists
+from millrace.llm import brown, contamination, host_rules, licenses, mixing, privacy, quality, simhash, sql, substrings, urllists
 from millrace.llm.common import table
 from millrace.llm.registry import query
 
@@ -19,12 +19,12 @@ def op2_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scanned(table(spark, sf_dir, "documents"))
 
 
-@query()
+@query(sql.HOST_RULES)
 def op3_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.judged(table(spark, sf_dir, "documents"))
 
 
-@query()
+@query(sql.SUBSTRINGS)
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup_digest(table(spark, sf_dir, "documents"))
 
