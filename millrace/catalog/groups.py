@@ -83,6 +83,64 @@ def mean_shift(spark, sf):
     return density.mean_shift(scaled_docs(spark, sf), 0.25, max_iter=40, bin_seeding=True)[0]
 
 
+# --- groups that lie far apart: every method has to find just these -----------------------------
+
+APART_SQL = f"""WITH {fx.DOCS_SQL}, s AS (SELECT row_id, row_id % 4 AS g FROM docs_f),
+f AS (SELECT g, row_number() OVER (ORDER BY min(row_id)) - 1 AS cluster FROM s GROUP BY g)
+SELECT row_id, CAST(cluster AS BIGINT) AS cluster FROM s JOIN f USING (g)"""
+
+
+def apart(spark, sf):
+    """Four groups of documents, a hundred units from each other and about one wide."""
+    g = F.col("row_id") % 4
+    x = 100.0 * (g % 2) + F.col("n_chars") / (F.col("n_chars") + 1000)
+    y = 100.0 * F.floor(g / 2) + F.col("n_lines") / (F.col("n_lines") + 10)
+    return fx.doc_features(spark, sf).select("row_id", F.array(x, y.cast("double")).alias("vec")).persist()
+
+
+def numbered(clusters):
+    """Clusters numbered by their first row."""
+    firsts = clusters.groupBy("cluster").agg(F.min("row_id").alias("first"))
+    order = F.array_sort(F.collect_list("first"))
+    place = F.array_position(firsts.select(order).scalar(), F.col("first")) - 1
+    return clusters.join(firsts, "cluster").select("row_id", place.alias("cluster"))
+
+
+@query(APART_SQL)
+def kmeans_apart(spark, sf):
+    return numbered(cluster.kmeans(apart(spark, sf), 4)[0])
+
+
+@query(APART_SQL)
+def mini_batch_kmeans_apart(spark, sf):
+    return numbered(cluster.mini_batch_kmeans(apart(spark, sf), 4, batch_rows=64)[0])
+
+
+@query(APART_SQL)
+def gaussian_mixture_apart(spark, sf):
+    return numbered(cluster.gaussian_mixture(apart(spark, sf), 4)[0])
+
+
+@query(APART_SQL)
+def hierarchical_apart(spark, sf):
+    return numbered(cluster.hierarchical(apart(spark, sf), 4, micro=16))
+
+
+@query(APART_SQL)
+def birch_apart(spark, sf):
+    return numbered(cluster.birch(apart(spark, sf), 4, threshold=0.25, micro=16))
+
+
+@query(APART_SQL)
+def spectral_apart(spark, sf):
+    return numbered(cluster.spectral(apart(spark, sf), 4, n_neighbors=12))
+
+
+@query(APART_SQL)
+def mean_shift_apart(spark, sf):
+    return numbered(density.mean_shift(apart(spark, sf), 10.0)[0])
+
+
 DBSCAN_SQL = f"""{fx.DOCS_SQL}, {SCALED_SQL},
 pair AS (SELECT a.row_id AS a, b.row_id AS b FROM scaled a, scaled b WHERE list_distance(a.vec, b.vec) <= {EPS}),
 core AS (SELECT a AS row_id FROM pair GROUP BY a HAVING count(*) >= {MIN_SAMPLES}),
@@ -129,6 +187,7 @@ def clustering_job_kmeans(spark, sf):
         "featuresToKeepPercentage": 0.25,
         "clusterFunction": "kmeans",
         "clusterParams": {"n_clusters": 10},
+        "silhouette": "euclidean",
     }
     return metrics_frame(spark, jobs.clustering_job(fx.embeddings_wide(spark, sf), fx.EMB, config)[1])
 
@@ -142,6 +201,7 @@ def clustering_job_density(spark, sf):
         "numComponents": 2,
         "clusterFunction": "dbscan",
         "clusterParams": {"eps": EPS, "min_samples": MIN_SAMPLES},
+        "silhouette": "euclidean",
     }
     return metrics_frame(spark, jobs.clustering_job(fx.doc_features(spark, sf), fx.DOCS, config)[1])
 

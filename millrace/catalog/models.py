@@ -271,6 +271,18 @@ def model_saved_and_loaded(spark, sf):
     return again.predict(test).select("row_id", F.col("prediction").alias("after")).join(old, "row_id").where("before = after")
 
 
+@query(
+    f"WITH {fx.EMB_WIDE_SQL}, {st.split_cte('emb_wide')}, {bayes_holdout_cte('emb_wide', fx.EMB_FEATURES, 'label')} "
+    "SELECT row_id, label, prediction FROM pred"
+)
+def bayes_model_saved_and_loaded(spark, sf):
+    """Predictions of a model that went through the shared storage."""
+    train, test = embedding_split(spark, sf)
+    path = new_path(spark, "model")
+    stored.save_model(spark, classify.fit_bayes(train, fx.EMB_FEATURES, "label"), path)
+    return stored.load_model(spark, path).predict(test).select("row_id", "label", "prediction")
+
+
 # --- the composed job --------------------------------------------------------------------------
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.catalog import fixtures as fx
+from millrace.catalog import statements as st
 from millrace.catalog.registry import query, r6, rounded
 from millrace.operators import clean, encode, impute, reduce, scale, select
 from millrace.plans.jobs import variable_analysis
@@ -589,6 +590,48 @@ def pca_standardized(spark, sf):
     return _components_out(fitted.transform(docs), fitted.names)
 
 
+def _pca_sql(a: str, b: str, fitted: str) -> str:
+    """Both components of two columns by the closed form of a 2 x 2 covariance; the larger loading is positive."""
+    return f"""m_ AS (SELECT avg({a}) AS ma, avg({b}) AS mb, var_pop({a}) AS va, var_pop({b}) AS vb, covar_pop({a}, {b}) AS c FROM {fitted}),
+e_ AS (SELECT *, (va + vb + sqrt((va - vb) * (va - vb) + 4 * c * c)) / 2 AS top FROM m_),
+u_ AS (SELECT *, c / sqrt(c * c + (top - va) * (top - va)) AS x, (top - va) / sqrt(c * c + (top - va) * (top - va)) AS y FROM e_),
+s_ AS (SELECT ma, mb, x * sign(CASE WHEN abs(x) >= abs(y) THEN x ELSE y END) AS x0, y * sign(CASE WHEN abs(x) >= abs(y) THEN x ELSE y END) AS y0,
+         -y * sign(CASE WHEN abs(y) >= abs(x) THEN -y ELSE x END) AS x1, x * sign(CASE WHEN abs(y) >= abs(x) THEN -y ELSE x END) AS y1 FROM u_)"""
+
+
+_SCORES = ", ".join(
+    f"round(({{a}} - ma) * x{i} + ({{b}} - mb) * y{i}, 4) + 0.0 AS component_{i}" for i in (0, 1)
+)
+
+
+def _rounded_components(df, names):
+    return df.select("row_id", *[(F.round(f"`{n}`", 4) + 0.0).alias(n.replace(" ", "_").lower()) for n in names])
+
+
+@query(
+    f"WITH {fx.DOCS_SQL}, {_pca_sql('n_spaces', 'n_digits', 'docs_f')} "
+    f"SELECT row_id, {_SCORES.format(a='n_spaces', b='n_digits')} FROM docs_f, s_"
+)
+def pca_of_two_features(spark, sf):
+    docs = fx.doc_features(spark, sf).select("row_id", "n_spaces", "n_digits").persist()
+    fitted = reduce.fit_pca(docs, ("n_spaces", "n_digits"), 2)
+    return _rounded_components(fitted.transform(docs), fitted.names)
+
+
+@query(
+    f"WITH {fx.DOCS_SQL}, {st.split_cte('docs_f')}, train AS (SELECT * FROM marked WHERE NOT is_test), "
+    f"{_pca_sql('n_lines', 'n_digits', 'train')} SELECT row_id, {_SCORES.format(a='n_lines', b='n_digits')} FROM docs_f, s_"
+)
+def pca_of_two_features_train_test(spark, sf):
+    """Fitted on the training rows, applied to all."""
+    from millrace.operators.sample import train_test_split
+
+    docs = fx.doc_features(spark, sf).select("row_id", "n_lines", "n_digits")
+    marked = train_test_split(docs, "row_id").persist()
+    fitted = reduce.fit_pca(marked.where("NOT is_test").drop("is_test"), ("n_lines", "n_digits"), 2)
+    return _rounded_components(fitted.transform(marked.drop("is_test")), fitted.names)
+
+
 def centred_moment_sql() -> str:
     """Total variance of the standardised features that the components must keep."""
     return " + ".join(f"var_pop({c}) / nullif(var_pop({c}), 0)" for c in DOC_COLS)

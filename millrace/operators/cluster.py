@@ -23,6 +23,8 @@ from millrace.session import cut_lineage, keep
 
 #: Weighted centres that Ward's criterion merges on the driver, at most.
 MICRO_CLUSTERS = 1_024
+#: Rows, chosen by hash, among which mini-batch k-means looks for its first centres.
+START_ROWS = 1_024
 
 
 def _rows(df: DataFrame) -> DataFrame:
@@ -68,13 +70,24 @@ def _batch_sums(rows: DataFrame, centres: np.ndarray) -> dict[int, tuple[float,
     return {r["c"]: (r["n"], np.array(r["total"])) for r in merged.collect()}
 
 
+def _spread_start(x: np.ndarray, k: int) -> np.ndarray:
+    """k of the rows, each the one farthest from those before it."""
+    picked = [0]
+    gap = ((x - x[0]) ** 2).sum(axis=1)
+    while len(picked) < min(k, len(x)):
+        picked.append(int(gap.argmax()))
+        gap = np.minimum(gap, ((x - x[picked[-1]]) ** 2).sum(axis=1))
+    return x[picked].copy()
+
+
 def mini_batch_kmeans(
     df: DataFrame, n_clusters: int, batch_rows: int = 1_024, max_iter: int = 20, seed: int = 0, tol: float = 1e-4,
     max_batches: int = 16,
 ) -> tuple[DataFrame, float]:
     """Centres as running means over hash-chosen batches, up to ``max_iter`` passes over all rows.
 
-    Every row is in one batch of a pass.  A pass has at most ``max_batches``
+    The first centres are hash-chosen rows far from each other.  Every row is in
+    one batch of a pass.  A pass has at most ``max_batches``
     batches, larger than ``batch_rows`` if need be, since each is a job.  It ends
     when a whole pass moves the centres by less than ``tol``.
     """
@@ -82,8 +95,8 @@ def mini_batch_kmeans(
     n = rows.count()
     batches = min(max(1, math.ceil(n / batch_rows)), max_batches)
     dealt = rows.withColumn("batch", F.floor(uniform(seed, "row_id") * batches))
-    first = rows.orderBy(hash_key(f"{seed}:start", "row_id"), "row_id").limit(n_clusters).collect()
-    centres = np.array([r["vec"] for r in first], dtype=np.float64)
+    first = rows.orderBy(hash_key(f"{seed}:start", "row_id"), "row_id").limit(max(START_ROWS, 4 * n_clusters)).collect()
+    centres = _spread_start(np.array([r["vec"] for r in first], dtype=np.float64), n_clusters)
     weight = np.zeros(len(centres))
     for _ in range(max_iter):
         before = centres.copy()

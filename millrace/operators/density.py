@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from millrace.functions.ordering import join_unique, running_counts
 from millrace.operators.components import components
 from millrace.operators.neighbors import block_join, knn, matrix, row_chunks, within_mask
-from millrace.session import cut_lineage
+from millrace.session import cut_lineage, scope
 
 
 def _block_forest(near: np.ndarray, a_id: np.ndarray, b_id: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -165,10 +165,11 @@ def _separate(modes: DataFrame, bandwidth: float) -> DataFrame:
 
     kept, open_ = None, modes
     while True:
-        stays = cut_lineage(lowest(open_, open_).where("row_id = top").select("row_id").join(open_, "row_id"))
-        kept = stays if kept is None else kept.unionByName(stays)
-        rest = open_.join(stays, "row_id", "left_anti")
-        open_ = cut_lineage(rest.join(lowest(rest, stays), "row_id", "left_anti"))
+        with scope():
+            stays = cut_lineage(lowest(open_, open_).where("row_id = top").select("row_id").join(open_, "row_id"))
+            kept = stays if kept is None else kept.unionByName(stays)
+            rest = open_.join(stays, "row_id", "left_anti")
+            open_ = cut_lineage(rest.join(lowest(rest, stays), "row_id", "left_anti"))
         if open_.isEmpty():
             return kept
 
@@ -193,20 +194,21 @@ def mean_shift(
     else:
         seeds = points.select("row_id", "vec")
     modes = None
-    for step in range(max_iter):
-        moved = _shift(seeds, points, bandwidth, dims)
-        gap = F.sqrt(
-            F.aggregate(F.zip_with("vec", "to", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-        )
-        last = step == max_iter - 1
-        after = cut_lineage(
-            seeds.join(moved, "row_id").withColumn("done", F.lit(last) | (gap < F.lit(1e-3 * bandwidth)))
-        )
+    for _ in range(max_iter):
+        # what a round caches is released with it
+        with scope():
+            moved = _shift(seeds, points, bandwidth, dims)
+            gap = F.sqrt(
+                F.aggregate(F.zip_with("vec", "to", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
+            )
+            after = cut_lineage(seeds.join(moved, "row_id").withColumn("done", gap < F.lit(1e-3 * bandwidth)))
         settled = after.where("done").select("near", F.col("to").alias("vec"))
         modes = settled if modes is None else modes.unionByName(settled)
         seeds = after.where("NOT done").select("row_id", F.col("to").alias("vec"))
         if seeds.isEmpty():
             break
+    else:
+        raise RuntimeError(f"seeds did not settle in {max_iter} rounds")
     # seeds that ended at the same place, then numbered from the densest
     snap = F.transform("vec", lambda x: F.round(x / F.lit(1e-3 * bandwidth)))
     distinct = modes.groupBy(snap.alias("at")).agg(F.max(F.struct("near", "vec")).alias("m"))

@@ -241,11 +241,14 @@ def classification_job(df: DataFrame, spec: TableSpec, config: Mapping, run: str
 
 
 def clustering_job(df: DataFrame, spec: TableSpec, config: Mapping) -> tuple[DataFrame, dict]:
-    """(row_id, cluster) and {ad_rand_score, silhouette, inertia?}; with ``epsP`` the distance curve.
+    """(row_id, cluster) and {ad_rand_score, a silhouette, inertia?}; with ``epsP`` the distance curve.
 
-    The silhouette compares all rows with each other; ``{"silhouette": "squared"}``
-    asks for the linear one on squared distances, for tables too large for that.
+    The silhouette is the linear one on squared distances (``silhouette_squared``);
+    ``{"silhouette": "euclidean"}`` asks for the one that compares all rows with
+    each other (``silhouette``), which is quadratic.
     """
+    if config.get("silhouette", "squared") not in ("squared", "euclidean"):
+        raise ValueError(f"unknown silhouette {config['silhouette']!r}")
     df = balance(fill(df, spec, config), spec, config)
     prepared = reduce_features([df], spec, config)
     points = keep(
@@ -260,10 +263,10 @@ def clustering_job(df: DataFrame, spec: TableSpec, config: Mapping) -> tuple[Dat
     found, extra = CLUSTERERS[config["clusterFunction"]](points, dict(config.get("clusterParams") or {}))
     scored = keep(points.join(found.select("row_id", "cluster"), "row_id"))
     metrics = {"ad_rand_score": adjusted_rand(scored, "label", "cluster").first()[0], **extra}
-    if config.get("silhouette") == "squared":
-        metrics["silhouette_squared"] = silhouette_squared(scored, "cluster")
-    else:
+    if config.get("silhouette", "squared") == "euclidean":
         metrics["silhouette"] = silhouette(scored, "cluster").first()[0]
+    else:
+        metrics["silhouette_squared"] = silhouette_squared(scored, "cluster")
     return found, metrics
 
 

@@ -257,7 +257,7 @@ def test_correlated_columns_leave_train_and_test(spark, rows):
 
 @pytest.mark.parametrize("name,params", [("kmeans", {"n_clusters": 3}), ("dbscan", {"eps": 0.15, "min_samples": 4})])
 def test_clustering_job(table, name, params):
-    found, metrics = jobs.clustering_job(table, SPEC, {"rescaler": "normalize", "clusterFunction": name, "clusterParams": params})
+    found, metrics = jobs.clustering_job(table, SPEC, {"rescaler": "normalize", "clusterFunction": name, "clusterParams": params, "silhouette": "euclidean"})
     assert found.count() == 180 and metrics["ad_rand_score"] > 0.5 and metrics["silhouette"] > 0.4
     assert ("inertia" in metrics) == (name == "kmeans")
 
