@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.hashing import hash_key, uniform
+from millrace.functions.ordering import join_unique
 from millrace.operators.density import assign_nearest
 from millrace.operators.neighbors import knn, matrix, row_chunks
 from millrace.session import cut_lineage, keep
@@ -361,11 +362,14 @@ def _leading_vectors(edges: DataFrame, nodes: DataFrame, k: int, max_iter: int,
     vectors and one aggregation; only inner products reach the driver.
     """
     q = k + 6
+    rows = nodes.agg(F.sum("n")).first()[0] or 0
+    sizes = nodes.select("id", "n")
     current = nodes.select("id", F.array(*[uniform(f"{seed}:{j}", "id") - F.lit(0.5) for j in range(q)]).alias("x"))
     values = np.zeros(k)
     for _ in range(max_iter):
+        ends = current.join(sizes, "id").select(F.col("id").alias("dst"), "x", "n")
         moved = (
-            edges.join(current.select(F.col("id").alias("dst"), "x"), "dst")
+            join_unique(edges, ends, ["dst"], "n", at_most=rows)
             .groupBy(F.col("src").alias("id"))
             .agg(F.array(*[F.sum(F.col("s") * F.col("x")[j]) for j in range(q)]).alias("y"))
         )
@@ -401,12 +405,13 @@ def spectral(
         .unionByName(rows.select(F.col("row_id").alias("src"), F.col("row_id").alias("dst"), F.lit(1.0).alias("w")))
     )
     weights = cut_lineage(weights.groupBy("src", "dst").agg(F.sum("w").alias("w")))
-    degrees = cut_lineage(weights.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("d")))
-    edges = cut_lineage(
-        weights.join(degrees.select(F.col("id").alias("src"), F.col("d").alias("d_src")), "src")
-        .join(degrees.select(F.col("id").alias("dst"), F.col("d").alias("d_dst")), "dst")
-        .select("src", "dst", (F.col("w") / F.sqrt(F.col("d_src") * F.col("d_dst"))).alias("s"))
+    degrees = cut_lineage(
+        weights.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("d"), F.count(F.lit(1)).alias("n"))
     )
+    # the graph is symmetric, so a row has as many edges at either end; copies of one vector may hold a large share
+    ends = {c: degrees.select(F.col("id").alias(c), F.col("d").alias(f"d_{c}"), "n") for c in ("src", "dst")}
+    edges = join_unique(join_unique(weights, ends["src"], ["src"], "n").drop("n"), ends["dst"], ["dst"], "n")
+    edges = cut_lineage(edges.select("src", "dst", (F.col("w") / F.sqrt(F.col("d_src") * F.col("d_dst"))).alias("s")))
     vectors = _leading_vectors(edges, degrees, n_clusters, max_iter, tol, seed)
     embedded = vectors.join(degrees, "id").select(
         F.col("id").alias("row_id"), F.transform("x", lambda v: v / F.sqrt("d")).alias("vec")

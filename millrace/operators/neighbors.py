@@ -279,17 +279,18 @@ def whole_vector(vec: str = "vec") -> Column:
     return F.coalesce(finite, F.lit(False))
 
 
-def _checked(df: DataFrame, missing: str, side: str) -> DataFrame:
-    """Rows that have distances; others are left out on demand, else they are an error."""
-    if missing == "drop":
-        return df.where(whole_vector())
-    if missing != "raise":
-        raise ValueError(f"missing must be 'raise' or 'drop', not {missing!r}")
-    bad, width = df.agg(F.count_if(~whole_vector()), F.max(F.size("vec"))).first()
+def _sizes(df: DataFrame, missing: str, side: str) -> dict[str, int]:
+    """Rows per group; rows that have no distances are an error unless they are left out."""
+    counts = df.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.count_if(~whole_vector()).alias("bad")).collect()
+    bad = sum(r["bad"] for r in counts)
     if bad:
-        columns = df.agg(*[F.count_if(~F.coalesce(F.abs(F.get("vec", F.lit(i)).cast("double")) < math.inf, F.lit(False))) for i in range(max(width or 0, 0))]).first()
-        raise ValueError(f"{bad} {side} rows have missing or infinite values (by position: {list(columns)}); impute them or pass missing='drop'")
-    return df
+        width = df.agg(F.max(F.size("vec"))).first()[0] or 0
+        finite = [F.coalesce(F.abs(F.get("vec", F.lit(i))) < math.inf, F.lit(False)) for i in range(max(width, 0))]
+        columns = list(df.agg(*[F.count_if(~f) for f in finite]).first()) if finite else []
+        raise ValueError(
+            f"{bad} {side} rows have missing or infinite values (by position: {columns}); impute them or pass missing='drop'"
+        )
+    return {r["grp"]: r["n"] for r in counts}
 
 
 def _standard(df: DataFrame, group: str | None, extra: list[str]) -> DataFrame:
@@ -331,13 +332,18 @@ def block_join(
     distances: they raise, or with ``missing="drop"`` they neither ask nor answer.
     """
     # read several times (counts, bounds, spreading); recomputed if lost
-    points = _checked(keep(_standard(points, group, point_extra or [])), missing, "reference")
-    queries = _checked(keep(_standard(queries, group, query_extra or [])), missing, "query")
+    if missing not in ("raise", "drop"):
+        raise ValueError(f"missing must be 'raise' or 'drop', not {missing!r}")
+    points, queries = _standard(points, group, point_extra or []), _standard(queries, group, query_extra or [])
+    if missing == "drop":
+        points, queries = points.where(whole_vector()), queries.where(whole_vector())
+    points, queries = keep(points), keep(queries)
+    given, asked = _sizes(points, missing, "reference"), _sizes(queries, missing, "query")
     queries = queries.withColumn("theta", F.lit(float(reach)))
     none = np.zeros((1, 0))
     placed = _place(points, none)
-    cells = _cells(placed, none)
-    asked = {r["grp"]: np.array([r["n"]]) for r in queries.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).collect()}
+    cells = Cells(none, {g: np.array([n]) for g, n in given.items()}, {g: np.zeros(1) for g in given})
+    asked = {g: np.array([n]) for g, n in asked.items()}
     visitors = {g: n for g, n in asked.items() if g in cells.counts}
     n_points = sum(int(n.sum()) for n in cells.counts.values())
     useful = k > 0 or not math.isinf(reach)

@@ -230,8 +230,16 @@ def adjusted_mutual_info(df: DataFrame, label: str, cluster: str, chunk: int = 2
     )
     rows, cols = ([(r["n"], r["times"]) for r in sizes if r["kind"] == k] for k in (1, 2))
     total = sum(n * t for n, t in rows)
-    pairs = spark.createDataFrame(
-        [(a, b, float(s * t)) for a, s in rows for b, t in cols], "a bigint, b bigint, times double"
+    if not total:
+        return spark.createDataFrame([(1.0,)], "adjusted_mutual_info double")
+    # the driver holds the distinct sizes (at most about the root of twice the rows), the tasks their product
+    blocks = math.ceil(len(cols) / 64)
+    left = spark.createDataFrame([(a, s) for a, s in rows], "a bigint, s bigint")
+    right = spark.createDataFrame([(b, t, i % blocks) for i, (b, t) in enumerate(cols)], "b bigint, t bigint, block int")
+    pairs = (
+        left.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        .join(right, "block")
+        .select("a", "b", (F.col("s") * F.col("t")).cast("double").alias("times"))
     )
     first = F.greatest(F.lit(1), F.col("a") + F.col("b") - total).cast("bigint")
     last = F.least("a", "b")
@@ -272,10 +280,13 @@ def silhouette_rows(df: DataFrame, cluster: str, query_block: int = 4_096, point
         if not len(q) or not len(p):
             return pd.DataFrame()
         a, b = matrix(q["vec"]), matrix(p["vec"])
-        clusters, code = np.unique(p["c_"].to_numpy(), return_inverse=True)
-        weights = np.zeros((len(b), len(clusters)))
-        weights[np.arange(len(b)), code] = p["n_"].to_numpy()
-        parts = [np.sqrt(approx_sq(a[part], b)[0]) @ weights for part in row_chunks(len(a), len(b))]
+        # reference rows by cluster: a cluster's distances are one run of columns
+        order = np.argsort(p["c_"].to_numpy(), kind="stable")
+        b, weight = b[order], p["n_"].to_numpy()[order]
+        clusters, first = np.unique(p["c_"].to_numpy()[order], return_index=True)
+        parts = [
+            np.add.reduceat(np.sqrt(approx_sq(a[part], b)[0]) * weight, first, axis=1) for part in row_chunks(len(a), len(b))
+        ]
         total = np.vstack(parts)
         return pd.DataFrame(
             {
