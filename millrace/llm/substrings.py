@@ -273,8 +273,8 @@ def removal_intervals(docs: DataFrame, doc_id: str, text: str, width: int = WIND
     packed = docs.select(k1.alias("k1"), k2.alias("k2"), as_bytes(text).alias("text")).mapInArrow(
         windows_of(width, parts), PACKED_DDL
     )
-    answered = packed.repartition(parts, "part").mapInArrow(repeated(parts), REPLIES_DDL)
-    return answered.repartition(parts, "bucket").mapInArrow(gathered(width), FOUND_DDL)
+    answered = packed.repartitionById(parts, "part").mapInArrow(repeated(parts), REPLIES_DDL)
+    return answered.repartitionById(parts, "bucket").mapInArrow(gathered(width), FOUND_DDL)
 
 
 RESULT = "struct<n_words:bigint,n_removed:bigint,n_intervals:bigint,kept:binary>"
