@@ -83,7 +83,7 @@ def _spread_start(x: np.ndarray, k: int) -> np.ndarray:
 
 def mini_batch_kmeans(
     df: DataFrame, n_clusters: int, batch_rows: int = 1_024, max_iter: int = 20, seed: int = 0, tol: float = 1e-4,
-    max_batches: int = 16,
+    max_batches: int = 4,
 ) -> tuple[DataFrame, float]:
     """Centres as running means over hash-chosen batches, up to ``max_iter`` passes over all rows.
 
