@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import row_key, stored, whole
+from millrace.llm.common import BROADCAST_ROWS, row_key, stored, whole
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
@@ -143,25 +143,33 @@ def _mentions(found: DataFrame, reach: int) -> DataFrame:
     )
 
 
-def document_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(term, df): documents that hold the word."""
+def document_counts(docs: DataFrame, terms: DataFrame, text: str = "text") -> DataFrame:
+    """(term, df): documents that hold the word, for the given words at least.
+
+    Words are only looked up if the given ones are few enough to go to every task;
+    else all are counted, since a count is a smaller shuffle than a lookup.
+    """
     words = F.array_distinct(F.split(F.lower(whole(text)), r"[^\p{L}\p{Nd}]+"))
-    return docs.select(F.explode(words).alias("term")).where("term <> ''").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    spread = docs.select(F.explode(words).alias("term")).where("term <> ''")
+    if terms.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        spread = spread.join(F.broadcast(terms), "term", "left_semi")
+    return spread.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def disclosures(
-    mentions: DataFrame, counts: DataFrame, n_docs: int, support: int = SUPPORT, threshold: float = GENERALISE
-) -> DataFrame:
-    """(entity, term, share): how much of the entity's information the term gives away, where above the threshold."""
+def met_pairs(mentions: DataFrame, support: int = SUPPORT) -> DataFrame:
+    """(entity, term, together, of_entity): document counts of the pairs met in at least ``support`` distinct texts."""
     met = mentions.select("entity", "term", "row", "h").distinct()
     pairs = met.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("together"), F.countDistinct("h").alias("texts"))
-    pairs = pairs.where(F.col("texts") >= support)
     entities = met.groupBy("entity").agg(F.countDistinct("row").alias("of_entity"))
+    return pairs.where(F.col("texts") >= support).drop("texts").join(entities, "entity")
+
+
+def disclosures(pairs: DataFrame, counts: DataFrame, n_docs: int, threshold: float = GENERALISE) -> DataFrame:
+    """(entity, term, share): how much of the entity's information the term gives away, where above the threshold."""
     information = F.log2(F.lit(float(n_docs)) / F.col("of_entity"))
     gained = F.log2(F.col("together") * F.lit(float(n_docs)) / (F.col("of_entity") * F.col("df")))
     return (
-        pairs.join(entities, "entity")
-        .join(counts, "term")
+        pairs.join(counts, "term")
         .where((information > 0) & (gained >= threshold * information))
         .select("entity", "term", (gained / information).alias("share"))
     )
@@ -176,7 +184,8 @@ def risky_terms(docs: DataFrame, found: DataFrame, text: str, reach: int, suppor
     """(k1, k2, terms): by row, spans of the terms to hide with their shares; rows that repeat give one."""
     mentions = stored(_mentions(found, reach), "mentions")
     n_docs = docs.count()
-    risky = disclosures(mentions, document_counts(docs, text), n_docs, support, threshold)
+    pairs = stored(met_pairs(mentions, support), "pairs")
+    risky = disclosures(pairs, document_counts(docs, pairs.select("term").distinct(), text), n_docs, threshold)
     hidden = mentions.select("k1", "k2", "entity", "term", "start", "end").distinct().join(risky, ["entity", "term"])
     # a term may be near two entities: the larger share counts
     each = hidden.groupBy("k1", "k2", "start", "end").agg(F.max("share").alias("share"))

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
-from fixtures import SF, TEXTS, awkward, empty, needs_tables, tables  # noqa: E402
+from corpus_fixtures import SF, TEXTS, awkward, empty, needs_tables, tables  # noqa: E402
 
 from millrace.llm import brown, contamination, mixing, privacy, quality, urllists  # noqa: E402
 
@@ -81,12 +81,13 @@ def test_base_spans_equal_brute_force(spark):
     assert multiset((r.doc_id, ",".join(x for x in r.spans.split(",") if not x.startswith("term"))) for r in got) == Counter((w[0], w[6]) for w in want)
 
 
-def test_disclosing_terms(spark):
+def test_disclosing_terms(spark, monkeypatch):
     rows = [(k, f"chief zyxgard number {k} wrote from boss@x.org about the plan") for k in range(5)]
     rows += [(k, f"the plan about number {k} wrote nobody chief from") for k in range(10, 60)]
     rows += [(70, "unrelated other@y.org zq"), (71, None), (None, "zyxgard boss@x.org"), (None, "zyxgard boss@x.org")]
     df = frame(spark, rows).withColumn("term", F.lit("clash"))
-    got = {r.doc_id: r for r in privacy.report(df).collect()}
+    got_rows = privacy.report(df).collect()
+    got = {r.doc_id: r for r in got_rows}
     # zyxgard is met next to the address in every document that holds it, the others mostly elsewhere
     assert got[0].spans == f"email:{rows[0][1].index('boss')}:{rows[0][1].index('boss') + 10},term:6:13"
     assert all(got[k].n_terms == 1 for k in range(5)) and all(got[k].n_terms == 0 for k in (10, 70, 71))
@@ -95,6 +96,9 @@ def test_disclosing_terms(spark):
     assert out[10].text == rows[5][1] and out[0].term == "clash"
     mild = {r.doc_id: r.text for r in privacy.sanitise(df, remove=1.1).collect()}
     assert mild[0] == "chief [term] number 0 wrote from [email] about the plan"
+    # counts of all words give the same as looked-up ones
+    monkeypatch.setattr(privacy, "BROADCAST_ROWS", 0)
+    assert multiset(privacy.report(df).collect()) == multiset(got_rows)
     # too few distinct texts: no estimate is trusted
     few = privacy.report(frame(spark, rows[:1] * 9 + rows[5:])).agg(F.sum("n_terms")).first()[0]
     assert few == 0
@@ -103,7 +107,9 @@ def test_disclosing_terms(spark):
 def test_disclosure_is_pmi_over_information(spark):
     mentions = frame(spark, [("e", "t", k, k, k) for k in range(4)] + [("e", "u", 0, 0, 0)], "entity string, term string, row int, k2 int, h int")
     counts = frame(spark, [("t", 8), ("u", 1)], "term string, df bigint")
-    got = privacy.disclosures(mentions, counts, 64, support=3, threshold=0.5).collect()
+    pairs = privacy.met_pairs(mentions, support=3)
+    assert [(r.entity, r.term, r.together, r.of_entity) for r in pairs.collect()] == [("e", "t", 4, 4)]
+    got = privacy.disclosures(pairs, counts, 64, threshold=0.5).collect()
     assert [(r.entity, r.term) for r in got] == [("e", "t")]
     assert got[0].share == pytest.approx(math.log2(4 * 64 / (4 * 8)) / math.log2(64 / 4))
 
@@ -360,7 +366,7 @@ def test_pipeline_stages(spark):
         assert df.columns == docs.columns
         kept[name] = {r.doc_id: r.text for r in df.collect()}
         assert len(kept[name]) == df.count()
-    from test_texts import brute_components, brute_fingerprint, brute_rules
+    from test_corpus_texts import brute_components, brute_fingerprint, brute_rules
 
     passed = {i for i, t in texts.items() if not brute_rules(t)[-1]}
     assert set(kept["quality_rules"]) == passed

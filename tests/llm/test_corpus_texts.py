@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
-from fixtures import SF, TEXTS, awkward, empty, needs_tables, tables  # noqa: E402, F401
+from corpus_fixtures import SF, TEXTS, awkward, empty, needs_tables, tables  # noqa: E402, F401
 
 from millrace.llm import host_rules, licenses, simhash, substrings  # noqa: E402
 
