@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import contamination, host_rules, mixing, privacy, simhash
-from millrace.llm.common import stored, table
+from millrace.llm.common import discard, stored, table
 from millrace.llm.registry import QUERIES
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -56,10 +56,14 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage over the table documents."""
+    """The rows of the last stage over the table documents; a stage's table goes once the next one is written."""
     docs = table(spark, sf_dir, "documents")
+    before = None
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
 
 

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.session import new_path
+from millrace.session import new_path, shared_dir
 
 #: Rows of a lookup table that may go to every task.
 BROADCAST_ROWS = 100_000
@@ -24,6 +24,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a :func:`stored` table that nothing reads any more."""
+    jvm = df.sparkSession.sparkContext._jvm
+    for name in df.inputFiles()[:1]:
+        folder = jvm.org.apache.hadoop.fs.Path(name).getParent()
+        shared = jvm.org.apache.hadoop.fs.Path(shared_dir(df.sparkSession))
+        files = folder.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration())
+        # never anything but a folder of new_path
+        if files.makeQualified(folder.getParent()).equals(files.makeQualified(shared)):
+            files.delete(folder, True)
+
+
 def whole(text: str | Column) -> Column:
     """The text, empty where it is null."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))

@@ -1,5 +1,6 @@
 """Personal data, quality scores, benchmark items, dated lists, class bigrams, mixing rates and the pipeline."""
 
+import glob
 import hashlib
 import math
 import os
@@ -16,6 +17,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from corpus_fixtures import SF, TEXTS, awkward, empty, needs_tables, tables  # noqa: E402
 
 from millrace.llm import brown, contamination, mixing, privacy, quality, urllists  # noqa: E402
+from millrace.session import shared_dir  # noqa: E402
 
 
 def multiset(rows):
@@ -379,5 +381,9 @@ def test_pipeline_stages(spark):
     assert set(kept["personal_data"]) == set(kept["decontamination"])
     assert not any(brute_spans(t) for t in kept["personal_data"].values())
     assert all(t == texts[i] for i, t in kept["personal_data"].items() if not brute_spans(texts[i]))
+    earlier = set(glob.glob(f"{shared_dir(spark)}/*"))
     got = pipeline.run(spark, SF).collect()
+    # only the table that the last stage read is left of the stages
+    made = {os.path.basename(p).rpartition("-")[0] for p in set(glob.glob(f"{shared_dir(spark)}/*")) - earlier}
+    assert made & {name for name, _ in pipeline.STAGES} == {"personal_data"}
     assert {r.doc_id for r in got} == set(kept["personal_data"]) and all(r.rate >= 0 for r in got)
