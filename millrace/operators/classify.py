@@ -25,10 +25,11 @@ def classes_of(df: DataFrame, label: str) -> list:
 
 
 def class_index(label: str, classes: Sequence) -> Column:
-    out = F.lit(None).cast("double")
+    # one flat CASE, however many classes
+    out = F
     for i, c in enumerate(classes):
-        out = F.when(F.col(label) == F.lit(c), F.lit(float(i))).otherwise(out)
-    return out
+        out = out.when(F.col(label) == F.lit(c), F.lit(float(i)))
+    return F.lit(None).cast("double") if out is F else out
 
 
 def class_at(index: Column, classes: Sequence) -> Column:

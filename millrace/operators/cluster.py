@@ -362,8 +362,9 @@ def _leading_vectors(edges: DataFrame, nodes: DataFrame, k: int, max_iter: int,
     vectors and one aggregation; only inner products reach the driver.
     """
     q = k + 6
-    rows = nodes.agg(F.sum("n")).first()[0] or 0
-    sizes = nodes.select("id", "n")
+    # edges at each end, by which joins on ids with very many are split
+    sizes = cut_lineage(edges.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("n")))
+    rows = sizes.agg(F.sum("n")).first()[0] or 0
     current = nodes.select("id", F.array(*[uniform(f"{seed}:{j}", "id") - F.lit(0.5) for j in range(q)]).alias("x"))
     values = np.zeros(k)
     for _ in range(max_iter):

@@ -27,7 +27,8 @@ from millrace.session import keep
 
 CELL_ROWS = 2_000
 MAX_PIVOTS = 16_384
-QUERY_BLOCK = 4_096
+# square tiles: n rows are copied 2 n / 16,384 times in all when nothing can be left out
+QUERY_BLOCK = 16_384
 POINT_BLOCK = 16_384
 CHUNK_CELLS = 4_000_000
 SLICE_CELLS = 4

@@ -265,7 +265,7 @@ def adjusted_mutual_info(df: DataFrame, label: str, cluster: str, chunk: int = 2
     return spark.createDataFrame([(value,)], "adjusted_mutual_info double")
 
 
-def silhouette_rows(df: DataFrame, cluster: str, query_block: int = 4_096, point_block: int = 16_384) -> DataFrame:
+def silhouette_rows(df: DataFrame, cluster: str, query_block: int = 16_384, point_block: int = 16_384) -> DataFrame:
     """(row_id, cluster, n, silhouette): Euclidean silhouette of each distinct (vector, cluster).
 
     ``df`` carries ``row_id``, ``vec`` and the cluster; ``row_id`` of the result
