@@ -1,10 +1,10 @@
 """Personal data, and the terms around it that give it away.
 
 Emails, addresses, cards and phone numbers are found by pattern; each distinct one
-is a protected entity.  Terms that stand close to mentions of an entity are held
+is a protected entity.  The words of the documents that hold an entity are held
 against the corpus: with document counts, PMI(entity; term) / IC(entity) is the
 share of the entity's information that the term discloses.  A term that discloses
-more than a threshold is generalised to its kind next to that entity, or removed
+more than a threshold is generalised to its kind wherever it stands, or removed
 beyond a second threshold.
 """
 
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import BROADCAST_ROWS, row_key, stored, whole
+from millrace.llm.common import BROADCAST_ROWS, row_key, small_side, stored, whole
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
@@ -27,13 +27,13 @@ PATTERNS = {
 #: A text without this cannot hold the kind.
 NEEDED = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 
-#: Code points on either side of a mention in which terms count as near.
-REACH = 64
 #: Distinct texts in which entity and term must meet before the estimate is trusted.
 SUPPORT = 3
 #: Shares of the entity's information beyond which a term is generalised, or removed.
 GENERALISE, REMOVE = 0.8, 0.95
-WORD = r"[\p{L}\p{Nd}]++"
+WORD = r"[\p{L}\p{M}\p{Nd}]++"
+#: Stands for a span in a text whose words are read.
+MARK = "\u0001"
 
 
 def _digits(match: Column) -> Column:
@@ -105,63 +105,94 @@ def base_spans(docs: DataFrame, text: str) -> DataFrame:
     return found.withColumn("spans_", spans).drop(*[f"m_{k}" for k in KINDS])
 
 
-def _words(piece: Column, origin: Column) -> Column:
-    """(term, start, end) of the words in a piece of text that starts at ``origin``."""
-    words = F.regexp_extract_all(piece, F.lit(WORD), F.lit(0))
-    return F.zip_with(
-        _starts(piece, WORD, words),
-        words,
-        lambda s, w: F.struct(F.lower(w).alias("term"), (origin + s).alias("start"), (origin + s + F.length(w)).alias("end")),
+def _masked(text: Column, spans: Column) -> Column:
+    """The text with its spans replaced by a mark, so that no word inside a span is read."""
+    plain = F.translate(text, MARK, " ")
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    none = F.array().cast("array<string>")
+    done = F.aggregate(
+        ordered,
+        F.struct(F.lit(0).alias("at"), none.alias("out")),
+        lambda a, s: F.struct(
+            F.greatest(a["at"], s["end"]).alias("at"),
+            F.concat(a["out"], F.array(F.substring(plain, a["at"] + 1, F.greatest(s["start"] - a["at"], F.lit(0))), F.lit(MARK))).alias("out"),
+        ),
+        lambda a: F.concat(F.array_join(a["out"], ""), F.substring(plain, a["at"] + 1, F.length(plain))),
     )
+    return F.when(F.size(spans) > 0, done).otherwise(plain)
 
 
-def _near(text: Column, span: Column, reach: int) -> Column:
-    """Whole words within ``reach`` code points of a span, words cut by the reach left out."""
-    start, end = span["start"], span["end"]
-    a = F.greatest(start - reach, F.lit(0))
-    left = F.substring(text, a + 1, start - a)
-    # the first word may go on to the left of the cut
-    inner = F.when(a > 0, F.regexp_replace(left, r"^[\p{L}\p{Nd}]+", "")).otherwise(left)
-    right = F.substring(text, end + 1, F.lit(reach))
-    outer = F.when(F.length(right) == reach, F.regexp_replace(right, r"[\p{L}\p{Nd}]+$", "")).otherwise(right)
-    return F.concat(_words(inner, start - F.length(inner)), _words(outer, end))
-
-
-def _mentions(found: DataFrame, reach: int) -> DataFrame:
-    """One row for each (mention, near term): k1, k2, h, row, entity, term, start, end.  To be stored: ``row`` numbers the documents."""
-    some = found.where(F.size("spans_") > 0).withColumn("row", F.monotonically_increasing_id())
-    rows = some.select("k1", "k2", "h", "row", "text_", "spans_", F.explode("spans_").alias("x"))
-    entity = F.concat_ws(":", "x.kind", F.lower("x.value")).alias("entity")
-    near = rows.select("k1", "k2", "h", "row", "x", entity, "spans_", _near(F.col("text_"), F.col("x"), reach).alias("near"))
-    # words that overlap a span are part of it
-    close = F.filter("spans_", lambda s: (s["end"] > F.col("x.start") - reach) & (s["start"] < F.col("x.end") + reach))
-    free = F.filter("near", lambda w: ~F.exists(F.col("close"), lambda s: (w["start"] < s["end"]) & (w["end"] > s["start"])))
-    return (
-        near.withColumn("close", close)
-        .select("k1", "k2", "h", "row", "entity", F.explode(free).alias("w"))
-        .select("k1", "k2", "h", "row", "entity", "w.term", "w.start", "w.end")
+def document_words(text: Column, spans: Column) -> Column:
+    """The distinct lower-case words of a text; words that overlap a span are part of it."""
+    words = F.array_distinct(F.split(F.lower(_masked(text, spans)), r"[^\p{L}\p{M}\p{Nd}" + MARK + "]+"))
+    return F.filter(words, lambda w: (w != "") & ~F.contains(w, F.lit(MARK)))
+
+
+def _places(text: Column, spans: Column, hits: Column) -> Column:
+    """(start, end, share) of all words of the text that ``hits``, pairs of term and share, names.
+
+    Only what is found is appended, so a long text costs its length.
+    """
+    words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    shares = F.map_from_entries(hits)
+    steps = F.zip_with(
+        F.split(text, WORD, -1),
+        words,
+        lambda p, w: F.struct(F.length(p).alias("gap"), F.length(w).alias("size"), F.element_at(shares, F.lower(w)).alias("share")),
     )
+    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,share:double>>").alias("found"))
+
+    def step(a: Column, s: Column) -> Column:
+        start = a["at"] + s["gap"]
+        end = start + s["size"]
+        own = F.array(F.struct(start.alias("start"), end.alias("end"), s["share"].alias("share")))
+        return F.struct(end.alias("at"), F.when(s["share"].isNull(), a["found"]).otherwise(F.concat(a["found"], own)).alias("found"))
+
+    found = F.aggregate(F.filter(steps, lambda s: s["size"].isNotNull()), state, step, lambda a: a["found"])
+    return F.filter(found, lambda w: ~F.exists(spans, lambda s: (w["start"] < s["end"]) & (w["end"] > s["start"])))
 
 
-def document_counts(docs: DataFrame, terms: DataFrame, text: str = "text") -> DataFrame:
+def entities(spans: Column) -> Column:
+    """The distinct entities of a document's spans."""
+    return F.array_distinct(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], F.lower(x["value"]))))
+
+
+def _looked_up(words: DataFrame, terms: DataFrame) -> DataFrame:
+    """The rows of ``words`` whose term is given, with the given columns."""
+    return words.join(small_side(terms), "term")
+
+
+def document_counts(found: DataFrame, terms: DataFrame) -> DataFrame:
     """(term, df): documents that hold the word, for the given words at least.
 
     Words are only looked up if the given ones are few enough to go to every task;
     else all are counted, since a count is a smaller shuffle than a lookup.
     """
-    words = F.array_distinct(F.split(F.lower(whole(text)), r"[^\p{L}\p{Nd}]+"))
-    spread = docs.select(F.explode(words).alias("term")).where("term <> ''")
+    spread = found.select(F.explode(document_words(F.col("text_"), F.col("spans_"))).alias("term"))
     if terms.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         spread = spread.join(F.broadcast(terms), "term", "left_semi")
     return spread.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def met_pairs(mentions: DataFrame, support: int = SUPPORT) -> DataFrame:
-    """(entity, term, together, of_entity): document counts of the pairs met in at least ``support`` distinct texts."""
-    met = mentions.select("entity", "term", "row", "h").distinct()
-    pairs = met.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("together"), F.countDistinct("h").alias("texts"))
-    entities = met.groupBy("entity").agg(F.countDistinct("row").alias("of_entity"))
-    return pairs.where(F.col("texts") >= support).drop("texts").join(entities, "entity")
+def entity_counts(owned: DataFrame, support: int = SUPPORT) -> DataFrame:
+    """(entity, of_entity): document counts of the entities that stand in at least ``support`` distinct texts."""
+    each = owned.select("h", F.explode("entities").alias("entity")).groupBy("entity", "h").agg(F.count(F.lit(1)).alias("n"))
+    counts = each.groupBy("entity").agg(F.sum("n").alias("of_entity"), F.count(F.lit(1)).alias("texts"))
+    return counts.where(F.col("texts") >= support).drop("texts")
+
+
+def met_pairs(met: DataFrame, support: int = SUPPORT, counts: DataFrame | None = None) -> DataFrame:
+    """(entity, term, together, of_entity): document counts of the pairs met in at least ``support`` distinct texts.
+
+    ``met`` has one row for each document, entity and term in it.  Rows of one text
+    are added up first, so that neither a hot pair nor a text with many copies
+    lands in one task.
+    """
+    texts = met.groupBy("entity", "term", "h").agg(F.count(F.lit(1)).alias("n"))
+    pairs = texts.groupBy("entity", "term").agg(F.sum("n").alias("together"), F.count(F.lit(1)).alias("texts"))
+    if counts is None:
+        counts = met.groupBy("entity").agg(F.countDistinct("row").alias("of_entity"))
+    return pairs.where(F.col("texts") >= support).drop("texts").join(counts, "entity")
 
 
 def disclosures(pairs: DataFrame, counts: DataFrame, n_docs: int, threshold: float = GENERALISE) -> DataFrame:
@@ -180,16 +211,35 @@ def _prepared(docs: DataFrame, doc_id: str, text: str, *carried: Column) -> Data
     return base_spans(docs.select(*carried, k1.alias("k1"), k2.alias("k2"), F.xxhash64(whole(text)).alias("h"), whole(text).alias("text_")), "text_")
 
 
-def risky_terms(docs: DataFrame, found: DataFrame, text: str, reach: int, support: int, threshold: float) -> DataFrame:
-    """(k1, k2, terms): by row, spans of the terms to hide with their shares; rows that repeat give one."""
-    mentions = stored(_mentions(found, reach), "mentions")
-    n_docs = docs.count()
-    pairs = stored(met_pairs(mentions, support), "pairs")
-    risky = disclosures(pairs, document_counts(docs, pairs.select("term").distinct(), text), n_docs, threshold)
-    hidden = mentions.select("k1", "k2", "entity", "term", "start", "end").distinct().join(risky, ["entity", "term"])
-    # a term may be near two entities: the larger share counts
-    each = hidden.groupBy("k1", "k2", "start", "end").agg(F.max("share").alias("share"))
-    return each.groupBy("k1", "k2").agg(F.array_sort(F.collect_list(F.struct("start", "end", "share"))).alias("terms"))
+def risky_terms(found: DataFrame, base: DataFrame, support: int, threshold: float) -> DataFrame:
+    """(k1, k2, terms): by row, spans of the terms to hide with their shares; rows that repeat give one.
+
+    Entity and term meet where one document holds both.  A term that discloses an
+    entity is hidden wherever it stands, in documents without the entity as well:
+    there it gives the entity away just the same.
+    """
+    n_docs = base.count()
+    owned = stored(
+        found.where(F.size("spans_") > 0).select("h", entities(F.col("spans_")).alias("entities"), document_words(F.col("text_"), F.col("spans_")).alias("terms")),
+        "owned",
+    )
+    # a pair that meets in so many texts has an entity that stands in as many
+    counts = stored(entity_counts(owned, support), "entities")
+    met = (
+        owned.select("h", "terms", F.explode("entities").alias("entity"))
+        .join(small_side(counts.select("entity")), "entity", "left_semi")
+        .select("h", "entity", F.explode("terms").alias("term"))
+    )
+    pairs = stored(met_pairs(met, support, counts), "pairs")
+    risky = disclosures(pairs, document_counts(found, pairs.select("term").distinct()), n_docs, threshold)
+    # a term may disclose two entities: the larger share counts
+    shares = stored(risky.groupBy("term").agg(F.max("share").alias("share")), "risky")
+    spread = found.select("k1", "k2", F.explode(document_words(F.col("text_"), F.col("spans_"))).alias("term"))
+    held = _looked_up(spread, shares).distinct()
+    hits = stored(held.groupBy("k1", "k2").agg(F.collect_list(F.struct("term", "share")).alias("hits")), "hits")
+    texts = found.select("k1", "k2", "text_", "spans_").join(small_side(hits), ["k1", "k2"])
+    placed = texts.select("k1", "k2", _places(F.col("text_"), F.col("spans_"), F.col("hits")).alias("terms"))
+    return stored(placed.groupBy("k1", "k2").agg(F.first("terms").alias("terms")), "terms")
 
 
 def _joined(spans: Column) -> Column:
@@ -197,9 +247,8 @@ def _joined(spans: Column) -> Column:
 
 
 def report(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", reach: int = REACH, support: int = SUPPORT,
-    threshold: float = GENERALISE,
-) -> DataFrame:
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", support: int = SUPPORT, threshold: float = GENERALISE
+) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans and n_terms per row of ``docs``.
 
     Null texts count as empty; repeated rows and null ids are rows like others (all
@@ -208,7 +257,7 @@ def report(
     """
     found = _prepared(docs, doc_id, text, F.col(doc_id).alias("doc_id"))
     base = stored(found.select("doc_id", "k1", "k2", "spans_"), "spans")
-    terms = risky_terms(docs, found, text, reach, support, threshold)
+    terms = small_side(risky_terms(found, base, support, threshold))
     count = lambda kind: F.size(F.filter("spans_", lambda s: s["kind"] == kind)).cast("bigint")
     added = F.transform("terms", lambda t: F.struct(F.lit(TERM).alias("kind"), t["start"].alias("start"), t["end"].alias("end")))
     own = F.transform("spans_", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
@@ -223,7 +272,7 @@ def report(
 
 
 def sanitise(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", reach: int = REACH, support: int = SUPPORT,
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", support: int = SUPPORT,
     generalise: float = GENERALISE, remove: float = REMOVE,
 ) -> DataFrame:
     """``docs`` with personal data replaced by its kind in brackets and disclosing terms generalised or removed.
@@ -233,7 +282,7 @@ def sanitise(
     text stays null; other columns stay as they are.
     """
     found = _prepared(docs, doc_id, text, F.struct("*").alias("row_"))
-    terms = risky_terms(docs, found, text, reach, support, generalise)
+    terms = small_side(risky_terms(found, docs, support, generalise))
     rows = found.join(terms, ["k1", "k2"], "left")
     piece = lambda a, b: F.substring("text_", a + 1, b - a)
     base = F.transform("spans_", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("last"), F.concat(F.lit("["), s["kind"], F.lit("]")).alias("put")))

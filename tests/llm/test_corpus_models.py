@@ -122,6 +122,19 @@ def test_sanitise_keeps_columns(spark):
     assert privacy.sanitise(empty(spark)).count() == privacy.report(empty(spark)).count() == 0
 
 
+def test_terms_far_from_the_mention(spark):
+    far = " filler" * 40
+    rows = [(k, f"boss@x.org wrote number {k}{far} of zyxgard and zyxgard") for k in range(4)]
+    rows += [(20, "only Zyxgard here, not the address"), (21, "notzyxgard wrote")] + [(k, f"number {k} wrote{far} of and") for k in range(30, 90)]
+    df = frame(spark, rows)
+    got = {r.doc_id: r.n_terms for r in privacy.report(df).collect()}
+    # every occurrence, beyond any reach and where the address is not written
+    assert {i: n for i, n in got.items() if n} == {0: 2, 1: 2, 2: 2, 3: 2, 20: 1}
+    out = {r.doc_id: r.text for r in privacy.sanitise(df, remove=1.1).collect()}
+    assert out[0] == f"[email] wrote number 0{far} of [term] and [term]"
+    assert out[20] == "only [name] here, not the address" and out[21] == rows[5][1]
+
+
 # ---- quality
 
 
