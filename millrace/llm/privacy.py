@@ -1,7 +1,9 @@
 """Personal data, and the terms around it that give it away.
 
 Emails, addresses, cards and phone numbers are found by pattern; each distinct one
-is a protected entity.  The words of the documents that hold an entity are held
+is a protected entity, and so is what it belongs to: the mail host, the address
+or number prefix.  What is too rare to be estimated by itself is estimated by the
+coarser entity.  The words of the documents that hold an entity are held
 against the corpus: with document counts, PMI(entity; term) / IC(entity) is the
 share of the entity's information that the term discloses.  A term that discloses
 more than a threshold is generalised to its kind wherever it stands, or removed
@@ -29,6 +31,8 @@ NEEDED = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 
 #: Distinct texts in which entity and term must meet before the estimate is trusted.
 SUPPORT = 3
+#: Leading digits by which cards and phone numbers are told more coarsely: issuers; exchanges, regions and world zones.
+CARD_DIGITS, PHONE_DIGITS = (6,), (7, 4, 1)
 #: Shares of the entity's information beyond which a term is generalised, or removed.
 GENERALISE, REMOVE = 0.8, 0.95
 WORD = r"[\p{L}\p{M}\p{Nd}]++"
@@ -152,9 +156,29 @@ def _places(text: Column, spans: Column, hits: Column) -> Column:
     return F.filter(found, lambda w: ~F.exists(spans, lambda s: (w["start"] < s["end"]) & (w["end"] > s["start"])))
 
 
+def _levels(span: Column) -> Column:
+    """The entity of a span and the coarser ones that it belongs to.
+
+    Mail hosts and the domains above them, address prefixes of three, two and one
+    numbers, issuers of cards, and leading digits of phone numbers.
+    """
+    kind, value = span["kind"], F.lower(span["value"])
+    digits = F.regexp_replace(value, "[^0-9]", "")
+    labels = F.split(F.substring_index(value, "@", -1), r"\.")
+    parents = F.transform(
+        F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))),
+        lambda k: F.concat(F.lit("@"), F.array_join(F.slice(labels, k, F.size(labels)), ".")),
+    )
+    prefixes = F.array(*[F.concat(F.substring_index(value, ".", k), F.lit(".")) for k in (3, 2, 1)])
+    leading = lambda sizes: F.array(*[F.concat(F.left(digits, F.lit(k)), F.lit("-")) for k in sizes])
+    coarser = F.when(kind == "email", parents).when(kind == "ip", prefixes).when(kind == "card", leading(CARD_DIGITS)).otherwise(leading(PHONE_DIGITS))
+    own = F.when(kind.isin("card", "phone"), digits).otherwise(value)
+    return F.transform(F.concat(F.array(own), coarser), lambda v: F.concat_ws(":", kind, v))
+
+
 def entities(spans: Column) -> Column:
-    """The distinct entities of a document's spans."""
-    return F.array_distinct(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], F.lower(x["value"]))))
+    """The distinct entities of a document's spans, coarser ones included."""
+    return F.array_distinct(F.flatten(F.transform(spans, _levels)))
 
 
 def _looked_up(words: DataFrame, terms: DataFrame) -> DataFrame:

@@ -135,6 +135,35 @@ def test_terms_far_from_the_mention(spark):
     assert out[20] == "only [name] here, not the address" and out[21] == rows[5][1]
 
 
+def test_rare_entities_go_by_coarser_ones(spark):
+    rows = [(k, f"user{k}x@mail.corp.org for zyxgard{' pad' * k}") for k in range(4)] + [(k, f"for nobody{' pad' * k}") for k in range(10, 60)]
+    rows += [(100 + k, f"from 10.20.{k}.7 by qwert{' pad' * (60 + k)}") for k in range(4)]
+    got = {r.doc_id: r.n_terms for r in privacy.report(frame(spark, rows)).collect()}
+    assert all(got[k] == 1 for k in (0, 1, 2, 3)) and all(got[k] >= 1 for k in range(100, 104)) and got[10] == 0
+
+
+@needs_tables
+def test_terms_are_hidden_on_the_tables(spark):
+    docs = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet")
+    words, zone = {}, []
+    for r in docs.collect():
+        cut = list(r.text)
+        for _, a, b in (spans := brute_spans(r.text)):
+            cut[a:b] = "\0" * (b - a)
+        words[r.doc_id] = [w for w in re.findall("(?:[^\\W_]|\0)+", "".join(cut).lower()) if "\0" not in w]
+        zone += [(r.doc_id, r.text)] * any(k == "phone" and r.text[a : a + 2] == "+1" for k, a, _ in spans)
+    n, df = len(words), Counter(w for x in words.values() for w in set(x))
+    met, texts = Counter(w for i, _ in zone for w in set(words[i])), defaultdict(set)
+    for i, t in zone:
+        for w in words[i]:
+            texts[w].add(t)
+    shares = {w: math.log2(met[w] * n / (len(zone) * df[w])) / math.log2(n / len(zone)) for w in met if len(texts[w]) >= 3}
+    risky = {w for w, s in shares.items() if s >= 0.8}
+    want = {i: sum(w in risky for w in x) for i, x in words.items()}
+    got = {r.doc_id: r.n_terms for r in privacy.report(docs).collect()}
+    assert "token" in risky and sum(want.values()) > 0 and got == want
+
+
 # ---- quality
 
 
