@@ -3,9 +3,10 @@
 Numbers, names and units become typed placeholders, words lower case.  Windows of
 five template words of the documents are hash-joined with those of the items.
 Windows of one document and item that lie on one diagonal (the same shift) are
-taken together, and their slots are compared: one value of the item must stand
-for one value of the document throughout, and the other way round.  A document is
-contaminated by an item if at least 0.8 of the item's windows are found in it.
+taken together, and their slots are compared: windows that contradict the mapping
+of values that most windows of the diagonal follow do not count.  Names are mapped
+one to one; literally equal values always count.  A document is contaminated by an
+item if at least 0.8 of the item's windows are found in it.
 """
 
 from __future__ import annotations
@@ -80,6 +81,33 @@ def _prepared(table: DataFrame, text: Column, *carried: Column) -> DataFrame:
     return table.select(*carried, template(text).alias("words_"), slot_values(text).alias("slots_"))
 
 
+def _ranked(pairs: Column) -> Column:
+    """(votes, literal, a, b) of the distinct pairs of item value and document value; votes are windows."""
+    return F.transform(
+        F.array_distinct(pairs),
+        lambda p: F.struct(
+            F.size(F.filter(pairs, lambda q: q == p)).alias("votes"), (p["a"] == p["b"]).alias("literal"), p["a"].alias("a"), p["b"].alias("b")
+        ),
+    )
+
+
+def _fits(p: Column, ranked: Column) -> Column:
+    """Whether a pair agrees with the mapping that most windows follow.
+
+    Equal values always do.  Else no pair of more windows may give the item's value
+    another meaning; a name of the document may not stand for two names of the item
+    either, and stands for itself first.  Numbers and units may meet in one value.
+    """
+    name = p["a"].rlike(r"^\p{Lu}")
+    rank = lambda x, *fields: F.struct(*[x[f] for f in fields])
+    better = F.exists(
+        ranked,
+        lambda q: ((q["a"] == p["a"]) & (rank(q, "votes", "literal", "b") > rank(p, "votes", "literal", "b")))
+        | (name & (q["b"] == p["b"]) & (rank(q, "literal", "votes", "a") > rank(p, "literal", "votes", "a"))),
+    )
+    return p["literal"] | ~better
+
+
 def matches(
     docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text",
     width: int = WINDOW, similarity: float = SIMILARITY,
@@ -112,17 +140,14 @@ def matches(
     )
     key = ["doc_id", "k1", "k2", "item_id", "item"]
     pairs = F.zip_with("given", "found", lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    diagonals = hits.groupBy(*key, "shift").agg(
-        F.collect_set("at").alias("ats"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs")
-    )
-    given = F.size(F.array_distinct(F.transform("pairs", lambda p: p["a"])))
-    found = F.size(F.array_distinct(F.transform("pairs", lambda p: p["b"])))
-    consistent = (F.size("pairs") == given) & (F.size("pairs") == found)
+    diagonals = hits.groupBy(*key, "shift").agg(F.collect_set(F.struct("at", pairs.alias("pairs"))).alias("windows"))
+    ranked = diagonals.withColumn("ranked", _ranked(F.flatten(F.transform("windows", lambda w: w["pairs"]))))
+    fitting = ranked.withColumn("fits", F.filter("ranked", lambda p: _fits(p, F.col("ranked"))))
+    held = lambda p: F.exists("fits", lambda q: (q["a"] == p["a"]) & (q["b"] == p["b"]))
     whole_items = (
-        diagonals.where(consistent)
-        .select(*key, F.explode("ats").alias("at"), F.size("pairs").alias("slots"))
+        fitting.select(*key, F.size("fits").alias("slots"), F.explode(F.filter("windows", lambda w: F.forall(w["pairs"], held))).alias("w"))
         .groupBy(*key)
-        .agg(F.countDistinct("at").alias("met"), F.max("slots").cast("bigint").alias("n_slots"))
+        .agg(F.countDistinct("w.at").alias("met"), F.max("slots").cast("bigint").alias("n_slots"))
     )
     sized = sizes.select(F.col("item_id").alias("i_"), F.col("item").alias("t_"), "n_windows")
     return (

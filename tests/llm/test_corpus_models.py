@@ -234,6 +234,20 @@ def test_re_parameterised_items(spark):
     assert contamination.clean(docs, items.where("false")).count() == len(rows)
 
 
+def test_contradicting_slots_drop_their_windows_only(spark):
+    plain = " and then there were many more words to be read in the same old story until it came to its very end"
+    item = "she took 5 of the apples, gave away 5 of the pears, and kept 7 of the plums" + plain + plain
+    rows = [
+        (1, item.replace("pears, and kept 7", "pears, and kept 5")),
+        (2, item.replace("took 5", "took 4").replace("kept 7", "kept 4")),
+        (3, item.replace("away 5", "away 6")),
+        (4, item.replace("5", "8").replace("7", "8")),
+        (5, "she took 5 of the apples, gave away 6 of the pears" + plain),
+    ]
+    got = {r.doc_id: r.similarity for r in contamination.matches(frame(spark, rows), frame(spark, [(1, item)], "item_id bigint, text string")).collect()}
+    assert set(got) == {1, 2, 3, 4} and got[1] == got[4] == 1 and 0.8 <= got[2] < 1 and got[3] >= 0.8
+
+
 def brute_windows(text):
     # Title case inside a sentence, numbers and their units, as the operator defines them
     units = "|".join(sorted(contamination.UNITS, key=len, reverse=True))
