@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import brown, contamination, divergence, host_rules, licenses, mixing, privacy, quality, simhash, sql, substrings, urllists
+from millrace.llm import brown, contamination, divergence, host_rules, licenses, mixing, privacy, quality, simhash, sql, substrings, urllists, variants
 from millrace.llm.common import table
 from millrace.llm.registry import query
 
@@ -62,6 +62,11 @@ def op10_target_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query()
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.grouped(table(spark, sf_dir, "documents"))
+
+
 @query(divergence.SQL)
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audited(table(spark, sf_dir, "documents"))
