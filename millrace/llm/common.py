@@ -17,10 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Written once to the shared folder and read back: read often, and safe from lost executors."""
+def stored(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """Written once to the shared folder and read back: read often, and safe from lost executors.
+
+    Columns named last get a folder per value.
+    """
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

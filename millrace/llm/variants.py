@@ -1,11 +1,11 @@
 """Spelling variants: words one edit apart, found by walking all words through one trie, level by level.
 
-The trie of the vocabulary is a table: a row per inner node (a prefix that two
-words or more share) with its edges.  An edge below which one word is left is a
-leaf and holds that word.  The frontier is a table of states (word, position,
-node, edits); each level joins it with the nodes of that depth.  A state without
-edits follows its own letter, spends its edit on any later letter of the alphabet
-below the node (replacement), or skips its own (deletion); a state with one edit
+The trie of the vocabulary is a table of edges (node, letter, child); its nodes
+are the prefixes that two words or more share, and an edge below which one word is
+left is a leaf and holds that word.  The frontier is a table of states (word,
+position, node, edits); each level joins it with the edges of that depth.  A state
+without edits, a word at its own prefix, spends its edit on any later letter below
+the node (replacement) or skips its own letter (deletion); a state with one edit
 follows its own letter.  At a leaf or a word's end with one edit and equal rests
 the state ends in a neighbour.  As the relation is symmetric, a replacement is
 walked from the smaller and a deletion from the longer word, so that every pair is found once.
@@ -24,13 +24,13 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.ordering import join_unique
 from millrace.llm.common import as_bytes, stored
 from millrace.llm.substrings import inverse, mixed, powers
 from millrace.session import cut_lineage
@@ -44,16 +44,15 @@ DROPPED = 31
 FORM_FACTOR = 10
 #: Words of up to so many code points walk the trie.
 TRIE_POINTS = 64
-#: Nodes of a depth that may go to every task; each has at most one edge per letter, 89 of them.
-BROADCAST_NODES = 20_000
+#: Edges of a depth that may go to every task, of a few dozen bytes and a word of ``TRIE_POINTS`` at most, and levels of one job.
+BROADCAST_EDGES = 50_000
+LEVELS_AT_ONCE = 4
 #: Counts that a task holds before it passes them on.
 HELD_COUNTS = 200_000
 
 LOWER = bytes((c | 32) if chr(c).isalpha() else c for c in range(128)) + bytes(range(128, 256))
 RUNS = re.compile("[a-zÀ-ÿ]{%d,}" % LEAST_POINTS)
 COUNTED = pa.schema([("word", pa.string()), ("n", pa.int64())])
-EDGE = "struct<c: string, child: bigint, words: bigint, only: string, only_n: bigint>"
-STATE = "struct<pos: int, node: bigint, edits: int, other: string, other_n: bigint>"
 
 
 def words_of(doc_id: str, text: bytes) -> dict[str, int]:
@@ -94,8 +93,9 @@ def vocabulary(docs: DataFrame) -> DataFrame:
     return counts.where(F.col("n") >= LEAST_COUNT)
 
 
-def _node(prefix: Column) -> Column:
-    return F.xxhash64(prefix)
+def _node(word: str, depth: Column) -> Column:
+    """The node of a word's prefix."""
+    return F.xxhash64(F.col(word).substr(F.lit(1), depth))
 
 
 def _letter(word: str, at: Column) -> Column:
@@ -104,101 +104,99 @@ def _letter(word: str, at: Column) -> Column:
 
 
 def trie(words: DataFrame) -> DataFrame:
-    """(depth, node, edges) of all prefixes that two words or more share."""
+    """(depth, node, c, child, words, only, only_n): the edges of all nodes; ``only`` is the one word below a leaf."""
     at = F.explode(F.sequence(F.lit(0), F.char_length("word"))).alias("depth")
     steps = words.select("word", "n", at).select(
         "depth",
-        _node(F.col("word").substr(F.lit(1), F.col("depth"))).alias("node"),
+        _node("word", F.col("depth")).alias("node"),
         _letter("word", F.col("depth")).alias("c"),
-        _node(F.col("word").substr(F.lit(1), F.col("depth") + F.lit(1))).alias("child"),
+        _node("word", F.col("depth") + F.lit(1)).alias("child"),
         "word", "n",
     )
-    # the smallest word stands for its edge; only where it is the one word below is it read again
     edges = steps.groupBy("depth", "node", "c").agg(
         F.first("child").alias("child"), F.count(F.lit(1)).alias("words"), F.min(F.struct("word", "n")).alias("only")
     )
     single = F.col("words") == 1
-    edge = F.struct(
-        "c", "child", "words", F.when(single, F.col("only.word")).alias("only"), F.when(single, F.col("only.n")).alias("only_n")
-    ).cast(EDGE)
-    nodes = edges.groupBy("depth", "node").agg(F.collect_list(edge).alias("edges"), F.sum("words").alias("words"))
-    return nodes.where(F.col("words") > 1)
-
-
-def _next_states(depth: int) -> Column:
-    """What a state (word, n, pos, node, edits) beside its node's edges turns into."""
-    own, behind = _letter("word", F.col("pos")), _letter("word", F.col("pos") + F.lit(1))
-    length = F.char_length("word")
-
-    def rest(word: str | Column, start: Column) -> Column:
-        w = F.col(word) if isinstance(word, str) else word
-        return w.substr(start, F.greatest(F.char_length(w), F.lit(1)))
-
-    def step(edge: Column, pos: Column, edits: int) -> Column:
-        """Over an edge, having used the word's code points before ``pos``: a state, or a neighbour at a leaf, or null."""
-        alone = edge["words"] == 1
-        equal = rest(edge["only"], F.lit(depth + 2)) == rest("word", pos + F.lit(1))
-        met = F.struct(pos, edge["child"], F.lit(edits), edge["only"], edge["only_n"]).cast(STATE)
-        onward = F.struct(pos, edge["child"], F.lit(edits), F.lit(None), F.lit(None)).cast(STATE)
-        if edits == 0:
-            return F.when(~alone, onward)
-        return F.when(~alone, onward).when(equal, met)
-
-    def along(letter: Column, pos: Column, edits: int) -> Column:
-        found = F.filter("edges", lambda e: e["c"] == letter)
-        return F.transform(found, lambda e: step(e, pos, edits))
-
-    one, two = F.col("pos") + F.lit(1), F.col("pos") + F.lit(2)
-    replaced = F.transform(F.filter("edges", lambda e: e["c"] > own), lambda e: step(e, one, 1))
-    # of equal letters in a row the first is skipped
-    skips = (F.col("pos") == 0) | (_letter("word", F.col("pos") - F.lit(1)) != own)
-    none = F.array().cast(f"array<{STATE}>")
-    fresh = F.when(
-        F.col("pos") < length,
-        F.concat(along(own, one, 0), replaced, F.when(skips, along(behind, two, 1)).otherwise(none)),
-    ).otherwise(none)
-    states = F.when(F.col("edits") == 0, fresh).otherwise(along(own, one, 1))
-    return F.filter(states, lambda s: s.isNotNull())
+    return edges.select(
+        "depth", "node", "c", "child", "words", F.when(single, F.col("only.word")).alias("only"), F.when(single, F.col("only.n")).alias("only_n")
+    )
+
 
+def _followed(joined: DataFrame, depth: int, pos: Column) -> DataFrame:
+    """States with one edit beside the edge they take, having used the word's code points before ``pos``.
 
-def _level(frontier: DataFrame, nodes: DataFrame, depth: int, spread: bool) -> DataFrame:
-    """The frontier one level further; states that have met a neighbour are handed on as they are."""
-    at = nodes.where(F.col("depth") == depth).select("node", "edges", F.col("words").alias("words_"))
-    if spread:
-        joined = frontier.join(F.broadcast(at), "node", "left")
-    else:
-        joined = join_unique(frontier, at, ["node"], "words_")
-    here = F.struct("pos", "node", "edits", "other", "other_n").cast(STATE)
-    none = F.array().cast(f"array<{STATE}>")
-    states = F.when(F.col("other").isNotNull(), F.array(here)).when(F.col("edges").isNull(), none).otherwise(_next_states(depth))
-    return joined.select("word", "n", F.explode(states).alias("s")).select("word", "n", "s.*")
+    Over an inner edge they go on; at a leaf they end, in a neighbour if the rests are equal.
+    """
 
+    def rest(word: str, start: Column) -> Column:
+        return F.col(word).substr(start, F.char_length(word))
 
-def _met(states: DataFrame) -> DataFrame:
-    return states.where(F.col("other").isNotNull()).select("word", "n", "other", "other_n")
+    met = (F.col("words") == 1) & (rest("only", F.lit(depth + 2)) == rest("word", pos + F.lit(1)))
+    ended = F.col("other").isNotNull()
+    states = joined.select(
+        "word", "n", pos.alias("pos"), F.when(F.col("words") > 1, F.col("child")).alias("node"),
+        F.when(ended, F.col("other")).when(met, F.col("only")).alias("other"),
+        F.when(ended, F.col("other_n")).when(met, F.col("only_n")).alias("other_n"),
+    )
+    return states.where(F.col("node").isNotNull() | F.col("other").isNotNull())
+
+
+def _step(states: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
+    """States with one edit along their own letter; those that have ended have no node and stay."""
+    own = states.withColumn("own_", _letter("word", F.col("pos")))
+    to = edges.select(F.col("node").alias("node_"), "c", "child", "words", "only", "only_n")
+    joined = own.join(to, (F.col("node") == F.col("node_")) & (F.col("own_") == F.col("c")), "left")
+    return _followed(joined, depth, F.col("pos") + F.lit(1))
+
+
+def _spent(words: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
+    """States that spend their edit at this depth: the states without edits are the words at their own prefixes."""
+    none = (F.lit(None).cast("string").alias("other"), F.lit(None).cast("bigint").alias("other_n"))
+    own = _letter("word", F.lit(depth))
+    before = _letter("word", F.lit(depth - 1)) if depth else F.lit("")
+    here = words.where(F.char_length("word") > depth).select("word", "n", _node("word", F.lit(depth)).alias("node"), *none)
+    to = edges.select(F.col("node").alias("node_"), "c", "child", "words", "only", "only_n")
+    behind = _letter("word", F.lit(depth + 1))
+    # another edge than the own one: a later letter replaces it, or the letter behind follows if it is skipped;
+    # of equal letters in a row the first is skipped
+    replaced = F.col("c") > own
+    skipped = (F.col("c") == behind) & (own != before)
+    ways = F.filter(F.array(F.when(replaced, F.lit(depth + 1)), F.when(skipped, F.lit(depth + 2))), lambda x: x.isNotNull())
+    joined = here.join(to, (F.col("node") == F.col("node_")) & (replaced | skipped)).withColumn("used_", F.explode(ways))
+    return _followed(joined, depth, F.col("used_"))
+
+
+def _groups(sizes: dict[int, int]) -> list[list[int]]:
+    """Levels in order; up to ``LEVELS_AT_ONCE`` neighbouring ones with few edges go in one job."""
+    out: list[list[int]] = []
+    for depth in range(max(sizes, default=-1) + 1):
+        small = sizes.get(depth, 0) <= BROADCAST_EDGES
+        if small and out and len(out[-1]) < LEVELS_AT_ONCE and sizes.get(out[-1][-1], 0) <= BROADCAST_EDGES:
+            out[-1].append(depth)
+        else:
+            out.append([depth])
+    return out
 
 
 def trie_neighbours(words: DataFrame) -> DataFrame:
     """(word, n, other, other_n): each unordered pair of words one edit apart once."""
-    spark = words.sparkSession
-    schema = "word string, n bigint, other string, other_n bigint"
-    nodes = stored(trie(words), "trie")
-    # one row per depth
-    sizes = {r["depth"]: r["n"] for r in nodes.groupBy("depth").agg(F.count(F.lit(1)).alias("n")).collect()}
-    found: list[DataFrame] = []
-    root = F.struct(F.lit(0), _node(F.lit("")), F.lit(0), F.lit(None), F.lit(None)).cast(STATE)
-    frontier = words.select("word", "n", root.alias("s")).select("word", "n", "s.*")
-    for depth in range(max(sizes, default=-1) + 1):
-        small = sizes.get(depth, 0) <= BROADCAST_NODES
-        frontier = _level(frontier, nodes, depth, small)
-        # the first levels have few nodes and many states: they run as one job
-        if not (small and sizes.get(depth + 1, BROADCAST_NODES + 1) <= BROADCAST_NODES and depth % 4 != 3):
-            frontier = cut_lineage(frontier)
-            found.append(_met(frontier))
-            frontier = frontier.where(F.col("other").isNull())
-    out = spark.createDataFrame([], schema)
-    for part in found:
-        out = out.unionByName(part)
+    edges = trie(words)
+    inner = F.sum("words").over(Window.partitionBy("depth", "node")) > 1
+    # below a leaf there is nothing to walk
+    edges = stored(edges.withColumn("inner_", inner).where("inner_").drop("inner_"), "trie", "depth")
+    # one row per depth, TRIE_POINTS + 1 at most
+    sizes = {r["depth"]: r["n"] for r in edges.groupBy("depth").agg(F.count(F.lit(1)).alias("n")).collect()}
+    out = words.sparkSession.createDataFrame([], "word string, n bigint, other string, other_n bigint")
+    frontier: DataFrame | None = None
+    for group in _groups(sizes):
+        parts = [] if frontier is None else [frontier]
+        for depth in group:
+            at = edges.where(F.col("depth") == depth)
+            at = F.broadcast(at) if sizes.get(depth, 0) <= BROADCAST_EDGES else at
+            parts = [_step(p, at, depth) for p in parts] + [_spent(words, at, depth)]
+        level = stored(reduce(DataFrame.unionByName, parts), "frontier")
+        out = out.unionByName(level.where(F.col("other").isNotNull()).select("word", "n", "other", "other_n"))
+        frontier = level.where(F.col("other").isNull())
     return out
 
 
@@ -250,10 +248,10 @@ def long_neighbours(words: DataFrame) -> DataFrame:
 def neighbours(words: DataFrame) -> DataFrame:
     """(word, n, other, other_n): both directions of every pair of words one edit apart."""
     size = F.char_length("word")
-    pairs = trie_neighbours(words.where(size <= TRIE_POINTS)).unionByName(long_neighbours(words.where(size >= TRIE_POINTS)))
-    # two words of TRIE_POINTS each are found on both ways
-    at_edge = (F.char_length("word") == TRIE_POINTS) & (F.char_length("other") == TRIE_POINTS)
-    pairs = pairs.where(~at_edge).unionByName(pairs.where(at_edge).select(F.least("word", "other").alias("word"), F.when(F.col("word") < F.col("other"), F.col("n")).otherwise(F.col("other_n")).alias("n"), F.greatest("word", "other").alias("other"), F.when(F.col("word") < F.col("other"), F.col("other_n")).otherwise(F.col("n")).alias("other_n")).distinct())
+    long = long_neighbours(words.where(size >= TRIE_POINTS))
+    # two words of TRIE_POINTS each are found in the trie
+    long = long.where((F.char_length("word") > TRIE_POINTS) | (F.char_length("other") > TRIE_POINTS))
+    pairs = trie_neighbours(words.where(size <= TRIE_POINTS)).unionByName(long)
     back = pairs.select(F.col("other").alias("word"), F.col("other_n").alias("n"), F.col("word").alias("other"), F.col("n").alias("other_n"))
     return pairs.unionByName(back)
 
