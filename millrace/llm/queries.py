@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import brown, contamination, divergence, host_rules, licenses, mixing, privacy, quality, simhash, sql, substrings, urllists, variants
+from millrace.llm import brown, contamination, divergence, host_rules, licenses, mixing, privacy, quality, simhash, sql, substrings, urllists, vantage, variants
 from millrace.llm.common import table
 from millrace.llm.registry import query
 
@@ -67,6 +67,11 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.grouped(table(spark, sf_dir, "documents"))
 
 
+@query(vantage.SQL)
+def op12_vantage_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vantage.searched(table(spark, sf_dir, "embeddings"))
+
+
 @query(divergence.SQL)
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audited(table(spark, sf_dir, "documents"))
