@@ -6,12 +6,13 @@ the inner product does (falling).  Its tree splits the vectors at a node into th
 nearer and the farther half from a vantage point and keeps the range of distances
 of both.  A search skips a half if the triangle inequality puts it beyond the
 k-th best so far by ``stretch`` times less: 1 is exact, more prunes more.  The
-trees are a table of one row per shard; queries meet it in blocks of bounded size,
+trees are a table of one row per shard; queries meet it in blocks of bounded size;
 a task takes its shards one after the other and hands back k rows per query.
 
 Rows whose id or vector is null, whose vector is empty or zero or holds a null or
 non-finite component take no part.  Vectors of different length never meet.  Rows
-equal in id and vector count once; a row with the query's id is its own and never found.
+equal in id and vector count once, several vectors of an id by the best of them; a row
+with the query's id is its own and never found.
 Equal scores go to the smaller id.  An empty table or no query gives no rows.
 """
 
@@ -207,16 +208,17 @@ class Search:
 
 def _searched(k: int, stretch: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        searches: dict[int, Search] = {}
-        known: tuple[int, Tree] | None = None
+        searches: dict[tuple[int, int], Search] = {}
+        known: tuple[tuple[int, int], Tree] | None = None
         for batch in batches:
             for row in batch.to_pylist():
-                if known is None or known[0] != row["shard"]:
-                    known = row["shard"], Tree(row["dim"], row["vectors"], row["ids"], row["counts"], row["nodes"])
-                search = searches.get(row["block"])
+                shard, block = (row["shard"], row["dim"]), (row["block"], row["dim"])
+                if known is None or known[0] != shard:
+                    known = shard, Tree(row["dim"], row["vectors"], row["ids"], row["counts"], row["nodes"])
+                search = searches.get(block)
                 if search is None:
                     queries = np.frombuffer(row["queries"], "<f8").reshape(-1, row["dim"])
-                    search = searches[row["block"]] = Search(np.frombuffer(row["query_ids"], "<i8"), queries, k, stretch)
+                    search = searches[block] = Search(np.frombuffer(row["query_ids"], "<i8"), queries, k, stretch)
                 search.visit(known[1])
         for search in searches.values():
             yield search.rows()
@@ -261,6 +263,8 @@ def nearest(
         # at most about batch_bytes go to every task
         some = F.broadcast(packed.where(F.pmod("block", F.lit(batches)) == batch))
         met = index.join(some, "dim").mapInArrow(_searched(k, stretch), FOUND_DDL)
+        # an id may have several vectors
+        met = met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
         order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id").asc())
         best = met.select("query_id", F.row_number().over(order).alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
         found.append(stored(best, "nearest") if batches > 1 else best)
