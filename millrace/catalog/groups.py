@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace.catalog import fixtures as fx
 from millrace.catalog import statements as st
 from millrace.catalog.registry import query, r6, rounded
 from millrace.functions.vectors import as_array
-from millrace.operators import cluster, density, reduce, scale, score
+from millrace.operators import cluster, density, hierarchy, reduce, scale, score
 from millrace.plans import jobs
 
 DOC_COLS = fx.DOCS.features
@@ -68,6 +69,42 @@ def hierarchical(spark, sf):
     return cluster.hierarchical(fx.embeddings(spark, sf), 10)
 
 
+WARD_SQL = """RECURSIVE cl(k, id, x, y, n, members) AS (
+  SELECT (SELECT count(*) FROM supplier), s_suppkey, s_acctbal / 1000, CAST(s_nationkey AS DOUBLE), 1.0::DOUBLE, [s_suppkey] FROM supplier
+  UNION ALL
+  SELECT * FROM (
+    WITH pair AS (SELECT a.id AS i, b.id AS j, a.n * b.n / (a.n + b.n) * ((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS cost
+                  FROM cl a JOIN cl b ON a.id < b.id AND a.k > 1 ORDER BY cost, i, j LIMIT 1)
+    SELECT k - 1, CASE WHEN id = j THEN i ELSE id END AS id2, sum(x * n) / sum(n), sum(y * n) / sum(n), sum(n), flatten(list(members))
+    FROM cl, pair GROUP BY k, id2))"""
+
+
+def suppliers(spark, sf):
+    place = F.array(F.col("s_acctbal") / 1000, F.col("s_nationkey").cast("double"))
+    return fx.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("row_id"), place.alias("vec"))
+
+
+@query(
+    f"""WITH {WARD_SQL} SELECT unnest(members) AS row_id, dense_rank() OVER (ORDER BY id) - 1 AS cluster FROM cl WHERE k = 6"""
+)
+def hierarchical_suppliers(spark, sf):
+    """All merges of the suppliers, cut at six clusters."""
+    return cluster.hierarchical(suppliers(spark, sf), 6)
+
+
+@query(
+    f"""WITH {WARD_SQL}, size AS (SELECT k, sum(len(members) * (len(members) - 1) / 2) AS pairs,
+  sum(n * (x * x + y * y)) AS between_ FROM cl GROUP BY k)
+SELECT CAST(a.k AS BIGINT) AS clusters_left, {st.r('b.between_ - a.between_', 'height')}
+FROM size a JOIN size b ON b.k = a.k + 1 WHERE a.k <= 12"""
+)
+def ward_history(spark, sf):
+    """The growth of the sum of squares by each of the last merges."""
+    points = suppliers(spark, sf).withColumn("n", F.lit(1.0))
+    last = hierarchy.ward_merges(points).orderBy(F.col("height").desc(), F.col("n").desc()).limit(12)
+    return last.select(F.row_number().over(Window.orderBy(F.col("height").desc())).cast("bigint").alias("clusters_left"), r6("height"))
+
+
 @query()
 def birch(spark, sf):
     return cluster.birch(scaled_docs(spark, sf), 3, threshold=0.05)
@@ -123,12 +160,12 @@ def gaussian_mixture_apart(spark, sf):
 
 @query(APART_SQL)
 def hierarchical_apart(spark, sf):
-    return numbered(cluster.hierarchical(apart(spark, sf), 4, micro=16))
+    return numbered(cluster.hierarchical(apart(spark, sf), 4))
 
 
 @query(APART_SQL)
 def birch_apart(spark, sf):
-    return numbered(cluster.birch(apart(spark, sf), 4, threshold=0.25, micro=16))
+    return numbered(cluster.birch(apart(spark, sf), 4, threshold=0.25))
 
 
 @query(APART_SQL)

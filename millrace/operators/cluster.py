@@ -19,11 +19,10 @@ from pyspark.sql import functions as F
 from millrace.functions.hashing import hash_key, uniform
 from millrace.functions.ordering import join_unique
 from millrace.operators.density import assign_nearest
-from millrace.operators.neighbors import knn, matrix, row_chunks
-from millrace.session import cut_lineage, keep
+from millrace.operators.hierarchy import CELL_CLUSTERS, cut, feature_entries, ward_merges
+from millrace.operators.neighbors import CELL_ROWS, knn, matrix, row_chunks
+from millrace.session import cut_lineage, keep, scope
 
-#: Weighted centres that Ward's criterion merges on the driver, at most.
-MICRO_CLUSTERS = 1_024
 #: Rows, chosen by hash, among which mini-batch k-means looks for its first centres.
 START_ROWS = 1_024
 
@@ -229,53 +228,6 @@ def gaussian_mixture(
     return rows.mapInPandas(label, "row_id bigint, cluster bigint"), bound
 
 
-def ward(centres: np.ndarray, weights: np.ndarray, n_clusters: int) -> np.ndarray:
-    """Merges the weighted centres until n_clusters are left, cheapest merge first."""
-    centres, weights = centres.astype(float).copy(), weights.astype(float).copy()
-    owner = np.arange(len(centres))
-    alive = np.ones(len(centres), bool)
-
-    def cost(i):
-        d = ((centres - centres[i]) ** 2).sum(axis=1)
-        out = weights * weights[i] / (weights + weights[i]) * d
-        out[~alive] = np.inf
-        out[i] = np.inf
-        return out
-
-    table = np.vstack([cost(i) for i in range(len(centres))])
-    for _ in range(len(centres) - n_clusters):
-        i, j = sorted(np.unravel_index(np.argmin(table), table.shape))
-        centres[i] = (weights[i] * centres[i] + weights[j] * centres[j]) / (weights[i] + weights[j])
-        weights[i] += weights[j]
-        alive[j] = False
-        owner[owner == j] = i
-        table[j, :] = table[:, j] = np.inf
-        table[i, :] = table[:, i] = cost(i)
-    return np.unique(owner, return_inverse=True)[1]
-
-
-def _summaries(points: DataFrame, micro: int, seed: int, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
-    """At most ``micro`` weighted centres that stand for the points (row_id, vec, n), n >= 1.
-
-    The same at every size: the ``micro`` points with the smallest hashes start as
-    centres, every point goes to its nearest one, centres move to the means of
-    their points until they stand still.  Up to ``micro`` distinct points are
-    therefore their own centres.
-    """
-    order = [hash_key(f"{seed}:centre", "row_id"), "row_id"]
-    centres = np.array([r["vec"] for r in points.orderBy(*order).limit(micro).select("vec").collect()], dtype=np.float64)
-    centres = np.unique(centres, axis=0)
-    for _ in range(rounds):
-        found = _batch_sums(points, centres)
-        hit = sorted(found)
-        moved = np.array([found[c][1] / found[c][0] for c in hit])
-        still = len(hit) == len(centres) and np.allclose(moved, centres[hit], rtol=1e-9, atol=1e-12)
-        centres, weights = (centres if still else moved), np.array([found[c][0] for c in hit])
-        if still:
-            break
-    return centres, weights
-
-
 def _by_first_row(out: DataFrame) -> DataFrame:
     """Renumbers clusters in the order of their first row."""
     firsts = out.groupBy("cluster").agg(F.min("row_id").alias("first")).orderBy("first").collect()
@@ -283,48 +235,47 @@ def _by_first_row(out: DataFrame) -> DataFrame:
     return out.select("row_id", numbers[F.col("cluster")].cast("bigint").alias("cluster"))
 
 
-def hierarchical(df: DataFrame, n_clusters: int, micro: int = MICRO_CLUSTERS, seed: int = 0) -> DataFrame:
-    """Ward clustering in two steps.
+def _distinct(df: DataFrame) -> DataFrame:
+    """(vec, n, row_id): equal vectors as one weighted point, named by its first row."""
+    return cut_lineage(_rows(df).groupBy("vec").agg(F.count(F.lit(1)).alias("n"), F.min("row_id").alias("row_id")))
 
-    Distinct rows are condensed to at most ``micro`` weighted centres on the
-    executors, then the centres are merged by Ward's criterion; rows follow their
-    nearest centre.  With no more distinct rows than ``micro`` the centres are the
-    rows, and the result is that of merging them one by one.
-    """
-    points = keep(_rows(df).groupBy("vec").agg(F.count(F.lit(1)).alias("n"), F.min("row_id").alias("row_id")))
-    centres, weights = _summaries(points, micro, seed)
-    return _label_by_centre(df, centres, ward(centres, weights, n_clusters))
 
+def hierarchical(df: DataFrame, n_clusters: int, cell_clusters: int = CELL_CLUSTERS) -> DataFrame:
+    """Ward clustering of all rows: merges of mutually nearest clusters, cut where ``n_clusters`` are left.
 
-def _label_by_centre(df: DataFrame, centres: np.ndarray, merged: np.ndarray) -> DataFrame:
-    table = F.array(*[F.lit(int(m)) for m in merged])
-    nearest = assign_nearest(df, centres)
-    return _by_first_row(
-        nearest.select("row_id", F.element_at(table, (F.col("cluster") + 1).cast("int")).alias("cluster"))
-    )
+    Equal vectors are one weighted point.  Merges of equal height are taken in no
+    defined order.
+    """
+    points = _distinct(df)
+    found = cut(points, ward_merges(points, cell_clusters), n_clusters)
+    labelled = points.join(found, "row_id").select("vec", "n", "cluster")
+    return _by_first_row(join_unique(_rows(df), labelled, ["vec"], "n").select("row_id", "cluster"))
 
 
 def birch(
-    df: DataFrame, n_clusters: int = 3, threshold: float = 0.5, micro: int = MICRO_CLUSTERS, seed: int = 0
-) -> DataFrame:
-    """Condenses rows to additive summaries (count, sum) of small cells, then merges those.
-
-    A cell is a grid box whose half diagonal is the threshold, so a summary never
-    has a larger radius.  The summaries are condensed and merged as in ``hierarchical``.
+    df: DataFrame, n_clusters: int = 3, threshold: float = 0.5, branching: int = 50,
+    cell_clusters: int = CELL_CLUSTERS, cell_rows: int = CELL_ROWS,
+) -> DataFrame:
+    """Birch: the leaf entries of clustering-feature trees, merged by Ward's criterion; rows follow their nearest entry.
+
+    Rows near each other share a cell of about ``cell_rows``, a task builds a cell's tree in the
+    order of the row ids, and the entries of neighbouring trees are inserted again into
+    trees of their own, until one cell is left or no two entries have met.  An entry's radius never exceeds the threshold.
     """
-    rows = _rows(df)
-    dims = len(rows.select("vec").first()["vec"])
-    side = 2.0 * threshold / math.sqrt(dims)
-    leaf = F.transform("vec", lambda x: F.floor(x / F.lit(side)))
-    leaves = keep(
-        rows.groupBy(leaf.alias("leaf")).agg(
-            F.count(F.lit(1)).alias("n"),
-            F.min("row_id").alias("row_id"),
-            F.array(*[F.avg(F.col("vec")[i]) for i in range(dims)]).alias("vec"),
-        )
-    )
-    centres, weights = _summaries(leaves, micro, seed)
-    return _label_by_centre(df, centres, ward(centres, weights, min(n_clusters, len(centres))))
+    points = _distinct(df)
+    squares = F.col("n") * F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x)
+    entries = points.select("row_id", "vec", F.col("n").cast("double").alias("n"), squares.alias("squares"))
+    left = entries.count()
+    while True:
+        with scope():
+            entries = feature_entries(entries, threshold, branching, cell_rows)
+        before, left = left, entries.count()
+        if before <= cell_rows or left > 0.9 * before:
+            break
+    found = keep(entries.join(cut(entries, ward_merges(entries, cell_clusters), n_clusters), "row_id"))
+    near = knn(points.select("row_id", "vec"), found, 1, carry="cluster")
+    labelled = points.join(near.select("row_id", F.col("cluster").cast("bigint").alias("cluster")), "row_id").select("vec", "n", "cluster")
+    return _by_first_row(join_unique(_rows(df), labelled, ["vec"], "n").select("row_id", "cluster"))
 
 
 def _inner_products(both: DataFrame, q: int) -> tuple[np.ndarray, np.ndarray]:

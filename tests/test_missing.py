@@ -131,16 +131,13 @@ def test_mini_batches_use_all_rows(spark, monkeypatch):
     assert out.groupBy("cluster").count().count() == 2 and cost < 400
 
 
-def test_ward_is_the_same_below_and_above_the_number_of_summaries(spark):
+def test_ward_is_the_same_in_one_and_in_several_cells(spark):
     rng = np.random.default_rng(1)
     centres = np.array([[0, 0], [20, 0], [0, 20], [20, 20]])
     rows = [(i, [float(v) for v in centres[i % 4] + rng.normal(size=2)]) for i in range(200)]
     df = spark.createDataFrame(rows, "row_id bigint, vec array<double>")
-    answers = [{r.row_id: r.cluster for r in cluster.hierarchical(df, 4, micro=m).collect()} for m in (1_000, 200, 199, 40)]
+    answers = [{r.row_id: r.cluster for r in cluster.hierarchical(df, 4, cell_clusters=m).collect()} for m in (1_000, 199, 40)]
     assert all(a == answers[0] for a in answers) and answers[0] == {i: i % 4 for i in range(200)}
-    points = df.withColumn("n", F.lit(2))
-    found, weights = cluster._summaries(points, 200, 0)
-    assert sorted(map(tuple, found)) == sorted(tuple(v) for _, v in rows) and set(weights) == {2.0}
 
 
 def test_unsettled_iterations_raise(spark, points):
