@@ -34,6 +34,14 @@ def frequent_itemsets(spark, sf):
     return rounded(names(mining.frequent_itemsets(baskets, "items", 0.05), "itemset"), "support")
 
 
+@query(
+    f"WITH RECURSIVE {BASKET_ITEMS_SQL}, {st.itemsets_cte('tx', 'tid')}, {frequent(0.02)} "
+    f"SELECT array_to_string(itemset, ',') AS itemset, freq, {st.r('support', 'support')} FROM frequent"
+)
+def apriori_itemsets(spark, sf):
+    return rounded(names(mining.apriori(fx.baskets(spark, sf), "items", 0.02), "itemset"), "support")
+
+
 @query(
     f"WITH RECURSIVE {BASKET_ITEMS_SQL}, {st.itemsets_cte('tx', 'tid')}, {st.schedule_cte(0.35, 18, N_BASKETS)} "
     f"SELECT array_to_string(itemset, ',') AS itemset, freq, {st.r('s', 'min_support')} FROM sets, chosen WHERE freq >= ceil(s * {N_BASKETS})"

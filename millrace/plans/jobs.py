@@ -53,6 +53,7 @@ MINING_DEFAULTS = {
     "iteratively_decreasing_support": True,
     "pattern_metric": "lift",
     "min_patterns": 30,
+    "alg": "fpgrowth",
     "n": 3,
     "type": "cut",
 }
@@ -289,9 +290,9 @@ def mining_job(df: DataFrame, spec: TableSpec, config: Mapping) -> DataFrame:
     df = keep(balance(fill(df, spec, config), spec, config))
     items = keep(mining_items(df, spec, config))
     if params["iteratively_decreasing_support"]:
-        itemsets, _ = frequent_itemsets_decreasing(items, "items", params["min_sup"], params["min_patterns"])
+        itemsets, _ = frequent_itemsets_decreasing(items, "items", params["min_sup"], params["min_patterns"], params["alg"])
     else:
-        itemsets = frequent_itemsets(items, "items", params["min_sup"])
+        itemsets = frequent_itemsets(items, "items", params["min_sup"], alg=params["alg"])
     return association_rules(itemsets, params["pattern_metric"], params["min_conf"], params["min_lift"])
 
 
