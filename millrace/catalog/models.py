@@ -156,17 +156,47 @@ def doc_predictions(spark, sf, name, **params):
     return model.predict(test).select("row_id", F.col("quality").alias("label"), "prediction")
 
 
-@query()
+def doc_trees_sql(depth, criterion="gini", trees=1, subset=None, weight="1"):
+    """row_id and mean class shares of the test documents."""
+    return f"""{fx.DOCS_SQL}, {st.split_cte('docs_f')}, train_ AS (SELECT * FROM marked WHERE NOT is_test), test_ AS (SELECT * FROM marked WHERE is_test),
+{st.trees_cte('train_', 'test_', DOC_COLS, 'quality', (0, 1), depth, criterion, trees, weight, subset)},
+mean_ AS (SELECT row_id, sum(p0) / {trees} AS m0, sum(p1) / {trees} AS m1 FROM share_ GROUP BY row_id)"""
+
+
+def doc_trees_predicted(**params):
+    best = st.best_class(["m0", "m1"], (0, 1))
+    return f"WITH {doc_trees_sql(**params)} SELECT row_id, quality AS label, {best} AS prediction FROM mean_ JOIN test_ USING (row_id)"
+
+
+BOOTSTRAP = st.boot_weight_sql(0, "row_id", "tree")
+
+
+@query(doc_trees_predicted(depth=2))
+def classify_shallow_tree(spark, sf):
+    return doc_predictions(spark, sf, "decisionTree", max_depth=2)
+
+
+@query(
+    f"WITH {doc_trees_sql(depth=3)} SELECT row_id, {st.r('m0', 'p_poor')}, {st.r('m1', 'p_good')} FROM mean_"
+)
+def tree_probabilities(spark, sf):
+    train, test = doc_split(spark, sf)
+    model = classify.fit_tree(train, DOC_COLS, "quality", max_depth=3)
+    found = model.predict_probability(test)
+    return found.select("row_id", r6(F.col("probability")[0], "p_poor"), r6(F.col("probability")[1], "p_good"))
+
+
+@query(doc_trees_predicted(depth=9, criterion="entropy"))
 def classify_tree(spark, sf):
     return doc_predictions(spark, sf, "decisionTree", criterion="entropy", max_depth=9)
 
 
-@query()
+@query(doc_trees_predicted(depth=8, trees=20, subset=2, weight=BOOTSTRAP))
 def classify_forest(spark, sf):
     return doc_predictions(spark, sf, "randomForest", n_estimators=20, max_depth=8)
 
 
-@query()
+@query(doc_trees_predicted(depth=8, trees=10, weight=BOOTSTRAP))
 def classify_bagged_trees(spark, sf):
     return doc_predictions(spark, sf, "ensembleBagging", base_estimator="decisionTree", n_estimators=10, max_depth=8)
 
@@ -253,17 +283,25 @@ def vote_soft(spark, sf):
     return doc_predictions(spark, sf, "ensembleVoting", members=members, voting="soft")
 
 
-@query()
+@query(
+    f"""WITH {doc_trees_sql(depth=6)}, {bayes_holdout_cte('docs_f', DOC_COLS, 'quality')},
+ballot AS (SELECT row_id, c, p FROM prob_ UNION ALL SELECT row_id, 0, 2.0 * m0 FROM mean_ UNION ALL SELECT row_id, 1, 2.0 * m1 FROM mean_),
+won AS (SELECT row_id, c, row_number() OVER (PARTITION BY row_id ORDER BY round(sum(p), 9) DESC, c) AS rn FROM ballot GROUP BY row_id, c)
+SELECT w.row_id, t.quality AS label, CAST(w.c AS INTEGER) AS prediction FROM won w JOIN test_ t ON t.row_id = w.row_id WHERE rn = 1"""
+)
 def vote_soft_with_tree(spark, sf):
     members = [{"name": "naiveBays"}, {"name": "decisionTree", "max_depth": 6}]
     return doc_predictions(spark, sf, "ensembleVoting", members=members, voting="soft", weights=(1.0, 2.0))
 
 
-@query()
+SMALL_FOREST = doc_trees_predicted(depth=5, trees=5, subset=2, weight=BOOTSTRAP)
+
+
+@query(f"SELECT row_id, prediction AS after, prediction AS before FROM ({SMALL_FOREST})")
 def model_saved_and_loaded(spark, sf):
     """A fitted forest written to the shared folder, loaded again and applied."""
     train, test = doc_split(spark, sf)
-    fitted = classify.fit_forest(train, DOC_COLS, "quality", n_estimators=5, max_depth=5)
+    fitted = classify.fit_forest(train, DOC_COLS, "quality", "row_id", n_estimators=5, max_depth=5)
     path = new_path(spark, "model")
     stored.save_model(spark, fitted, path)
     again = stored.load_model(spark, path)

@@ -162,3 +162,60 @@ def schedule_cte(start: float, min_patterns: int, n: str) -> str:
     return f"""sched_ AS (SELECT 0 AS i, CAST({start} AS DOUBLE) AS s UNION ALL SELECT i + 1, s * CAST(0.9 AS DOUBLE) FROM sched_ WHERE s > 0.01),
 tried_ AS (SELECT i, s, (SELECT count(*) FROM sets WHERE freq >= ceil(sched_.s * {n})) AS found FROM sched_ WHERE i > 0),
 chosen AS (SELECT s FROM tried_ ORDER BY (found >= {min_patterns}) DESC, CASE WHEN found >= {min_patterns} THEN i ELSE -i END LIMIT 1)"""
+
+
+def trees_cte(
+    train: str, test: str, cols, label: str, classes, depth: int, criterion: str = "gini", trees: int = 1,
+    weight: str = "1", subset: int | None = None, seed: int = 0,
+) -> str:
+    """share_(row_id, tree, p0, p1, ...): the class shares of the leaf that each test row reaches in each tree.
+
+    Every midpoint of every attribute is tried at every node, a CTE per level; ``weight`` may use ``tree``.
+    """
+    k = len(classes)
+    names = [f"c{i}" for i in range(k)]
+
+    def side(values) -> str:
+        total = "(" + " + ".join(values) + ")"
+        if criterion == "gini":
+            return "(" + " + ".join(f"{v} * {v}" for v in values) + f") / {total}"
+        parts = " + ".join(f"CASE WHEN {v} > 0 THEN {v} * ln({v}) ELSE 0 END" for v in values)
+        return f"({parts} - {total} * ln({total}))"
+
+    y = "CASE " + " ".join(f"WHEN {label} = {c!r} THEN {i}" for i, c in enumerate(classes)) + " END"
+    xs = "[" + ", ".join(f"CAST({c} AS DOUBLE)" for c in cols) + "]"
+    score = side([f"l_{n}" for n in names]) + " + " + side([f"(t_{n} - l_{n})" for n in names])
+    mixed = " + ".join(f"(t_{n} > 0)::INTEGER" for n in names)
+    sums = ", ".join(f"CAST(coalesce(sum(w) FILTER (WHERE y = {i}), 0) AS DOUBLE) AS {n}" for i, n in enumerate(names))
+    before = ", ".join(f"sum({n}) OVER b AS l_{n}, sum({n}) OVER g AS t_{n}" for n in names)
+    tried = f"QUALIFY row_number() OVER (PARTITION BY tree, node ORDER BY md5('{seed}:' || tree || ':' || node || ':' || a)) <= {subset}"
+    out = [
+        f"""n0_ AS MATERIALIZED (SELECT * FROM (SELECT tree, 1::BIGINT AS node, {y} AS y, CAST({weight} AS DOUBLE) AS w, {xs} AS xs
+  FROM {train}, (SELECT unnest(range({trees})) AS tree)) WHERE w > 0)""",
+        f"s0_ AS (SELECT row_id, tree, 1::BIGINT AS node, {xs} AS xs FROM {test}, (SELECT unnest(range({trees})) AS tree))",
+    ]
+    for d in range(depth):
+        sent = "CASE WHEN v.a IS NULL THEN node ELSE 2 * node + (xs[v.a + 1] > v.cut)::INTEGER END AS node"
+        out += [
+            f"""v{d}_ AS MATERIALIZED (
+  WITH u AS (SELECT tree, node, y, w, unnest(range({len(cols)})) AS a, unnest(xs) AS x FROM n{d}_),
+  c AS (SELECT tree, node, a, x, {sums} FROM u GROUP BY ALL),
+  p AS (SELECT *, lag(x) OVER (PARTITION BY tree, node, a ORDER BY x) AS low, {before} FROM c
+        WINDOW g AS (PARTITION BY tree, node, a), b AS (PARTITION BY tree, node, a ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+  r AS (SELECT tree, node, a FROM c GROUP BY tree, node, a HAVING min(x) < max(x) {tried if subset else ''})
+  SELECT tree, node, a, CASE WHEN low + (x - low) / 2 >= x THEN low ELSE low + (x - low) / 2 END AS cut
+  FROM p JOIN r USING (tree, node, a) WHERE low IS NOT NULL AND {mixed} > 1
+  QUALIFY row_number() OVER (PARTITION BY tree, node ORDER BY {score} DESC, a, x) = 1)""",
+            f"n{d + 1}_ AS MATERIALIZED (SELECT tree, {sent}, y, w, xs FROM n{d}_ LEFT JOIN v{d}_ v USING (tree, node))",
+            f"s{d + 1}_ AS MATERIALIZED (SELECT row_id, tree, {sent}, xs FROM s{d}_ LEFT JOIN v{d}_ v USING (tree, node))",
+        ]
+    shares = ", ".join(f"coalesce(sum(w) FILTER (WHERE y = {i}), 0) / sum(w) AS p{i}" for i in range(k))
+    out.append(f"leaf_ AS (SELECT tree, node, {shares} FROM n{depth}_ GROUP BY ALL)")
+    out.append(f"share_ AS (SELECT * EXCLUDE (node, xs) FROM s{depth}_ JOIN leaf_ USING (tree, node))")
+    return ",\n".join(out)
+
+
+def best_class(values, classes) -> str:
+    """The class of the largest value, the first one when equal."""
+    best = "greatest(" + ", ".join(f"round({v}, 9)" for v in values) + ")"
+    return "CASE " + " ".join(f"WHEN round({v}, 9) = {best} THEN {c!r}" for v, c in zip(values, classes)) + " END"

@@ -6,8 +6,6 @@ import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +13,7 @@ from millrace.functions.hashing import uniform
 from millrace.functions.vectors import as_array
 from millrace.operators.bayes import GaussianModel, class_moments, fit_gaussian, model_from
 from millrace.operators.neighbors import knn
+from millrace.operators.trees import fit_trees
 
 # Poisson(1) distribution function at 0, 1, 2, ...
 POISSON_STEPS = [sum(math.exp(-1) / math.factorial(i) for i in range(j + 1)) for j in range(9)]
@@ -114,35 +113,6 @@ class NaiveBayes:
         return df.withColumn("probability", self.model.probabilities())
 
 
-@dataclass(frozen=True)
-class SparkModel:
-    """A fitted Spark ML classifier with its class list."""
-
-    model: object
-    features: tuple[str, ...]
-    classes: tuple
-
-    def _scored(self, df: DataFrame) -> DataFrame:
-        scored = self.model.transform(df.withColumn("features_", array_to_vector(as_array(self.features))))
-        return scored.withColumn("probability", vector_to_array("p_"))
-
-    def predict(self, df: DataFrame) -> DataFrame:
-        return self._scored(df).withColumn("prediction", class_at(F.col("y_"), self.classes)).select(*df.columns, "prediction")
-
-    def predict_probability(self, df: DataFrame) -> DataFrame:
-        return self._scored(df).select(*df.columns, "probability")
-
-
-def _fit_spark(estimator, df: DataFrame, features: Sequence[str], label: str) -> SparkModel:
-    classes = classes_of(df, label)
-    estimator = estimator.setFeaturesCol("features_").setLabelCol("label_").setPredictionCol("y_")
-    estimator = estimator.setProbabilityCol("p_").setRawPredictionCol("r_")
-    ready = df.where(F.col(label).isNotNull()).select(
-        array_to_vector(as_array(features)).alias("features_"), class_index(label, classes).alias("label_")
-    )
-    return SparkModel(estimator.fit(ready), tuple(features), tuple(classes))
-
-
 def fit_knn(df, features, label, row_id, n_neighbors: int = 5, weights: str = "uniform", metric: str = "euclidean"):
     if metric not in ("euclidean", "minkowski"):
         raise ValueError(f"unknown metric {metric}")
@@ -153,20 +123,22 @@ def fit_bayes(df, features, label, row_id=None):
     return NaiveBayes(fit_gaussian(df, features, label))
 
 
-def fit_tree(df, features, label, row_id=None, criterion: str = "gini", max_depth: int = 30, max_bins: int = 256, seed: int = 0):
-    estimator = DecisionTreeClassifier(impurity=criterion, maxDepth=max_depth, maxBins=max_bins, seed=seed)
-    return _fit_spark(estimator, df, features, label)
+def fit_tree(df, features, label, row_id=None, criterion: str = "gini", max_depth: int = 30):
+    """A tree that tries every midpoint."""
+    classes = classes_of(df, label)
+    return fit_trees(df, features, class_index(label, classes), classes, criterion, max_depth)
 
 
 def fit_forest(
-    df, features, label, row_id=None, n_estimators: int = 100, criterion: str = "gini", max_depth: int = 30,
-    max_bins: int = 256, subset: str = "sqrt", seed: int = 0,
-):
-    estimator = RandomForestClassifier(
-        numTrees=n_estimators, impurity=criterion, maxDepth=max_depth, maxBins=max_bins,
-        featureSubsetStrategy=subset, seed=seed,
-    )
-    return _fit_spark(estimator, df, features, label)
+    df, features, label, row_id, n_estimators: int = 100, criterion: str = "gini", max_depth: int = 30, subset: str = "sqrt", seed: int = 0,
+):
+    """Trees over bootstrap weights; at each node a random ``subset`` of the attributes that differ there is tried."""
+    if subset not in ("sqrt", "all"):
+        raise ValueError(f"subset must be 'sqrt' or 'all', not {subset!r}")
+    classes = classes_of(df, label)
+    tried = max(1, math.isqrt(len(features))) if subset == "sqrt" else None
+    drawn = bootstrap_weight(seed, row_id, F.col("tree"))
+    return fit_trees(df, features, class_index(label, classes), classes, criterion, max_depth, drawn, n_estimators, tried, seed)
 
 
 def bootstrap_weight(seed: str | int, row_id: str, replicate: Column) -> Column:

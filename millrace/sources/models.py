@@ -5,12 +5,12 @@ from __future__ import annotations
 import json
 from dataclasses import asdict
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators.bayes import GaussianModel
-from millrace.operators.classify import BaggedBayes, NaiveBayes, NearestNeighbors, SparkModel, Votes
+from millrace.operators.classify import BaggedBayes, NaiveBayes, NearestNeighbors, Votes
+from millrace.operators.trees import Forest
 
 
 def _write_facts(spark: SparkSession, path: str, facts: dict) -> None:
@@ -18,11 +18,10 @@ def _write_facts(spark: SparkSession, path: str, facts: dict) -> None:
 
 
 def save_model(spark: SparkSession, model, path: str) -> None:
-    """Writes the model below ``path``: its facts as JSON, beside it the Spark model or training table."""
-    if isinstance(model, SparkModel):
-        stage = model.model if isinstance(model.model, PipelineModel) else PipelineModel([model.model])
-        stage.write().overwrite().save(f"{path}/stage")
-        facts = {"features": model.features, "classes": model.classes}
+    """Writes the model below ``path``: its facts as JSON, beside it the tree nodes or training table."""
+    if isinstance(model, Forest):
+        model.nodes.write.mode("overwrite").parquet(f"{path}/nodes")
+        facts = {"features": model.features, "classes": model.classes, "n_trees": model.n_trees}
     elif isinstance(model, NaiveBayes):
         facts = asdict(model.model)
     elif isinstance(model, BaggedBayes):
@@ -54,8 +53,8 @@ def _gaussian(facts: dict) -> GaussianModel:
 def load_model(spark: SparkSession, path: str):
     facts = json.loads(spark.read.text(f"{path}/facts").select(F.col("value")).first()[0])
     kind = facts.pop("kind")
-    if kind == "SparkModel":
-        return SparkModel(PipelineModel.load(f"{path}/stage"), tuple(facts["features"]), tuple(facts["classes"]))
+    if kind == "Forest":
+        return Forest(spark.read.parquet(f"{path}/nodes"), tuple(facts["features"]), tuple(facts["classes"]), facts["n_trees"])
     if kind == "NaiveBayes":
         return NaiveBayes(_gaussian(facts))
     if kind == "BaggedBayes":
