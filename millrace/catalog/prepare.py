@@ -558,6 +558,18 @@ def spearman_matrix(spark, sf):
     return rounded(select.spearman_pairs(fx.doc_features(spark, sf), "row_id", DOC_COLS), "rho")
 
 
+@query(
+    f"""WITH {fx.EMB_WIDE_SQL}, l AS (UNPIVOT (SELECT row_id, {', '.join(fx.EMB_FEATURES)} FROM emb_wide)
+  ON {', '.join(fx.EMB_FEATURES)} INTO NAME c VALUE x),
+r AS (SELECT row_id, c, rank() OVER (PARTITION BY c ORDER BY x) + (count(*) OVER (PARTITION BY c, x) - 1) / 2 AS k FROM l)
+SELECT a.c AS col_i, b.c AS col_j, {st.r('corr(a.k, b.k)', 'rho')} FROM r a JOIN r b ON a.row_id = b.row_id
+AND list_position({list(fx.EMB_FEATURES)!r}, a.c) < list_position({list(fx.EMB_FEATURES)!r}, b.c) GROUP BY a.c, b.c"""
+)
+def spearman_of_embeddings(spark, sf):
+    """All pairs of the vector components."""
+    return rounded(select.spearman_pairs(fx.embeddings_wide(spark, sf), "row_id", fx.EMB_FEATURES), "rho")
+
+
 # --- principal components ----------------------------------------------------------------
 
 

@@ -218,15 +218,75 @@ def average_ranks(df: DataFrame, row_id: str, cols: Sequence[str]) -> DataFrame:
     return join_unique(long, ranks, ["attribute", "x"], "n").select(row_id, "attribute", "rank")
 
 
-def spearman_pairs(df: DataFrame, row_id: str, cols: Sequence[str]) -> DataFrame:
-    """Spearman r of every column pair: Pearson r of the average ranks."""
+def _rank_blocks(df: DataFrame, row_id: str, cols: Sequence[str], width: int) -> DataFrame:
+    """(row_id, block, cells): a row's ranks about the middle rank, ``width`` columns at a time, missing ones left out."""
+    position = F.create_map(*[F.lit(v) for i, c in enumerate(cols) for v in (c, i)])
+    ranks = average_ranks(df, row_id, cols).withColumn("at", position[F.col("attribute")])
+    present_ = long_form(df, cols).groupBy("attribute").agg(((F.count(F.lit(1)) + 1) / F.lit(2.0)).alias("middle"))
+    cell = F.struct((F.col("at") % width).cast("int").alias("at"), (F.col("rank") - F.col("middle")).alias("rank"))
+    centred = ranks.join(F.broadcast(present_), "attribute")
+    # at most ``width`` cells meet
+    return centred.groupBy(row_id, F.floor(F.col("at") / width).cast("int").alias("block")).agg(F.collect_list(cell).alias("cells"))
+
+
+PRODUCTS = "i int, j int, n double, x double, y double, xx double, yy double, xy double"
+
+
+def _products(width: int):
+    """Sums over the rows of two column blocks, for every pair of their columns; the rows come block pair by block pair."""
+
+    def dense(cells: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+        x, there = np.zeros((len(cells), width)), np.zeros((len(cells), width))
+        row = np.repeat(np.arange(len(cells)), [len(c) for c in cells])
+        at = np.array([c["at"] for r in cells for c in r], np.int64)
+        x[row, at], there[row, at] = [c["rank"] for r in cells for c in r], 1.0
+        return x, there
+
+    def rows(pair: tuple[int, int], total: np.ndarray) -> pd.DataFrame:
+        i, j = np.nonzero(total[0] > 0)
+        out = pd.DataFrame({"i": (i + pair[0] * width).astype(np.int32), "j": (j + pair[1] * width).astype(np.int32)})
+        for name, values in zip(("n", "x", "y", "xx", "yy", "xy"), total):
+            out[name] = values[i, j]
+        return out[out["i"] < out["j"]]
+
+    def run(batches):
+        held, total = None, np.zeros((6, width, width))
+        for pdf in batches:
+            for pair, part in pdf.groupby(["a", "b"], sort=False):
+                if held is not None and pair != held:
+                    yield rows(held, total)
+                    total = np.zeros((6, width, width))
+                held = pair
+                for start in range(0, len(part), 4_096):
+                    x, mx = dense(part["left"].iloc[start : start + 4_096])
+                    y, my = dense(part["right"].iloc[start : start + 4_096])
+                    total += np.stack([mx.T @ my, x.T @ my, mx.T @ y, (x * x).T @ my, mx.T @ (y * y), x.T @ y])
+        if held is not None:
+            yield rows(held, total)
+
+    return run
+
+
+def spearman_pairs(df: DataFrame, row_id: str, cols: Sequence[str], width: int = 256) -> DataFrame:
+    """(col_i, col_j, rho) of every column pair: Pearson r of the average ranks over the rows that have both.
+
+    The ranks are cut into blocks of ``width`` columns; a task multiplies two blocks and hands
+    back one row of sums per pair.  A pair without spread has no rho.
+    """
     cols = list(cols)
-    ranks = average_ranks(df, row_id, cols)
-    wide = ranks.groupBy(row_id).agg(*[F.max(F.when(F.col("attribute") == c, F.col("rank"))).alias(c) for c in cols])
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]]
-    one = wide.agg(*[F.corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
-    cells = [
-        F.struct(F.lit(a).alias("col_i"), F.lit(b).alias("col_j"), F.col(f"r{i}").alias("rho"))
-        for i, (a, b) in enumerate(pairs)
-    ]
-    return one.select(F.explode(F.array(*cells)).alias("s")).select("s.*")
+    blocks = _rank_blocks(df, row_id, cols, min(width, len(cols)))
+    n_blocks = math.ceil(len(cols) / width)
+    if n_blocks == 1:
+        both = blocks.select("block", F.col("cells").alias("left"), F.col("cells").alias("right")).withColumns({"a": F.lit(0), "b": F.lit(0)})
+    else:
+        right = blocks.select(row_id, F.col("block").alias("b"), F.col("cells").alias("right"))
+        both = blocks.select(row_id, F.col("block").alias("a"), F.col("cells").alias("left")).join(right, row_id).where("a <= b")
+        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        both = both.repartition(max(parts, n_blocks * n_blocks), "a", "b", F.pmod(F.xxhash64(row_id), F.lit(parts))).sortWithinPartitions("a", "b")
+    sums = both.select("a", "b", "left", "right").mapInPandas(_products(min(width, len(cols))), PRODUCTS)
+    names = ["n", "x", "y", "xx", "yy", "xy"]
+    total = sums.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in names])
+    spread = (F.col("xx") - F.col("x") * F.col("x") / F.col("n")) * (F.col("yy") - F.col("y") * F.col("y") / F.col("n"))
+    rho = F.when(spread > 0, (F.col("xy") - F.col("x") * F.col("y") / F.col("n")) / F.sqrt(spread))
+    named = F.array(*[F.lit(c) for c in cols])
+    return total.select(named[F.col("i")].alias("col_i"), named[F.col("j")].alias("col_j"), rho.alias("rho"))
