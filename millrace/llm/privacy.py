@@ -31,8 +31,12 @@ NEEDED = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 
 #: Distinct texts in which entity and term must meet before the estimate is trusted.
 SUPPORT = 3
-#: Leading digits by which cards and phone numbers are told more coarsely: issuers; exchanges, regions and world zones.
-CARD_DIGITS, PHONE_DIGITS = (6,), (7, 4, 1)
+#: Leading digits by which cards and phone numbers are told more coarsely: issuers; exchanges and regions.
+CARD_DIGITS, PHONE_DIGITS = (6,), (7, 4)
+#: Numbers of an address that name a network.
+NETWORK_PARTS = (3, 2)
+#: G of the pair's fourfold table that chance reaches about once in a million pairs.
+CHANCE = 24.0
 #: Shares of the entity's information beyond which a term is generalised, or removed.
 GENERALISE, REMOVE = 0.8, 0.95
 WORD = r"[\p{L}\p{M}\p{Nd}]++"
@@ -159,8 +163,8 @@ def _places(text: Column, spans: Column, hits: Column) -> Column:
 def _levels(span: Column) -> Column:
     """The entity of a span and the coarser ones that it belongs to.
 
-    Mail hosts and the domains above them, address prefixes of three, two and one
-    numbers, issuers of cards, and leading digits of phone numbers.
+    Mail hosts and the domains above them, networks of addresses, issuers of cards,
+    exchanges and regions of phone numbers.
     """
     kind, value = span["kind"], F.lower(span["value"])
     digits = F.regexp_replace(value, "[^0-9]", "")
@@ -169,7 +173,7 @@ def _levels(span: Column) -> Column:
         F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))),
         lambda k: F.concat(F.lit("@"), F.array_join(F.slice(labels, k, F.size(labels)), ".")),
     )
-    prefixes = F.array(*[F.concat(F.substring_index(value, ".", k), F.lit(".")) for k in (3, 2, 1)])
+    prefixes = F.array(*[F.concat(F.substring_index(value, ".", k), F.lit(".")) for k in NETWORK_PARTS])
     leading = lambda sizes: F.array(*[F.concat(F.left(digits, F.lit(k)), F.lit("-")) for k in sizes])
     coarser = F.when(kind == "email", parents).when(kind == "ip", prefixes).when(kind == "card", leading(CARD_DIGITS)).otherwise(leading(PHONE_DIGITS))
     own = F.when(kind.isin("card", "phone"), digits).otherwise(value)
@@ -198,35 +202,53 @@ def document_counts(found: DataFrame, terms: DataFrame) -> DataFrame:
     return spread.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def entity_counts(owned: DataFrame, support: int = SUPPORT) -> DataFrame:
+def distinct_texts(owned: DataFrame) -> DataFrame:
+    """(h, entities, terms, n): one row for the ``n`` documents of a text, so that its copies cost nothing further on."""
+    return owned.groupBy("h").agg(F.first("entities").alias("entities"), F.first("terms").alias("terms"), F.count(F.lit(1)).alias("n"))
+
+
+def entity_counts(texts: DataFrame, support: int = SUPPORT) -> DataFrame:
     """(entity, of_entity): document counts of the entities that stand in at least ``support`` distinct texts."""
-    each = owned.select("h", F.explode("entities").alias("entity")).groupBy("entity", "h").agg(F.count(F.lit(1)).alias("n"))
+    each = texts.select("n", F.explode("entities").alias("entity"))
     counts = each.groupBy("entity").agg(F.sum("n").alias("of_entity"), F.count(F.lit(1)).alias("texts"))
     return counts.where(F.col("texts") >= support).drop("texts")
 
 
-def met_pairs(met: DataFrame, support: int = SUPPORT, counts: DataFrame | None = None) -> DataFrame:
-    """(entity, term, together, of_entity): document counts of the pairs met in at least ``support`` distinct texts.
+def most_documents(of_entity: Column, n_docs: int, threshold: float) -> Column:
+    """The largest document count that a term disclosing the entity can have: it meets the entity in no more than its own documents."""
+    return F.pow(F.lit(float(n_docs)), 1 - threshold) * F.pow(of_entity, threshold) * F.lit(1 + 1e-9)
+
+
+def met_pairs(texts: DataFrame, df: DataFrame, n_docs: int, threshold: float = GENERALISE, support: int = SUPPORT) -> DataFrame:
+    """(entity, of_entity, term, df, together): document counts of the pairs met in at least ``support`` distinct texts.
 
-    ``met`` has one row for each document, entity and term in it.  Rows of one text
-    are added up first, so that neither a hot pair nor a text with many copies
-    lands in one task.
+    ``texts`` has a row per distinct text with its counted entities (``known``); ``df`` the terms that
+    may disclose any.  Pairs beyond :func:`most_documents` are left out before they are counted.
     """
-    texts = met.groupBy("entity", "term", "h").agg(F.count(F.lit(1)).alias("n"))
-    pairs = texts.groupBy("entity", "term").agg(F.sum("n").alias("together"), F.count(F.lit(1)).alias("texts"))
-    if counts is None:
-        counts = met.groupBy("entity").agg(F.countDistinct("row").alias("of_entity"))
-    return pairs.where(F.col("texts") >= support).drop("texts").join(counts, "entity")
+    words = _looked_up(texts.select("n", "known", F.explode("terms").alias("term")), df)
+    met = words.select("n", "term", "df", F.inline("known"))
+    rare = met.where(F.col("df") <= most_documents(F.col("of_entity"), n_docs, threshold))
+    pairs = rare.groupBy("entity", "of_entity", "term", "df").agg(F.sum("n").alias("together"), F.count(F.lit(1)).alias("texts"))
+    return pairs.where(F.col("texts") >= support).drop("texts")
 
 
-def disclosures(pairs: DataFrame, counts: DataFrame, n_docs: int, threshold: float = GENERALISE) -> DataFrame:
-    """(entity, term, share): how much of the entity's information the term gives away, where above the threshold."""
+def beyond_chance(n_docs: int) -> Column:
+    """G of the documents with and without entity and term: twice their information about each other."""
+    n, t, e, d = F.lit(float(n_docs)), F.col("together"), F.col("of_entity"), F.col("df")
+    cells = ((t, e, d), (e - t, e, n - d), (d - t, n - e, d), (n - e - d + t, n - e, n - d))
+    parts = [F.when(seen > 0, seen * F.ln(seen * n / (row * column))).otherwise(0.0) for seen, row, column in cells]
+    return 2 * (parts[0] + parts[1] + parts[2] + parts[3])
+
+
+def disclosures(pairs: DataFrame, n_docs: int, threshold: float = GENERALISE) -> DataFrame:
+    """(entity, term, share): how much of the entity's information the term gives away, where above the threshold.
+
+    Pairs that may have met by chance tell nothing.
+    """
     information = F.log2(F.lit(float(n_docs)) / F.col("of_entity"))
     gained = F.log2(F.col("together") * F.lit(float(n_docs)) / (F.col("of_entity") * F.col("df")))
-    return (
-        pairs.join(counts, "term")
-        .where((information > 0) & (gained >= threshold * information))
-        .select("entity", "term", (gained / information).alias("share"))
+    return pairs.where((information > 0) & (gained >= threshold * information) & (beyond_chance(n_docs) >= CHANCE)).select(
+        "entity", "term", (gained / information).alias("share")
     )
 
 
@@ -247,15 +269,22 @@ def risky_terms(found: DataFrame, base: DataFrame, support: int, threshold: floa
         found.where(F.size("spans_") > 0).select("h", entities(F.col("spans_")).alias("entities"), document_words(F.col("text_"), F.col("spans_")).alias("terms")),
         "owned",
     )
+    texts = stored(distinct_texts(owned), "texts")
     # a pair that meets in so many texts has an entity that stands in as many
-    counts = stored(entity_counts(owned, support), "entities")
-    met = (
-        owned.select("h", "terms", F.explode("entities").alias("entity"))
-        .join(small_side(counts.select("entity")), "entity", "left_semi")
-        .select("h", "entity", F.explode("terms").alias("term"))
+    counts = stored(entity_counts(texts, support), "entities")
+    known = (
+        texts.select("h", F.explode("entities").alias("entity"))
+        .join(small_side(counts), "entity")
+        .groupBy("h")
+        .agg(F.collect_list(F.struct("entity", "of_entity")).alias("known"))
     )
-    pairs = stored(met_pairs(met, support, counts), "pairs")
-    risky = disclosures(pairs, document_counts(found, pairs.select("term").distinct()), n_docs, threshold)
+    texts = stored(texts.drop("entities").join(known, "h"), "known")
+    often = texts.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("texts"))
+    terms = stored(often.where(F.col("texts") >= support).select("term"), "often")
+    most = counts.agg(F.max("of_entity")).first()[0] or 0
+    df = document_counts(found, terms).join(terms, "term", "left_semi")
+    df = stored(df.where(F.col("df") <= most_documents(F.lit(float(most)), n_docs, threshold)), "counts")
+    risky = disclosures(met_pairs(texts, df, n_docs, threshold, support), n_docs, threshold)
     # a term may disclose two entities: the larger share counts
     shares = stored(risky.groupBy("term").agg(F.max("share").alias("share")), "risky")
     spread = found.select("k1", "k2", F.explode(document_words(F.col("text_"), F.col("spans_"))).alias("term"))

@@ -107,13 +107,21 @@ def test_disclosing_terms(spark, monkeypatch):
 
 
 def test_disclosure_is_pmi_over_information(spark):
-    mentions = frame(spark, [("e", "t", k, k, k) for k in range(4)] + [("e", "u", 0, 0, 0)], "entity string, term string, row int, k2 int, h int")
-    counts = frame(spark, [("t", 8), ("u", 1)], "term string, df bigint")
-    pairs = privacy.met_pairs(mentions, support=3)
-    assert [(r.entity, r.term, r.together, r.of_entity) for r in pairs.collect()] == [("e", "t", 4, 4)]
-    got = privacy.disclosures(pairs, counts, 64, threshold=0.5).collect()
+    owned = frame(spark, [(k % 4, ["e"], ["t", "u"] if k == 0 else ["t"]) for k in range(5)], "h int, entities array<string>, terms array<string>")
+    texts = privacy.distinct_texts(owned)
+    counts = privacy.entity_counts(texts, support=3)
+    assert [tuple(r) for r in counts.collect()] == [("e", 5)]
+    known = texts.withColumn("known", F.array(F.struct(F.lit("e").alias("entity"), F.lit(5).alias("of_entity"))))
+    df = frame(spark, [("t", 8), ("u", 1)], "term string, df bigint")
+    pairs = privacy.met_pairs(known, df, 64, threshold=0.5, support=3).persist()
+    assert [(r.entity, r.term, r.together, r.of_entity, r.df) for r in pairs.collect()] == [("e", "t", 5, 5, 8)]
+    got = privacy.disclosures(pairs, 64, threshold=0.5).collect()
     assert [(r.entity, r.term) for r in got] == [("e", "t")]
-    assert got[0].share == pytest.approx(math.log2(4 * 64 / (4 * 8)) / math.log2(64 / 4))
+    assert got[0].share == pytest.approx(math.log2(5 * 64 / (5 * 8)) / math.log2(64 / 5))
+    table = np.array([[5, 0], [3, 56]])
+    expected = table.sum(axis=1, keepdims=True) * table.sum(axis=0, keepdims=True) / 64
+    g = 2 * sum(o * math.log(o / e) for o, e in zip(table.ravel(), expected.ravel()) if o)
+    assert pairs.select(privacy.beyond_chance(64)).first()[0] == pytest.approx(g)
 
 
 def test_sanitise_keeps_columns(spark):
@@ -142,26 +150,64 @@ def test_rare_entities_go_by_coarser_ones(spark):
     assert all(got[k] == 1 for k in (0, 1, 2, 3)) and all(got[k] >= 1 for k in range(100, 104)) and got[10] == 0
 
 
+def brute_levels(kind, value):
+    value, digits = value.lower(), re.sub("[^0-9]", "", value)
+    if kind == "email":
+        labels = value.split("@")[1].split(".")
+        return [value] + ["@" + ".".join(labels[k:]) for k in range(max(len(labels) - 1, 1))]
+    if kind == "ip":
+        return [value] + [".".join(value.split(".")[:k]) + "." for k in (3, 2)]
+    return [digits] + [digits[:k] + "-" for k in ((6,) if kind == "card" else (7, 4))]
+
+
+def brute_terms(rows):
+    """Hidden words per row by counting all pairs of entity and word."""
+    words, owned = [], []
+    for _, text in rows:
+        cut, spans = list(text or ""), brute_spans(text)
+        for _, a, b in spans:
+            cut[a:b] = "\0" * (b - a)
+        words.append([w for w in re.findall("(?:[^\\W_]|\0)+", "".join(cut).lower()) if "\0" not in w])
+        owned.append({(k, v) for k, a, b in spans for v in brute_levels(k, text[a:b])})
+    n, df, of, together, texts = len(rows), Counter(), Counter(), Counter(), defaultdict(set)
+    for (_, text), w, o in zip(rows, words, owned):
+        df.update(set(w))
+        of.update(o)
+        for pair in ((e, t) for e in o for t in set(w)):
+            together[pair] += 1
+            texts[pair].add(text)
+    risky = set()
+    for (e, t), x in together.items():
+        if len(texts[e, t]) >= 3 and of[e] < n and math.log2(x * n / (of[e] * df[t])) >= 0.8 * math.log2(n / of[e]):
+            cells = ((x, of[e], df[t]), (of[e] - x, of[e], n - df[t]), (df[t] - x, n - of[e], df[t]), (n - of[e] - df[t] + x, n - of[e], n - df[t]))
+            if 2 * sum(o * math.log(o * n / (r * c)) for o, r, c in cells if o) >= 24:
+                risky.add(t)
+    return [sum(w in risky for w in x) for x in words]
+
+
+def test_terms_by_no_zone_and_not_by_chance(spark):
+    # every number of a world zone has a word of its own kind, but the zone is nobody; two texts are too few, four of four are not chance
+    rng = np.random.default_rng(9)
+    digits = ["".join(map(str, rng.integers(0, 10, 9))) for _ in range(60)]
+    rows = [(k, f"call +1{d} about zonal {'pad ' * k}") for k, d in enumerate(digits)] + [(100 + k, f"nobody {'x ' * k}") for k in range(60)]
+    rows += [(200 + k, f"write to kim@deep.host.org about grobnik {'y ' * k}") for k in range(4)]
+    rows += [(300 + k, f"write to lee@other.net about frobnak {'y ' * (k + 9)}") for k in range(2)] + [(310, rows[-1][1])] * 9
+    got = {r.doc_id: r.n_terms for r in privacy.report(frame(spark, rows)).collect()}
+    assert [n for _, n in sorted((k, n) for k, n in got.items() if k < 200)] == [0] * 120
+    assert all(got[200 + k] >= 1 for k in range(4))
+    counted = privacy.report(frame(spark, rows)).select("doc_id", "n_terms").collect()
+    assert multiset(counted) == Counter(zip((i for i, _ in rows), brute_terms(rows)))
+
+
 @needs_tables
-def test_terms_are_hidden_on_the_tables(spark):
+def test_terms_on_the_tables(spark):
     docs = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet")
-    words, zone = {}, []
-    for r in docs.collect():
-        cut = list(r.text)
-        for _, a, b in (spans := brute_spans(r.text)):
-            cut[a:b] = "\0" * (b - a)
-        words[r.doc_id] = [w for w in re.findall("(?:[^\\W_]|\0)+", "".join(cut).lower()) if "\0" not in w]
-        zone += [(r.doc_id, r.text)] * any(k == "phone" and r.text[a : a + 2] == "+1" for k, a, _ in spans)
-    n, df = len(words), Counter(w for x in words.values() for w in set(x))
-    met, texts = Counter(w for i, _ in zone for w in set(words[i])), defaultdict(set)
-    for i, t in zone:
-        for w in words[i]:
-            texts[w].add(t)
-    shares = {w: math.log2(met[w] * n / (len(zone) * df[w])) / math.log2(n / len(zone)) for w in met if len(texts[w]) >= 3}
-    risky = {w for w, s in shares.items() if s >= 0.8}
-    want = {i: sum(w in risky for w in x) for i, x in words.items()}
-    got = {r.doc_id: r.n_terms for r in privacy.report(docs).collect()}
-    assert "token" in risky and sum(want.values()) > 0 and got == want
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    # a disclosure planted beside what the table holds
+    rows += [(10**6 + k, f"{rows[k][1]} agent zyxgard at zyx@gard.example") for k in range(5)]
+    got = privacy.report(frame(spark, rows).repartition(4)).select("doc_id", "n_terms").collect()
+    want = Counter(zip((i for i, _ in rows), brute_terms(rows)))
+    assert multiset(got) == want and sum(n for (i, n) in want if i >= 10**6) >= 5
 
 
 # ---- quality
