@@ -214,21 +214,13 @@ def entity_counts(texts: DataFrame, support: int = SUPPORT) -> DataFrame:
     return counts.where(F.col("texts") >= support).drop("texts")
 
 
-def most_documents(of_entity: Column, n_docs: int, threshold: float) -> Column:
-    """The largest document count that a term disclosing the entity can have: it meets the entity in no more than its own documents."""
-    return F.pow(F.lit(float(n_docs)), 1 - threshold) * F.pow(of_entity, threshold) * F.lit(1 + 1e-9)
+def met_pairs(texts: DataFrame, support: int = SUPPORT) -> DataFrame:
+    """(entity, of_entity, term, together): document counts of the pairs met in at least ``support`` distinct texts.
 
-
-def met_pairs(texts: DataFrame, df: DataFrame, n_docs: int, threshold: float = GENERALISE, support: int = SUPPORT) -> DataFrame:
-    """(entity, of_entity, term, df, together): document counts of the pairs met in at least ``support`` distinct texts.
-
-    ``texts`` has a row per distinct text with its counted entities (``known``); ``df`` the terms that
-    may disclose any.  Pairs beyond :func:`most_documents` are left out before they are counted.
+    ``texts`` has a row per distinct text with its counted entities, ``known``.
     """
-    words = _looked_up(texts.select("n", "known", F.explode("terms").alias("term")), df)
-    met = words.select("n", "term", "df", F.inline("known"))
-    rare = met.where(F.col("df") <= most_documents(F.col("of_entity"), n_docs, threshold))
-    pairs = rare.groupBy("entity", "of_entity", "term", "df").agg(F.sum("n").alias("together"), F.count(F.lit(1)).alias("texts"))
+    met = texts.select("n", "known", F.explode("terms").alias("term")).select("n", "term", F.inline("known"))
+    pairs = met.groupBy("entity", "of_entity", "term").agg(F.sum("n").alias("together"), F.count(F.lit(1)).alias("texts"))
     return pairs.where(F.col("texts") >= support).drop("texts")
 
 
@@ -240,16 +232,22 @@ def beyond_chance(n_docs: int) -> Column:
     return 2 * (parts[0] + parts[1] + parts[2] + parts[3])
 
 
-def disclosures(pairs: DataFrame, n_docs: int, threshold: float = GENERALISE) -> DataFrame:
-    """(entity, term, share): how much of the entity's information the term gives away, where above the threshold.
-
-    Pairs that may have met by chance tell nothing.
-    """
-    information = F.log2(F.lit(float(n_docs)) / F.col("of_entity"))
+def _share(n_docs: int) -> tuple[Column, Column]:
+    """What the term tells about the entity, and the entity's whole information."""
     gained = F.log2(F.col("together") * F.lit(float(n_docs)) / (F.col("of_entity") * F.col("df")))
-    return pairs.where((information > 0) & (gained >= threshold * information) & (beyond_chance(n_docs) >= CHANCE)).select(
-        "entity", "term", (gained / information).alias("share")
-    )
+    return gained, F.log2(F.lit(float(n_docs)) / F.col("of_entity"))
+
+
+def telling(n_docs: int, threshold: float) -> Column:
+    """Whether a pair discloses the entity, by more than chance; a term in more documents tells less."""
+    gained, information = _share(n_docs)
+    return (information > 0) & (gained >= threshold * information) & (beyond_chance(n_docs) >= CHANCE)
+
+
+def disclosures(pairs: DataFrame, n_docs: int, threshold: float = GENERALISE) -> DataFrame:
+    """(entity, term, share): how much of the entity's information the term gives away, where above the threshold."""
+    gained, information = _share(n_docs)
+    return pairs.where(telling(n_docs, threshold)).select("entity", "term", (gained / information).alias("share"))
 
 
 def _prepared(docs: DataFrame, doc_id: str, text: str, *carried: Column) -> DataFrame:
@@ -279,12 +277,13 @@ def risky_terms(found: DataFrame, base: DataFrame, support: int, threshold: floa
         .agg(F.collect_list(F.struct("entity", "of_entity")).alias("known"))
     )
     texts = stored(texts.drop("entities").join(known, "h"), "known")
-    often = texts.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("texts"))
-    terms = stored(often.where(F.col("texts") >= support).select("term"), "often")
-    most = counts.agg(F.max("of_entity")).first()[0] or 0
-    df = document_counts(found, terms).join(terms, "term", "left_semi")
-    df = stored(df.where(F.col("df") <= most_documents(F.lit(float(most)), n_docs, threshold)), "counts")
-    risky = disclosures(met_pairs(texts, df, n_docs, threshold, support), n_docs, threshold)
+    # in the documents with entities alone a term stands no more often than in all: what tells nothing there tells nothing
+    own = texts.select("n", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("n").alias("df"), F.count(F.lit(1)).alias("texts"))
+    own = own.where(F.col("texts") >= support).drop("texts")
+    pairs = met_pairs(texts, support).join(own, "term")
+    pairs = stored(pairs.where(telling(n_docs, threshold)).drop("df"), "pairs")
+    counted = pairs.join(document_counts(found, pairs.select("term").distinct()), "term")
+    risky = disclosures(counted, n_docs, threshold)
     # a term may disclose two entities: the larger share counts
     shares = stored(risky.groupBy("term").agg(F.max("share").alias("share")), "risky")
     spread = found.select("k1", "k2", F.explode(document_words(F.col("text_"), F.col("spans_"))).alias("term"))

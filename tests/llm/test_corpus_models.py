@@ -112,8 +112,7 @@ def test_disclosure_is_pmi_over_information(spark):
     counts = privacy.entity_counts(texts, support=3)
     assert [tuple(r) for r in counts.collect()] == [("e", 5)]
     known = texts.withColumn("known", F.array(F.struct(F.lit("e").alias("entity"), F.lit(5).alias("of_entity"))))
-    df = frame(spark, [("t", 8), ("u", 1)], "term string, df bigint")
-    pairs = privacy.met_pairs(known, df, 64, threshold=0.5, support=3).persist()
+    pairs = privacy.met_pairs(known, support=3).withColumn("df", F.lit(8))
     assert [(r.entity, r.term, r.together, r.of_entity, r.df) for r in pairs.collect()] == [("e", "t", 5, 5, 8)]
     got = privacy.disclosures(pairs, 64, threshold=0.5).collect()
     assert [(r.entity, r.term) for r in got] == [("e", "t")]
@@ -122,6 +121,9 @@ def test_disclosure_is_pmi_over_information(spark):
     expected = table.sum(axis=1, keepdims=True) * table.sum(axis=0, keepdims=True) / 64
     g = 2 * sum(o * math.log(o / e) for o, e in zip(table.ravel(), expected.ravel()) if o)
     assert pairs.select(privacy.beyond_chance(64)).first()[0] == pytest.approx(g)
+    # told by fewer documents a pair tells more, so a count among some documents bounds it
+    shares = [pairs.withColumn("df", F.lit(d)).select(privacy._share(64)[0], privacy.beyond_chance(64)).first() for d in (5, 8, 20, 60)]
+    assert all(a[0] > b[0] and a[1] > b[1] for a, b in zip(shares, shares[1:]))
 
 
 def test_sanitise_keeps_columns(spark):
