@@ -330,3 +330,26 @@ def test_mixed_selection_ranks_by_p_value(spark):
     df = spark.createDataFrame(rows, "row_id int, same double, other double, flag double, y int")
     scores = select.mixed_scores(df, ["other"], ["same", "flag"], "y")
     assert scores[0].feature == "same" and scores[0].p_value < 1e-6
+
+
+def test_spearman_of_column_blocks_and_missing_values(spark):
+    rng = np.random.default_rng(11)
+    x = rng.integers(0, 9, (80, 5)).astype(float)
+    x[:, 3] = 2.0
+    x[rng.random((80, 5)) < 0.2] = np.nan
+    cols = [f"c{j}" for j in range(5)]
+    df = spark.createDataFrame([(i, *[None if np.isnan(v) else float(v) for v in r]) for i, r in enumerate(x)], "row_id bigint, " + ", ".join(f"{c} double" for c in cols))
+    ranks = np.full(x.shape, np.nan)
+    for j in range(5):
+        there = np.flatnonzero(~np.isnan(x[:, j]))
+        ranks[there, j] = [(x[there, j] < v).sum() + ((x[there, j] == v).sum() + 1) / 2 for v in x[there, j]]
+    want = {}
+    for i in range(5):
+        for j in range(i + 1, 5):
+            both = ~np.isnan(ranks[:, i]) & ~np.isnan(ranks[:, j])
+            a, b = ranks[both, i], ranks[both, j]
+            want[cols[i], cols[j]] = None if a.std() == 0 or b.std() == 0 else np.corrcoef(a, b)[0, 1]
+    for width in (256, 2):
+        got = {(r.col_i, r.col_j): r.rho for r in select.spearman_pairs(df, "row_id", cols, width).collect()}
+        assert got.keys() == want.keys()
+        assert all(got[k] is None if v is None else got[k] == pytest.approx(v) for k, v in want.items())
