@@ -20,12 +20,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.ordering import join_unique
 from millrace.operators.neighbors import block_join, matrix, place_near_pivots, row_chunks
 from millrace.session import cut_lineage, scope
 
 #: Clusters of a cell, whose cost matrix one task holds.
-CELL_CLUSTERS = 1_024
+CELL_CLUSTERS = 2_048
 
 CLUSTERS = "row_id bigint, vec array<double>, n double, height double"
 MERGES = "kept bigint, gone bigint, height double, n double"
@@ -221,11 +220,9 @@ def cut(points: DataFrame, merges: DataFrame, n_clusters: int) -> DataFrame:
     names = cut_lineage(kept.select(F.col("gone").alias("row_id"), F.col("kept").alias("cluster")))
     while True:
         further = names.select(F.col("row_id").alias("cluster"), F.col("cluster").alias("beyond"))
-        sizes = names.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
-        ends = further.join(sizes, "cluster")
-        moved = join_unique(names, ends, ["cluster"], "size").select("row_id", F.col("beyond").alias("cluster"))
-        still = names.join(further.select("cluster"), "cluster", "left_anti").select("row_id", "cluster")
-        names = cut_lineage(moved.withColumn("moved", F.lit(True)).unionByName(still.withColumn("moved", F.lit(False))))
+        # a name that very many follow is split by the adaptive join
+        ahead = names.join(further, "cluster", "left")
+        names = cut_lineage(ahead.select("row_id", F.coalesce("beyond", "cluster").alias("cluster"), F.col("beyond").isNotNull().alias("moved")))
         if names.where("moved").isEmpty():
             break
         names = names.drop("moved")
