@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from millrace.catalog import fixtures as fx
 from millrace.catalog import statements as st
 from millrace.catalog.registry import query, r6, rounded
-from millrace.operators import bayes, classify, impute, neighbors, sample, score
+from millrace.operators import bayes, classify, impute, neighbors, projection, sample, score
 from millrace.plans import jobs
 from millrace.session import new_path
 from millrace.sources import models as stored
@@ -68,6 +68,14 @@ def nearest_join_with_missing(spark, sf):
     return rounded(neighbors.knn(vectors, vectors, 4, exclude_self=True, missing="drop"), "distance")
 
 
+@query()
+def nearest_by_trees_recall(spark, sf):
+    """Share of the ten nearest rows that random-projection trees find when asked for nine in ten."""
+    emb = fx.embeddings(spark, sf).persist()
+    found = projection.knn_by_trees(emb, emb, 10, recall=0.9, leaf_rows=64, exclude_self=True)
+    return projection.measured_recall(found, emb, emb, 10, exclude_self=True)
+
+
 @query(f"WITH {fx.EMB_SQL}, {st.knn_cte('emb', 'emb', 1)} SELECT row_id, {st.r('distance', 'distance')} FROM near")
 def nearest_distance_curve(spark, sf):
     """Distance to the closest other row, ascending: the elbow gives eps."""

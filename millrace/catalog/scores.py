@@ -312,3 +312,31 @@ FROM both_ a JOIN both_ b ON a.i = b.i AND a.part = 'train' AND b.part = 'test'"
 def learning_curve(spark, sf):
     out = experiments.bayes_learning_curve(fx.doc_features(spark, sf), DOC_COLS, "quality", "row_id")
     return rounded(out, "train_mean", "train_std", "test_mean", "test_std")
+
+
+def _nearest_curve_sql(k: int = 5, sizes=(0.1, 0.325, 0.55, 0.775, 1.0), folds: int = 5) -> str:
+    vec = "[" + ", ".join(f"t.{c}" for c in DOC_COLS) + "]"
+    values = ", ".join(f"({i}, CAST({s} AS DOUBLE))" for i, s in enumerate(sizes))
+    return f"""WITH {fx.DOCS_SQL}, {st.folds_cte('docs_f', 'quality', folds, f'{vec} AS vec')},
+u AS (SELECT *, {uniform_sql('0:curve', 'row_id')} AS u FROM folds),
+model AS (SELECT i, size, CAST(f AS INTEGER) AS f FROM (VALUES {values}) s(i, size), range({folds}) r(f)),
+d AS (SELECT q.row_id, q.fold AS q_fold, q.u AS q_u, q.quality AS truth, p.row_id AS near_id, p.fold, p.u, p.quality, list_distance(q.vec, p.vec) AS d
+      FROM u q, u p),
+near AS (SELECT * FROM (
+           SELECT m.i, m.f, d.*, row_number() OVER (PARTITION BY m.i, m.f, row_id ORDER BY d, near_id) AS rn
+           FROM d JOIN model m ON d.fold <> m.f AND (d.u < m.size OR m.size = 1.0)
+           WHERE d.q_fold = m.f OR d.q_u < m.size OR m.size = 1.0) WHERE rn <= {k}),
+won AS (SELECT i, f, q_fold, truth, quality AS c, row_number() OVER (PARTITION BY i, f, row_id ORDER BY count(*) DESC, quality) AS rn
+        FROM near GROUP BY i, f, row_id, q_fold, truth, quality),
+hit AS (SELECT i, f, q_fold = f AS test, avg((c = truth)::INTEGER) AS accuracy FROM won WHERE rn = 1 GROUP BY i, f, q_fold = f),
+both_ AS (SELECT i, test, avg(accuracy) AS m, stddev_pop(accuracy) AS s FROM hit GROUP BY i, test)
+SELECT (SELECT any_value(size) FROM model WHERE model.i = a.i) AS size, {st.r('a.m', 'train_mean')}, {st.r('a.s', 'train_std')},
+       {st.r('b.m', 'test_mean')}, {st.r('b.s', 'test_std')}
+FROM both_ a JOIN both_ b ON a.i = b.i AND NOT a.test AND b.test"""
+
+
+@query(_nearest_curve_sql())
+def learning_curve_nearest(spark, sf):
+    """Accuracy of five nearest neighbours over growing training sets, from one neighbour join."""
+    out = experiments.nearest_learning_curve(fx.doc_features(spark, sf), DOC_COLS, "quality", "row_id")
+    return rounded(out, "train_mean", "train_std", "test_mean", "test_std")

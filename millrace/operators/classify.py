@@ -6,13 +6,14 @@ import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.hashing import uniform
 from millrace.functions.vectors import as_array
 from millrace.operators.bayes import GaussianModel, class_moments, fit_gaussian, model_from
-from millrace.operators.neighbors import knn
+from millrace.operators.neighbors import knn, knn_until
+from millrace.operators.projection import knn_by_trees
 from millrace.operators.trees import fit_trees
 
 # Poisson(1) distribution function at 0, 1, 2, ...
@@ -45,13 +46,18 @@ class NearestNeighbors:
     row_id: str
     n_neighbors: int = 5
     weights: str = "uniform"
+    #: Below 1 the neighbours come from random-projection trees, with this share of them found.
+    recall: float = 1.0
 
     def _vectors(self, df: DataFrame, *extra: str) -> DataFrame:
         return df.select(F.col(self.row_id).alias("row_id"), as_array(self.features).alias("vec"), *extra)
 
     def neighbors(self, df: DataFrame) -> DataFrame:
         train = self._vectors(self.train.where(F.col(self.label).isNotNull()), self.label)
-        return knn(self._vectors(df), train, self.n_neighbors, carry=self.label)
+        if self.recall == 1:
+            return knn(self._vectors(df), train, self.n_neighbors, carry=self.label)
+        near = knn_by_trees(self._vectors(df), train, self.n_neighbors, self.recall)
+        return near.join(train.select(F.col("row_id").alias("neighbor_id"), self.label), "neighbor_id")
 
     def predict(self, df: DataFrame) -> DataFrame:
         votes = vote(self.neighbors(df), self.label, self.weights)
@@ -113,10 +119,12 @@ class NaiveBayes:
         return df.withColumn("probability", self.model.probabilities())
 
 
-def fit_knn(df, features, label, row_id, n_neighbors: int = 5, weights: str = "uniform", metric: str = "euclidean"):
+def fit_knn(df, features, label, row_id, n_neighbors: int = 5, weights: str = "uniform", metric: str = "euclidean", recall: float = 1.0):
+    if not 0 < recall <= 1:
+        raise ValueError(f"recall must be above 0 and at most 1, not {recall}")
     if metric not in ("euclidean", "minkowski"):
         raise ValueError(f"unknown metric {metric}")
-    return NearestNeighbors(df, tuple(features), label, row_id, n_neighbors, weights)
+    return NearestNeighbors(df, tuple(features), label, row_id, n_neighbors, weights, recall)
 
 
 def fit_bayes(df, features, label, row_id=None):
@@ -224,6 +232,52 @@ class BaggedBayes:
         return self.predict_probability(df).withColumn("prediction", class_at(best, self.classes)).select(*df.columns, "prediction")
 
 
+@dataclass(frozen=True)
+class BaggedNeighbors:
+    """Mean of the vote shares among the nearest rows of every bootstrap replicate.
+
+    The neighbours are looked up once.  A row counts in a replicate as often as it
+    was drawn there, so the replicate's nearest rows are read off the list; only
+    queries whose list runs short in some replicate are looked up deeper.
+    """
+
+    member: NearestNeighbors
+    n_estimators: int
+    seed: int
+    classes: tuple
+
+    def _drawn(self) -> list[Column]:
+        return [bootstrap_weight(self.seed, "neighbor_id", F.lit(t)) for t in range(self.n_estimators)]
+
+    def _near(self, df: DataFrame) -> DataFrame:
+        """The rows of :func:`knn` for every (row, replicate); a row drawn twice stands there twice."""
+        k, label = self.member.n_neighbors, self.member.label
+
+        def short(lists: DataFrame) -> DataFrame:
+            drawn = lists.groupBy("row_id").agg(F.array_min(F.array(*[F.sum(w) for w in self._drawn()])).alias("least"))
+            return drawn.where(F.col("least") < k)
+
+        train = self.member._vectors(self.member.train.where(F.col(label).isNotNull()), label)
+        lists = knn_until(self.member._vectors(df), train, 2 * k + 8, short, carry=label)
+        each = lists.select("*", F.posexplode(F.array(*self._drawn())).alias("replicate", "weight")).where("weight > 0")
+        nearer = Window.partitionBy("row_id", "replicate").orderBy("distance", "neighbor_id").rowsBetween(Window.unboundedPreceding, -1)
+        counted = each.withColumn("before", F.coalesce(F.sum("weight").over(nearer), F.lit(0))).where(F.col("before") < k)
+        times = F.explode(F.sequence(F.lit(1), F.least(F.col("weight").cast("bigint"), F.lit(k) - F.col("before"))))
+        return counted.select(F.struct("row_id", "replicate").alias("row_id"), label, "distance", times.alias("time"))
+
+    def predict_probability(self, df: DataFrame) -> DataFrame:
+        shares = vote_shares(self._near(df), self.member.label, self.classes, self.member.weights)
+        totals = shares.groupBy(F.col("row_id.row_id").alias("near_id")).agg(
+            F.array(*[F.sum(F.col("probability")[j]) / self.n_estimators for j in range(len(self.classes))]).alias("probability")
+        )
+        return df.join(totals, F.col(self.member.row_id) == F.col("near_id")).drop("near_id")
+
+    def predict(self, df: DataFrame) -> DataFrame:
+        scores = F.transform("probability", lambda p: F.round(p, 9))
+        best = F.array_position(scores, F.array_max(scores)) - 1
+        return self.predict_probability(df).withColumn("prediction", class_at(best, self.classes)).drop("probability")
+
+
 def fit_bagging(df, features, label, row_id, base_estimator: str = "decisionTree", n_estimators: int = 10, seed: int = 0, **params):
     """Members fitted on bootstrap replicates; their class probabilities are averaged."""
     if base_estimator == "decisionTree":
@@ -241,14 +295,8 @@ def fit_bagging(df, features, label, row_id, base_estimator: str = "decisionTree
         )
         return BaggedBayes(models, tuple(sorted({m.label for m in moments})))
     if base_estimator == "KNN":
-        members = []
-        for t in range(n_estimators):
-            drawn = df.withColumn("weight_", bootstrap_weight(seed, row_id, F.lit(t))).where(F.col("weight_") > 0)
-            # a weight is at most 9, so sixteen keys per row are enough
-            copies = drawn.withColumn("copy_", F.explode(F.sequence(F.lit(0), F.col("weight_") - 1)))
-            train = copies.withColumn(row_id, F.col(row_id) * 16 + F.col("copy_")).drop("copy_", "weight_")
-            members.append(fit_knn(train, features, label, row_id, **params))
-        return Votes(tuple(members), row_id, "soft", classes=tuple(classes_of(df, label)))
+        member = fit_knn(df, features, label, row_id, **params)
+        return BaggedNeighbors(member, n_estimators, seed, tuple(classes_of(df, label)))
     raise ValueError(f"unknown base estimator {base_estimator}")
 
 

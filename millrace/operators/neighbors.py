@@ -13,7 +13,7 @@ the pairs.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions.hashing import hash_key
-from millrace.session import keep
+from millrace.session import cut_lineage, keep
 
 CELL_ROWS = 2_000
 MAX_PIVOTS = 16_384
@@ -405,6 +405,46 @@ def _bounded(
     return _meet(left, _spread_points(placed, layout), layout, bound, schema)
 
 
+def nearest_of_block(q: pd.DataFrame, p: pd.DataFrame, k: int, exclude_self: bool) -> pd.DataFrame:
+    """The k nearest rows of a reference block for each row of a query block; a column ``carry_`` is brought along."""
+    if not len(q) or not len(p):
+        return pd.DataFrame()
+    a, b = matrix(q["vec"]), matrix(p["vec"])
+    q_id, p_id = q["row_id"].to_numpy(), p["row_id"].to_numpy()
+    take = min(k + 1 if exclude_self else k, len(b))
+    parts = []
+    for part in row_chunks(len(a), len(b)):
+        d2, slack = approx_sq(a[part], b)
+        kth = np.partition(d2, take - 1, axis=1)[:, take - 1]
+        rows, cols = np.nonzero(d2 <= kth[:, None] + 2 * slack)
+        d = np.sqrt(exact_sq(a[part][rows], b[cols]))
+        order = np.lexsort((p_id[cols], d, rows))
+        rows, cols, d = rows[order], cols[order], d[order]
+        if exclude_self:
+            other = q_id[part][rows] != p_id[cols]
+            rows, cols, d = rows[other], cols[other], d[other]
+        first = np.searchsorted(rows, rows, side="left")
+        rank = np.arange(len(rows)) - first
+        keep = rank < k
+        out = pd.DataFrame({"row_id": q_id[part][rows[keep]], "neighbor_id": p_id[cols[keep]], "distance": d[keep]})
+        if "carry_" in p:
+            out["carry_"] = p["carry_"].to_numpy()[cols[keep]]
+        out["rank"] = (rank[keep] + 1).astype(np.int32)
+        parts.append(out)
+    return pd.concat(parts, ignore_index=True)
+
+
+def first_copies(points: DataFrame, wanted: int, group: str | None = None, extra: Sequence[str] = ()) -> DataFrame:
+    """Of any number of exact copies the first few ids, cut before the shuffle of whole vectors."""
+    copies = Window.partitionBy(*([group] if group else []), F.xxhash64("vec"), "vec").orderBy("row_id")
+    return (
+        points.select("row_id", F.col("vec").cast("array<double>").alias("vec"), *([group] if group else []), *[c for c in extra if c not in (group, "vec")])
+        .withColumn("copy_", F.row_number().over(copies))
+        .where(F.col("copy_") <= wanted)
+        .drop("copy_")
+    )
+
+
 def knn(
     queries: DataFrame,
     points: DataFrame,
@@ -425,46 +465,12 @@ def knn(
     extra = [carry] if carry else []
     # Of any number of exact copies only the first few ids can be an answer; the
     # limit is applied before the shuffle, so a hot vector stays small.
-    copies = Window.partitionBy(*([group] if group else []), F.xxhash64("vec"), "vec").orderBy("row_id")
-    distinct = (
-        points.select("row_id", F.col("vec").cast("array<double>").alias("vec"), *([group] if group else []), *[c for c in extra if c not in (group, "vec")])
-        .withColumn("copy_", F.row_number().over(copies))
-        .where(F.col("copy_") <= wanted)
-        .drop("copy_")
-    )
+    distinct = first_copies(points, wanted, group, extra)
     if carry:
         distinct = distinct.withColumn("carry_", F.col(carry))
 
-    has_carry = carry is not None
-
     def nearest(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(p):
-            return pd.DataFrame()
-        a, b = matrix(q["vec"]), matrix(p["vec"])
-        q_id, p_id = q["row_id"].to_numpy(), p["row_id"].to_numpy()
-        take = min(wanted, len(b))
-        parts = []
-        for part in row_chunks(len(a), len(b)):
-            d2, slack = approx_sq(a[part], b)
-            kth = np.partition(d2, take - 1, axis=1)[:, take - 1]
-            rows, cols = np.nonzero(d2 <= kth[:, None] + 2 * slack)
-            d = np.sqrt(exact_sq(a[part][rows], b[cols]))
-            order = np.lexsort((p_id[cols], d, rows))
-            rows, cols, d = rows[order], cols[order], d[order]
-            if exclude_self:
-                other = q_id[part][rows] != p_id[cols]
-                rows, cols, d = rows[other], cols[other], d[other]
-            first = np.searchsorted(rows, rows, side="left")
-            rank = np.arange(len(rows)) - first
-            keep = rank < k
-            out = pd.DataFrame(
-                {"row_id": q_id[part][rows[keep]], "neighbor_id": p_id[cols[keep]], "distance": d[keep]}
-            )
-            if has_carry:
-                out["carry_"] = p["carry_"].to_numpy()[cols[keep]]
-            out["rank"] = (rank[keep] + 1).astype(np.int32)
-            parts.append(out)
-        return pd.concat(parts, ignore_index=True)
+        return nearest_of_block(q, p, k, exclude_self)
 
     fields = "row_id bigint, neighbor_id bigint, distance double"
     if carry:
@@ -488,6 +494,25 @@ def knn(
     return found.withColumnRenamed("carry_", carry) if carry else found
 
 
+def knn_until(queries: DataFrame, points: DataFrame, depth: int, short: Callable[[DataFrame], DataFrame], carry: str | None = None) -> DataFrame:
+    """Neighbour lists as of :func:`knn`, each as deep as its query needs.
+
+    ``short(lists)`` gives the ``row_id`` of the queries whose list does not do.
+    These are looked up again, four times as deep, until none is left or its list
+    holds all reference rows.
+    """
+    done = None
+    while True:
+        found = cut_lineage(knn(queries, points, depth, carry=carry))
+        may_go_on = found.where(F.col("rank") == depth).select("row_id")
+        lacking = cut_lineage(short(found).select("row_id").join(may_go_on, "row_id", "left_semi"))
+        good = found.join(lacking, "row_id", "left_anti")
+        done = good if done is None else done.unionByName(good)
+        if lacking.isEmpty():
+            return done
+        queries, depth = queries.join(lacking, "row_id", "left_semi"), 4 * depth
+
+
 def nearest_distance_curve(points: DataFrame) -> DataFrame:
     """Distance of every row to its closest other row, ascending."""
     return (

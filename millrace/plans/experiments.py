@@ -4,15 +4,19 @@ from __future__ import annotations
 
 import copy
 import math
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.hashing import uniform
+from millrace.functions.vectors import as_array
 from millrace.operators.bayes import class_moments, model_from
-from millrace.operators.classify import vote
+from millrace.operators.classify import class_index, classes_of, vote
+from millrace.operators.neighbors import knn_until
 from millrace.operators.sample import stratified_folds
 from millrace.operators.score import confusion_counts, metrics_of
 from millrace.plans import jobs
@@ -253,6 +257,86 @@ def bayes_learning_curve(
     )
 
 
+def nearest_learning_curve(
+    df: DataFrame,
+    features: Sequence[str],
+    label: str,
+    row_id: str,
+    n_neighbors: int = 5,
+    sizes: Sequence[float] = (0.1, 0.325, 0.55, 0.775, 1.0),
+    folds: int = 5,
+    seed: int = 0,
+) -> DataFrame:
+    """(size, train_mean, train_std, test_mean, test_std) of the accuracy of nearest neighbours.
+
+    One neighbour join for all models: a neighbour brings its fold and the first
+    size it belongs to, and the nearest rows of every (fold, size) training set are
+    read off the list in order of distance.  Only rows whose list runs short in some
+    training set are looked up deeper.  Equal votes go to the lowest label; a model
+    without training rows scores nothing, a size without a score is null.
+    """
+    classes = classes_of(df, label)
+    marked = stratified_folds(df, label, row_id, folds)
+    u = uniform(f"{seed}:curve", row_id)
+    step = sum(((u >= F.lit(float(s))).cast("int") for s in list(sizes)[:-1]), F.lit(0))
+    place = (step * folds + F.col("fold")) * len(classes) + class_index(label, classes)
+    rows = keep(marked.select(F.col(row_id).alias("row_id"), as_array(features).alias("vec"), place.cast("bigint").alias("place")))
+
+    def models(batches: Iterator[pd.DataFrame], score: Callable) -> Iterator[pd.DataFrame]:
+        """Calls ``score(pdf, size, fold, own, part, met, votes)`` for every model that a row concerns."""
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            width = max(len(x) for x in pdf["near"])
+            near = np.full((len(pdf), width), -1, np.int64)
+            for i, x in enumerate(pdf["near"]):
+                near[i, : len(x)] = x
+            kind, fold, first = near % len(classes), near // len(classes) % folds, near // len(classes) // folds
+            own = pdf["place"].to_numpy()
+            own_fold, own_first = own // len(classes) % folds, own // len(classes) // folds
+            for s in range(len(sizes)):
+                for f in range(folds):
+                    inside = (near >= 0) & (fold != f) & (first <= s)
+                    met = inside.cumsum(axis=1)
+                    for part, concerned in (("test", own_fold == f), ("train", (own_fold != f) & (own_first <= s))):
+                        at = np.nonzero(concerned)[0]
+                        chosen = inside[at] & (met[at] <= n_neighbors)
+                        yield from score(pdf, s, f, part, at, met[at, -1], [(chosen & (kind[at] == c)).sum(axis=1) for c in range(len(classes))])
+
+    def lacking(batches):
+        def score(pdf, s, f, part, at, met, votes):
+            yield pd.DataFrame({"row_id": pdf["row_id"].to_numpy()[at[met < n_neighbors]]})
+
+        return models(batches, score)
+
+    def scored(batches):
+        def score(pdf, s, f, part, at, met, votes):
+            if len(at):
+                hit = np.argmax(np.stack(votes), axis=0) == pdf["place"].to_numpy()[at] % len(classes)
+                yield pd.DataFrame({"size": [s], "fold": [f], "part": [part], "hits": [int((hit & (met > 0)).sum())], "n": [int((met > 0).sum())]})
+
+        return models(batches, score)
+
+    def listed(lists: DataFrame) -> DataFrame:
+        near = lists.groupBy("row_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "place"))), lambda x: x["place"]).alias("near"))
+        return near.join(rows.select("row_id", "place"), "row_id")
+
+    # so many rows hold n_neighbors of the smallest training set, and some more
+    depth = math.ceil(1.5 * n_neighbors / (min(sizes) * (1 - 1 / folds))) + 16
+    near = knn_until(rows, rows, depth, lambda lists: listed(lists).mapInPandas(lacking, "row_id bigint").distinct(), carry="place")
+    cells = listed(near).mapInPandas(scored, "size int, fold int, part string, hits bigint, n bigint")
+    sums = cells.groupBy("size", "fold", "part").agg((F.sum("hits") / F.nullif(F.sum("n"), F.lit(0))).alias("accuracy"))
+    # one row per size, fold and part
+    values: dict = {}
+    for r in sums.where("accuracy IS NOT NULL").collect():
+        values.setdefault((r["size"], r["part"]), []).append(r["accuracy"])
+    out = []
+    for s, size in enumerate(sizes):
+        pairs = [values.get((s, part), []) for part in ("train", "test")]
+        out.append((float(size), *[x for v in pairs for x in ((float(np.mean(v)), float(np.std(v))) if v else (None, None))]))
+    return df.sparkSession.createDataFrame(out, "size double, train_mean double, train_std double, test_mean double, test_std double")
+
+
 def learning_curve(
     df: DataFrame,
     fit: Callable,

@@ -298,6 +298,39 @@ def test_learning_curves_agree(table):
         assert f.train_std == pytest.approx(np.std([r.train_score for r in part]))
 
 
+def test_nearest_learning_curve_agrees_with_single_models(table):
+    sizes = (0.05, 0.4, 1.0)
+    fast = experiments.nearest_learning_curve(table, FEATURES, "label", "row_id", 7, sizes=sizes, folds=3).orderBy("size").collect()
+    fit = lambda *a: classify.fit_knn(*a, n_neighbors=7)
+    slow = experiments.learning_curve(table, fit, FEATURES, "label", "row_id", sizes=sizes, folds=3).collect()
+    assert [f["size"] for f in fast] == list(sizes)
+    for f in fast:
+        part = [r for r in slow if r["size"] == f["size"]]
+        assert f.test_mean == pytest.approx(np.mean([r.test_score for r in part]))
+        assert f.train_std == pytest.approx(np.std([r.train_score for r in part]))
+
+
+def test_bagged_neighbours_deepen_and_take_any_key(spark, table):
+    # keys near the end of the range, and so many neighbours that first lists run short
+    far = table.withColumn("row_id", F.lit(2**62) + F.col("row_id"))
+    one = classify.fit_bagging(table, FEATURES, "label", "row_id", "KNN", n_estimators=3, n_neighbors=5)
+    drawn = [{r.row_id for r in table.where(classify.bootstrap_weight(0, "row_id", F.lit(t)) > 0).collect()} for t in range(3)]
+    assert len(set(map(frozenset, drawn))) == 3
+    probability = {r.row_id: r.probability for r in one.predict_probability(table).collect()}
+    assert len(probability) == table.count() and all(abs(sum(p) - 1) < 1e-9 for p in probability.values())
+    many = classify.fit_bagging(far, FEATURES, "label", "row_id", "KNN", n_estimators=2, n_neighbors=table.count())
+    assert many.predict(far).count() == table.count()
+
+
+def test_nearest_by_trees_votes_like_the_exact_join(table):
+    exact = classify.fit_knn(table, FEATURES, "label", "row_id")
+    trees = classify.fit_knn(table, FEATURES, "label", "row_id", recall=0.95)
+    a, b = ({r.row_id: r.prediction for r in m.predict(table).collect()} for m in (exact, trees))
+    assert a.keys() == b.keys() and sum(a[i] == b[i] for i in a) >= 0.95 * len(a)
+    with pytest.raises(ValueError, match="recall"):
+        classify.fit_knn(table, FEATURES, "label", "row_id", recall=1.5)
+
+
 def test_best_points_flags_equal_distances(spark):
     rows = [("r", float(v), 0.0) for v in (9, 9, 8, 8, 7, 6)] + [("s", 1.0, 0.0)]
     got = results.best_points(spark.createDataFrame(rows, "run string, a double, b double"), "a", "b")
