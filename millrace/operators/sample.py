@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions.hashing import hash_key, uniform
-from millrace.functions.ordering import group_bounds, hash_bounds, order_statistics, smallest_per_group
+from millrace.functions.ordering import group_bounds, hash_bounds, order_statistics, running_counts, smallest_per_group
 from millrace.functions.vectors import as_array
 from millrace.operators.neighbors import approx_sq, knn, matrix, place_near_pivots, row_chunks
 
@@ -54,6 +54,20 @@ def random_undersample(
     return smallest_per_group(keyed, label, "key_", row_id, quota, hashed=True).drop("key_")
 
 
+def _numbered(copies: DataFrame, rows: DataFrame, row_id: str, most: int) -> tuple[DataFrame, int]:
+    """``copies`` with ``number_``, and the key below which ``most`` keys per number are free."""
+    low, high = rows.agg(F.min(row_id), F.max(row_id)).first()
+    whole_type = rows.schema[row_id].dataType
+    limit = {"tinyint": 7, "smallint": 15, "int": 31}.get(whole_type.simpleString(), 63)
+    if low is None or (low >= 0 and (high + 1) * most < 1 << limit):
+        return copies.withColumn("number_", F.col(row_id).cast("bigint")), 0
+    if -min(low, 0) + (rows.count() + 1) * most >= 1 << limit:
+        raise ValueError(f"{row_id} leaves no room for keys of synthetic rows below {low}")
+    ids = rows.select(F.lit(0).alias("g_"), F.col(row_id).alias("numbered_")).distinct().withColumn("one_", F.lit(1))
+    numbers = running_counts(ids, "g_", "numbered_", ["one_"]).select("numbered_", F.col("one__before").cast("bigint").alias("number_"))
+    return copies.join(numbers, F.col(row_id) == F.col("numbered_"), "left").drop("numbered_"), min(low, 0)
+
+
 def smote(
     df: DataFrame,
     features: Sequence[str],
@@ -69,7 +83,8 @@ def smote(
     Each new row lies between a row and one of its k nearest rows of the class.
     The copies are dealt out evenly: every row gets ``need // n`` of them and the
     rows with the smallest hash one more.  Synthetic rows carry ``synthetic =
-    true`` and negative keys.
+    true`` and negative keys made from those of their rows; where keys are negative
+    or too large for that, they are counted down from the smallest key instead.
     """
     features = list(features)
     counts = counts_by_class(df, label)
@@ -95,6 +110,7 @@ def smote(
     copies = members.join(
         lucky.select(F.col(row_id).alias("lucky_")), F.col(row_id) == F.col("lucky_"), "left"
     ).withColumn("copies_", F.col("share_") + F.col("lucky_").isNotNull().cast("int"))
+    copies, top = _numbered(copies, base, row_id, most)
     vectors = members.select(F.col(row_id).alias("row_id"), as_array(features).alias("vec"), F.col(label).alias("class_"))
     # the neighbour brings its vector along: joining it in later by its key would
     # send all copies made towards a popular neighbour to one task
@@ -116,7 +132,7 @@ def smote(
         {"to_": F.when(F.size("near_") > 0, F.get("near_", pick)), "step_": uniform(f"{seed}:step", row_id, "copy_")}
     )
     made = grown.select(
-        (-(F.col(row_id) * F.lit(most) + F.col("copy_")) - 1).cast(df.schema[row_id].dataType).alias(row_id),
+        (F.lit(top) - (F.col("number_") * F.lit(most) + F.col("copy_")) - 1).cast(df.schema[row_id].dataType).alias(row_id),
         label,
         *[
             (F.col(f) + F.col("step_") * (F.coalesce(F.col("to_")[i], F.col(f)) - F.col(f))).alias(f)

@@ -95,6 +95,18 @@ def test_smote(unbalanced, chunk):
     assert {r.row_id: r.x for r in rows} == pytest.approx({r.row_id: r.x for r in again.collect()})
 
 
+def test_smote_of_any_keys(spark, unbalanced):
+    plain = sample.smote(unbalanced, ["x", "y"], "label", "row_id").where("synthetic")
+    for shift in (2**63 - 2002, -5000, -(2**62)):
+        moved = unbalanced.withColumn("row_id", F.col("row_id") + F.lit(shift))
+        grown = sample.smote(moved, ["x", "y"], "label", "row_id")
+        keys = [r.row_id for r in grown.collect()]
+        assert len(set(keys)) == len(keys) and grown.where("synthetic").count() == plain.count()
+        assert max(r.row_id for r in grown.where("synthetic").collect()) < min(0, shift)
+    with pytest.raises(ValueError, match="no room"):
+        sample.smote(unbalanced.withColumn("row_id", F.col("row_id") + F.lit(-(2**63))), ["x", "y"], "label", "row_id")
+
+
 def test_smote_of_a_single_row_and_targets(unbalanced):
     grown = sample.smote(unbalanced, ["x", "y"], "label", "row_id", targets={"one": 4, "big": 10})
     counts = Counter(r.label for r in grown.collect())
