@@ -1,13 +1,17 @@
 """Perplexity by a class-based bigram model whose classes come from exchange clustering.
 
-P(w | v) = P(class(w) | class(v)) * P(w | class(w)).  The most frequent words are
-clustered; all others form one class, in which a word's emission follows its own
-count; the end of a text is a class of its own and stands before the first word.
-
-Word counts cover every training text.  The counts of frequent words (a bounded
-number, cut where a histogram of the counts allows) go to every task; the others
-meet the rare words of the texts in a shuffled join.  Class profiles for the
-exchange are aggregated from the stored bigram counts of the clustered words.
+P(w | v) = P(class(w) | class(v)) * P(w | class(w)).  Every word that the training
+texts hold at least ``min_count`` times is in a class, and the number of classes
+grows with the number of these words.  Exchange clustering runs over the most
+frequent ones, a number that grows with the classes, until no move makes the
+bigrams likelier; each other word then joins the class that makes its own
+neighbours likeliest.  Rarer words form one class, in which a word's emission
+follows its own count; the end of a text is a class of its own and stands before
+the first word.
+
+Texts are encoded once: numbers of the frequent words, whose counts go to every
+task, and the other words of a text as a list that is joined with the table of
+words.  All later passes read the numbers.
 """
 
 from __future__ import annotations
@@ -21,20 +25,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import as_bytes, crc_fold, stored
+from millrace.llm.common import as_bytes, crc_fold, discard, stored
 
 FOLDS = 10
 #: Words whose counts are sent to every task, at most.
 HEAD_WORDS = 262_144
-#: Words that are clustered, and classes for them.
-CLUSTERED = 2_048
-CLASSES = 64
-ROUNDS = 8
+#: Words rarer than this form one class.
+MIN_COUNT = 5
+#: Classes for each cube root of the number of clustered words.
+CLASSES_PER_ROOT = 3
+#: Words for each class that take part in the exchange.
+CORE_PER_CLASS = 8
+#: Rounds of the exchange before it raises.
+ROUNDS = 200
+#: Gain in nats a bigram below which the exchange has settled.
+TOLERANCE = 1e-4
 SMOOTHING = 0.1
 #: Words that a task counts before it hands the counts on.
 COUNTED_WORDS = 400_000
-#: Bytes of text taken at once.
+#: Codes that a task counts before it hands the counts on, and rows handed on at once.
+COUNTED_CODES = 1_000_000
+SLICE_ROWS = 100_000
+#: Bytes of text, or of numbers, taken at once.
 CHUNK_BYTES = 4_000_000
+#: Words assigned to classes at once.
+ASSIGNED = 1_024
 #: The end of a text, as a token; no word is empty.
 END = b""
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -42,6 +57,10 @@ LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvw
 BINS = 8
 
 
+def classes_for(words: int) -> int:
+    return max(2, round(CLASSES_PER_ROOT * words ** (1 / 3)))
+
+
 def tokens(text: bytes) -> list[bytes]:
     return text.translate(LOWER).split()
 
@@ -83,15 +102,52 @@ def chunks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.
             yield batch.slice(start), parts
 
 
-def numbered(texts: list[list[bytes]], number, unknown: int, end: int) -> tuple[np.ndarray, np.ndarray]:
-    """Word numbers of all texts in a row, each closed by ``end``, and where each text starts."""
-    flat: list[int] = []
-    starts = []
-    for words in texts:
-        starts.append(len(flat))
-        flat += [number(w, unknown) for w in words]
-        flat.append(end)
-    return np.array(flat, np.int64), np.array(starts, np.int64)
+def encode(words):
+    """Numbers of each text's tokens and the list of its words that have none.
+
+    Frequent words are 0 to H - 1, the end is H, the j-th word of the list H + 1 + j.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = {w: k for k, w in enumerate(words.value)}.get
+        end = len(words.value)
+        for batch, texts in chunks(batches, 2):
+            out, others = [], []
+            for text in texts:
+                ids = np.fromiter((number(w, -1) for w in text), np.int32, len(text))
+                extra: dict[bytes, int] = {}
+                for at in np.nonzero(ids < 0)[0]:
+                    ids[at] = end + 1 + extra.setdefault(text[at], len(extra))
+                out.append(np.append(ids, np.int32(end)).tobytes())
+                others.append(list(extra))
+            arrays = [batch.column(0), batch.column(1), pa.array(out, pa.binary()), pa.array(others, pa.list_(pa.binary()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "held_out", "ids", "words"])
+
+    return run
+
+
+def pieces(batches: Iterator[pa.RecordBatch], lists: int | None = None) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Parts of the batches with about CHUNK_BYTES of numbers: the rows, the numbers in a row, and where each text starts.
+
+    With the column ``lists``, the j-th word of a text's list is numbered on through
+    the lists of the part.  Column ``ids`` is the first.
+    """
+    for batch in batches:
+        offsets = np.frombuffer(batch.column(0).buffers()[1], np.int32)[batch.column(0).offset :][: len(batch) + 1].astype(np.int64)
+        start = 0
+        while start < len(batch):
+            stop = max(start + 1, int(np.searchsorted(offsets, offsets[start] + CHUNK_BYTES, "right")) - 1)
+            part = batch.slice(start, stop - start)
+            data = part.column(0).buffers()[2][int(offsets[start]) : int(offsets[stop])]
+            ids = np.frombuffer(data.to_pybytes(), np.int32).astype(np.int64)
+            starts = (offsets[start:stop] - offsets[start]) // 4
+            if lists is not None:
+                shift = np.concatenate(([0], np.cumsum(part.column(lists).value_lengths().fill_null(0).to_numpy(zero_copy_only=False))))
+                # the end closes every text, so its number is each text's last
+                away = np.nonzero(ids > ids[-1])[0]
+                ids[away] += shift[np.searchsorted(starts, away, "right") - 1]
+            yield part, ids, starts
+            start = stop
 
 
 def before(ids: np.ndarray, starts: np.ndarray, end: int) -> np.ndarray:
@@ -102,41 +158,139 @@ def before(ids: np.ndarray, starts: np.ndarray, end: int) -> np.ndarray:
     return out
 
 
-def count_bigrams(words, size: int):
-    """Counts of pairs of clustered words; number ``size`` stands for all others, ``size + 1`` for the end."""
+class Tally:
+    """Counts of codes."""
+
+    def __init__(self) -> None:
+        self.codes, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, codes: np.ndarray) -> None:
+        code, n = np.unique(codes, return_counts=True)
+        self.codes, at = np.unique(np.concatenate((self.codes, code)), return_inverse=True)
+        self.counts = np.bincount(at, np.concatenate((self.counts, n)), len(self.codes)).astype(np.int64)
+
+    def rows(self, most: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Codes and counts, handed on and forgotten if there are more than ``most``."""
+        if len(self.codes) > most:
+            codes, counts = self.codes, self.counts
+            self.codes, self.counts = codes[:0], counts[:0]
+            for at in range(0, len(codes), SLICE_ROWS):
+                yield codes[at : at + SLICE_ROWS], counts[at : at + SLICE_ROWS]
+
+
+def count_pairs(of: np.ndarray | None, size: int, lists: int | None = None):
+    """Counts of pairs (v, w) of the texts' numbers, brought to 0 .. ``size`` - 1.
+
+    Frequent words and the end are replaced by ``of``, words of the lists by the classes in the column ``lists``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = {w: k for k, w in enumerate(words.value[0][:size])}.get
-        codes, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for _, texts in chunks(batches, 0):
-            ids, starts = numbered(texts, number, size, size + 1)
-            code, n = np.unique(before(ids, starts, size + 1) * (size + 2) + ids, return_counts=True)
-            # at most (size + 2)^2 pairs
-            codes, at = np.unique(np.concatenate((codes, code)), return_inverse=True)
-            counts = np.bincount(at, np.concatenate((counts, n)), len(codes)).astype(np.int64)
-        if len(codes):
-            yield pa.RecordBatch.from_arrays([pa.array(codes // (size + 2)), pa.array(codes % (size + 2)), pa.array(counts)], names=["v", "w", "n"])
+        tally = Tally()
+
+        def out(most: int) -> Iterator[pa.RecordBatch]:
+            for codes, n in tally.rows(most):
+                yield pa.RecordBatch.from_arrays([pa.array(codes // size), pa.array(codes % size), pa.array(n)], names=["v", "w", "n"])
+
+        for part, ids, starts in pieces(batches, lists):
+            if lists is None:
+                # every word outside the table is one of the others, which stand before the end
+                seen = np.where(ids < len(of), of[np.minimum(ids, len(of) - 1)], size - 2)
+            else:
+                seen = np.concatenate((of, part.column(lists).flatten().to_numpy(zero_copy_only=False).astype(np.int64)))[ids]
+            tally.add(before(seen, starts, size - 1) * size + seen)
+            yield from out(COUNTED_CODES)
+        yield from out(0)
+
+    return run
+
+
+def count_profiles(of: np.ndarray, seek: np.ndarray, k: int):
+    """How often the words outside the exchange stand before and after each class.
+
+    A row names a frequent word by its number, another by itself; code c < k + 2
+    is the class that follows, k + 2 + c the class that precedes.
+    """
+    width = k + 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally = Tally()
+        close = len(of) - 1
+
+        def rows(codes: np.ndarray, n: np.ndarray, words: pa.Array | None) -> pa.RecordBatch:
+            which = codes // (2 * width)
+            number = pa.array(which.astype(np.int32)) if words is None else pa.array(np.full(len(codes), -1, np.int32))
+            named = pa.array([b""] * len(codes), pa.binary()) if words is None else words.take(pa.array(which))
+            return pa.RecordBatch.from_arrays([number, named, pa.array((codes % (2 * width)).astype(np.int32)), pa.array(n)], names=["id", "word", "c", "n"])
+
+        for part, ids, starts in pieces(batches, 1):
+            seen = np.where(ids <= close, of[np.minimum(ids, close)], k)
+            prior = before(seen, starts, k + 1)
+            after = np.append(seen[1:], k + 1)
+            for side, beside in ((0, after), (1, prior)):
+                codes = ids * (2 * width) + side * width + beside
+                head = np.nonzero((ids <= close) & seek[np.minimum(ids, close)])[0]
+                tally.add(codes[head])
+                away = codes[ids > close] - (close + 1) * 2 * width
+                if len(away):
+                    code, n = np.unique(away, return_counts=True)
+                    words = part.column(1).flatten()
+                    for at in range(0, len(code), SLICE_ROWS):
+                        yield rows(code[at : at + SLICE_ROWS], n[at : at + SLICE_ROWS].astype(np.int64), words)
+            for codes, n in tally.rows(COUNTED_CODES):
+                yield rows(codes, n, None)
+        for codes, n in tally.rows():
+            yield rows(codes, n, None)
+
+    return run
+
+
+def gains(after: np.ndarray, prior: np.ndarray, pairs: np.ndarray, total: np.ndarray, k: int) -> np.ndarray:
+    """Log-likelihood of each word's neighbours and of itself in each class, smoothed."""
+    smooth = pairs + SMOOTHING
+    right = np.log(smooth / smooth.sum(axis=1, keepdims=True))  # class after, given class
+    # a word in class b: its followers by row b, itself after its predecessors by column b, and its share of b
+    return after @ right[:k].T + prior @ right[:, :k] - prior.sum(axis=1)[:, None] * np.log(total[:k] + SMOOTHING)[None, :]
+
+
+def assign(pairs: np.ndarray, total: np.ndarray, k: int):
+    """The class of each word from the counts of the classes beside it; of equal ones the first."""
+    width = k + 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), ASSIGNED):
+                part = batch.slice(at, ASSIGNED)
+                row = np.repeat(np.arange(len(part)), part.column(2).value_lengths().to_numpy(zero_copy_only=False))
+                beside = np.zeros((len(part), 2 * width))
+                np.add.at(beside, (row, part.column(2).flatten().to_numpy()), part.column(3).flatten().to_numpy())
+                found = gains(beside[:, :width], beside[:, width:], pairs, total, k).argmax(axis=1).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found)], names=["id", "word", "class"])
 
     return run
 
 
 class Classes:
-    """Class of each number and counts of class pairs; classes 0..k-1, k for other words, k+1 for the end."""
+    """Class of each number, counts of class pairs, counts of each number with the classes after and before it.
 
-    def __init__(self, of: np.ndarray, pairs: np.ndarray) -> None:
-        self.of, self.pairs = of, pairs
+    Classes are 0..k-1, k for other words, k+1 for the end.
+    """
 
-    def log_likelihood(self, own: np.ndarray) -> float:
-        """Of the bigrams, up to what no choice of classes changes (natural logarithm)."""
-        left, right = self.pairs.sum(axis=1), np.bincount(self.of, own, len(self.pairs))
+    def __init__(self, bigrams: DataFrame, of: np.ndarray, k: int) -> None:
+        self.of = of
+        self.after, self.prior = profiles(bigrams, of, k)
+        self.own = self.prior.sum(axis=1)
+        self.pairs = np.zeros((k + 2, k + 2))
+        np.add.at(self.pairs, of, self.after)
+        self.total = np.bincount(of, self.own, k + 2)
+        #: log-likelihood of the bigrams, up to what no choice of classes changes (natural logarithm)
         part = lambda x: float((x[x > 0] * np.log(x[x > 0])).sum())
-        return part(self.pairs) - part(left) - part(right)
+        self.value = part(self.pairs) - part(self.pairs.sum(axis=1)) - part(self.total)
 
 
 def profiles(bigrams: DataFrame, of: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Counts of each number with the classes after it and before it.
 
-    Every side of the result is bounded by the clustered words and classes.
+    Every side of the result is bounded by the words of the exchange and the classes.
     """
     spark = bigrams.sparkSession
     size = len(of)
@@ -153,100 +307,92 @@ def profiles(bigrams: DataFrame, of: np.ndarray, k: int) -> tuple[np.ndarray, np
     return out[0], out[1]
 
 
-def exchange(bigrams: DataFrame, size: int, k: int, rounds: int) -> Classes:
-    """Batch exchange: in each round half of the words move to the class that makes their neighbours likeliest.
+def exchange(bigrams: DataFrame, size: int, k: int, rounds: int, history: list[float] | None = None) -> Classes:
+    """Batch exchange: in each round some of the words that gain by it move to their best class.
 
-    Words start dealt out by frequency rank.  The round with the best likelihood
-    stands; the search ends when no word wants to move.
+    Words start dealt out by frequency rank.  A round that does not make the
+    bigrams likelier is taken back and half as many words move in the next, so the
+    likelihood only rises; accepted values go to ``history``.  It ends when no word
+    gains, when a single move does not help, or when a round gains less than
+    TOLERANCE for all words; beyond ``rounds`` it raises.
+    """
+    best = Classes(bigrams, np.concatenate((np.arange(size) % k, [k, k + 1])), k)
+    history = [] if history is None else history
+    history.append(best.value)
+    tokens_seen = max(best.own.sum(), 1.0)
+    share = 2
+    for r in range(rounds):
+        wanted = gains(best.after[:size], best.prior[:size], best.pairs, best.total, k).argmax(axis=1)
+        movers = np.nonzero(wanted != best.of[:size])[0]
+        if share > 2 * len(movers):
+            return best
+        moved = movers[r % min(share, len(movers)) :: share]
+        of = best.of.copy()
+        of[moved] = wanted[moved]
+        found = Classes(bigrams, of, k)
+        if found.value <= best.value:
+            share *= 2
+            continue
+        gain = (found.value - best.value) / tokens_seen
+        best = found
+        history.append(best.value)
+        if gain * share < TOLERANCE:
+            return best
+        share = max(share // 2, 2)
+    raise RuntimeError(f"classes did not settle in {rounds} rounds")
+
+
+def score_texts(own: np.ndarray, of: np.ndarray, transitions: np.ndarray, totals: np.ndarray, plain: float):
+    """Per row: tokens, known tokens, unigram and class log10 probability.
+
+    ``own`` and ``of`` are counts and classes of the frequent words and of the end;
+    a text's other words bring theirs.  ``totals`` is log10 of each class's denominator.
     """
-    of = np.concatenate((np.arange(size) % k, [k, k + 1]))
-    best: tuple[float, Classes | None] = (-np.inf, None)
-    still = 0
-    for r in range(rounds + 1):
-        after, prior = profiles(bigrams, of, k)
-        own = prior.sum(axis=1)
-        pairs = np.zeros((k + 2, k + 2))
-        np.add.at(pairs, of, after)
-        found = Classes(of.copy(), pairs)
-        value = found.log_likelihood(own)
-        if value > best[0]:
-            best = (value, found)
-        if r == rounds or size == 0:
-            break
-        smooth = pairs + SMOOTHING
-        right = np.log(smooth / smooth.sum(axis=1, keepdims=True))  # class after, given class
-        total = np.bincount(of, own, k + 2) + SMOOTHING
-        # a word in class b: its followers by row b, itself after its predecessors by column b, and its share of b
-        gain = after[:size] @ right[:k].T + prior[:size] @ right[:, :k] - own[:size, None] * np.log(total[:k])[None, :]
-        wanted = gain.argmax(axis=1)
-        half = np.arange(size) % 2 == r % 2
-        moves = half & (wanted != of[:size])
-        of[:size][moves] = wanted[moves]
-        still = 0 if moves.any() else still + 1
-        if still == 2:
-            break
-    return best[1]
-
-
-def score_texts(words, transitions: np.ndarray, emission: np.ndarray, base: np.ndarray, of: np.ndarray, rare: int, end: int):
-    """Per text: sums over the words whose counts are at hand, and the other words with their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head = words.value[0]
-        number = {w: k for k, w in enumerate(head)}.get
-        unknown, close = len(head), len(head) + 1
-        for batch, texts in chunks(batches, 2):
-            ids, starts = numbered(texts, number, unknown, close)
-            classes = of[ids]
-            steps = transitions[before(classes, starts, end), classes] + emission[ids]
-            away = ids == unknown
-            model, plain = np.add.reduceat(steps, starts), np.add.reduceat(base[ids], starts)
-            missing = np.add.reduceat(away.astype(np.int64), starts)
-            length = np.diff(np.concatenate((starts, [len(ids)])))
-            flat, times, ends = [], [], [0]
-            for text, m in zip(texts, missing.tolist()):
-                if m:
-                    others = Counter([w for w in text if number(w) is None])
-                    flat += others
-                    times += others.values()
-                ends.append(len(flat))
-            offsets = pa.array(ends, pa.int32())
+        end = len(totals) - 1
+        for part, ids, starts in pieces(batches, 3):
+            counts = np.concatenate((own, part.column(3).flatten().to_numpy(zero_copy_only=False)))[ids].astype(float)
+            classes = np.concatenate((of, part.column(4).flatten().to_numpy(zero_copy_only=False).astype(np.int64)))[ids]
+            logs = np.log10(counts + SMOOTHING)
+            steps = transitions[before(classes, starts, end), classes] + np.where(classes == end, 0.0, logs - totals[classes])
+            length = np.diff(np.append(starts, len(ids)))
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0), batch.column(1), pa.array(length), pa.array(missing), pa.array(plain), pa.array(model),
-                    pa.ListArray.from_arrays(offsets, pa.array(flat, pa.binary())),
-                    pa.ListArray.from_arrays(offsets, pa.array(times, pa.int64())),
+                    part.column(1), part.column(2), pa.array(length), pa.array(np.add.reduceat((counts > 0).astype(np.int64), starts)),
+                    pa.array(np.add.reduceat(logs - plain, starts)), pa.array(np.add.reduceat(steps, starts)),
                 ],
-                names=["doc_id", "held_out", "n_tokens", "n_away", "base", "model", "words", "times"],
+                names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"],
             )
 
     return run
 
 
-PARTIAL = "doc_id {}, held_out boolean, n_tokens bigint, n_away bigint, base double, model double, words array<binary>, times array<bigint>"
-
-
 def perplexities(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: int = FOLDS,
-    head_words: int = HEAD_WORDS, clustered: int = CLUSTERED, classes: int = CLASSES, rounds: int = ROUNDS,
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: int = FOLDS, head_words: int = HEAD_WORDS,
+    clustered: int | None = None, classes: int | None = None, rounds: int = ROUNDS, min_count: int = MIN_COUNT,
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and perplexity per row of ``docs``.
 
     base_score is the unigram sum, score the class model's log10 probability of the
-    text with its end.  Null texts count as empty: one token, the end.  Repeated
-    rows and null ids are rows like others.  Without training rows every count is
-    zero and the base score is that of a one-word vocabulary.  Other columns are
-    not read.
+    text with its end.  ``classes`` and the words of the exchange (``clustered``)
+    follow the number of words with ``min_count`` occurrences if not given.  Null
+    texts count as empty: one token, the end.  Repeated rows and null ids are rows
+    like others.  Without training rows every count is zero and the base score is
+    that of a one-word vocabulary.  Other columns are not read.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).alias("doc_id"), (crc_fold(doc_id, folds) == 0).alias("held_out"), as_bytes(text).alias("text"))
-    train = rows.where(~F.col("held_out")).select("text")
     counts = stored(
-        train.mapInArrow(count_words, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n")).withColumn("bin", bin_of(F.col("n"))),
+        rows.where(~F.col("held_out")).select("text")
+        .mapInArrow(count_words, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n")).withColumn("bin", bin_of(F.col("n"))),
         "words",
-    )
+    )
     of_end = F.col("word") == F.lit(END)
-    total = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v"), F.sum(F.when(of_end, F.col("n"))).alias("ends")).first()
+    total = counts.agg(
+        F.sum("n").alias("n"), F.count(F.lit(1)).alias("v"), F.sum(F.when(of_end, F.col("n"))).alias("ends"),
+        F.count(F.when(~of_end & (F.col("n") >= min_count), 1)).alias("often"),
+    ).first()
     n, v, ends = total["n"] or 0, total["v"], total["ends"] or 0
     cut, taken = 1 << 30, 0
     for r in sorted(counts.groupBy("bin").count().collect(), key=lambda r: -r["bin"]):
@@ -256,54 +402,69 @@ def perplexities(
         cut = r["bin"]
     top = counts.where((F.col("bin") >= cut) & ~of_end).select("word", "n").toArrow()
     order = sorted(zip(top.column("word").to_pylist(), top.column("n").to_pylist()), key=lambda x: (-x[1], x[0]))
-    words = spark.sparkContext.broadcast(([w for w, _ in order], None))
-    own = np.array([c for _, c in order], float)
-    size = min(clustered, len(order))
-    k = max(min(classes, size), 1)
+    own = np.array([c for _, c in order] + [ends], np.int64)
+    head, often = len(order), int((own[:-1] >= min_count).sum())
+    k = classes or classes_for(total["often"])
+    size = min(clustered or CORE_PER_CLASS * k, often)
+    k = max(min(k, size), 1)
 
-    pair_counts = train.mapInArrow(count_bigrams(words, size), "v bigint, w bigint, n bigint")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    encoded = rows.mapInArrow(encode(spark.sparkContext.broadcast([w for w, _ in order])), f"doc_id {kind}, held_out boolean, ids binary, words array<binary>")
+    encoded = stored(encoded.withColumn("row", F.monotonically_increasing_id()), "encoded")
+    train = encoded.where(~F.col("held_out"))
+
+    # the exchange, over numbers 0 .. size - 1, size for other words, size + 1 for the end
+    number = np.concatenate((np.minimum(np.arange(head), size), [size + 1]))
+    pair_counts = train.select("ids").mapInArrow(count_pairs(number, size + 2), "v bigint, w bigint, n bigint")
     bigrams = stored(pair_counts.groupBy("v", "w").agg(F.sum("n").alias("n")), "bigrams")
     model = exchange(bigrams, size, k, rounds)
-    rare, end = k, k + 1
-    smooth = model.pairs + SMOOTHING
+    discard(bigrams)
+
+    # the class of every other word that occurs often enough
+    of = np.full(head + 1, k, np.int64)
+    of[:size], of[head] = model.of[:size], k + 1
+    seek = np.concatenate((np.arange(head) < often, [False])) & (of == k)
+    beside = train.select("ids", "words").mapInArrow(count_profiles(of, seek, k), "id int, word binary, c int, n bigint")
+    beside = beside.repartition("id", "word").groupBy("id", "word", "c").agg(F.sum("n").alias("n"))
+    # every token has one class before it, so these sum to the word's count
+    seen = F.sum(F.when(F.col("c") >= k + 2, F.col("n")))
+    beside = beside.groupBy("id", "word").agg(F.collect_list("c").alias("c"), F.collect_list("n").alias("n"), seen.alias("seen"))
+    beside = beside.where(F.col("seen") >= min_count).select("id", "word", "c", "n")
+    assigned = stored(beside.mapInArrow(assign(model.pairs, model.total, k), "id int, word binary, class int"), "classes")
+    # at most the frequent words
+    found = assigned.where("id >= 0").select("id", "class").toArrow()
+    of[found.column("id").to_numpy()] = found.column("class").to_numpy()
+
+    # counts and classes of the other words, in the order of each text's list
+    known = counts.where((F.col("bin") < cut) & ~of_end).select("word", "n").join(assigned.where("id < 0").select("word", "class"), "word", "left")
+    away = encoded.where(F.size("words") > 0).select("row", F.posexplode("words").alias("j", "word")).join(known, "word", "left")
+    entry = F.struct("j", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("class", F.lit(k)).alias("class"))
+    lists = away.groupBy("row").agg(F.sort_array(F.collect_list(entry)).alias("x"))
+    texts = encoded.select("row", "ids", "doc_id", "held_out").join(lists, "row", "left")
+    texts = stored(texts.select("ids", "doc_id", "held_out", F.col("x.n").alias("n"), F.col("x.class").alias("class")), "numbered")
+    discard(encoded)
+
+    width = k + 2
+    pair_counts = texts.where(~F.col("held_out")).select("ids", "class").mapInArrow(count_pairs(of, width, 1), "v bigint, w bigint, n bigint")
+    met = pair_counts.groupBy("v", "w").agg(F.sum("n").alias("n")).toArrow()
+    pairs = np.zeros((width, width))
+    pairs[met.column("v").to_numpy(), met.column("w").to_numpy()] = met.column("n").to_numpy()
+    smooth = pairs + SMOOTHING
     transitions = np.log10(smooth / smooth.sum(axis=1, keepdims=True))
-
-    # numbers of the texts: frequent words, then one for all others, then the end
-    of = np.concatenate((model.of[:size], np.full(len(order) - size, rare), [rare, end])).astype(np.int64)
-    in_class = np.bincount(of[:size], own[:size], k + 2) if size else np.zeros(k + 2)
-    members = np.bincount(of[:size], minlength=k + 2)
-    plain = np.log10(n + SMOOTHING * (v + 1))
-    others, kinds = n - ends - own[:size].sum(), v - (ends > 0) - size
-    rarely = np.log10(others + SMOOTHING * (kinds + 1))
-    log_own = np.log10(own + SMOOTHING)
-    emission = np.concatenate((
-        log_own[:size] - np.log10(in_class[of[:size]] + SMOOTHING * members[of[:size]]),
-        log_own[size:] - rarely,
-        [-rarely, 0.0],  # other words add log10(count + smoothing) after the join
-    ))
-    base = np.concatenate((log_own - plain, [-plain, np.log10(ends + SMOOTHING) - plain]))
-
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    partial = rows.mapInArrow(score_texts(words, transitions, emission, base, of, rare, end), PARTIAL.format(kind))
-    partial = stored(partial.withColumn("row", F.monotonically_increasing_id()), "partial")
-    away = partial.where("n_away > 0").select("row", F.explode(F.arrays_zip("words", "times")).alias("x"))
-    away = away.select("row", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
-    known = counts.where((F.col("bin") < cut) & ~of_end).select("word", "n")
-    log_count = F.log10(F.coalesce(F.col("n"), F.lit(0)) + F.lit(SMOOTHING))
-    sums = (
-        away.join(known, "word", "left")
-        .groupBy("row")
-        .agg(F.sum(F.col("times") * log_count).alias("rest"), F.sum(F.when(F.col("n").isNotNull(), F.col("times"))).alias("met"))
-    )
-    rest = F.coalesce("rest", F.lit(0.0))
-    n_known = F.col("n_tokens") - F.col("n_away") + F.coalesce("met", F.lit(0)) - F.lit(0 if ends else 1)
-    return partial.join(sums, "row", "left").select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        n_known.cast("bigint").alias("n_known"),
-        F.lit(n).cast(T.LongType()).alias("train_tokens"),
-        (F.col("base") + rest).alias("base_score"),
-        (F.col("model") + rest).alias("score"),
-        F.pow(F.lit(10.0), -(F.col("model") + rest) / F.col("n_tokens")).alias("perplexity"),
+    members = np.bincount(of[:head], minlength=width)
+    for r in assigned.where("id < 0").groupBy("class").count().collect():
+        members[r["class"]] += r["count"]
+    # the others: all words seen but in no class, and one for those not seen
+    members[k] = v - (ends > 0) - members[:k].sum() + 1
+    in_class = pairs.sum(axis=0)
+    totals = np.log10(np.maximum(in_class + SMOOTHING * members, SMOOTHING))
+    plain = float(np.log10(n + SMOOTHING * (v + 1)))
+
+    scored = texts.select("ids", "doc_id", "held_out", "n", "class").mapInArrow(
+        score_texts(own, of, transitions, totals, plain),
+        f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double",
     )
+    return scored.select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast(T.LongType()).alias("train_tokens"), "base_score", "score",
+        F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"),
+    )
