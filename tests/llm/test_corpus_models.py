@@ -433,6 +433,68 @@ def test_class_model_is_a_distribution_and_follows_classes(spark):
     assert got.score[got.doc_id == 0].item() == pytest.approx(want, rel=1e-9)
 
 
+def two_kinds(docs, words, length, seed):
+    """Texts in which words of two kinds alternate, most of the time."""
+    rng = np.random.default_rng(seed)
+    kinds = lambda k: "ab"[(k + (rng.random() < 0.1)) % 2]
+    return [(i, " ".join(f"{kinds(k)}{min(rng.geometric(0.2), words)}" for k in range(length))) for i in range(docs)]
+
+
+def likelihood(bigrams, of):
+    """Of the classes, up to what they do not change."""
+    pairs, left, right = Counter(), Counter(), Counter()
+    for (v, w), n in bigrams.items():
+        pairs[of[v], of[w]] += n
+        left[of[v]] += n
+        right[of[w]] += n
+    part = lambda c: sum(n * math.log(n) for n in c.values())
+    return part(pairs) - part(left) - part(right)
+
+
+def test_exchange_only_rises_and_comes_near_single_moves(spark):
+    texts = [tokens(t) for _, t in two_kinds(80, 12, 30, 5)]
+    words = [w for w, _ in Counter(w for x in texts for w in x if w).most_common()]
+    number = {w: k for k, w in enumerate(words)} | {b"": len(words) + 1}
+    bigrams = Counter((number[a], number[b]) for x in texts for a, b in zip([b""] + x[:-1], x))
+    df = frame(spark, [(v, w, n) for (v, w), n in bigrams.items()], "v bigint, w bigint, n bigint")
+    k, size, history = 3, len(words), []
+    found = brown.exchange(df, size, k, 200, history)
+    assert len(history) > 1 and history == sorted(history)
+    assert found.value == pytest.approx(likelihood(bigrams, found.of)) and history[-1] == found.value
+    # one word at a time, each to the class that is likeliest by the definition, until none moves
+    of = [i % k for i in range(size)] + [k, k + 1]
+    start = likelihood(bigrams, of)
+    moved = True
+    while moved:
+        moved = False
+        for w in range(size):
+            best = max(range(k), key=lambda c: likelihood(bigrams, of[:w] + [c] + of[w + 1 :]))
+            if likelihood(bigrams, of[:w] + [best] + of[w + 1 :]) > likelihood(bigrams, of) + 1e-9:
+                of[w], moved = best, True
+    assert found.value - start >= 0.9 * (likelihood(bigrams, of) - start)
+    with pytest.raises(RuntimeError):
+        brown.exchange(df, size, k, 1)
+
+
+def test_every_frequent_word_has_a_class_wherever_its_count_is_kept(spark):
+    docs = two_kinds(200, 60, 30, 6) + [(i, None) for i in range(300, 303)] + [(None, "a1 b1 unseen"), (5, "a1 b1")]
+    scores = {}
+    for head in (10**6, 20):
+        got = brown.perplexities(frame(spark, docs), head_words=head, clustered=12, classes=3, min_count=3).collect()
+        scores[head] = sorted((str(r.doc_id), r.n_known, round(r.base_score, 8), round(r.score, 8)) for r in got)
+    assert scores[20] == scores[10**6]
+    # beyond the words of the exchange the classes still tell more than the counts
+    assert sum(x[3] for x in scores[20]) > sum(x[2] for x in scores[20]) + 300
+    assert brown.classes_for(10**6) == 300 and brown.classes_for(10**3) == 30
+
+
+def test_other_columns_do_not_reach_the_class_model(spark):
+    docs = two_kinds(60, 8, 20, 7)
+    plain = brown.perplexities(frame(spark, docs), classes=2)
+    clash = frame(spark, docs).selectExpr("*", "1 AS row", "'x' AS ids", "'y' AS words", "2 AS n", "3 AS class", "true AS held_out")
+    assert sorted(brown.perplexities(clash, classes=2).collect()) == sorted(plain.collect())
+
+
 def test_class_bigrams_edges(spark):
     assert brown.perplexities(empty(spark)).count() == 0
     only = [i for i in range(200) if held_out(i)][:2]
