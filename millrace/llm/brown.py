@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,10 +47,11 @@ COUNTED_WORDS = 400_000
 #: Codes that a task counts before it hands the counts on, and rows handed on at once.
 COUNTED_CODES = 1_000_000
 SLICE_ROWS = 100_000
-#: Bytes of text, or of numbers, taken at once.
+#: Bytes of text and of packed numbers taken at once.
 CHUNK_BYTES = 4_000_000
-#: Words assigned to classes at once.
-ASSIGNED = 1_024
+PACKED_BYTES = 1_000_000
+#: Rows of neighbour counts merged at once.
+MERGED_ROWS = 2_048
 #: The end of a text, as a token; no word is empty.
 END = b""
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -102,6 +104,39 @@ def chunks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.
             yield batch.slice(start), parts
 
 
+def packed(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Seven bits a byte, the lowest first, the eighth set on all but a value's last byte; and where each value ends."""
+    length = 1 + sum((values >= 1 << bits).astype(np.int64) for bits in range(7, 63, 7))
+    ends = np.cumsum(length)
+    out = np.empty(ends[-1] if len(ends) else 0, np.uint8)
+    for b in range(int(length.max(initial=0))):
+        more = np.nonzero(length > b)[0]
+        high = (length[more] > b + 1).astype(np.int64) << 7
+        out[ends[more] - length[more] + b] = values[more] >> (7 * b) & 127 | high
+    return out, ends
+
+
+def unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a column of packed numbers in a row, and where each of its rows starts among them."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    last = np.nonzero(data < 128)[0]
+    first = np.concatenate(([0], last[:-1] + 1))
+    length = last - first + 1
+    values = np.zeros(len(last), np.int64)
+    for b in range(int(length.max(initial=0))):
+        more = np.nonzero(length > b)[0]
+        values[more] |= (data[first[more] + b].astype(np.int64) & 127) << (7 * b)
+    return values, np.searchsorted(first, offsets[:-1] - offsets[0])
+
+
+def packed_rows(values: np.ndarray, stops: np.ndarray) -> pa.Array:
+    """A column of packed numbers whose rows end at ``stops``."""
+    data, ends = packed(values)
+    offsets = np.concatenate(([0], ends[stops - 1])).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(stops), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
 def encode(words):
     """Numbers of each text's tokens and the list of its words that have none.
 
@@ -112,35 +147,37 @@ def encode(words):
         number = {w: k for k, w in enumerate(words.value)}.get
         end = len(words.value)
         for batch, texts in chunks(batches, 2):
-            out, others = [], []
+            flat, others = [], []
             for text in texts:
-                ids = np.fromiter((number(w, -1) for w in text), np.int32, len(text))
+                ids = np.fromiter((number(w, -1) for w in text), np.int64, len(text))
                 extra: dict[bytes, int] = {}
                 for at in np.nonzero(ids < 0)[0]:
                     ids[at] = end + 1 + extra.setdefault(text[at], len(extra))
-                out.append(np.append(ids, np.int32(end)).tobytes())
+                flat.append(np.append(ids, end))
                 others.append(list(extra))
-            arrays = [batch.column(0), batch.column(1), pa.array(out, pa.binary()), pa.array(others, pa.list_(pa.binary()))]
+            out = packed_rows(np.concatenate(flat), np.cumsum([len(x) for x in flat]))
+            arrays = [batch.column(0), batch.column(1), out, pa.array(others, pa.list_(pa.binary()))]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "held_out", "ids", "words"])
 
     return run
 
 
 def pieces(batches: Iterator[pa.RecordBatch], lists: int | None = None) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Parts of the batches with about CHUNK_BYTES of numbers: the rows, the numbers in a row, and where each text starts.
+    """Parts of the batches with about PACKED_BYTES of numbers: the rows, the numbers in a row, and where each text starts.
 
     With the column ``lists``, the j-th word of a text's list is numbered on through
     the lists of the part.  Column ``ids`` is the first.
     """
     for batch in batches:
-        offsets = np.frombuffer(batch.column(0).buffers()[1], np.int32)[batch.column(0).offset :][: len(batch) + 1].astype(np.int64)
+        if not len(batch):
+            continue
+        column = batch.column(0)
+        offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(batch) + 1].astype(np.int64)
         start = 0
         while start < len(batch):
-            stop = max(start + 1, int(np.searchsorted(offsets, offsets[start] + CHUNK_BYTES, "right")) - 1)
+            stop = max(start + 1, int(np.searchsorted(offsets, offsets[start] + PACKED_BYTES, "right")) - 1)
             part = batch.slice(start, stop - start)
-            data = part.column(0).buffers()[2][int(offsets[start]) : int(offsets[stop])]
-            ids = np.frombuffer(data.to_pybytes(), np.int32).astype(np.int64)
-            starts = (offsets[start:stop] - offsets[start]) // 4
+            ids, starts = unpacked(part.column(0))
             if lists is not None:
                 shift = np.concatenate(([0], np.cumsum(part.column(lists).value_lengths().fill_null(0).to_numpy(zero_copy_only=False))))
                 # the end closes every text, so its number is each text's last
@@ -207,35 +244,33 @@ def count_pairs(of: np.ndarray | None, size: int, lists: int | None = None):
 def count_profiles(of: np.ndarray, seek: np.ndarray, k: int):
     """How often the words outside the exchange stand before and after each class.
 
-    A row names a frequent word by its number, another by itself; code c < k + 2
-    is the class that follows, k + 2 + c the class that precedes.
+    A row names a frequent word by its number, another by itself, and packs pairs
+    (code, count): code c < k + 2 is the class that follows, k + 2 + c the class
+    that precedes.
     """
-    width = k + 2
+    codes_each = 2 * (k + 2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally = Tally()
         close = len(of) - 1
 
         def rows(codes: np.ndarray, n: np.ndarray, words: pa.Array | None) -> pa.RecordBatch:
-            which = codes // (2 * width)
-            number = pa.array(which.astype(np.int32)) if words is None else pa.array(np.full(len(codes), -1, np.int32))
-            named = pa.array([b""] * len(codes), pa.binary()) if words is None else words.take(pa.array(which))
-            return pa.RecordBatch.from_arrays([number, named, pa.array((codes % (2 * width)).astype(np.int32)), pa.array(n)], names=["id", "word", "c", "n"])
+            which, code = np.divmod(codes, codes_each)
+            stops = np.append(np.nonzero(np.diff(which))[0] + 1, len(which))
+            which = which[stops - 1]
+            both = packed_rows(np.column_stack((code, n)).ravel(), 2 * stops)
+            number = which if words is None else np.full(len(which), -1)
+            named = pa.array([b""] * len(which), pa.binary()) if words is None else words.take(pa.array(which))
+            return pa.RecordBatch.from_arrays([pa.array(number.astype(np.int32)), named, both], names=["id", "word", "beside"])
 
         for part, ids, starts in pieces(batches, 1):
             seen = np.where(ids <= close, of[np.minimum(ids, close)], k)
-            prior = before(seen, starts, k + 1)
-            after = np.append(seen[1:], k + 1)
-            for side, beside in ((0, after), (1, prior)):
-                codes = ids * (2 * width) + side * width + beside
-                head = np.nonzero((ids <= close) & seek[np.minimum(ids, close)])[0]
-                tally.add(codes[head])
-                away = codes[ids > close] - (close + 1) * 2 * width
-                if len(away):
-                    code, n = np.unique(away, return_counts=True)
-                    words = part.column(1).flatten()
-                    for at in range(0, len(code), SLICE_ROWS):
-                        yield rows(code[at : at + SLICE_ROWS], n[at : at + SLICE_ROWS].astype(np.int64), words)
+            after, prior = np.append(seen[1:], k + 1) + ids * codes_each, before(seen, starts, k + 1) + k + 2 + ids * codes_each
+            head, away = np.nonzero((ids <= close) & seek[np.minimum(ids, close)])[0], np.nonzero(ids > close)[0]
+            tally.add(np.concatenate((after[head], prior[head])))
+            if len(away):
+                codes, n = np.unique(np.concatenate((after[away], prior[away])) - (close + 1) * codes_each, return_counts=True)
+                yield rows(codes, n, part.column(1).flatten())
             for codes, n in tally.rows(COUNTED_CODES):
                 yield rows(codes, n, None)
         for codes, n in tally.rows():
@@ -252,19 +287,39 @@ def gains(after: np.ndarray, prior: np.ndarray, pairs: np.ndarray, total: np.nda
     return after @ right[:k].T + prior @ right[:, :k] - prior.sum(axis=1)[:, None] * np.log(total[:k] + SMOOTHING)[None, :]
 
 
-def assign(pairs: np.ndarray, total: np.ndarray, k: int):
-    """The class of each word from the counts of the classes beside it; of equal ones the first."""
+def assign(pairs: np.ndarray, total: np.ndarray, k: int, min_count: int):
+    """The class of each word that occurs ``min_count`` times, from its rows, which stand together; of equal ones the first."""
     width = k + 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, words, beside = pa.array([], pa.int32()), pa.array([], pa.binary()), np.zeros((0, 2 * width))
+
+        def out() -> pa.RecordBatch:
+            # every token has one class before it, so these sum to the word's count
+            often = np.nonzero(beside[:, width:].sum(axis=1) >= min_count)[0]
+            found = gains(beside[often, :width], beside[often, width:], pairs, total, k).argmax(axis=1).astype(np.int32)
+            return pa.RecordBatch.from_arrays([ids.take(pa.array(often)), words.take(pa.array(often)), pa.array(found)], names=["id", "word", "class"])
+
         for batch in batches:
-            for at in range(0, len(batch), ASSIGNED):
-                part = batch.slice(at, ASSIGNED)
-                row = np.repeat(np.arange(len(part)), part.column(2).value_lengths().to_numpy(zero_copy_only=False))
-                beside = np.zeros((len(part), 2 * width))
-                np.add.at(beside, (row, part.column(2).flatten().to_numpy()), part.column(3).flatten().to_numpy())
-                found = gains(beside[:, :width], beside[:, width:], pairs, total, k).argmax(axis=1).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found)], names=["id", "word", "class"])
+            for at in range(0, len(batch), MERGED_ROWS):
+                part = batch.slice(at, MERGED_ROWS)
+                # the last word so far may go on
+                keys = [pa.concat_arrays([x, y]) for x, y in zip((ids, words), part.columns[:2])]
+                changes = [pc.not_equal(x[1:], x[:-1]).to_numpy(zero_copy_only=False) for x in keys]
+                word = np.concatenate(([0], np.cumsum(changes[0] | changes[1])))
+                values, starts = unpacked(part.column(2))
+                row = np.repeat(word[len(ids) :], np.diff(np.append(starts, len(values))) // 2)
+                size = word[-1] + 1
+                sums = np.bincount(row * 2 * width + values[::2], values[1::2], size * 2 * width).reshape(size, 2 * width)
+                sums[: len(beside)] += beside
+                firsts = np.searchsorted(word, np.arange(size))
+                ids, words, beside = keys[0].take(pa.array(firsts)), keys[1].take(pa.array(firsts)), sums
+                if size > 1:
+                    last = ids[-1:], words[-1:], beside[-1:]
+                    ids, words, beside = ids[:-1], words[:-1], beside[:-1]
+                    yield out()
+                    ids, words, beside = last
+        yield out()
 
     return run
 
@@ -275,9 +330,9 @@ class Classes:
     Classes are 0..k-1, k for other words, k+1 for the end.
     """
 
-    def __init__(self, bigrams: DataFrame, of: np.ndarray, k: int) -> None:
+    def __init__(self, beside: DataFrame, of: np.ndarray, k: int) -> None:
         self.of = of
-        self.after, self.prior = profiles(bigrams, of, k)
+        self.after, self.prior = profiles(beside, of, k)
         self.own = self.prior.sum(axis=1)
         self.pairs = np.zeros((k + 2, k + 2))
         np.add.at(self.pairs, of, self.after)
@@ -287,23 +342,38 @@ class Classes:
         self.value = part(self.pairs) - part(self.pairs.sum(axis=1)) - part(self.total)
 
 
-def profiles(bigrams: DataFrame, of: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of each number with the classes after it and before it.
+def neighbours(bigrams: DataFrame) -> DataFrame:
+    """(id, side, others, n): the numbers after (side 0) and before (side 1) each number; no list is longer than there are numbers."""
+    sides = []
+    for side, (one, other) in enumerate((("v", "w"), ("w", "v"))):
+        lists = bigrams.groupBy(F.col(one).alias("id")).agg(F.collect_list(other).alias("others"), F.collect_list("n").alias("n"))
+        sides.append(lists.select("id", F.lit(side).alias("side"), "others", "n"))
+    return sides[0].unionByName(sides[1])
+
+
+def count_beside(of: np.ndarray, width: int):
+    """Counts of the classes beside each number, as bytes of doubles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            others, n = (batch.column(c).flatten().to_numpy() for c in (2, 3))
+            row = np.repeat(np.arange(len(batch)), batch.column(2).value_lengths().to_numpy())
+            counts = np.bincount(row * width + of[others], n, len(batch) * width).reshape(len(batch), width)
+            out = pa.array([c.tobytes() for c in counts], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), out], names=["id", "side", "counts"])
+
+    return run
+
+
+def profiles(beside: DataFrame, of: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of each number with the classes after it and before it, from :func:`neighbours`.
 
     Every side of the result is bounded by the words of the exchange and the classes.
     """
-    spark = bigrams.sparkSession
-    size = len(of)
-    lookup = F.broadcast(spark.createDataFrame([(i, int(c)) for i, c in enumerate(of)], "id bigint, c int"))
-    after = bigrams.join(lookup, F.col("w") == F.col("id")).groupBy(F.col("v").alias("id"), "c").agg(F.sum("n").alias("n"))
-    prior = bigrams.join(lookup, F.col("v") == F.col("id")).groupBy(F.col("w").alias("id"), "c").agg(F.sum("n").alias("n"))
-    out = []
-    both = after.withColumn("side", F.lit(0)).unionByName(prior.withColumn("side", F.lit(1))).toArrow()
-    side, ids, c, n = (both.column(x).to_numpy() for x in ("side", "id", "c", "n"))
-    for s in (0, 1):
-        m = np.zeros((size, k + 2))
-        m[ids[side == s], c[side == s]] = n[side == s]
-        out.append(m)
+    out = np.zeros((2, len(of), k + 2))
+    met = beside.mapInArrow(count_beside(of, k + 2), "id bigint, side int, counts binary").toArrow()
+    for i, side, counts in zip(*(met.column(c).to_pylist() for c in ("id", "side", "counts"))):
+        out[side, i] = np.frombuffer(counts)
     return out[0], out[1]
 
 
@@ -316,7 +386,8 @@ def exchange(bigrams: DataFrame, size: int, k: int, rounds: int, history: list[f
     gains, when a single move does not help, or when a round gains less than
     TOLERANCE for all words; beyond ``rounds`` it raises.
     """
-    best = Classes(bigrams, np.concatenate((np.arange(size) % k, [k, k + 1])), k)
+    beside = stored(neighbours(bigrams), "neighbours")
+    best = Classes(beside, np.concatenate((np.arange(size) % k, [k, k + 1])), k)
     history = [] if history is None else history
     history.append(best.value)
     tokens_seen = max(best.own.sum(), 1.0)
@@ -329,7 +400,7 @@ def exchange(bigrams: DataFrame, size: int, k: int, rounds: int, history: list[f
         moved = movers[r % min(share, len(movers)) :: share]
         of = best.of.copy()
         of[moved] = wanted[moved]
-        found = Classes(bigrams, of, k)
+        found = Classes(beside, of, k)
         if found.value <= best.value:
             share *= 2
             continue
@@ -424,13 +495,9 @@ def perplexities(
     of = np.full(head + 1, k, np.int64)
     of[:size], of[head] = model.of[:size], k + 1
     seek = np.concatenate((np.arange(head) < often, [False])) & (of == k)
-    beside = train.select("ids", "words").mapInArrow(count_profiles(of, seek, k), "id int, word binary, c int, n bigint")
-    beside = beside.repartition("id", "word").groupBy("id", "word", "c").agg(F.sum("n").alias("n"))
-    # every token has one class before it, so these sum to the word's count
-    seen = F.sum(F.when(F.col("c") >= k + 2, F.col("n")))
-    beside = beside.groupBy("id", "word").agg(F.collect_list("c").alias("c"), F.collect_list("n").alias("n"), seen.alias("seen"))
-    beside = beside.where(F.col("seen") >= min_count).select("id", "word", "c", "n")
-    assigned = stored(beside.mapInArrow(assign(model.pairs, model.total, k), "id int, word binary, class int"), "classes")
+    beside = train.select("ids", "words").mapInArrow(count_profiles(of, seek, k), "id int, word binary, beside binary")
+    beside = beside.repartition("id", "word").sortWithinPartitions("id", "word")
+    assigned = stored(beside.mapInArrow(assign(model.pairs, model.total, k, min_count), "id int, word binary, class int"), "classes")
     # at most the frequent words
     found = assigned.where("id >= 0").select("id", "class").toArrow()
     of[found.column("id").to_numpy()] = found.column("class").to_numpy()
