@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.ordering import join_unique, running_counts
 from millrace.operators.components import components
-from millrace.operators.neighbors import block_join, knn, matrix, row_chunks, within_mask
-from millrace.session import cut_lineage, scope
+from millrace.operators.neighbors import block_join, knn, matrix, placement, row_chunks, within_mask
+from millrace.session import cut_lineage, keep, scope
 
 
 def _block_forest(near: np.ndarray, a_id: np.ndarray, b_id: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -42,18 +42,52 @@ def _block_forest(near: np.ndarray, a_id: np.ndarray, b_id: np.ndarray) -> tuple
     return np.concatenate(ids_out), np.concatenate(roots)
 
 
+#: Grid cells from the origin within which rounding cannot put rows of one cell too far apart.
+GRID_REACH = float(1 << 20)
+
+
+def _grid_cell(eps: float) -> Column:
+    """The cell of a grid whose diagonal is just under ``eps``: rows that share one are within ``eps``.
+
+    A row too far out for the grid is a cell of its own.
+    """
+    alone = F.concat(F.transform("vec", lambda x: F.lit(0).cast("bigint")), F.array("row_id"))
+    if not eps > 0:
+        return alone
+    side = F.lit(eps * (1 - 1e-8)) / F.sqrt(F.size("vec").cast("double"))
+    inside = F.forall("vec", lambda x: F.abs(x) < F.lit(GRID_REACH) * side)
+    return F.when(inside, F.transform("vec", lambda x: F.floor(x / side))).otherwise(alone)
+
+
+def _any_of(near: np.ndarray, unit: np.ndarray, axis: int) -> np.ndarray:
+    """The mask with rows (or columns) of equal ``unit`` merged, in the order of the distinct units."""
+    order = np.argsort(unit, kind="stable")
+    starts = np.unique(unit[order], return_index=True)[1]
+    return np.logical_or.reduceat(near.take(order, axis=axis), starts, axis=axis)
+
+
 def dbscan(df: DataFrame, eps: float, min_samples: int = 5) -> DataFrame:
     """(row_id, cluster, is_core) for a table with ``row_id`` and ``vec``.
 
     -1 is noise.  Clusters are numbered by their first core row; a border row
     joins the lowest-numbered cluster it touches.  Equal vectors are one point
     with a weight, so any number of copies costs the same.
+
+    Rows of one grid cell are within ``eps`` of each other: cells of
+    ``min_samples`` rows are core without a distance, only the rows of other
+    cells are counted around, and links are found between cells.  The rows are
+    placed among pivots once for all three joins.
     """
-    points = cut_lineage(
-        df.groupBy(F.col("vec").cast("array<double>").alias("vec")).agg(
-            F.count(F.lit(1)).alias("n_"), F.min(F.col("row_id").cast("bigint")).alias("row_id")
-        )
+    points = keep(
+        df.groupBy(F.col("vec").cast("array<double>").alias("vec"))
+        .agg(F.count(F.lit(1)).alias("n_"), F.min(F.col("row_id").cast("bigint")).alias("row_id"))
+        .withColumn("at", _grid_cell(eps))
+    )
+    held = points.groupBy("at").agg(
+        F.count(F.lit(1)).alias("rows"), (F.sum("n_") >= min_samples).alias("dense"), F.min("row_id").alias("in_cell")
     )
+    points = join_unique(points, held, ["at"], "rows").select("row_id", "vec", "n_", "in_cell", "dense")
+    placed = placement(points, ["n_", "in_cell", "dense"])
 
     def neighbours(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(p):
@@ -62,24 +96,28 @@ def dbscan(df: DataFrame, eps: float, min_samples: int = 5) -> DataFrame:
         near = [within_mask(a[part], b, eps) @ weight for part in row_chunks(len(a), len(b))]
         return pd.DataFrame({"row_id": q["row_id"].to_numpy(), "near": np.concatenate(near).astype(np.int64)})
 
-    counted, _ = block_join(points, points, neighbours, "row_id bigint, near bigint", eps, point_extra=["n_"])
-    cores = counted.groupBy("row_id").agg((F.sum("near") >= min_samples).alias("is_core"))
-    points = cut_lineage(points.join(cores, "row_id"))
+    counted, _ = block_join(placed.rows.where("NOT dense"), placed, neighbours, "row_id bigint, near bigint", eps)
+    cores = counted.groupBy("row_id").agg((F.sum("near") >= min_samples).alias("found"))
+    is_core = F.col("dense") | F.coalesce("found", F.lit(False))
+    points = cut_lineage(placed.rows.join(cores, "row_id", "left").withColumn("is_core", is_core).drop("found", "dense"))
     core, rest = points.where("is_core"), points.where("NOT is_core")
+    # cells are linked under the id of their first core row
+    units = core.groupBy("in_cell").agg(F.min("row_id").alias("unit"), F.count(F.lit(1)).alias("rows"))
+    units = keep(units)
+    core = keep(join_unique(core, units, ["in_cell"], "rows").drop("rows"))
 
     def link(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(p):
             return pd.DataFrame()
-        a, b = matrix(q["vec"]), matrix(p["vec"])
-        near = np.vstack([within_mask(a[part], b, eps) for part in row_chunks(len(a), len(b))])
-        u, v = _block_forest(near, q["row_id"].to_numpy(), p["row_id"].to_numpy())
+        a, b, a_unit, b_unit = matrix(q["vec"]), matrix(p["vec"]), q["unit"].to_numpy(), p["unit"].to_numpy()
+        near = np.vstack([_any_of(within_mask(a[part], b, eps), b_unit, 1) for part in row_chunks(len(a), len(b))])
+        u, v = _block_forest(_any_of(near, a_unit, 0), np.unique(a_unit), np.unique(b_unit))
         return pd.DataFrame({"u": u, "v": v})
 
-    edges, _ = block_join(core, core, link, "u bigint, v bigint", eps)
-    joined = components(edges).withColumnRenamed("node", "row_id")
-    grouped = cut_lineage(
-        core.join(joined, "row_id", "left").withColumn("component", F.coalesce("component", "row_id"))
-    )
+    edges, _ = block_join(core, placed.of(core), link, "u bigint, v bigint", eps, query_extra=["unit"])
+    joined = components(edges).withColumnRenamed("node", "unit")
+    named = units.join(joined, "unit", "left").withColumn("component", F.coalesce("component", "unit"))
+    grouped = cut_lineage(join_unique(core.drop("unit"), named.drop("unit"), ["in_cell"], "rows").drop("rows"))
 
     def touch(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(p):
@@ -95,7 +133,7 @@ def dbscan(df: DataFrame, eps: float, min_samples: int = 5) -> DataFrame:
             first.append(ranked[mask.argmax(axis=1)[hit]])
         return pd.DataFrame({"row_id": np.concatenate(ids), "component": np.concatenate(first)})
 
-    touched, _ = block_join(rest, grouped, touch, "row_id bigint, component bigint", eps, point_extra=["component"])
+    touched, _ = block_join(rest, placed.of(grouped), touch, "row_id bigint, component bigint", eps)
     border = touched.groupBy("row_id").agg(F.min("component").alias("component"))
     # first row of each component, counted through in order: the cluster numbers
     firsts = grouped.select(F.lit(0).alias("g"), "component").distinct().withColumn("one", F.lit(1))

@@ -149,6 +149,25 @@ def _slices(pdf: pd.DataFrame, cells: Cells) -> Iterator[pd.DataFrame]:
         yield pdf.iloc[part]
 
 
+@dataclass(frozen=True)
+class Placement:
+    """Reference rows that stand in cells, to be joined with several query tables."""
+
+    rows: DataFrame
+    pivots: np.ndarray
+
+    def of(self, rows: DataFrame) -> Placement:
+        """The same cells with some of the rows, or more columns."""
+        return Placement(rows, self.pivots)
+
+
+def placement(points: DataFrame, extra: list[str] | None = None) -> Placement:
+    """Places rows with ``row_id`` and ``vec`` once."""
+    points = keep(_standard(points, None, extra or []))
+    pivots = _choose_pivots(points, min(MAX_PIVOTS, math.ceil(sum(_sizes(points, "raise", "reference").values()) / CELL_ROWS)))
+    return Placement(keep(_place(points, pivots)), pivots)
+
+
 def place_near_pivots(points: DataFrame, cells: int) -> DataFrame:
     """(row_id, vec, cell): rows that are near each other share one of at most ``cells`` cells."""
     points = keep(points)
@@ -312,7 +331,7 @@ def _work(visitors: dict[str, np.ndarray], cells: Cells) -> int:
 
 def block_join(
     queries: DataFrame,
-    points: DataFrame,
+    points: DataFrame | Placement,
     kernel: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame],
     schema: str,
     reach: float = math.inf,
@@ -328,14 +347,17 @@ def block_join(
 
     ``queries`` and ``points`` carry ``row_id`` and ``vec``.  Reference rows
     farther than ``reach``, or beyond the ``k`` nearest ones, are of no use to a
-    query.  Also tells whether a query row can occur in more than one task, in
+    query.  Points that are a :class:`Placement` keep their cells, and have no
+    groups.  Also tells whether a query row can occur in more than one task, in
     which case the caller merges.  Rows with a missing or infinite value have no
     distances: they raise, or with ``missing="drop"`` they neither ask nor answer.
     """
     # read several times (counts, bounds, spreading); recomputed if lost
     if missing not in ("raise", "drop"):
         raise ValueError(f"missing must be 'raise' or 'drop', not {missing!r}")
-    points, queries = _standard(points, group, point_extra or []), _standard(queries, group, query_extra or [])
+    ready = points if isinstance(points, Placement) else None
+    points = ready.rows.drop("cell", "gap") if ready else _standard(points, group, point_extra or [])
+    queries = _standard(queries, group, query_extra or [])
     if missing == "drop":
         points, queries = points.where(whole_vector()), queries.where(whole_vector())
     points, queries = keep(points), keep(queries)
@@ -348,9 +370,12 @@ def block_join(
     visitors = {g: n for g, n in asked.items() if g in cells.counts}
     n_points = sum(int(n.sum()) for n in cells.counts.values())
     useful = k > 0 or not math.isinf(reach)
-    pivots = _choose_pivots(points, min(MAX_PIVOTS, math.ceil(n_points / CELL_ROWS))) if useful else none
+    if ready:
+        pivots = ready.pivots
+    else:
+        pivots = _choose_pivots(points, min(MAX_PIVOTS, math.ceil(n_points / CELL_ROWS))) if useful else none
     if pivots.shape[1]:
-        in_cells = keep(_place(points, pivots))
+        in_cells = ready.rows if ready else keep(_place(points, pivots))
         fine = _cells(in_cells, pivots)
         bounded = queries
         if k:

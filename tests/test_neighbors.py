@@ -159,6 +159,43 @@ def test_dbscan_long_chain(spark, cells, monkeypatch):
     assert {r.cluster for r in density.dbscan(frame(spark, x), 1.0, 2).collect()} == {0}
 
 
+def on_a_lattice():
+    """Rows whose distances are multiples of the radius, on the rims of the grid's cells."""
+    rng = np.random.default_rng(11)
+    return rng.integers(0, 12, (160, 2)) * 0.25
+
+
+def far_out():
+    """Clumps near the origin and beyond the reach of the grid, with copies."""
+    x = clumps(13, n=60, d=3)
+    return np.vstack([x, x + 1e9, x[:20], np.round(x[:30] * 4) / 4])
+
+
+@pytest.mark.parametrize(
+    "make,eps,min_samples",
+    [(on_a_lattice, 0.25, 4), (on_a_lattice, 0.5, 5), (far_out, 0.6, 4), (far_out, 0.0, 2), (lambda: clumps(5, n=90, d=7), 1.2, 5), (on_a_lattice, 0.3, 1)],
+)
+def test_dbscan_grid(spark, make, eps, min_samples):
+    x = make()
+    got = sorted(density.dbscan(frame(spark, x), eps, min_samples).collect())
+    label, core = brute_dbscan(x, eps, min_samples)
+    assert [r.cluster for r in got] == list(label)
+    assert [r.is_core for r in got] == list(core)
+
+
+def test_dbscan_places_rows_once_and_counts_only_around_sparse_cells(spark, monkeypatch):
+    x = np.vstack([np.zeros((1, 2)) + np.random.default_rng(3).uniform(0.01, 0.2, (80, 2)), [[9.0, 9.0], [5.0, 5.0]]])
+    asked, placed = [], []
+    join, place = neighbors.block_join, neighbors._place
+    monkeypatch.setattr(density, "block_join", lambda q, *a, **k: asked.append(q.count()) or join(q, *a, **k))
+    monkeypatch.setattr(neighbors, "_choose_pivots", lambda *a: np.array([[0.0, 0.0], [7.0, 7.0]]))
+    monkeypatch.setattr(neighbors, "_place", lambda df, pivots: placed.append(pivots.shape[1]) or place(df, pivots))
+    clusters = [r.cluster for r in sorted(density.dbscan(frame(spark, x), 1.0, 3).collect())]
+    assert clusters == [0] * 80 + [-1, -1]
+    # 80 rows of one cell are core without a distance; the two others are counted around, and asked for cores again
+    assert asked == [2, 80, 2] and placed.count(2) == 1
+
+
 def brute_mean_shift(x, bandwidth):
     modes = []
     for p in x:
