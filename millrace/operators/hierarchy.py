@@ -20,11 +20,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.operators.neighbors import block_join, matrix, place_near_pivots, row_chunks
+from millrace.operators.neighbors import QUERY_BLOCK, approx_sq, block_join, matrix, place_near_pivots, row_chunks
 from millrace.session import cut_lineage, scope
 
 #: Clusters of a cell, whose cost matrix one task holds.
 CELL_CLUSTERS = 2_048
+#: Rows and columns of tiles into which the comparison of all clusters is cut at least, and the least clusters of one.
+LEAST_TILES, LEAST_BLOCK = 6, 512
 
 CLUSTERS = "row_id bigint, vec array<double>, n double, height double"
 MERGES = "kept bigint, gone bigint, height double, n double"
@@ -100,34 +102,60 @@ def merge_inside(
     return ids[alive], centres[alive], weights[alive], heights[alive], merges
 
 
-def _outside(placed: DataFrame) -> DataFrame:
+def nearest_by_ward(
+    centres: np.ndarray, weights: np.ndarray, others: np.ndarray, other_weights: np.ndarray, barred: np.ndarray,
+    ids: np.ndarray, other_ids: np.ndarray,
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per cluster the least cost among the others that are not ``barred``, and the smaller and larger id of that pair.
+
+    Of equally near clusters the pair with the smaller ids counts, so all ends of a tie agree.  One matrix product
+    leaves few pairs, whose costs are those of :func:`ward_costs`.
+    """
+    cost, high = np.full(len(centres), np.inf), np.full(len(centres), np.iinfo(np.int64).max)
+    low = high.copy()
+    d2, slack = approx_sq(centres, others)
+    share = weights[:, None] * other_weights[None, :] / (weights[:, None] + other_weights[None, :])
+    # a cost is known up to the slack times its share, and a rounding of the product
+    d2 *= share
+    share *= slack
+    share += 1e-14 * d2
+    d2[barred] = np.inf
+    reach = (d2 + share).min(axis=1)
+    rows, cols = np.nonzero((d2 - share <= reach[:, None]) & np.isfinite(d2))
+    exact = np.zeros(len(rows))
+    for c in range(centres.shape[1]):
+        gap = centres[rows, c] - others[cols, c]
+        exact += gap * gap
+    exact *= weights[rows] * other_weights[cols] / (weights[rows] + other_weights[cols])
+    small, large = np.minimum(ids[rows], other_ids[cols]), np.maximum(ids[rows], other_ids[cols])
+    order = np.lexsort((large, small, exact, rows))
+    hit, first = np.unique(rows[order], return_index=True)
+    first = order[first]
+    cost[hit], low[hit], high[hit] = exact[first], small[first], large[first]
+    return cost, low, high
+
+
+def _outside(placed: DataFrame, n: int) -> DataFrame:
     """(row_id, partner, bound): the nearest cluster of all, and the cost of the nearest one in another cell."""
 
     def costs(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(p):
             return pd.DataFrame()
-        p = p.sort_values("row_id")
         a, b = matrix(q["vec"]), matrix(p["vec"])
         q_id, p_id, q_n, p_n = (x.to_numpy() for x in (q["row_id"], p["row_id"], q["n"], p["n"]))
         q_cell, p_cell = q["home"].to_numpy(), p["home"].to_numpy()
         out = []
         for part in row_chunks(len(a), len(b)):
-            cost = ward_costs(a[part], q_n[part], b, p_n)
-            cost[q_id[part, None] == p_id[None, :]] = np.inf
-            best = cost.min(axis=1)
-            # of equally near clusters the pair with the smaller ids: all ends of a tie agree
-            tied = cost == best[:, None]
-            low = np.minimum(q_id[part, None], p_id[None, :])
-            high = np.maximum(q_id[part, None], p_id[None, :])
-            low = np.where(tied, low, np.iinfo(np.int64).max)
-            first = low.min(axis=1)
-            high = np.where(low == first[:, None], high, np.iinfo(np.int64).max).min(axis=1)
-            cost[q_cell[part, None] == p_cell[None, :]] = np.inf
-            out.append(pd.DataFrame({"row_id": q_id[part], "cost": best, "low": first, "high": high, "bound": cost.min(axis=1)}))
+            known = a[part], q_n[part], b, p_n
+            cost, low, high = nearest_by_ward(*known, q_id[part, None] == p_id[None, :], q_id[part], p_id)
+            bound, _, _ = nearest_by_ward(*known, q_cell[part, None] == p_cell[None, :], q_id[part], p_id)
+            out.append(pd.DataFrame({"row_id": q_id[part], "cost": cost, "low": low, "high": high, "bound": bound}))
         return pd.concat(out)
 
     schema = "row_id bigint, cost double, low bigint, high bigint, bound double"
-    found, _ = block_join(placed, placed, costs, schema, query_extra=["n", "home"], point_extra=["n", "home"])
+    # few clusters make at least LEAST_TILES tiles, many make tiles of the usual size
+    block = min(QUERY_BLOCK, max(LEAST_BLOCK, math.ceil(n / LEAST_TILES)))
+    found, _ = block_join(placed, placed, costs, schema, query_extra=["n", "home"], point_extra=["n", "home"], query_block=block, point_block=block)
     best = found.groupBy("row_id").agg(F.min(F.struct("cost", "low", "high")).alias("best"), F.min("bound").alias("bound"))
     other = F.when(F.col("best.low") == F.col("row_id"), F.col("best.high")).otherwise(F.col("best.low"))
     return best.select("row_id", other.alias("partner"), F.col("best.cost").alias("cost"), "bound")
@@ -175,7 +203,7 @@ def ward_merges(points: DataFrame, cell_clusters: int = CELL_CLUSTERS) -> DataFr
         with scope():
             homes = _in_cells(alive, left, cell_clusters)
             if left > cell_clusters:
-                told = cut_lineage(homes.join(_outside(homes), "row_id"))
+                told = cut_lineage(homes.join(_outside(homes, left), "row_id"))
             else:
                 told = homes.withColumns({"partner": F.col("row_id"), "cost": F.lit(math.inf), "bound": F.lit(math.inf)})
             inside = cut_lineage(told.groupBy("home").applyInPandas(_merge_cell, ROUND))

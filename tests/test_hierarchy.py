@@ -132,3 +132,34 @@ def test_entries_of_several_trees(spark):
         assert max(spread) <= 0.4**2 + 1e-9
         again = hierarchy.feature_entries(points.repartition(7), 0.4, 5, cell).collect()
         assert {(r.row_id, r.n) for r in again} == {(r.row_id, r.n) for r in entries}
+
+
+def test_nearest_cluster_by_products_is_that_of_exact_costs():
+    rng = np.random.default_rng(5)
+    # far from the origin, many equal costs, weights of all sizes
+    x, weights = 1e3 + rng.integers(0, 4, (300, 3)).astype(float), rng.integers(1, 1_000, 300).astype(float)
+    ids = rng.permutation(300)
+    cell = rng.integers(0, 5, 300)
+    for barred in (np.eye(300, dtype=bool), cell[:, None] == cell[None], np.ones((300, 300), bool)):
+        cost, low, high = hierarchy.nearest_by_ward(x, weights, x, weights, barred, ids, ids)
+        exact = np.where(barred, np.inf, hierarchy.ward_costs(x, weights, x, weights))
+        assert np.array_equal(cost, exact.min(axis=1))
+        for i in np.flatnonzero(np.isfinite(cost)):
+            pairs = [(min(ids[i], ids[j]), max(ids[i], ids[j])) for j in np.flatnonzero(exact[i] == cost[i])]
+            assert (low[i], high[i]) == min(pairs)
+
+
+def test_few_clusters_are_compared_in_many_tiles(spark, monkeypatch):
+    sizes = []
+    join = hierarchy.block_join
+
+    def spied(*args, **kwargs):
+        sizes.append((kwargs.get("query_block"), kwargs.get("point_block")))
+        return join(*args, **kwargs)
+
+    monkeypatch.setattr(hierarchy, "block_join", spied)
+    monkeypatch.setattr(hierarchy, "LEAST_BLOCK", 16, raising=False)
+    x = np.random.default_rng(1).normal(size=(200, 2))
+    merges = hierarchy.ward_merges(as_points(spark, x, np.ones(200)), 60)
+    assert merges.count() == 199
+    assert sizes[0] == (34, 34)
