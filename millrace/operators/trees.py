@@ -25,12 +25,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.hashing import digest
-from millrace.functions.ordering import join_unique, running_counts
+from millrace.functions.ordering import join_unique
 from millrace.functions.vectors import as_array, present
 from millrace.session import cut_lineage
 
 #: Rows of a node that one task finishes.
 TASK_ROWS = 20_000
+#: Ranges of an attribute's values, summed each by itself.
+VALUE_RANGES = 256
 #: Nodes that go to every task when rows are classified; larger forests are joined level by level.
 BROADCAST_NODES = 200_000
 #: Node 1 is the root, 2 i and 2 i + 1 are the children of i: a BIGINT holds so many levels.
@@ -120,47 +122,72 @@ def _totals(rows: DataFrame, k: int) -> DataFrame:
     return rows.groupBy("tree", "node").agg(F.count(F.lit(1)).alias("n"), counts.alias("counts"))
 
 
+def _ranged(rows: DataFrame) -> DataFrame:
+    """Adds ``ranges``: for each value of ``vec`` the number of one of at most ``VALUE_RANGES`` ranges of its attribute.
+
+    The limits are near quantiles of the first tree's rows.  They tell where sums are made, not what they are.
+    """
+    features = len(rows.select("vec").first()[0])
+    probs = [i / VALUE_RANGES for i in range(1, VALUE_RANGES)]
+    quantiles = [F.percentile_approx(F.col("vec")[a], probs, 10 * VALUE_RANGES).alias(f"q{a}") for a in range(features)]
+    limits = [np.unique(np.array(q or [], dtype=np.float64)) for q in rows.where("tree = 0").agg(*quantiles).first()]
+
+    @F.pandas_udf("array<int>")
+    def ranges(vec: pd.Series) -> pd.Series:
+        x = np.vstack(vec.to_numpy()) if len(vec) else np.zeros((0, features))
+        at = np.stack([np.searchsorted(of, x[:, a]) for a, of in enumerate(limits)], axis=1)
+        return pd.Series(list(at.astype(np.int32)), dtype=object)
+
+    return rows.withColumn("ranges", ranges("vec"))
+
+
 def _splits(rows: DataFrame, totals: DataFrame, growth: Growth) -> DataFrame:
-    """(tree, node, attribute, threshold): the best cuts of the nodes, found on summed class counts."""
+    """(tree, node, attribute, threshold): the best cuts of the nodes, found on summed class counts.
+
+    Counts are summed along the values of a range, and along the ranges of a node's attribute.
+    """
     k = growth.classes
     names = [f"c{c}" for c in range(k)]
-    long = rows.select("tree", "node", "y", "w", F.posexplode("vec").alias("attribute", "x"))
-    group = F.struct("tree", "node", "attribute").alias("g")
+    at, of_range = ["tree", "node", "attribute"], ["tree", "node", "attribute", "range"]
+    long = rows.select("tree", "node", "y", "w", F.posexplode(F.arrays_zip("vec", "ranges")).alias("attribute", "value"))
     counts = cut_lineage(
-        long.groupBy(group, "x").agg(*[F.sum(F.when(F.col("y") == c, F.col("w")).otherwise(0.0)).alias(n) for c, n in enumerate(names)])
+        long.groupBy("tree", "node", "attribute", F.col("value.ranges").alias("range"), F.col("value.vec").alias("x"))
+        .agg(*[F.sum(F.when(F.col("y") == c, F.col("w")).otherwise(0.0)).alias(n) for c, n in enumerate(names)])
     )
-    ranges = counts.groupBy("g").agg(F.min("x").alias("low"), F.max("x").alias("high")).where("low < high")
+    ranges = counts.groupBy(*of_range).agg(F.min("x").alias("low"), F.max("x").alias("high"), *[F.sum(n).alias(n) for n in names])
+    # a node's attribute has at most VALUE_RANGES rows here
+    earlier = Window.partitionBy(*at).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*at)
+    offsets = ranges.select(
+        *of_range, F.max("high").over(earlier).alias("last"), F.min("low").over(whole).alias("low"), F.max("high").over(whole).alias("high"),
+        *[F.coalesce(F.sum(n).over(earlier), F.lit(0.0)).alias(f"{n}_off") for n in names],
+    ).where("low < high").drop("low", "high")
     if growth.subset is not None:
-        key = digest(growth.seed, F.col("g.tree"), F.col("g.node"), F.col("g.attribute"))
-        # an attribute is a row here
-        rank = F.row_number().over(Window.partitionBy("g.tree", "g.node").orderBy(key))
-        ranges = ranges.withColumn("rank", rank).where(F.col("rank") <= growth.subset)
-    summed = running_counts(counts, "g", "x", names).join(ranges.select("g", "low"), "g").where("x > low")
-    summed = summed.select("g.tree", "g.node", "g.attribute", "x", *[f"{n}_before" for n in names])
-    sides = summed.join(totals.select("tree", "node", F.col("counts").alias("all")), ["tree", "node"])
-    left = [F.col(f"{n}_before") for n in names]
-    right = [F.col("all")[c] - F.col(f"{n}_before") for c, n in enumerate(names)]
+        key = digest(growth.seed, F.col("tree"), F.col("node"), F.col("attribute"))
+        # of the attributes that differ in a node
+        rank = F.dense_rank().over(Window.partitionBy("tree", "node").orderBy(key, "attribute"))
+        offsets = offsets.withColumn("rank", rank).where(F.col("rank") <= growth.subset).drop("rank")
+    before = Window.partitionBy(*of_range).orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
+    within = counts.select(*of_range, "x", F.max("x").over(before).alias("previous"), *[F.coalesce(F.sum(n).over(before), F.lit(0.0)).alias(n) for n in names])
+    summed = within.join(offsets, of_range).withColumn("below", F.coalesce("previous", "last")).where(F.col("below").isNotNull())
+    sides = summed.join(F.broadcast(totals.select("tree", "node", F.col("counts").alias("all"))), ["tree", "node"])
+    left = [F.col(n) + F.col(f"{n}_off") for n in names]
+    right = [F.col("all")[c] - n for c, n in enumerate(left)]
     score = _purity(left, growth.criterion) + _purity(right, growth.criterion)
-    best = sides.groupBy("tree", "node").agg(F.min(F.struct((-score).alias("s"), "attribute", "x")).alias("b"))
-    best = cut_lineage(best.select("tree", "node", "b.attribute", F.col("b.x").alias("high")))
-    # the value below the cut
-    below = (
-        counts.select("g.tree", "g.node", "g.attribute", "x")
-        .join(best, ["tree", "node", "attribute"])
-        .where(F.col("x") < F.col("high"))
-        .groupBy("tree", "node", "attribute")
-        .agg(F.max("x").alias("low"), F.first("high").alias("high"))
-    )
-    middle = F.col("low") + (F.col("high") - F.col("low")) / 2
-    inside = (middle < F.col("high")) & (F.abs(middle) < math.inf)
-    return below.select("tree", "node", "attribute", F.when(inside, middle).otherwise(F.col("low")).alias("threshold"))
+    best = sides.groupBy("tree", "node").agg(F.min(F.struct((-score).alias("s"), "attribute", "x", "below")).alias("b"))
+    low, high = F.col("b.below"), F.col("b.x")
+    middle = low + (high - low) / 2
+    inside = (middle < high) & (F.abs(middle) < math.inf)
+    return best.select("tree", "node", "b.attribute", F.when(inside, middle).otherwise(low).alias("threshold"))
 
 
 def grow_trees(rows: DataFrame, growth: Growth, task_rows: int = TASK_ROWS) -> DataFrame:
     """The nodes of all trees over rows (tree, y, w, vec); attribute -1 marks a leaf."""
     spark = rows.sparkSession
     found = spark.createDataFrame([], NODES)
+    fields = ["tree", "node", "y", "w", "vec"]
     rows = cut_lineage(rows.select("tree", F.lit(1).cast("bigint").alias("node"), "y", "w", "vec"))
+    ready = None
 
     def finish(pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.vstack(pdf["vec"].to_numpy()).astype(np.float64)
@@ -171,21 +198,26 @@ def grow_trees(rows: DataFrame, growth: Growth, task_rows: int = TASK_ROWS) -> D
         totals = cut_lineage(_totals(rows, growth.classes))
         largest = totals.agg(F.max("n")).first()[0] or 0
         if largest <= task_rows:
-            return found.unionByName(cut_lineage(rows.groupBy("tree", "node").applyInPandas(finish, NODES)))
-        small, large = totals.where(F.col("n") <= task_rows), totals.where(F.col("n") > task_rows)
-        ready = join_unique(rows, small.select("tree", "node", "n"), ["tree", "node"], "n").drop("n")
-        found = found.unionByName(cut_lineage(ready.groupBy("tree", "node").applyInPandas(finish, NODES)))
+            break
+        if ready is None:
+            rows = cut_lineage(_ranged(rows))
+        # tables of large nodes have at most all rows / task_rows entries: they go to the rows
+        large = totals.where(F.col("n") > task_rows)
         # a node of level l has l binary digits
         mixed = F.size(F.filter("counts", lambda c: c > 0)) > 1
         open_ = large.where(mixed & (F.length(F.bin("node")) <= growth.max_depth))
-        rows = cut_lineage(join_unique(rows, open_.select("tree", "node", "n"), ["tree", "node"], "n").drop("n"))
-        cuts = cut_lineage(_splits(rows, open_, growth).join(open_.select("tree", "node", "n"), ["tree", "node"]))
-        ends = large.join(cuts.drop("n"), ["tree", "node"], "left")
+        small = rows.join(F.broadcast(large.select("tree", "node")), ["tree", "node"], "left_anti").select(*fields)
+        ready = small if ready is None else ready.unionByName(small)
+        cuts = cut_lineage(_splits(rows.join(F.broadcast(open_.select("tree", "node")), ["tree", "node"], "left_semi"), open_, growth))
+        ends = large.join(F.broadcast(cuts), ["tree", "node"], "left")
         attribute = F.coalesce("attribute", F.lit(-1)).alias("attribute")
         found = found.unionByName(ends.select("tree", "node", attribute, "threshold", "counts"))
         side = F.when(F.col("vec")[F.col("attribute")] <= F.col("threshold"), 0).otherwise(1)
-        sent = join_unique(rows, cuts, ["tree", "node"], "n").select("tree", (2 * F.col("node") + side).alias("node"), "y", "w", "vec")
+        sent = rows.join(F.broadcast(cuts), ["tree", "node"]).select("tree", (2 * F.col("node") + side).alias("node"), "y", "w", "vec", "ranges")
         rows = cut_lineage(sent)
+    rows = rows.select(*fields)
+    ready = rows if ready is None else ready.unionByName(rows)
+    return found.unionByName(ready.groupBy("tree", "node").applyInPandas(finish, NODES))
 
 
 @dataclass(frozen=True)

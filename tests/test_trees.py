@@ -122,3 +122,17 @@ def test_awkward_rows(spark):
     assert {r.prediction for r in one.predict(df.where("x = 1")).collect()} == {"b"}
     with pytest.raises(ValueError, match="criterion"):
         classify.fit_tree(df, ["x"], "label", criterion="other")
+
+
+@pytest.mark.parametrize("ranges", [2, 5])
+def test_large_nodes_take_few_passes_whatever_the_ranges(spark, monkeypatch, ranges):
+    x, y = data(200)
+    df = table(spark, x, y)
+    classes = classify.classes_of(df, "label")
+    cut, calls = trees.cut_lineage, []
+    monkeypatch.setattr(trees, "cut_lineage", lambda rows: calls.append(1) or cut(rows))
+    monkeypatch.setattr(trees, "VALUE_RANGES", ranges, raising=False)
+    model = trees.fit_trees(df, FEATURES, classify.class_index("label", classes), classes, "gini", 2, task_rows=20)
+    assert cuts(model) == by_hand(x, y, np.ones(len(y)), 3, "gini", 2)
+    # four tables a level (totals, value counts, cuts, rows), before them the rows twice and after them the last totals and the nodes
+    assert len(calls) <= 4 * 3 + 4
