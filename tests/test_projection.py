@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.operators import neighbors, projection
 from test_neighbors import brute, found, frame, same
@@ -59,3 +60,29 @@ def test_edges(spark, clustered):
     with pytest.raises(ValueError, match="missing or infinite"):
         projection.knn_by_trees(two, two.union(broken), 1)
     assert found(projection.knn_by_trees(two.union(broken), two.union(broken), 1, missing="drop")) == {0: [(0, 0.0)], 1: [(1, 0.0)]}
+
+
+def test_a_query_comes_once_for_leaves_side_by_side(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(600, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "row_id bigint, vec array<double>").repartition(3)
+    forest = projection.fit(df, 2, leaf_rows=10)
+    probes, k = 9, 4
+    rows = projection._visiting(df, forest, probes, 16).groupBy("row_id").count().agg(F.max("count")).first()[0]
+    assert rows <= 2 * -(-forest.n_leaves // 16) and forest.n_leaves == 64
+    own = forest.leaves(x)
+    want = set()
+    for q in range(600):
+        met = set()
+        for t in range(2):
+            near = np.argpartition(forest.bounds(x[[q]], t), probes - 1, axis=1)[0, :probes]
+            met |= set(np.flatnonzero(np.isin(own[:, t], near))) - {q}
+        ids = sorted(met, key=lambda i: (((x[i] - x[q]) ** 2).sum() ** 0.5, i))[:k]
+        want |= {(q, int(i)) for i in ids}
+    for at_once in (1, 100, 8_192):
+        projection.BUNDLE_ROWS, kept = at_once, projection.BUNDLE_ROWS
+        try:
+            found = projection.knn_by_trees(df, df, k, probes=probes, leaf_rows=10, exclude_self=True)
+            assert {(r.row_id, r.neighbor_id) for r in found.collect()} == want
+        finally:
+            projection.BUNDLE_ROWS = kept
