@@ -1,6 +1,9 @@
 """Neighbour joins and density clustering against brute force."""
 
+import tracemalloc
+
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -229,3 +232,15 @@ def test_nearest_distance_curve(spark):
     x = np.array([[0.0], [1.0], [1.0], [5.0]])
     got = [(r.row_id, r.distance) for r in neighbors.nearest_distance_curve(frame(spark, x)).collect()]
     assert got == [(1, 0.0), (2, 0.0), (0, 1.0), (3, 4.0)]
+
+
+def test_a_block_is_compared_in_little_memory():
+    rng = np.random.default_rng(0)
+    q = pd.DataFrame({"row_id": np.arange(260), "vec": list(rng.normal(size=(260, 8)))})
+    p = pd.DataFrame({"row_id": np.arange(neighbors.POINT_BLOCK), "vec": list(rng.normal(size=(neighbors.POINT_BLOCK, 8)))})
+    tracemalloc.start()
+    try:
+        assert len(neighbors.nearest_of_block(q, p, 5, False)) == 5 * 260
+        assert tracemalloc.get_traced_memory()[1] < 60e6
+    finally:
+        tracemalloc.stop()
