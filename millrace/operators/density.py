@@ -42,6 +42,9 @@ def _block_forest(near: np.ndarray, a_id: np.ndarray, b_id: np.ndarray) -> tuple
     return np.concatenate(ids_out), np.concatenate(roots)
 
 
+#: Core rows beyond which cells are first linked by one row each.
+LINK_ROWS = 16_384
+
 #: Grid cells from the origin within which rounding cannot put rows of one cell too far apart.
 GRID_REACH = float(1 << 20)
 
@@ -114,7 +117,21 @@ def dbscan(df: DataFrame, eps: float, min_samples: int = 5) -> DataFrame:
         u, v = _block_forest(_any_of(near, a_unit, 0), np.unique(a_unit), np.unique(b_unit))
         return pd.DataFrame({"u": u, "v": v})
 
-    edges, _ = block_join(core, placed.of(core), link, "u bigint, v bigint", eps, query_extra=["unit"])
+    def linked(rows: DataFrame) -> DataFrame:
+        return block_join(rows, placed.of(core), link, "u bigint, v bigint", eps, query_extra=["unit"])[0]
+
+    if core.count() > LINK_ROWS:
+        # most cells are linked by their first rows already; a link that lacks has an end outside the largest component
+        first = core.where("row_id = unit")
+        edges, _ = block_join(first, placed.of(first), link, "u bigint, v bigint", eps, query_extra=["unit"])
+        edges = cut_lineage(edges)
+        held = components(edges).withColumnRenamed("node", "unit")
+        held = cut_lineage(units.join(held, "unit", "left").withColumn("component", F.coalesce("component", "unit")))
+        largest = held.groupBy("component").agg(F.sum("rows").alias("n")).orderBy(F.col("n").desc(), "component").first()["component"]
+        apart = held.where(F.col("component") != largest).select("in_cell", "rows")
+        edges = edges.unionByName(linked(join_unique(core, apart, ["in_cell"], "rows").drop("rows")))
+    else:
+        edges = linked(core)
     joined = components(edges).withColumnRenamed("node", "unit")
     named = units.join(joined, "unit", "left").withColumn("component", F.coalesce("component", "unit"))
     grouped = cut_lineage(join_unique(core.drop("unit"), named.drop("unit"), ["in_cell"], "rows").drop("rows"))

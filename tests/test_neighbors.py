@@ -244,3 +244,48 @@ def test_a_block_is_compared_in_little_memory():
         assert tracemalloc.get_traced_memory()[1] < 60e6
     finally:
         tracemalloc.stop()
+
+
+def test_tasks_are_dealt_out_by_the_pairs_they_compare(spark, monkeypatch):
+    monkeypatch.setattr(neighbors, "PARTITION_PAIRS", 1_000)
+    x = frame(spark, np.random.default_rng(4).normal(size=(160, 2)))
+    out, _ = neighbors.block_join(x, x, lambda q, p: q[["row_id"]], "row_id bigint", query_block=20, point_block=20)
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true" and out.rdd.getNumPartitions() == 26
+
+
+@pytest.mark.parametrize("make,eps,min_samples", [(on_a_lattice, 0.25, 4), (far_out, 0.6, 4), (lambda: clumps(7, n=150, d=2), 0.35, 4)])
+def test_dbscan_links_cells_by_their_first_rows_and_the_rest(spark, monkeypatch, make, eps, min_samples):
+    monkeypatch.setattr(density, "LINK_ROWS", 0)
+    x = make()
+    got = sorted(density.dbscan(frame(spark, x), eps, min_samples).collect())
+    label, core = brute_dbscan(x, eps, min_samples)
+    assert [r.cluster for r in got] == list(label)
+    assert [r.is_core for r in got] == list(core)
+
+
+def test_dbscan_compares_no_rows_of_cells_linked_already(spark, monkeypatch):
+    monkeypatch.setattr(density, "LINK_ROWS", 0)
+    rng = np.random.default_rng(5)
+    x = np.vstack([rng.uniform(0, 1, (200, 2)), rng.uniform(9, 9.1, (5, 2))])
+    asked, join = [], neighbors.block_join
+    monkeypatch.setattr(density, "block_join", lambda q, *a, **k: asked.append(q.count()) or join(q, *a, **k))
+    got = [r.cluster for r in sorted(density.dbscan(frame(spark, x), 0.5, 3).collect())]
+    assert got == [0] * 200 + [1] * 5
+    # of the linking joins the first takes one row a cell, the second what is not in the largest component
+    assert asked[1] < 20 and asked[2] == 5
+
+
+def test_far_rows_of_a_wide_cell_do_not_draw_queries_from_other_cells():
+    rng = np.random.default_rng(6)
+    x = np.vstack([rng.uniform(0, 1, (2_000, 2)), rng.uniform(-40, 40, (40, 2))])
+    pivots = x[rng.permutation(2_000)[:50]]
+    d2 = ((x[:, None, :] - pivots[None, :, :]) ** 2).sum(axis=2)
+    cell = d2.argmin(axis=1)
+    radius = np.array([np.sqrt(d2[cell == c, c].max(initial=0.0)) for c in range(50)])
+    made = neighbors.Cells(pivots, {"": np.bincount(cell, minlength=50)}, {"": radius})
+    theta = np.sort(np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2)), axis=1)[:, 5]
+    seen = made.visits("", x, theta, 0)
+    for i in range(0, len(x), 7):
+        inside = np.sqrt(((x - x[i]) ** 2).sum(axis=1)) <= theta[i]
+        assert seen[i, cell[inside]].all()
+    assert seen[:2_000].sum(axis=1).mean() < 6
