@@ -219,27 +219,32 @@ def average_ranks(df: DataFrame, row_id: str, cols: Sequence[str]) -> DataFrame:
 
 
 def _rank_blocks(df: DataFrame, row_id: str, cols: Sequence[str], width: int) -> DataFrame:
-    """(row_id, block, cells): a row's ranks about the middle rank, ``width`` columns at a time, missing ones left out."""
+    """(row_id, block, at, rank): a row's ranks about the middle rank and their columns, ``width`` columns at a time, missing ones left out."""
     position = F.create_map(*[F.lit(v) for i, c in enumerate(cols) for v in (c, i)])
     ranks = average_ranks(df, row_id, cols).withColumn("at", position[F.col("attribute")])
     present_ = long_form(df, cols).groupBy("attribute").agg(((F.count(F.lit(1)) + 1) / F.lit(2.0)).alias("middle"))
     cell = F.struct((F.col("at") % width).cast("int").alias("at"), (F.col("rank") - F.col("middle")).alias("rank"))
     centred = ranks.join(F.broadcast(present_), "attribute")
     # at most ``width`` cells meet
-    return centred.groupBy(row_id, F.floor(F.col("at") / width).cast("int").alias("block")).agg(F.collect_list(cell).alias("cells"))
+    blocks = centred.groupBy(row_id, F.floor(F.col("at") / width).cast("int").alias("block")).agg(F.collect_list(cell).alias("cells"))
+    # plain arrays: a task reads structs as a dictionary per cell
+    return blocks.select(row_id, "block", F.col("cells.at").alias("at"), F.col("cells.rank").alias("rank"))
 
 
+#: Rows a task multiplies at once: a dozen tables of 2 MB.
+PRODUCT_ROWS = 1_024
+
 PRODUCTS = "i int, j int, n double, x double, y double, xx double, yy double, xy double"
 
 
 def _products(width: int):
     """Sums over the rows of two column blocks, for every pair of their columns; the rows come block pair by block pair."""
 
-    def dense(cells: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-        x, there = np.zeros((len(cells), width)), np.zeros((len(cells), width))
-        row = np.repeat(np.arange(len(cells)), [len(c) for c in cells])
-        at = np.array([c["at"] for r in cells for c in r], np.int64)
-        x[row, at], there[row, at] = [c["rank"] for r in cells for c in r], 1.0
+    def dense(at: pd.Series, rank: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+        x, there = np.zeros((len(at), width)), np.zeros((len(at), width))
+        row = np.repeat(np.arange(len(at)), [len(a) for a in at])
+        col = np.concatenate(at.to_list()).astype(np.int64)
+        x[row, col], there[row, col] = np.concatenate(rank.to_list()), 1.0
         return x, there
 
     def rows(pair: tuple[int, int], total: np.ndarray) -> pd.DataFrame:
@@ -257,9 +262,10 @@ def _products(width: int):
                     yield rows(held, total)
                     total = np.zeros((6, width, width))
                 held = pair
-                for start in range(0, len(part), 4_096):
-                    x, mx = dense(part["left"].iloc[start : start + 4_096])
-                    y, my = dense(part["right"].iloc[start : start + 4_096])
+                for start in range(0, len(part), PRODUCT_ROWS):
+                    some = part.iloc[start : start + PRODUCT_ROWS]
+                    x, mx = dense(some["at"], some["rank"])
+                    y, my = dense(some["right_at"], some["right_rank"]) if "right_at" in some else (x, mx)
                     total += np.stack([mx.T @ my, x.T @ my, mx.T @ y, (x * x).T @ my, mx.T @ (y * y), x.T @ y])
         if held is not None:
             yield rows(held, total)
@@ -277,13 +283,13 @@ def spearman_pairs(df: DataFrame, row_id: str, cols: Sequence[str], width: int =
     blocks = _rank_blocks(df, row_id, cols, min(width, len(cols)))
     n_blocks = math.ceil(len(cols) / width)
     if n_blocks == 1:
-        both = blocks.select("block", F.col("cells").alias("left"), F.col("cells").alias("right")).withColumns({"a": F.lit(0), "b": F.lit(0)})
+        both = blocks.withColumns({"a": F.lit(0), "b": F.lit(0)})
     else:
-        right = blocks.select(row_id, F.col("block").alias("b"), F.col("cells").alias("right"))
-        both = blocks.select(row_id, F.col("block").alias("a"), F.col("cells").alias("left")).join(right, row_id).where("a <= b")
+        right = blocks.select(row_id, F.col("block").alias("b"), F.col("at").alias("right_at"), F.col("rank").alias("right_rank"))
+        both = blocks.withColumnRenamed("block", "a").join(right, row_id).where("a <= b")
         parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         both = both.repartition(max(parts, n_blocks * n_blocks), "a", "b", F.pmod(F.xxhash64(row_id), F.lit(parts))).sortWithinPartitions("a", "b")
-    sums = both.select("a", "b", "left", "right").mapInPandas(_products(min(width, len(cols))), PRODUCTS)
+    sums = both.select("a", "b", "at", "rank", *(["right_at", "right_rank"] if n_blocks > 1 else [])).mapInPandas(_products(min(width, len(cols))), PRODUCTS)
     names = ["n", "x", "y", "xx", "yy", "xy"]
     total = sums.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in names])
     spread = (F.col("xx") - F.col("x") * F.col("x") / F.col("n")) * (F.col("yy") - F.col("y") * F.col("y") / F.col("n"))

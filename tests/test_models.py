@@ -386,3 +386,12 @@ def test_spearman_of_column_blocks_and_missing_values(spark):
         got = {(r.col_i, r.col_j): r.rho for r in select.spearman_pairs(df, "row_id", cols, width).collect()}
         assert got.keys() == want.keys()
         assert all(got[k] is None if v is None else got[k] == pytest.approx(v) for k, v in want.items())
+
+
+@pytest.mark.parametrize("width", [256, 2])
+def test_spearman_hands_plain_arrays_to_python(spark, monkeypatch, width):
+    df = spark.createDataFrame([(i, float(i % 7), float(i % 5), float(-i)) for i in range(40)], "row_id bigint, a double, b double, c double")
+    given, through = [], type(df).mapInPandas
+    monkeypatch.setattr(type(df), "mapInPandas", lambda self, *a, **k: given.append(self.schema.simpleString()) or through(self, *a, **k))
+    assert select.spearman_pairs(df, "row_id", ["a", "b", "c"], width).count() == 3
+    assert len(given) == 1 and "struct" not in given[0].removeprefix("struct")
