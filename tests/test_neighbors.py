@@ -289,3 +289,19 @@ def test_far_rows_of_a_wide_cell_do_not_draw_queries_from_other_cells():
         inside = np.sqrt(((x - x[i]) ** 2).sum(axis=1)) <= theta[i]
         assert seen[i, cell[inside]].all()
     assert seen[:2_000].sum(axis=1).mean() < 6
+
+
+def test_a_block_hands_back_nothing_beyond_the_known_bound():
+    x = pd.DataFrame({"row_id": range(30), "vec": [np.array([float(i), 0.0]) for i in range(30)]})
+    out = neighbors.nearest_of_block(x.assign(theta=[2.0] * 29 + [np.inf]), x, 10, False)
+    assert out.groupby("row_id").size().tolist() == [3, 4, *[5] * 26, 4, 10]
+    assert out[out["row_id"] == 4]["neighbor_id"].tolist() == [4, 3, 5, 2, 6]
+
+
+def test_neighbours_bring_their_vectors_along_without_a_second_copy(spark, cells, monkeypatch):
+    x, sent, join = clumps(3), [], neighbors.block_join
+    monkeypatch.setattr(neighbors, "block_join", lambda q, p, *a, **k: sent.append((p.columns, k["point_extra"])) or join(q, p, *a, **k))
+    got = neighbors.knn(frame(spark, x), frame(spark, x), 3, exclude_self=True, carry="vec", **cells)
+    assert sent == [(["row_id", "vec"], None)]
+    rows = got.collect()
+    assert len(rows) == 3 * len(x) and all(r.vec == list(x[r.neighbor_id]) for r in rows)
