@@ -21,6 +21,9 @@ from millrace.functions.ordering import group_bounds, hash_bounds, order_statist
 from millrace.functions.vectors import as_array
 from millrace.operators.neighbors import approx_sq, knn, matrix, place_near_pivots, row_chunks
 
+#: Rows whose neighbours' vectors one task of SMOTE hands back.
+VECTOR_QUERIES = 8_192
+
 
 def class_counts(df: DataFrame, label: str) -> DataFrame:
     return df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
@@ -114,7 +117,8 @@ def smote(
     vectors = members.select(F.col(row_id).alias("row_id"), as_array(features).alias("vec"), F.col(label).alias("class_"))
     # the neighbour brings its vector along: joining it in later by its key would
     # send all copies made towards a popular neighbour to one task
-    near = knn(vectors, vectors, k, group="class_", exclude_self=True, carry="vec")
+    # a task hands back k vectors a query, so it gets fewer queries than it could compare
+    near = knn(vectors, vectors, k, group="class_", exclude_self=True, carry="vec", query_block=VECTOR_QUERIES)
     # at most k neighbours per row
     lists = near.groupBy(F.col("row_id").alias("near_id")).agg(
         F.transform(F.sort_array(F.collect_list(F.struct("rank", "vec"))), lambda s: s["vec"]).alias("near_")

@@ -8,7 +8,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from millrace.operators import clean, impute, sample
+from millrace.operators import clean, impute, neighbors, sample
 
 
 def rows_of(df):
@@ -114,6 +114,13 @@ def test_smote_of_a_single_row_and_targets(unbalanced):
     assert {(r.x, r.y) for r in grown.where("label = 'one'").collect()} == {(5.0, 5.0)}
 
 
+def test_smote_asks_for_fewer_vectors_a_task(unbalanced, monkeypatch):
+    asked, look_up = [], sample.knn
+    monkeypatch.setattr(sample, "knn", lambda *a, **k: asked.append(k["query_block"]) or look_up(*a, **k))
+    sample.smote(unbalanced, ["x", "y"], "label", "row_id")
+    assert asked == [sample.VECTOR_QUERIES] and asked[0] < neighbors.QUERY_BLOCK
+
+
 def test_combined(unbalanced):
     out = sample.combined(unbalanced, ["x", "y"], "label", "row_id", {"big": 60, "small": 60, "twins": 5, "one": 2})
     assert Counter(r.label for r in out.collect()) == {"big": 60, "small": 60, "twins": 5, "one": 2}
