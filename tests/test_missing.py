@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from millrace.catalog import groups
 from millrace.functions import ordering
 from millrace.operators import bayes, classify, cluster, neighbors, sample, select
 from millrace.session import keep, scope
@@ -141,6 +142,19 @@ def test_mini_batches_with_tasks_that_meet_no_row(spark):
     assert cluster._batch_sums(df.where("row_id < 0"), np.zeros((2, 2))) == {}
 
 
+def test_groups_apart_are_found_in_files_split_finer_than_their_rows(spark, tmp_path):
+    texts = spark.createDataFrame([(i, "word " * i, 5 * i) for i in range(1, 17)], "doc_id bigint, text string, n_chars int")
+    texts.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    texts.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic")).coalesce(1).write.parquet(f"{tmp_path}/labels.parquet")
+    # a file has one group of rows: of its splits, all but one come without a row
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "256")
+    try:
+        found = {r.row_id: r.cluster for r in groups.mini_batch_kmeans_apart(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert found == {i: (i - 1) % 4 for i in range(1, 17)}
+
+
 def test_ward_is_the_same_in_one_and_in_several_cells(spark):
     rng = np.random.default_rng(1)
     centres = np.array([[0, 0], [20, 0], [0, 20], [20, 20]])
