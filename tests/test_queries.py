@@ -10,6 +10,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from compare import compare, duck  # noqa: E402
 
 import __spark_entry__ as entry  # noqa: E402
+from millrace.catalog import fixtures  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not present")
@@ -59,3 +60,16 @@ def test_row_choices_need_no_sort_of_a_class(spark, name):
 def test_no_row_products(spark, name):
     text = plan(entry.queries()[name](spark, SF))
     assert "CartesianProduct" not in text and "NestedLoop" not in text
+
+
+def test_texts_are_counted_before_their_join(spark, tmp_path):
+    texts = [(1, "a 1\nb 22", 8), (2, None, None), (3, "not labelled", 12), (4, "", 0)]
+    spark.createDataFrame(texts, "doc_id bigint, text string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
+    marks = [(1, 1, 0), (1, 0, 1), (2, 1, 0), (4, 0, 0), (5, 1, 1)]
+    spark.createDataFrame(marks, "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = fixtures.doc_features(spark, str(tmp_path))
+    rows = {tuple(r) for r in docs.collect()}
+    assert docs.columns == ["row_id", "quality", "toxic", "n_chars", "n_spaces", "n_digits", "n_lines"]
+    assert rows == {(1, 1, 0, 8, 2, 3, 2), (1, 0, 1, 8, 2, 3, 2), (2, 1, 0, None, None, None, None), (4, 0, 0, 0, 0, 0, 1)}
+    text = docs._jdf.queryExecution().optimizedPlan().toString()
+    assert text.index("Join Inner") < text.index("replace(text")
