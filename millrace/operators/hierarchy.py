@@ -25,8 +25,14 @@ from millrace.session import cut_lineage, scope
 
 #: Clusters of a cell, whose cost matrix one task holds.
 CELL_CLUSTERS = 2_048
+#: Cells' worth of clusters that one task merges without such a matrix.
+CELLS_AT_ONCE = 4
+#: Outdated clusters whose nearest ones are looked up in one product.
+LOOKS = 32
 #: Rows and columns of tiles into which the comparison of all clusters is cut at least, and the least clusters of one.
 LEAST_TILES, LEAST_BLOCK = 6, 512
+#: Costs that a task works on at once, in two tables of 4 MB.
+TILE_CELLS = 1 << 19
 
 CLUSTERS = "row_id bigint, vec array<double>, n double, height double"
 MERGES = "kept bigint, gone bigint, height double, n double"
@@ -58,8 +64,6 @@ def merge_inside(
     np.fill_diagonal(cost, np.inf)
     mates = np.flatnonzero(partner[np.minimum(np.searchsorted(ids, partner), m - 1)] == ids)
     mates = mates[ids[np.minimum(np.searchsorted(ids, partner[mates]), m - 1)] == partner[mates]]
-    # a pair may merge below its limit
-    limit = np.minimum(bounds[:, None], bounds[None, :])
     near, at = cost.min(axis=1), cost.argmin(axis=1)
     alive, shut = np.ones(m, bool), np.zeros(m, bool)
     merges: list[tuple] = []
@@ -77,7 +81,6 @@ def merge_inside(
         new[~alive] = np.inf
         new[i] = np.inf
         cost[i, :] = cost[:, i] = new
-        limit[i, :] = limit[:, i] = np.minimum(bounds, bounds[i])
         near[j] = np.inf
         # whoever was nearest to one of the two looks again; by reducibility nobody else has come nearer
         for r in np.append(np.flatnonzero(alive & ((at == i) | (at == j))), i):
@@ -89,7 +92,7 @@ def merge_inside(
         if i < j and alive[i] and alive[j]:
             merge(int(i), j)
     while True:
-        allowed = alive & ~shut & (near < limit[np.arange(m), at])
+        allowed = alive & ~shut & (near < np.minimum(bounds, bounds[at]))
         if not allowed.any():
             break
         i = int(np.where(allowed, near, np.inf).argmin())
@@ -135,30 +138,151 @@ def nearest_by_ward(
     return cost, low, high
 
 
-def _outside(placed: DataFrame, n: int) -> DataFrame:
-    """(row_id, partner, bound): the nearest cluster of all, and the cost of the nearest one in another cell."""
+def compare_blocks(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+    """(row_id, cost, low, high, away, bound) for each cluster of ``q`` among those of ``p``: its nearest one as of
+    :func:`nearest_by_ward` and whether that stands in another cell, and what the nearest one of another cell costs at least.
+
+    Clusters stand in the order of their cells, so both minima are read off parts of the same rows of one matrix product.
+    """
+    q, p = q.sort_values("home", kind="stable"), p.sort_values("home", kind="stable")
+    a, b = matrix(q["vec"]), matrix(p["vec"])
+    q_id, p_id, q_n, p_n, q_cell, p_cell = (x.to_numpy() for c in ("row_id", "n", "home") for x in (q[c], p[c]))
+    shift = b.mean(axis=0)
+    x, y = a - shift, b - shift
+    xx, yy = (x * x).sum(axis=1), (y * y).sum(axis=1)
+    # a squared distance is known up to the slack, a cost up to that times its share, which is below the query's weight
+    slack = 1e-12 * a.shape[1] * float(xx.max(initial=0.0) + yy.max(initial=0.0)) + 1e-300
+    error = slack * q_n
+    left, right = np.hstack([-2.0 * x, np.ones((len(x), 1))]), np.ascontiguousarray(np.hstack([y, yy[:, None]]).T)
+    by_id = np.argsort(p_id, kind="stable")
+    own = by_id[np.minimum(np.searchsorted(p_id, q_id, sorter=by_id), len(p_id) - 1)]
+    own = np.where(p_id[own] == q_id, own, -1)
+    lo, hi = np.searchsorted(p_cell, q_cell, side="left"), np.searchsorted(p_cell, q_cell, side="right")
+    q_inverse, p_inverse = 1.0 / q_n, 1.0 / p_n
+    cost, bound, away = np.full(len(a), np.inf), np.full(len(a), np.inf), np.zeros(len(a), bool)
+    low = np.full(len(a), np.iinfo(np.int64).max)
+    high = low.copy()
+    edges = np.append(np.flatnonzero(np.append(True, q_cell[1:] != q_cell[:-1])), len(a))
+    step = max(1, TILE_CELLS // len(b))
+    tile, scale = (np.empty((min(step, len(a)), len(b))) for _ in range(2))
+    for first, last in zip(edges[:-1], edges[1:]):
+        inner = slice(lo[first], hi[first])
+        for start in range(first, last, step):
+            part = slice(start, min(last, start + step))
+            costs = np.dot(left[part], right, out=tile[: part.stop - start])
+            costs += xx[part, None]
+            costs /= np.add(q_inverse[part, None], p_inverse[None, :], out=scale[: part.stop - start])
+            met = np.flatnonzero(own[part] >= 0)
+            costs[met, own[part][met]] = np.inf
+            others = np.minimum(costs[:, : inner.start].min(axis=1, initial=np.inf), costs[:, inner.stop :].min(axis=1, initial=np.inf))
+            bound[part] = np.maximum(others * (1.0 - 1e-13) - error[part], 0.0)
+            reach = np.minimum(others, costs[:, inner].min(axis=1, initial=np.inf))
+            limit = np.where(np.isfinite(reach), reach + 1e-13 * np.abs(reach) + 2.0 * error[part], -np.inf)
+            at, cols = np.divmod(np.flatnonzero(costs <= limit[:, None]), len(b))
+            at += start
+            exact = np.zeros(len(at))
+            for c in range(a.shape[1]):
+                gap = a[at, c] - b[cols, c]
+                exact += gap * gap
+            exact *= q_n[at] * p_n[cols] / (q_n[at] + p_n[cols])
+            small, large = np.minimum(q_id[at], p_id[cols]), np.maximum(q_id[at], p_id[cols])
+            order = np.lexsort((large, small, exact, at))
+            hit, of = np.unique(at[order], return_index=True)
+            of = order[of]
+            cost[hit], low[hit], high[hit] = exact[of], small[of], large[of]
+            away[hit] = p_cell[cols[of]] != q_cell[hit]
+    return pd.DataFrame({"row_id": q_id, "cost": cost, "low": low, "high": high, "away": away, "bound": bound})
+
+
+def merge_below(
+    ids: np.ndarray, centres: np.ndarray, weights: np.ndarray, heights: np.ndarray, limit: float
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[tuple]]:
+    """Clusters left and the merges done: always the cheapest pair, while it costs less than ``limit``.
+
+    A cluster keeps its nearest one.  If that is merged, the cost stays as a bound, which no merge
+    undercuts, and the cluster looks again when it is the cheapest: memory grows with the clusters, not with their pairs.
+    """
+    order = np.argsort(ids, kind="stable")
+    ids, centres, weights, heights = (x[order].copy() for x in (ids, centres, weights, heights))
+    known = compare_blocks(*[pd.DataFrame({"row_id": ids, "vec": list(centres), "n": weights, "home": 0})] * 2)
+    near, low, high = (known[c].to_numpy().copy() for c in ("cost", "low", "high"))
+    at = np.minimum(np.searchsorted(ids, np.where(low == ids, high, low)), len(ids) - 1)
+    stale, alive = np.zeros(len(ids), bool), np.ones(len(ids), bool)
+    shift = centres.mean(axis=0)
+    moved = centres - shift
+    squares, inverse = (moved * moved).sum(axis=1), 1.0 / weights
+    merges: list[tuple] = []
+
+    def look(some: np.ndarray) -> None:
+        """The nearest cluster of each of ``some``: a product leaves few, whose costs are exact."""
+        cost = (-2.0 * moved[some]) @ moved.T
+        cost += squares
+        cost += squares[some, None]
+        cost /= inverse[some, None] + inverse
+        cost[np.arange(len(some)), some] = math.inf
+        least = cost.min(axis=1)
+        error = weights[some] * 1e-12 * centres.shape[1] * 2.0 * float(squares[alive].max()) + 1e-300
+        limits = np.where(least < math.inf, least + 1e-13 * np.abs(least) + 2.0 * error, -math.inf)
+        rows, cols = np.divmod(np.flatnonzero(cost <= limits[:, None]), len(ids))
+        gaps = centres[some[rows]] - centres[cols]
+        exact = (gaps * gaps).sum(axis=1) * weights[some[rows]] * weights[cols] / (weights[some[rows]] + weights[cols])
+        order = np.lexsort((cols, exact, rows))
+        hit, first = np.unique(rows[order], return_index=True)
+        stale[some], near[some] = False, math.inf
+        near[some[hit]], at[some[hit]] = exact[order[first]], cols[order[first]]
+
+    def next_looks(i: int) -> np.ndarray:
+        """``i`` and the outdated clusters of least bounds: their costs come from one product."""
+        waiting = np.flatnonzero(stale)
+        if len(waiting) > LOOKS:
+            waiting = waiting[np.argpartition(near[waiting], LOOKS - 1)[:LOOKS]]
+        return np.union1d(waiting, [i])
+
+    while len(ids) > 1:
+        i = int(near.argmin())
+        if not near[i] < limit:
+            break
+        if stale[i]:
+            look(next_looks(i))
+            continue
+        cost, i, j = near[i], min(i, int(at[i])), max(i, int(at[i]))
+        total = weights[i] + weights[j]
+        height = max(cost, heights[i], heights[j])
+        merges.append((int(ids[i]), int(ids[j]), float(height), float(total)))
+        centres[i] = (weights[i] * centres[i] + weights[j] * centres[j]) / total
+        moved[i] = centres[i] - shift
+        squares[i], squares[j] = moved[i] @ moved[i], math.inf
+        weights[i], inverse[i], heights[i] = total, 1.0 / total, height
+        alive[j], near[j], stale[j] = False, math.inf, False
+        stale |= alive & ((at == i) | (at == j))
+        stale[i] = True
+        # no merge costs less than the last one did
+        near[i] = cost
+        if 2 * alive.sum() < len(ids):
+            stale |= ~alive[at]
+            at = (np.cumsum(alive) - 1)[at]
+            ids, centres, weights, inverse, heights, near, at, stale, moved, squares = (
+                x[alive] for x in (ids, centres, weights, inverse, heights, near, at, stale, moved, squares)
+            )
+            alive = alive[alive]
+    return ids[alive], centres[alive], weights[alive], heights[alive], merges
+
+
+def _outside(placed: DataFrame, n: int, whole: bool) -> DataFrame:
+    """(row_id, low, high, cost, away, bound): the nearest cluster of all, and a bound for those of other cells.
+
+    ``whole`` tells that all clusters are known to have distances.
+    """
 
     def costs(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(p):
-            return pd.DataFrame()
-        a, b = matrix(q["vec"]), matrix(p["vec"])
-        q_id, p_id, q_n, p_n = (x.to_numpy() for x in (q["row_id"], p["row_id"], q["n"], p["n"]))
-        q_cell, p_cell = q["home"].to_numpy(), p["home"].to_numpy()
-        out = []
-        for part in row_chunks(len(a), len(b)):
-            known = a[part], q_n[part], b, p_n
-            cost, low, high = nearest_by_ward(*known, q_id[part, None] == p_id[None, :], q_id[part], p_id)
-            bound, _, _ = nearest_by_ward(*known, q_cell[part, None] == p_cell[None, :], q_id[part], p_id)
-            out.append(pd.DataFrame({"row_id": q_id[part], "cost": cost, "low": low, "high": high, "bound": bound}))
-        return pd.concat(out)
-
-    schema = "row_id bigint, cost double, low bigint, high bigint, bound double"
+        return compare_blocks(q, p) if len(q) and len(p) else pd.DataFrame()
+
+    schema = "row_id bigint, cost double, low bigint, high bigint, away boolean, bound double"
     # few clusters make at least LEAST_TILES tiles, many make tiles of the usual size
     block = min(QUERY_BLOCK, max(LEAST_BLOCK, math.ceil(n / LEAST_TILES)))
-    found, _ = block_join(placed, placed, costs, schema, query_extra=["n", "home"], point_extra=["n", "home"], query_block=block, point_block=block)
-    best = found.groupBy("row_id").agg(F.min(F.struct("cost", "low", "high")).alias("best"), F.min("bound").alias("bound"))
-    other = F.when(F.col("best.low") == F.col("row_id"), F.col("best.high")).otherwise(F.col("best.low"))
-    return best.select("row_id", other.alias("partner"), F.col("best.cost").alias("cost"), "bound")
+    found, _ = block_join(placed, placed, costs, schema, query_extra=["n", "home"], point_extra=["n", "home"], query_block=block, point_block=block, rows=n if whole else None)
+    best = found.groupBy("row_id").agg(F.min(F.struct("cost", "low", "high", "away")).alias("best"), F.min("bound").alias("bound"))
+    return best.select("row_id", "best.*", "bound")
 
 
 def _in_cells(alive: DataFrame, n: int, cell_clusters: int) -> DataFrame:
@@ -174,19 +298,39 @@ def _in_cells(alive: DataFrame, n: int, cell_clusters: int) -> DataFrame:
     return cut_lineage(placed.join(F.broadcast(counts), "cell").withColumn("home", home).drop("cell", "of_cell"))
 
 
-ROUND = f"{CLUSTERS}, kept bigint, gone bigint"
+ROUND = f"{CLUSTERS}, kept bigint, gone bigint, low bigint, high bigint, cost double"
 
 
 def _merge_cell(pdf: pd.DataFrame) -> pd.DataFrame:
-    ids, centres, weights, heights, merges = merge_inside(
-        *(pdf["row_id"].to_numpy(), matrix(pdf["vec"]), pdf["n"].to_numpy(), pdf["height"].to_numpy()),
-        pdf["bound"].to_numpy(),
-        pdf["partner"].to_numpy(),
-    )
-    left = pd.DataFrame({"row_id": ids, "vec": list(centres), "n": weights, "height": heights, "kept": None, "gone": None})
-    done = pd.DataFrame(merges, columns=["kept", "gone", "height", "n"]).assign(row_id=None, vec=None)
-    columns = ["row_id", "vec", "n", "height", "kept", "gone"]
-    return pd.concat([left[columns].astype(object), done[columns].astype(object)])
+    """Clusters left of a cell, then its merges.  A cluster that has not changed brings its pair with a nearest one of another cell."""
+    low, high, own, still = (pdf[c].to_numpy() for c in ("low", "high", "row_id", "still"))
+    clusters = own, matrix(pdf["vec"]), pdf["n"].to_numpy(), pdf["height"].to_numpy()
+    if pdf["home"].iloc[0] < 0:
+        ids, centres, weights, heights, merges = merge_below(*clusters, float(pdf["bound"].iloc[0]))
+    else:
+        bounds, partner = np.where(still, 0.0, pdf["bound"].to_numpy()), np.where(still | (low == own), high, low)
+        ids, centres, weights, heights, merges = merge_inside(*clusters, bounds, np.where(still, own, partner))
+    done = pd.DataFrame(merges, columns=["kept", "gone", "height", "n"]).assign(row_id=None, vec=None, low=None, high=None, cost=None)
+    changed = pdf["row_id"].isin(done["kept"]) | pdf["row_id"].isin(done["gone"])
+    open_ = pdf.loc[pdf["away"] & ~changed, ["row_id", "low", "high", "cost"]].astype(object)
+    left = pd.DataFrame({"row_id": ids, "vec": list(centres), "n": weights, "height": heights, "kept": None, "gone": None}).astype(object)
+    left = left[~np.isin(ids, own[still])].merge(open_, on="row_id", how="left")
+    columns = ["row_id", "vec", "n", "height", "kept", "gone", "low", "high", "cost"]
+    both = pd.concat([left[columns].astype(object), done[columns].astype(object)])
+    return both.where(both.notna(), None)
+
+
+def _at_once(told: DataFrame, clusters: int) -> DataFrame:
+    """Adds the cell -1 of at most ``clusters`` clusters: those whose nearest one costs less than a limit, their ``bound`` there.
+
+    A pair below the limit has both ends there, and so has every merge of them.  In their own cells
+    they stand ``still``: others must not merge past them.
+    """
+    limit = told.select("cost").orderBy("cost").limit(clusters + 1).agg(F.count(F.lit(1)), F.max("cost")).first()
+    limit = limit[1] if limit[0] > clusters else math.inf
+    there = told.where(F.col("cost") < limit)
+    cell = {"home": F.lit(-1).cast("bigint"), "bound": F.lit(limit), "away": F.lit(False), "still": F.lit(False)}
+    return told.withColumn("still", F.col("cost") < limit).unionByName(there.withColumns(cell))
 
 
 def ward_merges(points: DataFrame, cell_clusters: int = CELL_CLUSTERS) -> DataFrame:
@@ -198,44 +342,40 @@ def ward_merges(points: DataFrame, cell_clusters: int = CELL_CLUSTERS) -> DataFr
     """
     alive = cut_lineage(points.select(F.col("row_id").cast("bigint").alias("row_id"), F.col("vec").cast("array<double>").alias("vec"), F.col("n").cast("double").alias("n"), F.lit(0.0).alias("height")))
     history = points.sparkSession.createDataFrame([], MERGES)
-    left = alive.count()
+    left, whole = alive.count(), False
     while left > 1:
         with scope():
-            homes = _in_cells(alive, left, cell_clusters)
-            if left > cell_clusters:
-                told = cut_lineage(homes.join(_outside(homes, left), "row_id"))
+            if left > (CELLS_AT_ONCE if whole else 1) * cell_clusters:
+                homes = _in_cells(alive, left, cell_clusters)
+                told = _at_once(cut_lineage(homes.join(_outside(homes, left, whole), "row_id")), CELLS_AT_ONCE * cell_clusters)
             else:
-                told = homes.withColumns({"partner": F.col("row_id"), "cost": F.lit(math.inf), "bound": F.lit(math.inf)})
-            inside = cut_lineage(told.groupBy("home").applyInPandas(_merge_cell, ROUND))
-            stays = inside.where(F.col("row_id").isNotNull()).select("row_id", "vec", "n", "height")
-            history = history.unionByName(inside.where(F.col("kept").isNotNull()).select("kept", "gone", "height", "n"))
-            if left > cell_clusters:
-                pairs = _across(told)
-                crossed = cut_lineage(_merged_pairs(pairs, stays))
-                history = history.unionByName(crossed.select(F.col("row_id").alias("kept"), "gone", "height", "n"))
-                both = crossed.select("row_id").unionByName(crossed.select(F.col("gone").alias("row_id")))
-                stays = stays.join(both, "row_id", "left_anti").unionByName(crossed.drop("gone"))
-                stays = cut_lineage(stays)
-            before, left, alive = left, stays.count(), stays
-            if left >= before:
-                raise RuntimeError(f"no two of {left} clusters are nearest to each other")
+                told = alive.select("*", F.lit(-1).cast("bigint").alias("home"), F.col("row_id").alias("low"), F.col("row_id").alias("high"), F.lit(0.0).alias("cost"), F.lit(False).alias("away"), F.lit(math.inf).alias("bound"), F.lit(False).alias("still"))
+            after = cut_lineage(_merged_pairs(told.groupBy("home").applyInPandas(_merge_cell, ROUND)))
+        history = history.unionByName(after.where(F.col("gone").isNotNull()).select("kept", "gone", "height", "n"))
+        alive = after.where(F.col("row_id").isNotNull()).select("row_id", "vec", "n", "height")
+        before, left, whole = left, alive.count(), True
+        if left >= before:
+            raise RuntimeError(f"no two of {left} clusters are nearest to each other")
     return history
 
 
-def _across(told: DataFrame) -> DataFrame:
-    """(kept, gone, cost): clusters of two cells that are nearest to each other."""
-    a = told.select(F.col("row_id").alias("kept"), F.col("partner").alias("gone"), "cost", F.col("home").alias("home_a"))
-    b = told.select(F.col("row_id").alias("gone"), F.col("partner").alias("kept"), F.col("home").alias("home_b"))
-    return a.where("kept < gone").join(b, ["kept", "gone"]).where("home_a <> home_b").select("kept", "gone", "cost")
-
-
-def _merged_pairs(pairs: DataFrame, clusters: DataFrame) -> DataFrame:
-    a = clusters.select(F.col("row_id").alias("kept"), F.col("vec").alias("va"), F.col("n").alias("na"), F.col("height").alias("ha"))
-    b = clusters.select(F.col("row_id").alias("gone"), F.col("vec").alias("vb"), F.col("n").alias("nb"), F.col("height").alias("hb"))
-    total = F.col("na") + F.col("nb")
-    centre = F.zip_with("va", "vb", lambda x, y: (F.col("na") * x + F.col("nb") * y) / total)
-    return pairs.join(a, "kept").join(b, "gone").select(
-        F.col("kept").alias("row_id"), "gone", centre.alias("vec"), total.alias("n"), F.greatest("cost", "ha", "hb").alias("height")
+def _merged_pairs(inside: DataFrame) -> DataFrame:
+    """Clusters and merges, with clusters of two cells that are nearest to each other merged: both bring the same pair."""
+    merge = F.col("row_id").isNull()
+    pair = [F.when(merge, F.col(own)).otherwise(F.coalesce(end, "row_id")) for own, end in (("kept", "low"), ("gone", "high"))]
+    members = F.array_sort(F.collect_list(F.struct("row_id", "n", "height", "vec", "cost", "kept", "gone")))
+    grouped = inside.groupBy(merge.alias("merge"), pair[0].alias("k"), pair[1].alias("g")).agg(members.alias("of"))
+    a, b = F.col("of")[0], F.get("of", F.lit(1))
+    met = F.size("of") == 2
+    total = a["n"] + b["n"]
+    centre = F.zip_with(a["vec"], b["vec"], lambda x, y: (a["n"] * x + b["n"] * y) / total)
+    return grouped.select(
+        a["row_id"].alias("row_id"),
+        F.when(met, centre).otherwise(a["vec"]).alias("vec"),
+        F.when(met, total).otherwise(a["n"]).alias("n"),
+        F.when(met, F.greatest(a["cost"], a["height"], b["height"])).otherwise(a["height"]).alias("height"),
+        F.when(met, a["row_id"]).otherwise(a["kept"]).alias("kept"),
+        F.when(met, b["row_id"]).otherwise(a["gone"]).alias("gone"),
     )
 
 

@@ -163,3 +163,34 @@ def test_few_clusters_are_compared_in_many_tiles(spark, monkeypatch):
     merges = hierarchy.ward_merges(as_points(spark, x, np.ones(200)), 60)
     assert merges.count() == 199
     assert sizes[0] == (34, 34)
+
+
+def test_many_dimensions_take_few_rounds(spark, monkeypatch):
+    calls = []
+    join = hierarchy.block_join
+    monkeypatch.setattr(hierarchy, "block_join", lambda *args, **kwargs: calls.append(1) or join(*args, **kwargs))
+    # in many dimensions most rows are nearest to a few large clusters, so few pairs are nearest to each other
+    x = np.random.default_rng(7).normal(size=(240, 24))
+    merges = hierarchy.ward_merges(as_points(spark, x, np.ones(240)), 24)
+    got = sorted((r.height, r.kept, r.gone) for r in merges.collect())
+    assert [g[1:] for g in got] == [w[:2] for w in greedy(x, np.ones(240))]
+    assert len(calls) <= 5
+
+
+def test_the_cheapest_pairs_below_a_limit():
+    rng = np.random.default_rng(8)
+    # far from the origin, with equal costs, and many outdated clusters at once
+    for x in (1e3 + rng.normal(size=(130, 5)), rng.integers(0, 5, (130, 2)).astype(float)):
+        x = np.unique(x, axis=0)
+        weights = rng.integers(1, 9, len(x)).astype(float)
+        start = np.arange(len(x)), x, weights, np.zeros(len(x))
+        ids, _, left, _, merges = hierarchy.merge_below(*start, np.inf)
+        heights = [h for _, _, h in greedy(x, weights)]
+        assert list(ids) == [0] and left[0] == weights.sum()
+        assert np.allclose(np.sort([m[2] for m in merges]).sum(), np.sum(heights), rtol=0.05)
+        limit = float(np.median(heights))
+        ids, centres, left, _, some = hierarchy.merge_below(*start, limit)
+        assert some == merges[: len(some)] and len(ids) + len(some) == len(x)
+        cost = hierarchy.ward_costs(centres, left, centres, left)
+        np.fill_diagonal(cost, np.inf)
+        assert all(m[2] < limit for m in some) and cost.min() >= limit * (1 - 1e-9)
