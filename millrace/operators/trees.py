@@ -16,12 +16,14 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.hashing import digest
@@ -39,6 +41,10 @@ BROADCAST_NODES = 200_000
 MOST_LEVELS = 61
 
 NODES = "tree int, node bigint, attribute int, threshold double, counts array<double>"
+_NODE = [("tree", pa.int32()), ("node", pa.int64())]
+COUNTED = pa.schema([*_NODE, ("counts", pa.list_(pa.float64()))])
+CUTS = pa.schema([*_NODE, ("attribute", pa.int32()), ("threshold", pa.float64())])
+CUT_NODES = pa.schema([*CUTS, ("counts", pa.list_(pa.float64()))])
 
 
 def purity(counts: np.ndarray, criterion: str) -> np.ndarray:
@@ -181,13 +187,19 @@ def _splits(rows: DataFrame, totals: DataFrame, growth: Growth) -> DataFrame:
     return best.select("tree", "node", "b.attribute", F.when(inside, middle).otherwise(low).alias("threshold"))
 
 
+def _small(spark: SparkSession, rows: Sequence[Mapping], schema: pa.Schema) -> DataFrame:
+    """A table of a few rows that the driver holds: no job makes it."""
+    return spark.createDataFrame(pa.Table.from_pylist([dict(r) for r in rows], schema))
+
+
 def grow_trees(rows: DataFrame, growth: Growth, task_rows: int = TASK_ROWS) -> DataFrame:
     """The nodes of all trees over rows (tree, y, w, vec); attribute -1 marks a leaf."""
     spark = rows.sparkSession
-    found = spark.createDataFrame([], NODES)
     fields = ["tree", "node", "y", "w", "vec"]
     rows = cut_lineage(rows.select("tree", F.lit(1).cast("bigint").alias("node"), "y", "w", "vec"))
-    ready = None
+    # nodes of more than task_rows rows: a level has at most all rows / task_rows of them
+    found: list[dict] = []
+    levels: list[DataFrame] = []
 
     def finish(pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.vstack(pdf["vec"].to_numpy()).astype(np.float64)
@@ -195,29 +207,32 @@ def grow_trees(rows: DataFrame, growth: Growth, task_rows: int = TASK_ROWS) -> D
         return pd.DataFrame(list(nodes), columns=["tree", "node", "attribute", "threshold", "counts"])
 
     while True:
-        totals = cut_lineage(_totals(rows, growth.classes))
-        largest = totals.agg(F.max("n")).first()[0] or 0
-        if largest <= task_rows:
-            break
-        if ready is None:
+        large = [r.asDict() for r in _totals(rows, growth.classes).where(F.col("n") > task_rows).collect()]
+        if large and not levels:
             rows = cut_lineage(_ranged(rows))
-        # tables of large nodes have at most all rows / task_rows entries: they go to the rows
-        large = totals.where(F.col("n") > task_rows)
+        levels.append(rows.select(*fields))
         # a node of level l has l binary digits
-        mixed = F.size(F.filter("counts", lambda c: c > 0)) > 1
-        open_ = large.where(mixed & (F.length(F.bin("node")) <= growth.max_depth))
-        small = rows.join(F.broadcast(large.select("tree", "node")), ["tree", "node"], "left_anti").select(*fields)
-        ready = small if ready is None else ready.unionByName(small)
-        cuts = cut_lineage(_splits(rows.join(F.broadcast(open_.select("tree", "node")), ["tree", "node"], "left_semi"), open_, growth))
-        ends = large.join(F.broadcast(cuts), ["tree", "node"], "left")
-        attribute = F.coalesce("attribute", F.lit(-1)).alias("attribute")
-        found = found.unionByName(ends.select("tree", "node", attribute, "threshold", "counts"))
+        open_ = [r for r in large if sum(c > 0 for c in r["counts"]) > 1 and r["node"].bit_length() <= growth.max_depth]
+        cuts: list[dict] = []
+        if open_:
+            at = F.broadcast(_small(spark, open_, COUNTED))
+            cuts = [r.asDict() for r in _splits(rows.join(at.select("tree", "node"), ["tree", "node"], "left_semi"), at, growth).collect()]
+        known = {(c["tree"], c["node"]): c for c in cuts}
+        leaf = {"attribute": -1, "threshold": None}
+        found += [{**leaf, **r, **known.get((r["tree"], r["node"]), {})} for r in large]
+        if not cuts:
+            break
         side = F.when(F.col("vec")[F.col("attribute")] <= F.col("threshold"), 0).otherwise(1)
-        sent = rows.join(F.broadcast(cuts), ["tree", "node"]).select("tree", (2 * F.col("node") + side).alias("node"), "y", "w", "vec", "ranges")
-        rows = cut_lineage(sent)
-    rows = rows.select(*fields)
-    ready = rows if ready is None else ready.unionByName(rows)
-    return found.unionByName(ready.groupBy("tree", "node").applyInPandas(finish, NODES))
+        sent = rows.join(F.broadcast(_small(spark, cuts, CUTS)), ["tree", "node"])
+        rows = cut_lineage(sent.select("tree", (2 * F.col("node") + side).alias("node"), "y", "w", "vec", "ranges"))
+    ready = reduce(DataFrame.unionByName, levels)
+    if not found:
+        return ready.groupBy("tree", "node").applyInPandas(finish, NODES)
+    nodes = _small(spark, found, CUT_NODES)
+    # one join for the rows of all levels: an anti join would be made in each of them
+    above = F.broadcast(nodes.select("tree", "node", F.lit(True).alias("above")))
+    ready = ready.join(above, ["tree", "node"], "left").where(F.col("above").isNull()).select(*fields)
+    return nodes.select("tree", "node", "attribute", "threshold", "counts").unionByName(ready.groupBy("tree", "node").applyInPandas(finish, NODES))
 
 
 @dataclass(frozen=True)

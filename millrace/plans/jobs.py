@@ -42,7 +42,7 @@ from millrace.operators.score import (
     silhouette_squared,
 )
 from millrace.operators.select import SCORERS, best, best_fraction, drop_correlated
-from millrace.session import keep, scope
+from millrace.session import cut_lineage, keep, scope
 from millrace.sources.models import save_model
 from millrace.spec import TableSpec
 
@@ -199,7 +199,8 @@ def classification_folds(df: DataFrame, spec: TableSpec, config: Mapping) -> lis
             df = head_fraction(df, spec.row_id)
         if config.get("balance_before_split"):
             df = balance(df, spec, config)
-        df = keep(df.select(spec.row_id, spec.label, *spec.features))
+        # plans of caches hold those of the caches they read, at every use: the models start from a table
+        df = cut_lineage(df.select(spec.row_id, spec.label, *spec.features))
         if config.get("dataSplitMethod", "split") == "split":
             marked = train_test_split(df, spec.row_id, limit=config.get("numTrainingPoints"))
             parts = [(~F.col("is_test"), F.col("is_test"))]

@@ -136,3 +136,16 @@ def test_large_nodes_take_few_passes_whatever_the_ranges(spark, monkeypatch, ran
     assert cuts(model) == by_hand(x, y, np.ones(len(y)), 3, "gini", 2)
     # four tables a level (totals, value counts, cuts, rows), before them the rows twice and after them the last totals and the nodes
     assert len(calls) <= 4 * 3 + 4
+
+
+def test_the_plan_of_a_deep_tree_has_no_join_for_each_level(spark):
+    # the best cut takes one row off at a time, so a level has one large node
+    x = np.array([[float(2**i)] for i in range(16)])
+    df = spark.createDataFrame([(i, float(v[0]), i % 2) for i, v in enumerate(x)], "row_id bigint, x0 double, y int")
+    rows = df.select(F.lit(0).alias("tree"), "y", F.lit(1.0).alias("w"), F.array("x0").alias("vec"))
+    growth = trees.Growth(2, "gini", 30, None, 0)
+    nodes = trees.grow_trees(rows, growth, task_rows=3)
+    plan = nodes._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") <= 1
+    want = {r[:4] for r in growth.grow(0, 1, x, np.arange(16) % 2, np.ones(16))}
+    assert {(r.tree, r.node, r.attribute, r.threshold) for r in nodes.collect()} == want and len(want) > 20
