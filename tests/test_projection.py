@@ -86,3 +86,15 @@ def test_a_query_comes_once_for_leaves_side_by_side(spark):
             assert {(r.row_id, r.neighbor_id) for r in found.collect()} == want
         finally:
             projection.BUNDLE_ROWS = kept
+
+
+def test_neighbours_of_all_leaves_are_shuffled_once(spark, clustered, monkeypatch):
+    # several partitions of tasks, as larger tables have
+    monkeypatch.setattr(neighbors, "PARTITION_PAIRS", 1_000)
+    monkeypatch.setattr(projection, "BUNDLE_ROWS", 60)
+    points = frame(spark, clustered[:300])
+    got = projection.knn_by_trees(points, points, 5, probes=2, leaf_rows=30, exclude_self=True)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    merging = plan[: plan.index("FlatMapCoGroupsInPandas")]
+    assert merging.count("Exchange") == 1
+    same(found(got), found(projection.knn_by_trees(points.repartition(5), points, 5, probes=2, leaf_rows=30, exclude_self=True)))
